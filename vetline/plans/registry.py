@@ -1,8 +1,8 @@
 """All registered queries and their check SQL."""
 
-from vetline.plans import cleaning
+from vetline.plans import cleaning, evaluation, profiling
 
 QUERIES, ORACLES = {}, {}
-for module in (cleaning,):
+for module in (cleaning, profiling, evaluation):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES

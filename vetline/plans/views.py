@@ -87,6 +87,11 @@ def words(c: str) -> str:
     return f"list_filter(regexp_split_to_array({c}, '{WS}+'), lambda x: x <> '')"
 
 
+def single(c: str) -> str:
+    """Single precision, as a double."""
+    return f"CAST(CAST({c} AS FLOAT) AS DOUBLE)"
+
+
 def _nulls() -> str:
     cells = [KEY] + [
         f"CASE WHEN {c} NOT IN ({quoted(schema.NULL_TOKENS)}) THEN {c} END AS {c}"
