@@ -152,11 +152,15 @@ def fit_forest(
     return model
 
 
+def score_vectors(df: DataFrame, model: Forest, keys: list[str]) -> DataFrame:
+    """Compact scored rows (keys, score, rows): each distinct vector is scored once."""
+    vectors = df.groupBy(*keys, *model.inputs).agg(F.count(F.lit(1)).alias("rows"))
+    return vectors.select(*keys, raw_score(model).alias("score"), "rows")
+
+
 def training_scores(df: DataFrame, model: Forest) -> DataFrame:
-    """Settled counts per distinct raw score; each distinct vector is scored once."""
-    vectors = df.groupBy(*model.inputs).agg(F.count(F.lit(1)).alias("_rows"))
-    scored = vectors.withColumn("_score", raw_score(model))
-    return settle(value_counts_of(scored, F.col("_score"), weight="_rows"))
+    """Settled counts per distinct raw score."""
+    return settle(value_counts_of(score_vectors(df, model, []), F.col("score"), weight="rows"))
 
 
 def forest_offsets(scores: DataFrame, contaminations: list[float]) -> list[float]:

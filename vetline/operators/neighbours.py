@@ -139,7 +139,8 @@ def nearest_vectors(
     """
     axis = axis or features[0]
     splits = _splits(fitted, axis, k, range_vectors)
-    asked = queries.select(*features)
+    # Fresh column identities, as the queries may be the fitted table itself.
+    asked = queries.select(*[F.col(f).alias(f) for f in features])
     if len(splits) == 2:
         one = F.lit(0).alias("_r")
         return _search(*_chunked(
@@ -225,12 +226,16 @@ def _densities(rows: DataFrame, k_distances: DataFrame, features: list[str]) ->
 
 
 def _factors(rows: DataFrame, own: DataFrame, fitted: DataFrame, features: list[str]) -> DataFrame:
-    """Negative factor per (k, vector): minus the mean neighbour density over the own density."""
+    """Negative factor per (k, vector): minus the mean neighbour density over the own density.
+
+    Factors are compared with quantiles of themselves, so they are kept in
+    single precision: that drops the noise of the order of summation.
+    """
     joined = rows.join(
         _neighbour_side(fitted, features, "density"), ["k", *[f"n_{f}" for f in features]])
     mean = joined.groupBy("k", *features).agg((F.sum(F.col("take") * F.col("_v")) / F.sum("take")).alias("_m"))
     return mean.join(own, ["k", *features]).select(
-        "k", *features, "density", (-F.col("_m") / F.col("density")).alias("factor"))
+        "k", *features, "density", (-F.col("_m") / F.col("density")).cast("float").cast("double").alias("factor"))
 
 
 def fit_lof(
@@ -271,16 +276,16 @@ def lof_offset(model: LofModel, k: int, contamination: float) -> float:
 
 
 def score_lof(df: DataFrame, model: LofModel, k: int, contamination: float) -> DataFrame:
-    """Add ``lof_score`` (lower is more anomalous) and ``lof_anomaly`` (-1 or 1)."""
+    """Add ``lof_factor``, ``lof_score`` (lower is more anomalous) and ``lof_anomaly`` (-1 or 1)."""
     f = model.features
     scores = lof_vector_scores(model, distinct_vectors(df, f)).where(F.col("k") == k)
     keyed = df.withColumns({f"_{c}": F.col(c).cast("double") + F.lit(0.0) for c in f})
-    scores = scores.select(*[F.col(c).alias(f"_{c}") for c in f], "factor")
+    scores = scores.select(*[F.col(c).alias(f"_{c}") for c in f], F.col("factor").alias("lof_factor"))
     joined = keyed.join(scores, [f"_{c}" for c in f], "left")
-    score = F.col("factor") - F.lit(lof_offset(model, k, contamination))
+    score = F.col("lof_factor") - F.lit(lof_offset(model, k, contamination))
     return joined.withColumn("lof_score", score).withColumn(
         "lof_anomaly", F.when(F.col("lof_score") < 0, -1).otherwise(1)
-    ).select(*df.columns, "lof_score", "lof_anomaly")
+    ).select(*df.columns, "lof_factor", "lof_score", "lof_anomaly")
 
 
 def lof_label_scores(model: LofModel, df: DataFrame, label: str) -> DataFrame:
@@ -293,19 +298,12 @@ def lof_label_scores(model: LofModel, df: DataFrame, label: str) -> DataFrame:
     return compact.join(scores, f).select("k", "factor", label, "rows")
 
 
-def _rounded(c: str) -> Column:
-    """Scores compared with a quantile of themselves: drop the summation noise."""
-    return F.col(c).cast("float").cast("double")
-
-
 def sweep_lof_contamination(
     model: LofModel, val: DataFrame, label: str, contaminations: list[float], k: int = 20
 ) -> DataFrame:
     """Rows (contamination, f1, precision, recall, flagged) from one fit."""
-    train = model.table.where(F.col("k") == k).select(
-        _rounded("factor").alias("factor"), F.col("weight").alias("rows"))
+    train = model.table.where(F.col("k") == k).select("factor", F.col("weight").alias("rows"))
     scored = lof_label_scores(model, val, label).where(F.col("k") == k)
-    scored = scored.select(_rounded("factor").alias("factor"), label, "rows")
     return contamination_sweep(train, scored, "factor", label, contaminations, weight="rows")
 
 
@@ -314,9 +312,8 @@ def sweep_lof_neighbours(model: LofModel, val: DataFrame, label: str, contaminat
     scored = settle(lof_label_scores(model, val, label))
     result = None
     for k in model.ks:
-        train = model.table.where(F.col("k") == k).select(
-            _rounded("factor").alias("factor"), F.col("weight").alias("rows"))
-        at_k = scored.where(F.col("k") == k).select(_rounded("factor").alias("factor"), label, "rows")
+        train = model.table.where(F.col("k") == k).select("factor", F.col("weight").alias("rows"))
+        at_k = scored.where(F.col("k") == k)
         row = contamination_sweep(train, at_k, "factor", label, [contamination], weight="rows")
         row = row.select(F.lit(k).alias("n_neighbors"), "*")
         result = row if result is None else result.union(row)
@@ -332,12 +329,10 @@ def cross_validate_lof(
     result = None
     for i in range(k):
         model = fit_lof(folds.where(F.col("fold") != i), features, [n_neighbors])
-        train = model.table.select(_rounded("factor").alias("factor"), F.col("weight").alias("rows"))
         cuts = quantiles_of_counts(
-            settle(value_counts_of(train, F.col("factor"), weight="rows")), [contamination]
+            settle(value_counts_of(model.table, F.col("factor"), weight="weight")), [contamination]
         ).select("quantiles").scalar()
         scored = lof_label_scores(model, folds.where(F.col("fold") == i), label)
-        scored = scored.select(_rounded("factor").alias("factor"), label, "rows")
         counts = score_counts(scored, "factor", label, "rows")
         cells = confusion_per_threshold(counts, cuts, [i], "fold", lambda s, t: s < t)
         result = cells if result is None else result.union(cells)
