@@ -1,6 +1,6 @@
 """Cleaning: missing markers, flags, country, text placeholders, duplicates."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,16 +36,30 @@ def add_features(df: DataFrame) -> DataFrame:
     return df
 
 
+def row_digest(columns: list[str]) -> Column:
+    """SHA-256 over the cells, each with its length, so that no two rows read alike; nulls are equal."""
+    def cell(c: str) -> Column:
+        text = F.col(c).cast("string")
+        return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+    return F.unhex(F.sha2(F.concat(*[cell(c) for c in columns]), 256))
+
+
 def drop_duplicates(df: DataFrame, key: str | None = None) -> DataFrame:
     """Keep one of each set of rows equal in all columns (nulls equal).
 
     ``key`` is a row identifier that takes no part in the comparison; the
     smallest one survives, so the result does not depend on row order.
+
+    Rows meet by digest, not by their texts: columns nobody asks for later are
+    read for the digest but never shuffled, and copies collapse before the
+    shuffle however many there are.
     """
-    if key is None or key not in df.columns:
-        return df.dropDuplicates()
     rest = [c for c in df.columns if c != key]
-    return df.groupBy(*rest).agg(F.min(key).alias(key)).select(*df.columns)
+    kept = [F.any_value(c).alias(c) for c in rest]
+    if key in df.columns:
+        kept.append(F.min(key).alias(key))
+    return df.groupBy(row_digest(rest).alias("_digest")).agg(*kept).select(*df.columns)
 
 
 def clean_postings(df: DataFrame, dedupe: bool = True, key: str | None = "job_id") -> DataFrame:

@@ -9,6 +9,7 @@ from vetline.operators import encode, sampling
 from vetline.plans import views
 from vetline.plans.postings import raw_postings, table
 from vetline.plans.views import KEY, LABEL, clean, encoded, sql
+from vetline.runtime import settle
 
 QUERIES, ORACLES = {}, {}
 
@@ -115,7 +116,6 @@ def salary_midpoint(spark, sf_dir):
         (SELECT {views.salary('salary_range')} AS s FROM clean))) AS salary_processed
         FROM (SELECT job_id, {views.salary('salary_range')} AS s FROM clean)""", "clean"))
 def salary_median_fill(spark, sf_dir):
-    from vetline.runtime import settle
     # Only the columns the median and its filling need are kept for the second read.
     narrow = settle(clean(spark, sf_dir).select(KEY, "salary_range"))
     return encode.fill_salary_median(narrow).select(KEY, "salary_processed")
@@ -190,7 +190,7 @@ def one_hot_nonzeros(spark, sf_dir):
 
 @query("stratified_split", sql("SELECT job_id, fraudulent, split FROM split", "split"))
 def stratified_split(spark, sf_dir):
-    return sampling.stratified_split(encoded(spark, sf_dir).select(KEY, LABEL), KEY, LABEL)
+    return sampling.stratified_split(settle(encoded(spark, sf_dir).select(KEY, LABEL)), KEY, LABEL)
 
 
 @query("stratified_folds", sql(
@@ -198,11 +198,11 @@ def stratified_split(spark, sf_dir):
         + (r >= floor(n * CAST(0.4 AS DOUBLE) + 0.5))::INT + (r >= floor(n * CAST(0.6 AS DOUBLE) + 0.5))::INT
         + (r >= floor(n * CAST(0.8 AS DOUBLE) + 0.5))::INT AS INTEGER) AS fold FROM ranked""", "ranked"))
 def stratified_folds(spark, sf_dir):
-    return sampling.stratified_folds(encoded(spark, sf_dir).select(KEY, LABEL), KEY, LABEL)
+    return sampling.stratified_folds(settle(encoded(spark, sf_dir).select(KEY, LABEL)), KEY, LABEL)
 
 
 @query("exact_sample", sql(
     """SELECT job_id, fraudulent FROM (SELECT *, row_number() OVER (ORDER BY h) - 1 AS g, count(*) OVER () AS m
         FROM ranked) WHERE g < floor(m * CAST(0.3 AS DOUBLE) + 0.5)""", "ranked"))
 def exact_sample(spark, sf_dir):
-    return sampling.exact_sample(encoded(spark, sf_dir).select(KEY, LABEL), KEY, 0.3)
+    return sampling.exact_sample(settle(encoded(spark, sf_dir).select(KEY, LABEL)), KEY, 0.3)

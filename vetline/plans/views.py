@@ -13,6 +13,7 @@ from vetline.operators.clean import clean_postings
 from vetline.operators.encode import encode_features
 from vetline.operators.sampling import stratified_split
 from vetline.plans.postings import RULES, raw_postings
+from vetline.runtime import settle
 
 KEY, LABEL = "job_id", "fraudulent"
 
@@ -40,7 +41,8 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stratified_split(scored(spark, sf_dir), KEY, LABEL)
+    # Cut points and split read the rows several times; the texts are read once.
+    return stratified_split(settle(scored(spark, sf_dir)), KEY, LABEL)
 
 
 # --- SQL twins ------------------------------------------------------------
