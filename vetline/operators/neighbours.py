@@ -110,16 +110,22 @@ def _search(queries: DataFrame, fitted: DataFrame, features: list[str], k: int)
 
 
 def _chunked(queries: DataFrame, fitted: DataFrame, features: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Split the queries of a crowded range over several tasks."""
-    # One row per range, at most MAX_RANGES.
-    chunks = queries.groupBy("_r").agg(
-        F.ceil(F.count(F.lit(1)) / CHUNK_QUERIES).cast("int").alias("_chunks"))
-    chunks = F.broadcast(chunks)
-    asked = queries.join(chunks, "_r").withColumn(
-        "_c", F.pmod(F.xxhash64(*features), F.col("_chunks")).cast("int")).drop("_chunks")
-    held = fitted.join(chunks, "_r").withColumn(
-        "_c", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).drop("_chunks")
-    return asked, held
+    """Split the queries of a crowded range over several tasks.
+
+    Without a range column ``_r`` on the fitted side, all is one range.
+    """
+    needed = F.ceil(F.count(F.lit(1)) / CHUNK_QUERIES).cast("int").alias("_chunks")
+    if "_r" not in fitted.columns:
+        one, chunks = F.lit(0).alias("_r"), queries.agg(F.greatest(F.lit(1), needed)).scalar()
+        asked = queries.select("*", one).withColumn("_chunks", chunks)
+        held = fitted.select("*", one).withColumn("_chunks", chunks)
+    else:
+        # One row per range, at most MAX_RANGES.
+        per_range = F.broadcast(queries.groupBy("_r").agg(needed))
+        asked, held = queries.join(per_range, "_r"), fitted.join(per_range, "_r")
+    asked = asked.withColumn("_c", F.pmod(F.xxhash64(*features), F.col("_chunks")).cast("int"))
+    held = held.withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+    return asked.drop("_chunks"), held.drop("_chunks")
 
 
 def nearest_vectors(
@@ -142,9 +148,7 @@ def nearest_vectors(
     # Fresh column identities, as the queries may be the fitted table itself.
     asked = queries.select(*[F.col(f).alias(f) for f in features])
     if len(splits) == 2:
-        one = F.lit(0).alias("_r")
-        return _search(*_chunked(
-            asked.select("*", one), fitted.select("*", one), features), features, k)
+        return _search(*_chunked(asked, fitted, features), features, k)
 
     def ranged(df: DataFrame, column: str, name: str) -> DataFrame:
         cut = Bucketizer(splits=splits, inputCol=column, outputCol="_b").transform(df)

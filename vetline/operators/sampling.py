@@ -18,13 +18,13 @@ def digest(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
 
 
-def _cuts(df: DataFrame, label: str, key: str, bounds: list[float], seed: int, digits: int) -> DataFrame:
+def _cuts(df: DataFrame, label: Column, key: str, bounds: list[float], seed: int, digits: int) -> DataFrame:
     """One row per class: ``_cut``, the first digest of each part after the first.
 
     A cut past the last row of its class is null.
     """
     rows = df.select(
-        F.struct(label).alias("_class"), digest(F.col(key), seed).alias("_h")
+        F.struct(label.alias("_label")).alias("_class"), digest(F.col(key), seed).alias("_h")
     ).withColumn("_prefix", F.substring("_h", 1, digits))
     counts = rows.groupBy("_class", "_prefix").agg(F.count(F.lit(1)).alias("_n"))
     # At most 16 ** digits rows per class in this window.
@@ -74,12 +74,13 @@ def assign_parts(
     for f in fractions[:-1]:
         total += f
         bounds.append(round(total, 15))
-    whole = df if label else df.withColumn("_one", F.lit(0))
-    label = label or "_one"
-    cuts = _cuts(whole, label, key, bounds, seed, digits)
-    rows = whole.withColumns({
-        "_class": F.struct(label), "_h": digest(F.col(key), seed),
-    }).join(cuts, "_class", "left")
+    rows = df.withColumn("_h", digest(F.col(key), seed))
+    if label is None:
+        cuts = _cuts(df, F.lit(0), key, bounds, seed, digits)
+        rows = rows.withColumn("_cut", cuts.select("_cut").scalar())
+    else:
+        cuts = _cuts(df, F.col(label), key, bounds, seed, digits)
+        rows = rows.withColumn("_class", F.struct(F.col(label).alias("_label"))).join(cuts, "_class", "left")
     # A null cut lies past the end of the class.
     passed = [
         F.coalesce(F.col("_h") >= F.get("_cut", F.lit(i)), F.lit(False)).cast("int")

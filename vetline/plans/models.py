@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from vetline import schema
-from vetline.operators import iforest, metrics, neighbours, profile, tuning
+from vetline.operators import iforest, neighbours, profile, selection, tuning
 from vetline.plans.views import KEY, LABEL, single, split_scored, sql
 from vetline.runtime import fresh_path, settle
 
@@ -216,18 +216,10 @@ def iforest_one_hot_crosstab(spark, sf_dir):
     return profile.crosstab(iforest.score_outliers(rows, model), "anomaly_label", LABEL, [0, 1])
 
 
-def _forest_sweep(train, val, contaminations):
-    """One fit and one scoring pass for all contaminations."""
-    model = iforest.fit_forest(train, KEY, FEATURES)
-    fitted, new = (
-        iforest.score_vectors(df, model, [LABEL]).withColumnRenamed("score", "factor") for df in (train, val))
-    return metrics.contamination_sweep(fitted, new, "factor", LABEL, contaminations, weight="rows")
-
-
 @query("iforest_sweep")
 def iforest_sweep(spark, sf_dir):
     train, val = _split(spark, sf_dir)
-    return _forest_sweep(train, val, schema.CONTAMINATIONS)
+    return selection.sweep_forest(train, val, KEY, LABEL, schema.CONTAMINATIONS)[0]
 
 
 @query("iforest_cv")
@@ -240,7 +232,16 @@ def iforest_cv(spark, sf_dir):
 def model_comparison(spark, sf_dir):
     """Both real models swept and set side by side."""
     train, val = _split(spark, sf_dir)
-    forest = _forest_sweep(train, val, schema.CONTAMINATIONS)
+    forest, _ = selection.sweep_forest(train, val, KEY, LABEL, schema.CONTAMINATIONS)
     model = neighbours.fit_lof(train, FEATURES, [20])
     lof = neighbours.sweep_lof_contamination(model, val, LABEL, schema.CONTAMINATIONS, 20)
     return tuning.compare_sweeps(forest, lof)
+
+
+@query("winner_scores")
+def winner_scores(spark, sf_dir):
+    """Select, refit and store the winner, then score the validation rows with it."""
+    train, val = _split(spark, sf_dir)
+    chosen = selection.select_model(train, val, KEY, LABEL)
+    selection.save_winner(chosen, fresh_path(spark, "winner"))
+    return selection.score_with_winner(val.select(KEY, LABEL, *FEATURES), chosen)
