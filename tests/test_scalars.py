@@ -1,5 +1,7 @@
 """Edge cases with exact expectations."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -57,3 +59,16 @@ def test_joined_text(spark):
         [("A!", None, "d  d", "r", None)], "title string, company_profile string, description string, "
         "requirements string, benefits string")
     assert list(df.select(text.cleaned_full_text(), text.raw_full_text()).first()) == ["a d d r ", "A!  d  d r"]
+
+
+def test_character_classes_cover_all_code_points(spark):
+    points = [chr(i) for i in range(1, 0x30000) if not 0xD800 <= i < 0xE000]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(points)], "i int, c string")
+    rows = df.select(
+        "i", (F.regexp_replace("c", text.WS_RUN, "") == "").alias("ws"), text.clean_eda(F.col("c")).alias("eda"),
+        text.clean_model(F.concat(F.lit("x"), F.col("c"), F.lit("x"))).alias("model")).orderBy("i").collect()
+    for c, r in zip(points, rows):
+        assert r.ws == bool(re.match(r"\s", c)), repr(c)
+        assert r.eda == re.sub("[^a-zA-Z ]", " ", c).lower(), repr(c)
+        want = re.sub(r"[^a-z0-9\s]", "", re.sub(r"\s+", " ", f"x{c}x".lower()))
+        assert r.model == want, repr(c)

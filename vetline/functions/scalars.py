@@ -6,12 +6,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vetline import schema
-from vetline.functions.text import WS, strip
+from vetline.functions.text import WS_ANY, strip
+
+
+def _table(values: dict) -> Column:
+    """A constant map."""
+    return F.create_map(*[F.lit(v) for v in chain.from_iterable(values.items())])
 
 
 def null_tokens(c: Column, tokens=tuple(schema.NULL_TOKENS)) -> Column:
-    """Whole-cell missing markers become null."""
-    return F.when(~c.isin(*tokens), c)
+    """Whole-cell missing markers become null.
+
+    A lookup in a constant array: unlike a short ``IN`` list it is not unrolled,
+    which keeps the generated code of a wide table small enough to be compiled.
+    """
+    return F.when(~F.array_contains(F.array(*[F.lit(t) for t in tokens]), c), c)
 
 
 def binary_flag(
@@ -33,9 +42,10 @@ def binary_flag(
         text = strip(text)
     if lower:
         text = F.lower(text)
-    yes = [*true, "1.0"] if decimals and "1" in true else list(true)
-    no = [*false, "0.0"] if decimals and "0" in false else list(false)
-    parsed = F.when(text.isin(*yes), 1).when(text.isin(*no), 0)
+    values = dict.fromkeys(true, 1) | dict.fromkeys(false, 0)
+    if decimals:
+        values |= {f"{t}.0": v for t, v in values.items() if t in ("0", "1")}
+    parsed = F.try_element_at(_table(values), text)
     return parsed if default is None else F.coalesce(parsed, F.lit(default))
 
 
@@ -60,7 +70,7 @@ def country(location: Column) -> Column:
 
 
 _INT = r"\+?([0-9]+(?:_[0-9]+)*)"
-_RANGE = rf"^{WS}*{_INT}{WS}*-{WS}*{_INT}{WS}*\z"
+_RANGE = rf"^{WS_ANY}{_INT}{WS_ANY}-{WS_ANY}{_INT}{WS_ANY}\z"
 
 
 def salary_midpoint(c: Column) -> Column:
@@ -87,8 +97,7 @@ def salary_or(c: Column, fallback: float = schema.TRAIN_SALARY_MEDIAN) -> Column
 
 def code_of(c: Column, codes: dict[str, int], default: int) -> Column:
     """Dictionary lookup with a default."""
-    table = F.create_map(*[F.lit(v) for v in chain.from_iterable(codes.items())])
-    return F.coalesce(F.try_element_at(table, c), F.lit(default))
+    return F.coalesce(F.try_element_at(_table(codes), c), F.lit(default))
 
 
 def employment_code(c: Column) -> Column:

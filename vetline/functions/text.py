@@ -3,18 +3,17 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode whitespace as the source data's tools define it. Java's \s and RE2's
-# \s are both narrower, so the class is spelled out.
-WS_CHARS = (
-    r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-)
-WS = f"[{WS_CHARS}]"
+# Runs of Unicode whitespace as the source data's tools define it: Java's
+# Unicode \s plus U+001C to U+001F. Property classes like this one and \p{Alpha}
+# below run several times faster in Java than the same sets spelled as ranges.
+_WS = r"[\s\x{1C}-\x{1F}]"
+WS_RUN = f"(?U:{_WS}+)"
+WS_ANY = f"(?U:{_WS}*)"
 
 
 def strip(c: Column) -> Column:
     """Remove leading and trailing Unicode whitespace (``trim`` knows only U+0020)."""
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+\z", "")
+    return F.regexp_replace(c, rf"^{WS_RUN}|{WS_RUN}\z", "")
 
 
 def char_count(c: Column) -> Column:
@@ -24,7 +23,7 @@ def char_count(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Whitespace-separated tokens without empties."""
-    return F.array_remove(F.split(c, f"{WS}+"), "")
+    return F.array_remove(F.split(c, WS_RUN), "")
 
 
 def word_count(c: Column) -> Column:
@@ -38,16 +37,17 @@ def clean_eda(c: Column) -> Column:
     only its brackets go.
     """
     no_tags = F.regexp_replace(c, r"<[^\n]*?>", " ")
-    return F.lower(F.regexp_replace(no_tags, "[^a-zA-Z ]", " "))
+    return F.lower(F.regexp_replace(no_tags, r"[^\p{Alpha} ]", " "))
 
 
 def clean_model(c: Column) -> Column:
     """Lower case, collapse whitespace, delete all but ``a-z 0-9`` and space, trim.
 
     Deleting after collapsing leaves two spaces where a lone symbol stood.
+    ``Alnum`` is ASCII only, and lower case has left no capitals in it.
     """
-    one_space = F.regexp_replace(F.lower(c), f"{WS}+", " ")
-    return F.trim(F.regexp_replace(one_space, "[^a-z0-9 ]", ""))
+    one_space = F.regexp_replace(F.lower(c), WS_RUN, " ")
+    return F.trim(F.regexp_replace(one_space, r"[^\p{Alnum} ]", ""))
 
 
 def joined(*cols: Column) -> Column:

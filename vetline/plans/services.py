@@ -78,8 +78,9 @@ def _text_rows(spark, sf_dir):
 @query("text_classifier")
 def text_classifier(spark, sf_dir):
     rows = _text_rows(spark, sf_dir)
-    train = classifier.with_class_weights(rows.where("split = 'train'"))
-    model = classifier.fit_text_classifier(sampling.exact_sample(train, KEY, 0.3))
+    train = classifier.with_class_weights(settle(rows.where("split = 'train'")))
+    # The sample is read by every pass of the fit.
+    model = classifier.fit_text_classifier(settle(sampling.exact_sample(train, KEY, 0.3)))
     scored = classifier.predict_proba(rows.where("split = 'val'"), model)
     return scored.select(KEY, LABEL, "nlp_score")
 
@@ -90,7 +91,7 @@ def fused_scores(spark, sf_dir):
     rows = sampling.stratified_split(settle(clean_postings(raw)), KEY, LABEL)
     train = settle(rows.where("split = 'train'").drop("split"))
     texts = classifier.with_class_weights(train.select(KEY, LABEL, text.raw_full_text().alias("text")))
-    nlp = classifier.fit_text_classifier(texts)
+    nlp = classifier.fit_text_classifier(settle(texts))
     forest = iforest.fit_forest(encode_features(train, keep=[KEY]), KEY, contamination=0.1)
     fused = fusion.fit_fusion(settle(fusion.meta_features(train, nlp, forest, [KEY, LABEL])))
     return fusion.score_end_to_end(raw, nlp, forest, fused, KEY)

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vetline import schema
-from vetline.functions.text import WS
 from vetline.operators.clean import clean_postings
 from vetline.operators.encode import encode_features
 from vetline.operators.sampling import stratified_split
@@ -47,6 +46,9 @@ def split_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- SQL twins ------------------------------------------------------------
 
+# The code points of Unicode whitespace, for an engine without the property.
+WS = (r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+      r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
 EDGE = rf"^{WS}+|{WS}+\z"
 
 

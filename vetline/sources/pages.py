@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vetline.functions.text import WS, strip
+from vetline.functions.text import WS_RUN, strip
 from vetline.operators.clean import with_missing_columns
 from vetline import schema
 
@@ -18,7 +18,7 @@ def plain_text(html: Column) -> Column:
         c = F.regexp_replace(c, pattern, " ")
     for entity, char in ENTITIES:
         c = F.replace(c, F.lit(entity), F.lit(char))
-    return strip(F.regexp_replace(c, f"{WS}+", " "))
+    return strip(F.regexp_replace(c, WS_RUN, " "))
 
 
 def _element(html: Column, tag: str) -> Column:
