@@ -1,7 +1,5 @@
 """Scalar expressions over posting columns. All take and return ``Column``."""
 
-from itertools import chain
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,18 +7,29 @@ from vetline import schema
 from vetline.functions.text import WS_ANY, strip
 
 
-def _table(values: dict) -> Column:
+def quoted(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _table(values: dict[str, int]) -> Column:
     """A constant map."""
-    return F.create_map(*[F.lit(v) for v in chain.from_iterable(values.items())])
+    return F.expr(f"map({', '.join(f'{quoted(k)}, {v}' for k, v in values.items())})")
+
+
+def token_set(tokens) -> Column:
+    """A constant array of strings."""
+    return F.expr(f"array({', '.join(map(quoted, tokens))})")
 
 
-def null_tokens(c: Column, tokens=tuple(schema.NULL_TOKENS)) -> Column:
+def null_tokens(c: Column, tokens: Column | None = None) -> Column:
     """Whole-cell missing markers become null.
 
     A lookup in a constant array: unlike a short ``IN`` list it is not unrolled,
     which keeps the generated code of a wide table small enough to be compiled.
     """
-    return F.when(~F.array_contains(F.array(*[F.lit(t) for t in tokens]), c), c)
+    tokens = token_set(schema.NULL_TOKENS) if tokens is None else tokens
+    return F.when(~F.array_contains(tokens, c), c)
 
 
 def binary_flag(

@@ -17,7 +17,7 @@ def with_class_weights(df: DataFrame, label: str = "fraudulent") -> DataFrame:
 
 
 def fit_text_classifier(
-    df: DataFrame, text: str = "text", label: str = "fraudulent", features: int = 1 << 18,
+    df: DataFrame, text: str = "text", label: str = "fraudulent", features: int = 1 << 16,
     iterations: int = 20, penalty: float = 0.01,
 ) -> PipelineModel:
     """Fit on rows with ``text``, ``label`` and ``weight``."""

@@ -10,9 +10,10 @@ from vetline.functions import scalars, text
 
 def standardise_nulls(df: DataFrame, tokens=tuple(schema.NULL_TOKENS)) -> DataFrame:
     """Missing markers become null in every string column."""
+    markers = scalars.token_set(tokens)
     return df.select(
         *[
-            scalars.null_tokens(F.col(f.name), tokens).alias(f.name)
+            scalars.null_tokens(F.col(f.name), markers).alias(f.name)
             if isinstance(f.dataType, T.StringType)
             else F.col(f.name)
             for f in df.schema.fields
@@ -22,27 +23,27 @@ def standardise_nulls(df: DataFrame, tokens=tuple(schema.NULL_TOKENS)) -> DataFr
 
 def parse_flags(df: DataFrame, columns=tuple(schema.BINARY_COLUMNS), parse=scalars.binary_flag) -> DataFrame:
     """Binary columns that exist become 0/1."""
-    return df.withColumns({c: parse(F.col(c)) for c in columns if c in df.columns})
+    present = set(df.columns)
+    return df.withColumns({c: parse(F.col(c)) for c in columns if c in present})
 
 
 def add_features(df: DataFrame) -> DataFrame:
     """Country, text placeholders, description length; only where the inputs exist."""
-    if "location" in df.columns:
+    present = set(df.columns)
+    if "location" in present:
         df = df.withColumn("country", scalars.country(F.col("location")))
-    present = [c for c in schema.TEXT_COLUMNS if c in df.columns]
-    df = df.na.fill(schema.MISSING_TEXT, present) if present else df
-    if "description" in df.columns:
+    texts = [c for c in schema.TEXT_COLUMNS if c in present]
+    df = df.na.fill(schema.MISSING_TEXT, texts) if texts else df
+    if "description" in present:
         df = df.withColumn("desc_len", text.char_count(F.col("description")))
     return df
 
 
 def row_digest(columns: list[str]) -> Column:
     """SHA-256 over the cells, each with its length, so that no two rows read alike; nulls are equal."""
-    def cell(c: str) -> Column:
-        text = F.col(c).cast("string")
-        return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
-
-    return F.unhex(F.sha2(F.concat(*[cell(c) for c in columns]), 256))
+    texts = [f"CAST(`{c}` AS STRING)" for c in columns]
+    cells = [f"coalesce(concat(length({t}), ':', {t}), '-')" for t in texts]
+    return F.expr(f"unhex(sha2(concat({', '.join(cells)}), 256))")
 
 
 def drop_duplicates(df: DataFrame, key: str | None = None) -> DataFrame:
@@ -55,11 +56,10 @@ def drop_duplicates(df: DataFrame, key: str | None = None) -> DataFrame:
     read for the digest but never shuffled, and copies collapse before the
     shuffle however many there are.
     """
-    rest = [c for c in df.columns if c != key]
-    kept = [F.any_value(c).alias(c) for c in rest]
-    if key in df.columns:
-        kept.append(F.min(key).alias(key))
-    return df.groupBy(row_digest(rest).alias("_digest")).agg(*kept).select(*df.columns)
+    columns = df.columns
+    rest = [c for c in columns if c != key]
+    kept = [F.min(c).alias(c) if c == key else F.any_value(c).alias(c) for c in columns]
+    return df.groupBy(row_digest(rest).alias("_digest")).agg(*kept).drop("_digest")
 
 
 def clean_postings(df: DataFrame, dedupe: bool = True, key: str | None = "job_id") -> DataFrame:
@@ -74,5 +74,6 @@ def clean_postings(df: DataFrame, dedupe: bool = True, key: str | None = "job_id
 
 def with_missing_columns(df: DataFrame, columns=tuple(schema.RAW_COLUMNS)) -> DataFrame:
     """Add absent posting columns as null strings."""
-    absent = [c for c in columns if c not in df.columns]
+    present = set(df.columns)
+    absent = [c for c in columns if c not in present]
     return df.withColumns({c: F.lit(None).cast("string") for c in absent})

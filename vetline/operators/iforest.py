@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from vetline.functions.scalars import flagged
 from vetline.operators.metrics import confusion, precision_recall_f1
 from vetline.operators.ordered import quantiles_of_counts, value_counts_of
 from vetline.operators.sampling import digest, first_by_digest, stratified_folds
-from vetline.runtime import settle
+from vetline.runtime import settle, side_by_side
 
 NODE_SCHEMA = (
     "tree int, node int, left int, right int, feature int, "
@@ -173,7 +175,7 @@ def forest_offsets(scores: DataFrame, contaminations: list[float]) -> list[float
 
 def raw_score(model: Forest) -> Column:
     """Column with -2 ** (-mean path / expected path); lower is more anomalous."""
-    sc = SparkSession.getActiveSession().sparkContext
+    sc = SparkContext.getOrCreate()
     nodes = model.nodes
     roots = np.flatnonzero(nodes["node"].to_numpy() == 0)
     base = roots[nodes["tree"].rank(method="dense").astype(int).to_numpy() - 1]
@@ -256,16 +258,17 @@ def cross_validate_forest(
 ) -> DataFrame:
     """Rows (fold, f1, precision, recall): fitted without labels, scored with them.
 
-    Runs one distributed fit per fold.
+    Runs one distributed fit per fold, the folds side by side.
     """
     folds = settle(stratified_folds(df, key, label, k, seed))
-    results = None
-    for i in range(k):
+
+    def one(i: int) -> DataFrame:
         model = fit_forest(folds.where(F.col("fold") != i), key, seed=seed, **params)
         scored = score_outliers(folds.where(F.col("fold") == i), model, "fraud")
-        cells = confusion(scored, label, "anomaly_label", ["fold"])
-        results = cells if results is None else results.union(cells)
-    return precision_recall_f1(results, None).select("fold", "f1", "precision", "recall")
+        return confusion(scored, label, "anomaly_label", ["fold"])
+
+    cells = reduce(DataFrame.union, side_by_side(df.sparkSession, one, list(range(k))))
+    return precision_recall_f1(cells, None).select("fold", "f1", "precision", "recall")
 
 
 # --- storage --------------------------------------------------------------

@@ -11,6 +11,7 @@ a task.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,12 +20,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vetline import schema
-from vetline.operators.metrics import (
-    confusion_per_threshold, contamination_sweep, precision_recall_f1, score_counts,
-)
+from vetline.operators.metrics import confusion_of, contamination_sweep, precision_recall_f1
 from vetline.operators.ordered import quantiles_of_counts, value_counts_of
 from vetline.operators.sampling import stratified_folds
-from vetline.runtime import settle
+from vetline.runtime import settle, side_by_side
 
 RANGE_VECTORS = 4096  # distinct fitted vectors per range
 CHUNK_QUERIES = 16_384  # distinct queries per task
@@ -311,36 +310,40 @@ def sweep_lof_contamination(
     return contamination_sweep(train, scored, "factor", label, contaminations, weight="rows")
 
 
-def sweep_lof_neighbours(model: LofModel, val: DataFrame, label: str, contamination: float) -> DataFrame:
+def sweep_lof_neighbours(
+    model: LofModel, val: DataFrame, label: str, contamination: float, digits: int | None = 4
+) -> DataFrame:
     """Rows (n_neighbors, contamination, f1, precision, recall, flagged) from one search."""
-    scored = settle(lof_label_scores(model, val, label))
-    result = None
-    for k in model.ks:
-        train = model.table.where(F.col("k") == k).select("factor", F.col("weight").alias("rows"))
-        at_k = scored.where(F.col("k") == k)
-        row = contamination_sweep(train, at_k, "factor", label, [contamination], weight="rows")
-        row = row.select(F.lit(k).alias("n_neighbors"), "*")
-        result = row if result is None else result.union(row)
-    return result
+    counts = settle(value_counts_of(model.table, F.col("factor"), ["k"], "weight"))
+    # One row per neighbour count.
+    cuts = F.broadcast(quantiles_of_counts(counts, [contamination], ["k"]).select(
+        "k", F.col("quantiles")[0].alias("_cut")))
+    scored = lof_label_scores(model, val, label).join(cuts, "k")
+    hit = (F.col("factor") < F.col("_cut")).cast("int")
+    cells = confusion_of(F.col(label), hit, F.col("rows"))
+    per_k = scored.groupBy("k").agg(*[c.alias(n) for n, c in cells.items()])
+    return precision_recall_f1(per_k, digits).select(
+        F.col("k").alias("n_neighbors"), F.lit(contamination).alias("contamination"),
+        "f1", "precision", "recall", "flagged")
 
 
 def cross_validate_lof(
     df: DataFrame, key: str, label: str, n_neighbors: int, contamination: float, k: int = 5, seed: int = 42,
     features: list[str] = tuple(schema.FEATURES),
 ) -> DataFrame:
-    """Rows (fold, f1, precision, recall): fitted without labels, scored with them."""
+    """Rows (fold, f1, precision, recall): fitted without labels, scored with them.
+
+    The folds run side by side.
+    """
     folds = settle(stratified_folds(df, key, label, k, seed))
-    result = None
-    for i in range(k):
+
+    def one(i: int) -> DataFrame:
         model = fit_lof(folds.where(F.col("fold") != i), features, [n_neighbors])
-        cuts = quantiles_of_counts(
-            settle(value_counts_of(model.table, F.col("factor"), weight="weight")), [contamination]
-        ).select("quantiles").scalar()
-        scored = lof_label_scores(model, folds.where(F.col("fold") == i), label)
-        counts = score_counts(scored, "factor", label, "rows")
-        cells = confusion_per_threshold(counts, cuts, [i], "fold", lambda s, t: s < t)
-        result = cells if result is None else result.union(cells)
-    return precision_recall_f1(result, None).select("fold", "f1", "precision", "recall")
+        test = folds.where(F.col("fold") == i)
+        return sweep_lof_neighbours(model, test, label, contamination, None).withColumn("fold", F.lit(i))
+
+    rows = reduce(DataFrame.union, side_by_side(df.sparkSession, one, list(range(k))))
+    return rows.select("fold", "f1", "precision", "recall")
 
 
 # --- storage --------------------------------------------------------------

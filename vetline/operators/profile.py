@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from vetline import schema
 from vetline.functions import text
+from vetline.functions.scalars import quoted
 from vetline.operators.ordered import quantiles_of_counts, value_counts_of
 from vetline.runtime import settle
 
@@ -113,19 +114,17 @@ def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     columns = columns or numeric_columns(df)
 
     def pearson(a: str, b: str) -> Column:
-        x = F.when(F.col(b).isNotNull(), F.col(a).cast("double"))
-        y = F.when(F.col(a).isNotNull(), F.col(b).cast("double"))
-        spread = F.stddev_pop(x) * F.stddev_pop(y)
-        return F.try_divide(F.covar_pop(x, y), spread)
+        x, y = (f"CASE WHEN `{other}` IS NOT NULL THEN CAST(`{own}` AS DOUBLE) END"
+                for own, other in ((a, b), (b, a)))
+        return F.expr(f"try_divide(covar_pop({x}, {y}), stddev_pop({x}) * stddev_pop({y}))")
 
     pairs = list(combinations_with_replacement(columns, 2))
     wide = df.agg(*[pearson(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    cells = []
-    for i, (a, b) in enumerate(pairs):
-        for left, right in {(a, b), (b, a)}:
-            cells.append(F.struct(
-                F.lit(left).alias("a"), F.lit(right).alias("b"), F.col(f"c{i}").alias("corr")))
-    return wide.select(F.inline(F.array(*cells)))
+    cells = [
+        f"named_struct('a', {quoted(left)}, 'b', {quoted(right)}, 'corr', c{i})"
+        for i, (a, b) in enumerate(pairs) for left, right in {(a, b), (b, a)}
+    ]
+    return wide.select(F.expr(f"inline(array({', '.join(cells)}))"))
 
 
 def correlation_with(df: DataFrame, target: str, columns: list[str] | None = None) -> DataFrame:

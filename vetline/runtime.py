@@ -5,7 +5,10 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,6 +25,8 @@ def local_session(cpus: int = 8, app: str = "vetline") -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Call sites of single expressions; only wanted when debugging.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
@@ -60,3 +65,9 @@ def settle(df: DataFrame) -> DataFrame:
     """
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def side_by_side(spark: SparkSession, work: Callable, items: list) -> list:
+    """Run independent Spark jobs at once, so that one fills the gaps of another."""
+    with ThreadPool(len(items)) as pool:
+        return pool.map(inheritable_thread_target(spark)(work), items)
