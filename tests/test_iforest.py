@@ -53,7 +53,7 @@ def test_average_path():
 
 
 @pytest.mark.parametrize("seed", [1, 42])
-def test_order_of_the_reference_rows(spark, matrix, seed):
+def test_order_of_the_known_rows(spark, matrix, seed):
     model = forest.fit_forest(matrix, "id", seed=seed)
     scored = forest.score_outliers(encode_features(postings(spark), keep=["name"]), model)
     got = {r.name: r for r in scored.collect()}

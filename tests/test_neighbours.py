@@ -67,8 +67,22 @@ def test_search_is_exact_in_one_range_and_in_many(spark, range_vectors):
 
 def test_many_ranges_were_really_cut(spark):
     v = nb.settle(nb.distinct_vectors(frame(spark, rows(400)), FEATURES))
-    assert len(nb._splits(v, "x", 7, 12)) > 5
-    assert nb._splits(v, "x", 7, 4096) == [float("-inf"), float("inf")]
+    splits, fullest = nb._splits(v, "x", 7, 12)
+    assert len(splits) > 5 and 7 <= fullest <= v.count()
+    assert nb._splits(v, "x", 7, 4096) == ([float("-inf"), float("inf")], v.count())
+
+
+@pytest.mark.parametrize("axis", ["x", "y"])
+def test_crowded_axis_value_is_searched_in_parts(spark, axis):
+    """On y there are four values only, so a range holds many vectors."""
+    fitted, queries = rows(500), rows(80, seed=4)
+    v = nb.settle(nb.distinct_vectors(frame(spark, fitted), FEATURES))
+    q = nb.distinct_vectors(frame(spark, queries), FEATURES)
+    assert nb._splits(v, "y", 5, 5)[1] > 4 * 5
+    points = np.unique(fitted, axis=0)
+    for r in nb.nearest_vectors(q, v, FEATURES, 5, axis, 5).collect():
+        idx, d2 = order(points, np.array([r.x, r.y]))
+        assert [(e.d2, e.n_x, e.n_y) for e in r.near] == [(d2[i], *points[i]) for i in idx[:5]]
 
 
 def test_crowded_ranges_are_chunked(spark, monkeypatch):

@@ -40,30 +40,34 @@ def distinct_vectors(df: DataFrame, features: list[str], weight: str = "weight")
 # --- nearest neighbours ---------------------------------------------------
 
 
-def _splits(fitted: DataFrame, axis: str, k: int, range_vectors: int) -> list[float]:
-    """Range limits on the axis, every range holding at least ``k`` fitted vectors."""
-    n_ranges = min(MAX_RANGES, -(-fitted.count() // max(range_vectors, k)))
-    ends = [float("-inf"), float("inf")]
-    if n_ranges < 2:
-        return ends
+def _splits(fitted: DataFrame, axis: str, k: int, range_vectors: int) -> tuple[list[float], int]:
+    """Range limits on the axis, every range holding at least ``k`` fitted vectors.
+
+    Also the size of the fullest range, which exceeds ``range_vectors`` by much
+    only where many vectors share one value on the axis.
+    """
+    rows = fitted.count()
+    n_ranges = min(MAX_RANGES, -(-rows // max(range_vectors, k)))
+    low, high = float("-inf"), float("inf")
     probs = [i / n_ranges for i in range(1, n_ranges)]
-    cuts = sorted(set(fitted.approxQuantile(axis, probs, 0.1 / n_ranges)))
-    ranged = Bucketizer(
-        splits=[ends[0], *cuts, ends[1]], inputCol=axis, outputCol="_r"
-    ).transform(fitted) if cuts else None
-    if ranged is None:
-        return ends
+    cuts = sorted(set(fitted.approxQuantile(axis, probs, 0.1 / n_ranges))) if probs else []
+    if not cuts:
+        return [low, high], rows
+    ranged = Bucketizer(splits=[low, *cuts, high], inputCol=axis, outputCol="_r").transform(fitted)
     # One row per range, at most MAX_RANGES.
     held = {int(r["_r"]): r["count"] for r in ranged.groupBy("_r").count().collect()}
-    kept, pending = [], 0
+    kept, sizes, pending = [], [], 0
     for i, cut in enumerate(cuts):
         pending += held.get(i, 0)
         if pending >= k:
             kept.append(cut)
+            sizes.append(pending)
             pending = 0
-    if kept and pending + held.get(len(cuts), 0) < k:
+    sizes.append(pending + held.get(len(cuts), 0))
+    if kept and sizes[-1] < k:
         kept.pop()
-    return [ends[0], *kept, ends[1]]
+        sizes[-2:] = [sizes[-2] + sizes[-1]]
+    return [low, *kept, high], max(sizes)
 
 
 def _nearest(queries: np.ndarray, fitted: np.ndarray, k: int):
@@ -78,7 +82,7 @@ def _nearest(queries: np.ndarray, fitted: np.ndarray, k: int):
 
 
 def _search(queries: DataFrame, fitted: DataFrame, features: list[str], k: int) -> DataFrame:
-    """Search every query's range ``_r``; both sides carry ``_r`` and a chunk ``_c``."""
+    """Search every query's range; both sides carry range, chunk and part (``_r _c _f``)."""
     n = len(features)
 
     def search(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
@@ -97,7 +101,7 @@ def _search(queries: DataFrame, fitted: DataFrame, features: list[str], k: int)
     columns = [*features, "_d2", *[f"_n{j}" for j in range(n)], "_w"]
     fields = [f"`{f}` double" for f in features] + ["_d2 array<double>"]
     fields += [f"_n{j} array<double>" for j in range(n)] + ["_w array<bigint>"]
-    found = queries.groupBy("_r", "_c").cogroup(fitted.groupBy("_r", "_c")).applyInPandas(
+    found = queries.groupBy("_r", "_c", "_f").cogroup(fitted.groupBy("_r", "_c", "_f")).applyInPandas(
         search, ", ".join(fields))
     zipped = F.arrays_zip("_d2", *[f"_n{j}" for j in range(n)], "_w")
     entry = F.transform(zipped, lambda e: F.struct(
@@ -108,23 +112,43 @@ def _search(queries: DataFrame, fitted: DataFrame, features: list[str], k: int)
     return found.select(*features, entry.alias("near"))
 
 
-def _chunked(queries: DataFrame, fitted: DataFrame, features: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Split the queries of a crowded range over several tasks.
+def _chunked(
+    queries: DataFrame, fitted: DataFrame, features: list[str], part_vectors: int
+) -> tuple[DataFrame, DataFrame]:
+    """Split crowded ranges: the queries into chunks, the fitted vectors into parts.
 
-    Without a range column ``_r`` on the fitted side, all is one range.
+    Every chunk of a range meets every part of it. Without a range column
+    ``_r`` on the fitted side, all is one range.
     """
-    needed = F.ceil(F.count(F.lit(1)) / CHUNK_QUERIES).cast("int").alias("_chunks")
+    chunks = F.ceil(F.count(F.lit(1)) / CHUNK_QUERIES).cast("int").alias("_chunks")
+    parts = F.ceil(F.count(F.lit(1)) / part_vectors).cast("int").alias("_parts")
     if "_r" not in fitted.columns:
-        one, chunks = F.lit(0).alias("_r"), queries.agg(F.greatest(F.lit(1), needed)).scalar()
-        asked = queries.select("*", one).withColumn("_chunks", chunks)
-        held = fitted.select("*", one).withColumn("_chunks", chunks)
+        one = F.lit(0).alias("_r")
+        sizes = {"_chunks": queries.agg(chunks).scalar(), "_parts": fitted.agg(parts).scalar()}
+        asked, held = (df.select("*", one).withColumns(sizes) for df in (queries, fitted))
     else:
         # One row per range, at most MAX_RANGES.
-        per_range = F.broadcast(queries.groupBy("_r").agg(needed))
-        asked, held = queries.join(per_range, "_r"), fitted.join(per_range, "_r")
-    asked = asked.withColumn("_c", F.pmod(F.xxhash64(*features), F.col("_chunks")).cast("int"))
-    held = held.withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
-    return asked.drop("_chunks"), held.drop("_chunks")
+        sizes = F.broadcast(queries.groupBy("_r").agg(chunks).join(fitted.groupBy("_r").agg(parts), "_r"))
+        asked, held = queries.join(sizes, "_r"), fitted.join(sizes, "_r")
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1))
+
+    def share(n: str) -> Column:
+        return F.pmod(F.xxhash64(*features), F.greatest(F.col(n), F.lit(1))).cast("int")
+
+    asked = asked.withColumn("_c", share("_chunks")).withColumn("_f", every("_parts"))
+    held = held.withColumn("_f", share("_parts")).withColumn("_c", every("_chunks"))
+    return asked.drop("_chunks", "_parts"), held.drop("_chunks", "_parts")
+
+
+def _merged(found: DataFrame, features: list[str], k: int) -> DataFrame:
+    """The ``k`` nearest of several searches; structs sort by distance, then vector.
+
+    At most ``k`` entries per searched range or part come together here.
+    """
+    lists = found.groupBy(*features).agg(F.flatten(F.collect_list("near")).alias("near"))
+    return lists.withColumn("near", F.slice(F.array_sort("near"), 1, k))
 
 
 def nearest_vectors(
@@ -143,18 +167,25 @@ def nearest_vectors(
     the feature the ranges are cut on; it should be the one that spreads most.
     """
     axis = axis or features[0]
-    splits = _splits(fitted, axis, k, range_vectors)
+    splits, fullest = _splits(fitted, axis, k, range_vectors)
+    part_vectors = 4 * max(range_vectors, k)
+    crowded = fullest > part_vectors
     # Fresh column identities, as the queries may be the fitted table itself.
     asked = queries.select(*[F.col(f).alias(f) for f in features])
+
+    def searched(some: DataFrame, held: DataFrame) -> DataFrame:
+        found = _search(*_chunked(some, held, features, part_vectors), features, k)
+        return _merged(found, features, k) if crowded else found
+
     if len(splits) == 2:
-        return _search(*_chunked(asked, fitted, features), features, k)
+        return searched(asked, fitted)
 
     def ranged(df: DataFrame, column: str, name: str) -> DataFrame:
         cut = Bucketizer(splits=splits, inputCol=column, outputCol="_b").transform(df)
         return cut.withColumn(name, F.col("_b").cast("int")).drop("_b")
 
     held = ranged(fitted, axis, "_r")
-    own = settle(_search(*_chunked(ranged(asked, axis, "_r"), held, features), features, k))
+    own = settle(searched(ranged(asked, axis, "_r"), held))
     # A nearer vector is at most the k-th distance away along the axis too.
     # The margin covers the rounding of the root.
     reach = F.sqrt(F.element_at("near", -1)["d2"]) * (1 + 1e-9)
@@ -163,10 +194,8 @@ def nearest_vectors(
     others = limits.select(
         *features, "_own", F.explode(F.sequence("_first", "_last")).alias("_r")
     ).where(F.col("_r") != F.col("_own")).select(*features, "_r")
-    more = _search(*_chunked(others, held, features), features, k)
-    # At most k entries per searched range; structs sort by distance, then vector.
-    merged = own.union(more).groupBy(*features).agg(F.flatten(F.collect_list("near")).alias("near"))
-    return merged.withColumn("near", F.slice(F.array_sort("near"), 1, k))
+    more = _search(*_chunked(others, held, features, part_vectors), features, k)
+    return _merged(own.union(more), features, k)
 
 
 def neighbour_rows(near: DataFrame, features: list[str], ks: list[int], rows: Column, leave_self: bool) -> DataFrame:
