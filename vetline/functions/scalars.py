@@ -44,17 +44,18 @@ def binary_flag(
     """Parse a textual flag to 0/1.
 
     Unknown spellings become ``default``. With ``decimals`` the spellings ``1.0``
-    and ``0.0``, which a float-typed reader produces, count as flags too.
+    and ``0.0``, which a float-typed reader produces, count as flags too. One
+    pattern match per value keeps the generated code of many flags short.
     """
-    text = c.cast("string")
-    if trim:
-        text = strip(text)
-    if lower:
-        text = F.lower(text)
-    values = dict.fromkeys(true, 1) | dict.fromkeys(false, 0)
-    if decimals:
-        values |= {f"{t}.0": v for t, v in values.items() if t in ("0", "1")}
-    parsed = F.try_element_at(_table(values), text)
+    def spelled(tokens) -> Column:
+        tokens = [*tokens, *[f"{t}.0" for t in tokens if decimals and t in ("0", "1")]]
+        edge, case = WS_ANY if trim else "", "i" if lower else ""
+        body = "|".join(t.replace(".", r"\.") for t in tokens)
+        return c.cast("string").rlike(rf"^{edge}(?{case}:{body}){edge}\z")
+
+    if default == 0:
+        return F.coalesce(spelled(true), F.lit(False)).cast("int")
+    parsed = F.when(spelled(true), 1).when(spelled(false), 0)
     return parsed if default is None else F.coalesce(parsed, F.lit(default))
 
 

@@ -42,8 +42,9 @@ def add_features(df: DataFrame) -> DataFrame:
 def row_digest(columns: list[str]) -> Column:
     """SHA-256 over the cells, each with its length, so that no two rows read alike; nulls are equal."""
     texts = [f"CAST(`{c}` AS STRING)" for c in columns]
-    cells = [f"coalesce(concat(length({t}), ':', {t}), '-')" for t in texts]
-    return F.expr(f"unhex(sha2(concat({', '.join(cells)}), 256))")
+    # A null cell reads as length -1 and no content.
+    cells = [f"coalesce(length({t}), -1), {t}" for t in texts]
+    return F.expr(f"unhex(sha2(concat_ws('|', {', '.join(cells)}), 256))")
 
 
 def drop_duplicates(df: DataFrame, key: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from vetline import schema
 from vetline.functions import text
 from vetline.operators import clean as ops
-from vetline.operators import encode, profile
+from vetline.operators import profile
 from vetline.operators.ordered import exact_quantiles
 from vetline.plans import views
 from vetline.plans.postings import raw_postings, table

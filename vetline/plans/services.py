@@ -1,7 +1,5 @@
 """Registered queries: file round trip, pages, stream, text classifier, fusion."""
 
-from pyspark.sql import functions as F
-
 from vetline import schema
 from vetline.functions import text
 from vetline.operators import classifier, fusion, iforest, sampling

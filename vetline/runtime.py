@@ -25,6 +25,8 @@ def local_session(cpus: int = 8, app: str = "vetline") -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # The JVM leaves larger methods uncompiled; Spark then runs such a stage operator by operator.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         # Call sites of single expressions; only wanted when debugging.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
