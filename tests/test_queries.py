@@ -65,3 +65,16 @@ def test_narrow_readers_do_not_shuffle_texts(spark):
 def test_scan_reads_only_needed_columns(spark):
     plan = plan_of(profile.correlations(postings.table(spark, SF, "lineitem"), ["l_tax", "l_discount"]))
     assert "ReadSchema: struct<l_discount:double,l_tax:double>" in plan
+
+
+def test_cleaning_compiles(spark, tmp_path):
+    """The JVM compiles no method above 8,000 bytes of byte code."""
+    postings.raw_postings(spark, SF).write.parquet(str(tmp_path / "raw"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = clean_postings(spark.read.parquet(str(tmp_path / "raw")))
+        stages = encode.encode_features(rows, keep=["job_id"])._jdf.queryExecution().debug().codegenToSeq()
+        sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sizes and max(sizes) < 8000
