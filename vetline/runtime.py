@@ -5,7 +5,9 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -33,6 +35,23 @@ def local_session(cpus: int = 8, app: str = "vetline") -> SparkSession:
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, so that functions run in them can import it.
+
+    Once per session; the driver needs no particular working directory for it.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_vetline_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    target = os.path.join(tempfile.mkdtemp(prefix="vetline-code-"), "vetline.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as bundle:
+        for path in sorted(package.rglob("*.py")):
+            bundle.write(path, path.relative_to(package.parent))
+    sc.addPyFile(target)
+    sc._vetline_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
