@@ -1,16 +1,35 @@
 """The registered queries of the training-data operators and their check SQL."""
 
-from vetline.llm import simhash
+from pyspark.sql import functions as F
+
+from vetline.llm import decontaminate, lines, simhash
 from vetline.llm.common import table
 
 
+def op1_decontamination(spark, sf_dir):
+    found = decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "item_id", "n_shingles", "n_matched", (F.col("n_matched") / F.col("n_shingles")).alias("containment")
+    )
+
+
+def op3_line_dedup(spark, sf_dir):
+    marked = lines.mark_lines(table(spark, sf_dir, "documents"))
+    return marked.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_simhash(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.fingerprint_text(found["fp"]).alias("fingerprint"), "component_id")
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op3_line_dedup": op3_line_dedup,
     "op9_simhash": op9_simhash,
 }
 
-ORACLES = {}
+ORACLES = {
+    "op1_decontamination": decontaminate.ORACLE,
+    "op3_line_dedup": lines.ORACLE,
+}
