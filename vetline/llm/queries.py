@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from vetline.llm import decontaminate, lines, simhash
+from vetline.llm import decontaminate, lines, quality, simhash
 from vetline.llm.common import table
 
 
@@ -23,10 +23,15 @@ def op9_simhash(spark, sf_dir):
     return found.select("doc_id", simhash.fingerprint_text(found["fp"]).alias("fingerprint"), "component_id")
 
 
+def op10_quality(spark, sf_dir):
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op3_line_dedup": op3_line_dedup,
     "op9_simhash": op9_simhash,
+    "op10_quality": op10_quality,
 }
 
 ORACLES = {
