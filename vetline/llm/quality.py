@@ -24,28 +24,38 @@ REMEMBERED = 300_000
 PIECE = 1 << 16
 SHAPE = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 
-_codes: dict[str, tuple[int, int]] = {}
+
+def _case(letters: str) -> str:
+    if letters.islower():
+        return "a"
+    if len(letters) > 1 and letters.isupper():
+        return "A"
+    return "Aa" if letters[0].isupper() else "x"
 
 
 def _shape(word: str) -> str:
     """What a word looks like: case of its letters, digits, marks (three at most)."""
-    out = []
-    for run in SHAPE.findall(word)[:6]:
-        if run[0].isalpha():
-            out.append("a" if run.islower() else "A" if len(run) > 1 and run.isupper() else "Aa" if run[0].isupper() else "x")
-        elif run[0].isdigit():
-            out.append("9")
-        else:
-            out.append(run[:3])
-    return "".join(out)
+    if word.isalpha():
+        return _case(word)
+    if word[:-1].isalpha() and not word[-1].isdigit():
+        return _case(word[:-1]) + word[-1]
+    return "".join(
+        _case(run) if run[0].isalpha() else "9" if run[0].isdigit() else run[:3] for run in SHAPE.findall(word)[:6]
+    )
+
+
+class _Codes(dict):
+    """Word -> eight bytes: a hash of the word in lower case, a hash of its shape."""
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        code = zlib.crc32(word.lower().encode()) | zlib.crc32(_shape(word).encode(), 1) << 32
+        found = self[word] = code.to_bytes(8, "little")
+        return found
 
 
-def _code(word: str) -> tuple[int, int]:
-    if len(_codes) >= REMEMBERED:
-        _codes.clear()
-    found = zlib.crc32(word.lower().encode()), zlib.crc32(_shape(word).encode(), 1)
-    _codes[word] = found
-    return found
+_codes = _Codes()
 
 
 def _scattered(h: np.ndarray) -> np.ndarray:
@@ -62,7 +72,7 @@ def indicators(text: str) -> np.ndarray:
     words, found = text.split(), []
     for at in range(0, len(words), PIECE):
         piece = words[max(at - 3, 0) : at + PIECE]
-        codes = np.array([_codes.get(w) or _code(w) for w in piece], np.uint64)
+        codes = np.frombuffer(b"".join(map(_codes.__getitem__, piece)), np.uint32).reshape(-1, 2).astype(np.uint64)
         word, shape = codes[:, 0], codes[:, 1].copy()
         shape[1:][word[1:] == word[:-1]] = 1
         grams, factor = [], np.uint64(0x9E3779B97F4A7C15)
@@ -72,10 +82,11 @@ def indicators(text: str) -> np.ndarray:
             for n in range(2, longest + 1):
                 h = h[:-1] * factor + values[n - 1 :] + np.uint64((salt + n) << 33)
                 grams.append(h)
-        found.append(np.unique(_scattered(np.concatenate(grams)).astype(np.int32)))
+        found.append(_scattered(np.concatenate(grams)).astype(np.int32))
     if not found:
         return np.empty(0, np.int32)
-    return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+    buckets = np.sort(np.concatenate(found))
+    return buckets[np.concatenate(([True], buckets[1:] != buckets[:-1]))]
 
 
 @dataclass
