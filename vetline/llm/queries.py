@@ -1,8 +1,9 @@
 """The registered queries of the training-data operators and their check SQL."""
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from vetline.llm import decontaminate, lines, quality, simhash
+from vetline.llm import decontaminate, lines, pieces, quality, simhash
 from vetline.llm.common import table
 
 
@@ -18,6 +19,11 @@ def op3_line_dedup(spark, sf_dir):
     return marked.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_sentencepiece(spark, sf_dir, model=None):
+    path = model or public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.check_documents(table(spark, sf_dir, "documents"), path)
+
+
 def op9_simhash(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.fingerprint_text(found["fp"]).alias("fingerprint"), "component_id")
@@ -30,6 +36,7 @@ def op10_quality(spark, sf_dir):
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op3_line_dedup": op3_line_dedup,
+    "op7_sentencepiece": op7_sentencepiece,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
 }
