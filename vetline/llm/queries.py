@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from vetline.llm import decontaminate, lines, pieces, quality, simhash
+from vetline.llm import decontaminate, langid, lines, pieces, quality, simhash
 from vetline.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op3_line_dedup(spark, sf_dir):
     return marked.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_language(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_sentencepiece(spark, sf_dir, model=None):
     path = model or public_tokenizers.path("piece_bpe_32k.model")
     return pieces.check_documents(table(spark, sf_dir, "documents"), path)
@@ -36,6 +40,7 @@ def op10_quality(spark, sf_dir):
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op3_line_dedup": op3_line_dedup,
+    "op5_language": op5_language,
     "op7_sentencepiece": op7_sentencepiece,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
