@@ -3,8 +3,9 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from vetline.llm import decontaminate, langid, lines, pieces, quality, simhash
+from vetline.llm import arrow_tokens, decontaminate, langid, lines, pieces, quality, simhash
 from vetline.llm.common import table
+from vetline.runtime import fresh_path
 
 
 def op1_decontamination(spark, sf_dir):
@@ -14,6 +15,14 @@ def op1_decontamination(spark, sf_dir):
     )
 
 
+def op2_arrow_tokens(spark, sf_dir, vocabulary=None):
+    with open(vocabulary or public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        text = f.read()
+    folder = fresh_path(spark, "tokens")
+    shards = arrow_tokens.write_tokens(table(spark, sf_dir, "documents"), text, 2, folder)
+    return arrow_tokens.read_documents(shards, folder)
+
+
 def op3_line_dedup(spark, sf_dir):
     marked = lines.mark_lines(table(spark, sf_dir, "documents"))
     return marked.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -39,6 +48,7 @@ def op10_quality(spark, sf_dir):
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_arrow_tokens": op2_arrow_tokens,
     "op3_line_dedup": op3_line_dedup,
     "op5_language": op5_language,
     "op7_sentencepiece": op7_sentencepiece,
