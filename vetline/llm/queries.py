@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from vetline.llm import arrow_tokens, decontaminate, langid, lines, pieces, quality, simhash
+from vetline.llm import arrow_tokens, decontaminate, langid, lines, pieces, quality, simhash, topk
 from vetline.llm.common import table
 from vetline.runtime import fresh_path
 
@@ -28,6 +28,10 @@ def op3_line_dedup(spark, sf_dir):
     return marked.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_top_k(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_language(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_arrow_tokens": op2_arrow_tokens,
     "op3_line_dedup": op3_line_dedup,
+    "op4_top_k": op4_top_k,
     "op5_language": op5_language,
     "op7_sentencepiece": op7_sentencepiece,
     "op9_simhash": op9_simhash,
@@ -59,4 +64,5 @@ QUERIES = {
 ORACLES = {
     "op1_decontamination": decontaminate.ORACLE,
     "op3_line_dedup": lines.ORACLE,
+    "op4_top_k": topk.ORACLE,
 }
