@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from vetline.llm import arrow_tokens, decontaminate, langid, lines, pieces, quality, simhash, topk
+from vetline.llm import arrow_tokens, decontaminate, langid, lines, pieces, pii, quality, simhash, topk
 from vetline.llm.common import table
 from vetline.runtime import fresh_path
 
@@ -41,6 +41,10 @@ def op7_sentencepiece(spark, sf_dir, model=None):
     return pieces.check_documents(table(spark, sf_dir, "documents"), path)
 
 
+def op8_pii(spark, sf_dir):
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.fingerprint_text(found["fp"]).alias("fingerprint"), "component_id")
@@ -57,6 +61,7 @@ QUERIES = {
     "op4_top_k": op4_top_k,
     "op5_language": op5_language,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
 }
