@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from vetline.llm import arrow_tokens, decontaminate, langid, lines, pieces, pii, quality, simhash, topk
+from vetline.llm import arrow_tokens, decontaminate, langid, lines, pieces, pii, quality, simhash, suffix, topk
 from vetline.llm.common import table
 from vetline.runtime import fresh_path
 
@@ -36,6 +36,11 @@ def op5_language(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark, sf_dir):
+    found = suffix.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_sentencepiece(spark, sf_dir, model=None):
     path = model or public_tokenizers.path("piece_bpe_32k.model")
     return pieces.check_documents(table(spark, sf_dir, "documents"), path)
@@ -60,6 +65,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_top_k": op4_top_k,
     "op5_language": op5_language,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
