@@ -46,3 +46,14 @@ def fold(key: Column, modulus: int) -> Column:
 def hex64(value: Column) -> Column:
     """A long as 16 lower-case hexadecimal digits of its unsigned value."""
     return F.lower(F.lpad(F.hex(value), 16, "0"))
+
+
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted column names, with underscores in front until they are not taken (in any case)."""
+    held, found = {t.lower() for t in taken}, []
+    for name in wanted:
+        while name.lower() in held:
+            name = f"_{name}"
+        held.add(name.lower())
+        found.append(name)
+    return found

@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vetline.llm.common import slices, stored, texts_of
+from vetline.llm.common import free_names, slices, stored, texts_of
 
 WORD = re.compile(r"[^\W_]+")
 #: Words hashed at once; longer texts go in overlapping pieces.
 PIECE = 1 << 16
-#: Bits of the signature filter that goes to all tasks: 16 per entry, at most 8 MB.
-BITS_PER_ENTRY, MAX_FILTER_BITS = 16, 1 << 26
+#: Bits of the signature filter that goes to all tasks: 64 per entry, at most 8 MB in all.
+#: Six probes let about one foreign shingle in two million pass, so few documents do.
+BITS_PER_ENTRY, MAX_FILTER_BITS, PROBES = 64, 1 << 26, 6
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -110,11 +111,12 @@ def signatures(items: DataFrame, width: int, least: float) -> DataFrame:
 
 
 def _filter_words(entries: DataFrame) -> np.ndarray:
-    """A two-probe Bloom filter over (hash), as 64-bit words; its size has a fixed bound."""
+    """A Bloom filter over (hash), as 64-bit words; its size has a fixed bound."""
     count = entries.count()
     bits = min(MAX_FILTER_BITS, 1 << max(10, (BITS_PER_ENTRY * count - 1).bit_length()))
-    probes = F.array(F.col("hash"), F.shiftrightunsigned("hash", 32))
-    bit = F.explode(F.transform(probes, lambda h: h.bitwiseAND(F.lit(bits - 1).cast("long"))))
+    mask = F.lit(bits - 1).cast("long")
+    first, step = F.col("hash").bitwiseAND(mask), F.shiftrightunsigned("hash", 32).bitwiseOR(F.lit(1).cast("long"))
+    bit = F.explode(F.array(*[(first + k * step).bitwiseAND(mask) for k in range(PROBES)]))
     words = np.zeros(bits // 64, np.uint64)
     filled = (
         entries.select(bit.alias("bit"))
@@ -125,13 +127,13 @@ def _filter_words(entries: DataFrame) -> np.ndarray:
     return words
 
 
-def _probably(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+def _passing(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The hashes that the filter may hold, each once."""
     mask = np.uint64(len(words) * 64 - 1)
-    hit = np.ones(len(hashes), bool)
-    for probe in (hashes, hashes >> np.uint64(32)):
-        at = probe & mask
-        hit &= (words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-    return hit
+    for k in range(PROBES):
+        at = ((hashes & mask) + np.uint64(k) * (hashes >> np.uint64(32) | np.uint64(1))) & mask
+        hashes = hashes[(words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
+    return np.unique(hashes)
 
 
 def _suspects(docs: DataFrame, grams: list[int], words) -> DataFrame:
@@ -142,8 +144,7 @@ def _suspects(docs: DataFrame, grams: list[int], words) -> DataFrame:
             keep, hits = [], []
             for i, text in enumerate(texts_of(batch)):
                 own = words_of(text)
-                passed = [h[_probably(words.value, h)] for h in (shingle_hashes(own, g) for g in grams)]
-                passed = np.unique(np.concatenate(passed)).view(np.int64)
+                passed = np.concatenate([_passing(words.value, shingle_hashes(own, g)) for g in grams]).view(np.int64)
                 if len(passed):
                     keep.append(i)
                     hits.append(passed)
@@ -235,11 +236,12 @@ def find_items(docs: DataFrame, items: DataFrame, width: int = 5, least: float =
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs`` that contain no item."""
+    its_id, its_rid = free_names(docs.columns, "its_id", "its_rid")
     found = find_items(docs, items, **parameters).select(
-        F.col("doc_id").alias("_id"), F.col("rid").alias("_rid")
+        F.col("doc_id").alias(its_id), F.col("rid").alias(its_rid)
     ).distinct()
     return docs.join(
-        found, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_rid")), "left_anti"
+        found, F.col("doc_id").eqNullSafe(F.col(its_id)) & (F.xxhash64("text") == F.col(its_rid)), "left_anti"
     )
 
 
