@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -34,7 +36,7 @@ def walk(model, row):
     paths = []
     for _, nodes in model.nodes.groupby("tree"):
         by_id = nodes.set_index("node")
-        at = 0
+        at = 1
         while by_id.loc[at, "feature"] >= 0:
             node = by_id.loc[at]
             value = row[model.inputs[int(node["feature"])]]
@@ -42,7 +44,7 @@ def walk(model, row):
                 right = value == node["category"]
             else:
                 right = value > node["threshold"]
-            at = int(node["right"] if right else node["left"])
+            at = 2 * at + int(right)
         paths.append(by_id.loc[at, "path"])
     return -(2.0 ** (-np.mean(paths) / float(forest.average_path(model.sample))))
 
@@ -81,9 +83,8 @@ def test_trees_are_well_formed_and_stable(spark, matrix):
     assert model.offset == again.offset
     assert len(model.nodes) <= 20 * 199
     for _, nodes in model.nodes.groupby("tree"):
-        inner = nodes[nodes["feature"] >= 0]
-        children = sorted([*inner["left"], *inner["right"]])
-        assert children == list(range(1, len(nodes)))
+        inner = nodes[nodes["feature"] >= 0]["node"]
+        assert sorted([1, *(2 * inner), *(2 * inner + 1)]) == sorted(nodes["node"])
 
 
 def test_flagged_share_is_the_contamination(spark, matrix):
@@ -93,13 +94,15 @@ def test_flagged_share_is_the_contamination(spark, matrix):
     assert 40 <= flagged <= 50
 
 
-def test_large_table_deals_one_sample_to_the_trees(spark, matrix):
-    samples, size = forest._tree_samples(matrix, "id", 10, 50, 42)
-    rows = samples.select("id", "_tree").collect()
-    assert size == 50 and len(rows) == 500 and len({r.id for r in rows}) == 500
-    assert pd.Series([r._tree for r in rows]).value_counts().tolist() == [50] * 10
-    model = forest.fit_forest(matrix, "id", trees=10, sample=50)
-    assert model.nodes["tree"].nunique() == 10
+@pytest.mark.parametrize("rows", [30, 499, 500, 1000])
+def test_every_tree_draws_for_itself_at_every_size(spark, matrix, rows):
+    samples, size = forest._tree_samples(matrix.where(F.col("id") < rows), "id", 10, 50, 42)
+    drawn = pd.DataFrame([r.asDict() for r in samples.select("id", "_tree").collect()])
+    assert size == min(50, rows)
+    for t, own in drawn.groupby("_tree"):
+        order = sorted(range(rows), key=lambda i: hashlib.md5(f"42:{t}:{i}".encode()).hexdigest())
+        assert sorted(own["id"]) == sorted(order[:size])
+    assert drawn["_tree"].nunique() == 10
 
 
 def test_categories_act_like_their_dummy_columns(spark):

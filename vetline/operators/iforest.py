@@ -7,6 +7,7 @@ shipped to every task when scoring.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -21,13 +22,11 @@ from vetline import schema
 from vetline.functions.scalars import flagged
 from vetline.operators.metrics import confusion, precision_recall_f1
 from vetline.operators.ordered import quantiles_of_counts, value_counts_of
-from vetline.operators.sampling import digest, first_by_digest, stratified_folds
-from vetline.runtime import settle, side_by_side
+from vetline.operators.sampling import stratified_folds
+from vetline.runtime import read_stored, settle, side_by_side
 
-NODE_SCHEMA = (
-    "tree int, node int, left int, right int, feature int, "
-    "threshold double, category string, path double"
-)
+NODE_SCHEMA = "tree int, node int, feature int, threshold double, category string, path double"
+SCORE_DIGITS = 12  # of a raw score: equal vectors then compare as equal, in whatever order paths were added
 
 
 def average_path(n):
@@ -40,7 +39,11 @@ def average_path(n):
 
 @dataclass
 class Forest:
-    """A fitted forest: its nodes, its inputs and its decision offset."""
+    """A fitted forest: its nodes, its inputs, its decision offset.
+
+    ``scores`` are the settled counts per distinct raw score of the training rows, from
+    the fit; a loaded forest has none.
+    """
 
     nodes: pd.DataFrame
     numeric: list[str]
@@ -48,6 +51,7 @@ class Forest:
     sample: int = 256
     contamination: float = 0.05
     offset: float = -0.5
+    scores: DataFrame | None = None
 
     @property
     def inputs(self) -> list[str]:
@@ -58,33 +62,42 @@ class Forest:
 
 
 def _tree_samples(df: DataFrame, key: str, trees: int, sample: int, seed: int) -> tuple[DataFrame, int]:
-    """Rows with a ``_tree`` number, ``sample`` rows per tree without repeats."""
+    """Rows with a ``_tree`` number, ``sample`` rows per tree without repeats.
+
+    Each tree takes the rows whose digest of (seed, tree, key) is smallest, whatever
+    the size of the table. A bound on the digest, eight deviations above what is needed,
+    leaves some ``sample`` rows per tree to rank.
+    """
     rows = df.count()
     size = min(sample, rows)
-    if rows >= trees * sample:
-        # Big table: one pass picks trees * sample rows, then deals them out.
-        picked = first_by_digest(df, key, trees * sample, rows, seed)
-        place = F.row_number().over(Window.orderBy(digest(F.col(key), seed)))
-        return picked.withColumn("_tree", place % trees), size
-    # Small table (fewer than trees * sample rows): a draw of its own for each tree.
-    draws = df.withColumn("_tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    order = Window.partitionBy("_tree").orderBy(F.xxhash64(F.lit(seed), "_tree", key), key)
-    return draws.withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= size).drop("_i"), size
+    wanted = size + 8 * size**0.5 + 8
+    bound = f"{min(int(wanted / max(rows, 1) * 16**32), 16**32 - 1):032x}"
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_tree"), F.col(key).cast("string")).cast("binary"))
+    drawn = df.withColumn("_tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("_h", draw)
+    order = Window.partitionBy("_tree").orderBy("_h", key)
+    drawn = drawn.where(F.col("_h") <= bound).withColumn("_i", F.row_number().over(order))
+    return drawn.where(F.col("_i") <= size).drop("_i", "_h"), size
+
+
+def node_draw(seed: int, tree: int, node: int, what: str) -> float:
+    """A number in [0, 1) given by a digest: which split (``s``) or where (``c``) a node cuts."""
+    return int(hashlib.md5(f"{seed}:{tree}:{node}:{what}".encode()).hexdigest()[:13], 16) / 16.0**13
 
 
 def _grow(rows: pd.DataFrame, numeric: list[str], bases: dict[str, str | None], depth_limit: int, seed: int):
-    """Nodes of one tree over at most ``sample`` rows."""
+    """Nodes of one tree over at most ``sample`` rows.
+
+    The children of node n are 2n and 2n + 1; the root is 1. A split is drawn among all
+    columns that vary within the node: numeric ones in their order, then categories by
+    column and value.
+    """
     tree = int(rows["_tree"].iloc[0])
-    rng = np.random.default_rng([seed, tree])
     values = rows[numeric].to_numpy(dtype=float) if numeric else np.empty((len(rows), 0))
     texts = {c: rows[c].to_numpy(dtype=object) for c in bases}
     out: list[list] = []
-    todo = [(np.arange(len(rows)), 0, None, "")]
+    todo = [(np.arange(len(rows)), 0, 1)]
     while todo:
-        members, depth, parent, side = todo.pop()
-        node = len(out)
-        if parent is not None:
-            out[parent][2 if side == "left" else 3] = node
+        members, depth, node = todo.pop()
         splits = []
         if depth < depth_limit and len(members) > 1:
             part = values[members]
@@ -99,19 +112,19 @@ def _grow(rows: pd.DataFrame, numeric: list[str], bases: dict[str, str | None],
                 ]
         if not splits:
             path = depth + float(average_path(len(members)))
-            out.append([tree, node, -1, -1, -1, None, None, path])
+            out.append([tree, node, -1, None, None, path])
             continue
-        feature, category = splits[rng.integers(len(splits))]
+        feature, category = splits[int(node_draw(seed, tree, node, "s") * len(splits))]
         if category is None:
-            cut = rng.uniform(lo[feature], hi[feature])
+            cut = lo[feature] + node_draw(seed, tree, node, "c") * (hi[feature] - lo[feature])
             cut = lo[feature] if cut >= hi[feature] else cut
             right = part[:, feature] > cut
         else:
             cut = None
             right = texts[list(bases)[feature - len(numeric)]][members].astype(str) == category
-        out.append([tree, node, -1, -1, int(feature), cut, category, None])
-        todo.append((members[right], depth + 1, node, "right"))
-        todo.append((members[~right], depth + 1, node, "left"))
+        out.append([tree, node, int(feature), cut, category, None])
+        todo.append((members[right], depth + 1, 2 * node + 1))
+        todo.append((members[~right], depth + 1, 2 * node))
     return pd.DataFrame(out, columns=[c.split()[0] for c in NODE_SCHEMA.split(", ")])
 
 
@@ -150,7 +163,8 @@ def fit_forest(
         nodes.toPandas().sort_values(["tree", "node"], ignore_index=True),
         numeric, categorical, size, contamination,
     )
-    model.offset = forest_offsets(training_scores(rows, model), [contamination])[0]
+    model.scores = training_scores(rows, model)
+    model.offset = forest_offsets(model.scores, [contamination])[0]
     return model
 
 
@@ -177,8 +191,11 @@ def raw_score(model: Forest) -> Column:
     """Column with -2 ** (-mean path / expected path); lower is more anomalous."""
     sc = SparkContext.getOrCreate()
     nodes = model.nodes
-    roots = np.flatnonzero(nodes["node"].to_numpy() == 0)
-    base = roots[nodes["tree"].rank(method="dense").astype(int).to_numpy() - 1]
+    place = {n: i for i, n in enumerate(zip(nodes["tree"], nodes["node"]))}
+    child = np.array([
+        [place.get((t, 2 * n), 0), place.get((t, 2 * n + 1), 0)] for t, n in zip(nodes["tree"], nodes["node"])
+    ]).reshape(-1, 2)
+    roots = np.flatnonzero(nodes["node"].to_numpy() == 1)
     words = {
         c: {v: float(i) for i, v in enumerate(
             nodes.loc[nodes["feature"] == len(model.numeric) + j, "category"].unique())}
@@ -192,7 +209,7 @@ def raw_score(model: Forest) -> Column:
     feature = nodes["feature"].to_numpy()
     shipped = sc.broadcast({
         "roots": roots, "feature": feature, "leaf": feature < 0, "cut": cut, "equal": is_category,
-        "left": base + nodes["left"].to_numpy(), "right": base + nodes["right"].to_numpy(),
+        "left": child[:, 0], "right": child[:, 1],
         "path": nodes["path"].to_numpy(dtype=float), "words": words,
         "scale": float(max(average_path(model.sample), 1e-300)),
     })
@@ -218,7 +235,7 @@ def raw_score(model: Forest) -> Column:
                 x = vectors[row, np.maximum(m["feature"][at], 0)]
                 go_right = np.where(m["equal"][at], x == m["cut"][at], x > m["cut"][at])
                 at = np.where(inner, np.where(go_right, m["right"][at], m["left"][at]), at)
-            result = -(2.0 ** (-m["path"][at].mean(axis=1) / m["scale"]))
+            result = np.round(-(2.0 ** (-m["path"][at].mean(axis=1) / m["scale"])), SCORE_DIGITS)
             yield pd.Series(result[place.ravel()])
 
     return score(
@@ -286,12 +303,9 @@ def save_forest(spark: SparkSession, model: Forest, path: str) -> None:
 
 def load_forest(spark: SparkSession, path: str) -> Forest | None:
     """Read a stored forest; a missing or unreadable one gives None."""
-    try:
-        p = spark.read.parquet(f"{path}/params").first()
-        nodes = spark.read.parquet(f"{path}/nodes").toPandas()
-    except Exception:  # absent folder, foreign or damaged files alike
-        return None
-    if p is None or nodes.empty:
+    stored = read_stored(spark, path, "params", "nodes")
+    if stored is None:
         return None
+    p, nodes = stored[0].first(), stored[1].toPandas()
     nodes = nodes.sort_values(["tree", "node"], ignore_index=True)
     return Forest(nodes, list(p.numeric), list(p.categorical), p.sample, p.contamination, p.offset)

@@ -168,17 +168,20 @@ def threshold_analysis(df: DataFrame, score: str, label: str, percentiles: list[
 
 
 def contamination_sweep(
-    train_scores: DataFrame, val_scores: DataFrame, score: str, label: str, contaminations: list[float],
-    weight: str | None = None,
+    train_scores: DataFrame | None, val_scores: DataFrame, score: str, label: str, contaminations: list[float],
+    weight: str | None = None, train_counts: DataFrame | None = None,
 ) -> DataFrame:
     """Rows (contamination, f1, precision, recall, flagged).
 
     Contamination only moves the threshold, so one scored table serves all
     values: the threshold is that quantile of the training scores, and a
     validation row is flagged when its score lies below it. With ``weight`` both
-    tables are compacted and that column counts their rows.
+    tables are compacted and that column counts their rows. ``train_counts``, a settled
+    ``value_counts_of`` table, saves counting the training scores again.
     """
-    train = settle(value_counts_of(train_scores, F.col(score), weight=weight))
+    train = train_counts
+    if train is None:
+        train = settle(value_counts_of(train_scores, F.col(score), weight=weight))
     cuts = quantiles_of_counts(train, contaminations).select("quantiles").scalar()
     counts = score_counts(val_scores, score, label, weight)
     cells = confusion_per_threshold(counts, cuts, contaminations, "contamination", lambda s, t: s < t)

@@ -23,17 +23,27 @@ from vetline import schema
 from vetline.operators.metrics import confusion_of, contamination_sweep, precision_recall_f1
 from vetline.operators.ordered import quantiles_of_counts, value_counts_of
 from vetline.operators.sampling import stratified_folds
-from vetline.runtime import settle, side_by_side
+from vetline.runtime import read_stored, settle, side_by_side
 
 RANGE_VECTORS = 4096  # distinct fitted vectors per range
 CHUNK_QUERIES = 16_384  # distinct queries per task
 MAX_RANGES = 4096
+SALTS = 16  # parts that the rows of one vector are dealt to when they look up its factor
 LRD_GUARD = 1e-10  # keeps the density of a vector among its copies finite
 
 
 def distinct_vectors(df: DataFrame, features: list[str], weight: str = "weight") -> DataFrame:
-    """One row per distinct vector, features as doubles, with its number of rows."""
-    vectors = df.select(*[(F.col(f).cast("double") + F.lit(0.0)).alias(f) for f in features])
+    """One row per distinct vector, features as doubles, with its number of rows.
+
+    A vector has a value in every feature: a null or NaN has no distance to anything and
+    stops the job with a message, as the encoder never leaves one.
+    """
+    def value(f: str) -> Column:
+        x = F.col(f).cast("double")
+        return F.when(x.isNotNull() & ~F.isnan(x), x + F.lit(0.0)).otherwise(
+            F.raise_error(F.lit(f"feature {f} has no value in some row; fill or drop such rows first")))
+
+    vectors = df.select(*[value(f).alias(f) for f in features])
     return vectors.groupBy(*features).agg(F.count(F.lit(1)).alias(weight))
 
 
@@ -307,14 +317,25 @@ def lof_offset(model: LofModel, k: int, contamination: float) -> float:
     return quantiles_of_counts(counts, [contamination]).first()["quantiles"][0]
 
 
-def score_lof(df: DataFrame, model: LofModel, k: int, contamination: float) -> DataFrame:
-    """Add ``lof_factor``, ``lof_score`` (lower is more anomalous) and ``lof_anomaly`` (-1 or 1)."""
+def score_lof(
+    df: DataFrame, model: LofModel, k: int, contamination: float, offset: float | None = None
+) -> DataFrame:
+    """Add ``lof_factor``, ``lof_score`` (lower is more anomalous) and ``lof_anomaly`` (-1 or 1).
+
+    Rows look their vector's factor up. A vector that makes up much of the table would
+    meet its factor in one task, so both sides carry a salt.
+    """
     f = model.features
     scores = lof_vector_scores(model, distinct_vectors(df, f)).where(F.col("k") == k)
-    keyed = df.withColumns({f"_{c}": F.col(c).cast("double") + F.lit(0.0) for c in f})
-    scores = scores.select(*[F.col(c).alias(f"_{c}") for c in f], F.col("factor").alias("lof_factor"))
-    joined = keyed.join(scores, [f"_{c}" for c in f], "left")
-    score = F.col("lof_factor") - F.lit(lof_offset(model, k, contamination))
+    keyed = df.withColumns({f"_{c}": F.col(c).cast("double") + F.lit(0.0) for c in f}).withColumn(
+        "_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
+    scores = scores.select(
+        *[F.col(c).alias(f"_{c}") for c in f], F.col("factor").alias("lof_factor"),
+        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    joined = keyed.join(scores, [*[f"_{c}" for c in f], "_salt"], "left")
+    if offset is None:
+        offset = lof_offset(model, k, contamination)
+    score = F.col("lof_factor") - F.lit(offset)
     return joined.withColumn("lof_score", score).withColumn(
         "lof_anomaly", F.when(F.col("lof_score") < 0, -1).otherwise(1)
     ).select(*df.columns, "lof_factor", "lof_score", "lof_anomaly")
@@ -386,8 +407,11 @@ def save_lof(model: LofModel, path: str) -> None:
     ).coalesce(1).write.mode("overwrite").parquet(f"{path}/params")
 
 
-def load_lof(spark: SparkSession, path: str) -> LofModel:
-    p = spark.read.parquet(f"{path}/params").first()
-    table = spark.read.parquet(f"{path}/vectors")
+def load_lof(spark: SparkSession, path: str) -> LofModel | None:
+    """Read a stored model; a missing or unreadable one gives None."""
+    stored = read_stored(spark, path, "params", "vectors")
+    if stored is None:
+        return None
+    p, table = stored[0].first(), stored[1]
     vectors = table.where(F.col("k") == p.ks[0]).select(*p.features, "weight")
     return LofModel(table, vectors, list(p.features), list(p.ks), p.rows)

@@ -4,12 +4,23 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vetline import schema
 from vetline.operators import iforest, metrics, neighbours, tuning
-from vetline.runtime import settle
+from vetline.runtime import read_stored, settle
+
+
+@dataclass
+class Winner:
+    """A model ready to score: what it is, its settings, and the score below which a row is flagged."""
+
+    kind: str  # IsolationForest or LOF
+    model: iforest.Forest | neighbours.LofModel
+    contamination: float
+    n_neighbors: int | None
+    offset: float
 
 
 @dataclass
@@ -20,10 +31,7 @@ class Selection:
     lof_sweep: DataFrame
     neighbour_sweep: DataFrame
     recommendation: DataFrame
-    winner: str
-    contamination: float
-    n_neighbors: int
-    model: iforest.Forest | neighbours.LofModel
+    winner: Winner
 
 
 def sweep_forest(
@@ -31,8 +39,9 @@ def sweep_forest(
 ) -> tuple[DataFrame, iforest.Forest]:
     """Rows (contamination, f1, precision, recall, flagged) from one fit and one scoring pass."""
     model = iforest.fit_forest(train, key, seed=seed)
-    fitted, new = (iforest.score_vectors(df, model, [label]) for df in (train, val))
-    sweep = metrics.contamination_sweep(fitted, new, "score", label, contaminations, weight="rows")
+    new = iforest.score_vectors(val, model, [label])
+    sweep = metrics.contamination_sweep(
+        None, new, "score", label, contaminations, weight="rows", train_counts=model.scores)
     return sweep, model
 
 
@@ -60,32 +69,56 @@ def select_model(
     n = tuning.best_row(neighbour_sweep, "n_neighbors").first()["n_neighbors"]
     if chosen["model"] == "IsolationForest":
         forest.contamination = chosen["contamination"]
-        scores = iforest.training_scores(train, forest)
-        forest.offset = iforest.forest_offsets(scores, [forest.contamination])[0]
-    return Selection(
-        forest_sweep, lof_sweep, neighbour_sweep, recommendation, chosen["model"], chosen["contamination"], n,
-        forest if chosen["model"] == "IsolationForest" else lof)
-
-
-def save_winner(selection: Selection, path: str) -> None:
-    """Store the winner and check that the files are there and not empty."""
-    spark = selection.recommendation.sparkSession
-    if isinstance(selection.model, iforest.Forest):
-        iforest.save_forest(spark, selection.model, path)
-        stored = spark.read.parquet(f"{path}/nodes")
+        forest.offset = iforest.forest_offsets(forest.scores, [forest.contamination])[0]
+        winner = Winner("IsolationForest", forest, forest.contamination, None, forest.offset)
     else:
-        neighbours.save_lof(selection.model, path)
-        stored = spark.read.parquet(f"{path}/vectors")
-    if stored.isEmpty():
-        raise OSError(f"nothing was stored at {path}")
+        winner = Winner("LOF", lof, chosen["contamination"], n, neighbours.lof_offset(lof, n, chosen["contamination"]))
+    return Selection(forest_sweep, lof_sweep, neighbour_sweep, recommendation, winner)
 
 
-def score_with_winner(df: DataFrame, selection: Selection) -> DataFrame:
-    """Add ``outlier_score`` (higher is more suspicious) and ``outlier_predict`` (1 = fraud)."""
-    if isinstance(selection.model, iforest.Forest):
-        return iforest.score_outliers(df, selection.model, "fraud").withColumnsRenamed(
+def save_winner(spark: SparkSession, winner: Winner, path: str) -> None:
+    """Store the winner with its settings, read it back and compare it with what was meant."""
+    forest = winner.kind == "IsolationForest"
+    if forest:
+        iforest.save_forest(spark, winner.model, f"{path}/model")
+    else:
+        neighbours.save_lof(winner.model, f"{path}/model")
+    spark.createDataFrame(
+        [(winner.kind, winner.contamination, winner.n_neighbors, winner.offset)],
+        "kind string, contamination double, n_neighbors int, offset double",
+    ).coalesce(1).write.mode("overwrite").parquet(f"{path}/winner")
+    again = load_winner(spark, path)
+    same = again is not None and (again.kind, again.contamination, again.n_neighbors, again.offset) == (
+        winner.kind, winner.contamination, winner.n_neighbors, winner.offset)
+    if same:
+        same = (
+            len(again.model.nodes) == len(winner.model.nodes) if forest
+            else again.model.rows == winner.model.rows and again.model.table.count() == winner.model.table.count()
+        )
+    if not same:
+        raise OSError(f"what is stored at {path} is not what was to be stored")
+
+
+def load_winner(spark: SparkSession, path: str) -> Winner | None:
+    """A stored winner; a missing or unreadable one gives None."""
+    stored = read_stored(spark, path, "winner")
+    if stored is None:
+        return None
+    p = stored[0].first()
+    load = iforest.load_forest if p.kind == "IsolationForest" else neighbours.load_lof
+    model = load(spark, f"{path}/model")
+    return None if model is None else Winner(p.kind, model, p.contamination, p.n_neighbors, p.offset)
+
+
+def score_with_winner(df: DataFrame, winner: Winner | None) -> DataFrame:
+    """Add ``outlier_score`` (higher is more suspicious) and ``outlier_predict`` (1 = fraud).
+
+    Without a winner every row is neutral.
+    """
+    if winner is None or winner.kind == "IsolationForest":
+        return iforest.score_outliers(df, winner and winner.model, "fraud").withColumnsRenamed(
             {"anomaly_score": "outlier_score", "anomaly_label": "outlier_predict"})
-    scored = neighbours.score_lof(df, selection.model, selection.n_neighbors, selection.contamination)
+    scored = neighbours.score_lof(df, winner.model, winner.n_neighbors, winner.contamination, winner.offset)
     return scored.select(
         *df.columns, (-F.col("lof_score")).alias("outlier_score"),
         (F.col("lof_anomaly") == -1).cast("int").alias("outlier_predict"))

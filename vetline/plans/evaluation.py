@@ -62,6 +62,10 @@ def _prf(digits=4):
             f"{r(_ratio('tp', 'tp + fn'))} AS recall")
 
 
+def baseline_metrics():
+    return _prf()
+
+
 @query("outlier_labels", sql("SELECT job_id, label_a, label_b, pred_a, pred_b FROM flagged", "scored", _FLAGGED))
 def outlier_labels(spark, sf_dir):
     return _flagged(spark, sf_dir).select(KEY, "label_a", "label_b", "pred_a", "pred_b")
@@ -90,7 +94,8 @@ def prf_at_threshold(spark, sf_dir):
     return metrics.precision_recall_f1(metrics.confusion(rows, LABEL, "p"))
 
 
-def _report_rows():
+def report_rows(cells="cells"):
+    """SQL rows of a classification report over one row of confusion cells."""
     legit = (_ratio("tn", "tn + fn"), _ratio("tn", "tn + fp"), _ratio("2 * tn", "2 * tn + fp + fn"))
     fraud = (_ratio("tp", "tp + fp"), _ratio("tp", "fn + tp"), _ratio("2 * tp", "2 * tp + fp + fn"))
     total = "tn + fp + fn + tp"
@@ -101,10 +106,10 @@ def _report_rows():
                               for a, b in zip(legit, fraud)], total)]
     return " UNION ALL ".join(
         f"SELECT '{n}' AS class, round({p}, 6) AS precision, round({r}, 6) AS recall, round({f}, 6) AS f1, "
-        f"CAST({s} AS BIGINT) AS support FROM cells" for n, (p, r, f), s in rows)
+        f"CAST({s} AS BIGINT) AS support FROM {cells}" for n, (p, r, f), s in rows)
 
 
-@query("class_report", sql(_report_rows(), "scored", {
+@query("class_report", sql(report_rows(), "scored", {
     **_FLAGGED, "cells": f"SELECT {_cells('pred_a')} FROM flagged"}))
 def class_report(spark, sf_dir):
     report = metrics.class_report(_flagged(spark, sf_dir), LABEL, "pred_a")

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from vetline import schema
-from vetline.operators import iforest, neighbours, profile, selection, tuning
+from vetline.operators import iforest, metrics, neighbours, profile, selection, tuning
+from vetline.plans.evaluation import baseline_metrics, report_rows
 from vetline.plans.views import KEY, LABEL, single, split_scored, sql
 from vetline.runtime import fresh_path, settle
 
@@ -104,6 +105,73 @@ def _metrics(c, tag="", digits=4):
         CASE WHEN factor < (SELECT quantile_cont(factor, {c}) FROM fr{tag}) THEN 1 ELSE 0 END AS p FROM qr{tag}))"""
 
 
+# --- SQL twin of the forest -----------------------------------------------
+
+_TREES, _SAMPLE, _SEED = 100, 256, 42
+_PATH = """CASE WHEN {n} <= 1 THEN 0.0 WHEN {n} = 2 THEN 1.0
+    ELSE 2.0 * (ln({n} - 1.0) + 0.5772156649015329) - 2.0 * ({n} - 1.0) / {n} END"""
+
+
+def _fraction(what):
+    digest = f"md5('{_SEED}:' || tree || ':' || node || ':{what}')"
+    return f"(CAST('0x' || substr({digest}, 1, 13) AS UBIGINT) / CAST(4503599627370496 AS DOUBLE))"
+
+
+def forest_ctes(tag="", train="split = 'train'", val="split = 'val'", source="split"):
+    """Trees grown row by row from the same digests; scores of distinct vectors; of rows.
+
+    sm: samples, gr: sampled rows at every node, nd: nodes, fw: walks of all vectors, fs: raw
+    score per vector, fr and qr: one row per fitted and per labelled new row, as for LOF.
+    """
+    t, i = tag, range(len(FEATURES))
+    size = f"(SELECT least({_SAMPLE}, count(*)) FROM ft_{t})"
+    limits = ", ".join(f"min(f{k}) OVER w AS lo{k}, max(f{k}) OVER w AS hi{k}" for k in i)
+    varying = ", ".join(f"CASE WHEN lo{k} < hi{k} THEN {k} END" for k in i)
+    pick = lambda name: "CASE feature " + " ".join(f"WHEN {k} THEN {name}{k}" for k in i) + " END"
+    split = f"""SELECT *, CASE WHEN raw >= hi THEN lo ELSE raw END AS cut FROM (
+        SELECT *, lo + {_fraction('c')} * (hi - lo) AS raw FROM (
+        SELECT *, {pick('lo')} AS lo, {pick('hi')} AS hi FROM (
+        SELECT *, CASE WHEN depth < ceil(log2(greatest({size}, 2))) AND n > 1
+            THEN can[CAST(floor({_fraction('s')} * len(can)) AS INTEGER) + 1] END AS feature FROM (
+        SELECT *, [x FOR x IN [{varying}] IF x IS NOT NULL] AS can FROM (
+        SELECT *, count(*) OVER w AS n, {limits} FROM {{rows}} WINDOW w AS (PARTITION BY tree, node))))))"""
+    fs = ", ".join(f"f{k}" for k in i)
+    named = ", ".join(f"CAST({f} AS DOUBLE) AS f{k}" for k, f in enumerate(FEATURES))
+    path = _PATH.format(n="n")
+    scale = _PATH.format(n=size)
+    equal = " AND ".join(f"a.f{k} = b.f{k}" for k in i)
+    return {
+        f"ft_{t}": f"SELECT {KEY}, {LABEL}, {named} FROM {source} WHERE {train}",
+        f"fq_{t}": f"SELECT {KEY}, {LABEL}, {named}, {_F} FROM {source} WHERE {val}",
+        f"sm_{t}": f"""SELECT tree, 1 AS node, 0 AS depth, {fs} FROM (SELECT *, row_number() OVER (PARTITION BY tree
+            ORDER BY md5('{_SEED}:' || tree || ':' || {KEY}), {KEY}) AS place
+            FROM ft_{t}, (SELECT CAST(range AS INTEGER) AS tree FROM range({_TREES}))) WHERE place <= {size}""",
+        f"gr_{t}": f"""SELECT * FROM sm_{t} UNION ALL
+            SELECT tree, 2 * node + CASE WHEN {pick('f')} > cut THEN 1 ELSE 0 END, depth + 1, {fs}
+            FROM ({split.format(rows=f'gr_{t}')}) WHERE feature IS NOT NULL""",
+        f"nd_{t}": f"""SELECT DISTINCT tree, node, feature, cut, depth + {path} AS path
+            FROM ({split.format(rows=f'gr_{t}')})""",
+        f"fv_{t}": f"SELECT {fs} FROM ft_{t} UNION SELECT {fs} FROM fq_{t}",
+        f"fw_{t}": f"""SELECT {fs}, tree, 1 AS node FROM fv_{t}, (SELECT CAST(range AS INTEGER) AS tree FROM range({_TREES}))
+            UNION ALL SELECT {', '.join(f'w.f{k}' for k in i)}, w.tree,
+            2 * w.node + CASE WHEN {pick('w.f')} > d.cut THEN 1 ELSE 0 END
+            FROM fw_{t} w JOIN nd_{t} d ON w.tree = d.tree AND w.node = d.node WHERE d.feature IS NOT NULL""",
+        f"fs_{t}": f"""SELECT {fs}, round(-power(2.0, -avg(path) / ({scale})), 12) AS raw FROM fw_{t} w
+            JOIN nd_{t} d ON w.tree = d.tree AND w.node = d.node WHERE d.feature IS NULL GROUP BY {fs}""",
+        f"fr{t}": f"SELECT b.raw AS factor FROM ft_{t} a JOIN fs_{t} b ON {equal}",
+        f"qr{t}": f"SELECT a.*, b.raw AS factor FROM fq_{t} a JOIN fs_{t} b ON {equal}",
+    }
+
+
+def forest_sql(body, extra=None, **source):
+    """Like ``sql`` up to the split rows, with the forest in front of the body."""
+    return sql(body, "split", forest_ctes(**source) | (extra or {})).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _offset(c, tag=""):
+    return f"(SELECT quantile_cont(factor, {c}) FROM fr{tag})"
+
+
 # --- queries --------------------------------------------------------------
 
 
@@ -180,14 +248,18 @@ def lof_cv(spark, sf_dir):
     return neighbours.cross_validate_lof(train, KEY, LABEL, 20, 0.1)
 
 
-@query("iforest_scores")
+@query("iforest_scores", forest_sql(
+    f"""SELECT {KEY}, {LABEL}, {_F}, factor - {_offset(0.05)} AS anomaly_score,
+        CAST(CASE WHEN factor < {_offset(0.05)} THEN -1 ELSE 1 END AS INTEGER) AS anomaly_label FROM qr"""))
 def iforest_scores(spark, sf_dir):
     train, val = _split(spark, sf_dir)
     model = iforest.fit_forest(train, KEY, FEATURES, contamination=0.05)
     return iforest.score_outliers(val.select(KEY, LABEL, *FEATURES), model)
 
 
-@query("iforest_fraud_convention")
+@query("iforest_fraud_convention", forest_sql(
+    f"""SELECT {KEY}, {LABEL}, {_F}, -(factor - {_offset(0.1)}) AS anomaly_score,
+        CAST(CASE WHEN factor < {_offset(0.1)} THEN 1 ELSE 0 END AS INTEGER) AS anomaly_label FROM qr"""))
 def iforest_fraud_convention(spark, sf_dir):
     train, val = _split(spark, sf_dir)
     model = iforest.fit_forest(train, KEY, FEATURES, contamination=0.1)
@@ -216,19 +288,37 @@ def iforest_one_hot_crosstab(spark, sf_dir):
     return profile.crosstab(iforest.score_outliers(rows, model), "anomaly_label", LABEL, [0, 1])
 
 
-@query("iforest_sweep")
+@query("iforest_sweep", forest_sql(" UNION ALL ".join(
+    f"SELECT CAST({c} AS DOUBLE) AS contamination, * FROM ({_metrics(c)})" for c in schema.CONTAMINATIONS)))
 def iforest_sweep(spark, sf_dir):
     train, val = _split(spark, sf_dir)
     return selection.sweep_forest(train, val, KEY, LABEL, schema.CONTAMINATIONS)[0]
 
 
-@query("iforest_cv")
+_FOREST_FOLDS = dict(list(_FOLD_CTES.items())[:2])
+for _i in range(5):
+    _FOREST_FOLDS |= forest_ctes(f"_{_i}", f"fold <> {_i}", f"fold = {_i}", "fo")
+
+
+@query("iforest_cv", sql(" UNION ALL ".join(
+    f"SELECT CAST({i} AS INTEGER) AS fold, f1, precision, recall FROM ({_metrics(0.1, f'_{i}', 0)})"
+    for i in range(5)), "split", _FOREST_FOLDS).replace("WITH ", "WITH RECURSIVE ", 1))
 def iforest_cv(spark, sf_dir):
     train, _ = _split(spark, sf_dir)
     return iforest.cross_validate_forest(train, KEY, LABEL, numeric=FEATURES, contamination=0.1)
 
 
-@query("model_comparison")
+_BOTH = forest_ctes("_f") | lof_ctes(20)
+
+
+def _recursive(body, ctes):
+    return sql(body, "split", ctes).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("model_comparison", _recursive(" UNION ALL ".join(
+    f"""SELECT CAST({c} AS DOUBLE) AS contamination, {', '.join(f'{m}.{x} AS {n}_{x}' for m, n in (('a', 'IF'), ('b', 'LOF'))
+    for x in ('f1', 'precision', 'recall', 'flagged'))} FROM ({_metrics(c, '_f')}) a, ({_metrics(c)}) b"""
+    for c in schema.CONTAMINATIONS), _BOTH))
 def model_comparison(spark, sf_dir):
     """Both real models swept and set side by side."""
     train, val = _split(spark, sf_dir)
@@ -238,10 +328,125 @@ def model_comparison(spark, sf_dir):
     return tuning.compare_sweeps(forest, lof)
 
 
-@query("winner_scores")
+# --- the two fitted models on the validation rows --------------------------
+
+DEFAULT_CONTAMINATION = 0.05
+_PREDICTED = {
+    "pred": f"""SELECT 'IF' AS model, {LABEL}, -factor AS suspicion, CASE WHEN factor < {_offset(DEFAULT_CONTAMINATION, '_f')}
+        THEN 1 ELSE 0 END AS p FROM qr_f UNION ALL SELECT 'LOF', {LABEL}, -factor,
+        CASE WHEN factor < {_offset(DEFAULT_CONTAMINATION)} THEN 1 ELSE 0 END FROM qr""",
+    "cells": f"SELECT model, {_CELLS} FROM pred GROUP BY model",
+}
+
+
+def _predicted(spark, sf_dir):
+    """Rows (model, label, suspicion, p): both models at the default contamination."""
+    train, val = _split(spark, sf_dir)
+    forest = iforest.fit_forest(train, KEY, FEATURES, contamination=DEFAULT_CONTAMINATION)
+    lof = neighbours.fit_lof(train, FEATURES, [20])
+    a = iforest.score_vectors(val.select(KEY, LABEL, *FEATURES), forest, [KEY, LABEL])
+    b = neighbours.score_lof(val, lof, 20, DEFAULT_CONTAMINATION)
+    return settle(a.select(
+        F.lit("IF").alias("model"), LABEL, (-F.col("score")).alias("suspicion"),
+        (F.col("score") < forest.offset).cast("int").alias("p"),
+    ).union(b.select(F.lit("LOF"), LABEL, -F.col("lof_factor"), (F.col("lof_anomaly") == -1).cast("int"))))
+
+
+@query("models_report", _recursive(" UNION ALL ".join(
+    f"SELECT '{m}' AS model, r.* FROM ({report_rows(f'(SELECT * FROM cells WHERE model = {chr(39)}{m}{chr(39)})')}) r"
+    for m in ("IF", "LOF")), _BOTH | _PREDICTED))
+def models_report(spark, sf_dir):
+    rows = _predicted(spark, sf_dir)
+    reports = [
+        metrics.class_report(rows.where(F.col("model") == m), LABEL, "p").withColumn("model", F.lit(m))
+        for m in ("IF", "LOF")
+    ]
+    both = reports[0].union(reports[1])
+    return both.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
+
+
+@query("models_confusion", _recursive(
+    f"SELECT *, fp AS false_alarms, fn AS missed, {baseline_metrics()} FROM cells", _BOTH | _PREDICTED))
+def models_confusion(spark, sf_dir):
+    """Confusion cells, the trade-off and the baseline metrics of both models."""
+    cells = metrics.confusion(_predicted(spark, sf_dir), LABEL, "p", ["model"])
+    scored = metrics.precision_recall_f1(cells).drop("flagged")
+    return scored.withColumns({"false_alarms": F.col("fp"), "missed": F.col("fn")})
+
+
+@query("models_roc_auc", _recursive(
+    """SELECT model, round(sum(neg * (cp - pos + pos / 2)) / (max(p) * max(n)), 6) AS auc,
+    CAST(max(p) AS BIGINT) AS positives, CAST(max(n) AS BIGINT) AS negatives FROM (
+    SELECT model, pos, neg, sum(pos) OVER w AS cp, sum(pos) OVER a AS p, sum(neg) OVER a AS n FROM (
+    SELECT model, suspicion, count(*) FILTER (fraudulent = 1) AS pos, count(*) FILTER (fraudulent = 0) AS neg
+    FROM pred GROUP BY model, suspicion)
+    WINDOW w AS (PARTITION BY model ORDER BY suspicion DESC), a AS (PARTITION BY model)) GROUP BY model""",
+    _BOTH | _PREDICTED))
+def models_roc_auc(spark, sf_dir):
+    rows = _predicted(spark, sf_dir)
+    both = [
+        metrics.roc_auc(rows.where(F.col("model") == m), "suspicion", LABEL).withColumn("model", F.lit(m))
+        for m in ("IF", "LOF")
+    ]
+    return both[0].union(both[1]).withColumn("auc", F.round("auc", 6))
+
+
+def _cv_sql(ctes):
+    folds = " UNION ALL ".join(f"SELECT * FROM ({_metrics(0.1, f'_{i}', 0)})" for i in range(5))
+    return _recursive(" UNION ALL ".join(
+        f"SELECT '{m}' AS metric, round(avg({m}), 6) AS mean, round(stddev_pop({m}), 6) AS std FROM folds"
+        for m in tuning.METRICS), ctes | {"folds": folds})
+
+
+def _cv_summary(folds):
+    summary = metrics.cross_validation_summary(folds)
+    return summary.withColumns({c: F.round(c, 6) for c in ("mean", "std")})
+
+
+@query("iforest_cv_summary", _cv_sql(_FOREST_FOLDS))
+def iforest_cv_summary(spark, sf_dir):
+    return _cv_summary(iforest_cv(spark, sf_dir))
+
+
+@query("lof_cv_summary", _cv_sql(_FOLD_CTES))
+def lof_cv_summary(spark, sf_dir):
+    return _cv_summary(lof_cv(spark, sf_dir))
+
+
+# --- the winner -----------------------------------------------------------
+
+_WINNER_KS = sorted({*schema.NEIGHBOUR_COUNTS, 20})
+_WINNER = forest_ctes("_f")
+for _k in _WINNER_KS:
+    _WINNER |= lof_ctes(_k, f"_{_k}")
+_WINNER |= {
+    "fsweep": " UNION ALL ".join(
+        f"SELECT CAST({c} AS DOUBLE) AS c, * FROM ({_metrics(c, '_f')})" for c in schema.CONTAMINATIONS),
+    "lsweep": " UNION ALL ".join(
+        f"SELECT {k} AS k, CAST({c} AS DOUBLE) AS c, * FROM ({_metrics(c, f'_{k}')})"
+        for k in _WINNER_KS for c in schema.CONTAMINATIONS),
+    "fbest": "SELECT * FROM fsweep ORDER BY f1 DESC, c LIMIT 1",
+    "lc": "SELECT c FROM lsweep WHERE k = 20 ORDER BY f1 DESC, c LIMIT 1",
+    "lbest": "SELECT * FROM lsweep WHERE c = (SELECT c FROM lc) ORDER BY f1 DESC, k LIMIT 1",
+    "choice": """SELECT CASE WHEN abs(a.f1 - b.f1) < 0.005 THEN a.recall >= b.recall ELSE a.f1 > b.f1 END AS forest,
+        a.c AS fc, b.c AS lc, b.k AS k FROM fbest a, lbest b""",
+}
+
+
+def _winner_rows(tag, c, where):
+    return f"""SELECT {KEY}, {LABEL}, {_F}, -(factor - {_offset(c, tag)}) AS outlier_score,
+        CAST(CASE WHEN factor < {_offset(c, tag)} THEN 1 ELSE 0 END AS INTEGER) AS outlier_predict
+        FROM qr{tag}, choice WHERE {where}"""
+
+
+@query("winner_scores", _recursive(" UNION ALL ".join(
+    [_winner_rows("_f", c, f"forest AND fc = {c}") for c in schema.CONTAMINATIONS]
+    + [_winner_rows(f"_{k}", c, f"NOT forest AND k = {k} AND lc = {c}")
+       for k in _WINNER_KS for c in schema.CONTAMINATIONS]), _WINNER))
 def winner_scores(spark, sf_dir):
-    """Select, refit and store the winner, then score the validation rows with it."""
+    """Select, set up and store the winner, read it back and score the validation rows with it."""
     train, val = _split(spark, sf_dir)
     chosen = selection.select_model(train, val, KEY, LABEL)
-    selection.save_winner(chosen, fresh_path(spark, "winner"))
-    return selection.score_with_winner(val.select(KEY, LABEL, *FEATURES), chosen)
+    path = fresh_path(spark, "winner")
+    selection.save_winner(spark, chosen.winner, path)
+    return selection.score_with_winner(val.select(KEY, LABEL, *FEATURES), selection.load_winner(spark, path))

@@ -2,6 +2,7 @@
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -11,6 +12,7 @@ from pathlib import Path
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -78,6 +80,30 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def read_stored(spark: SparkSession, path: str, *tables: str) -> list[DataFrame] | None:
+    """The Parquet tables below a stored model's folder.
+
+    None where one is missing, empty or not readable as Parquet. Failures that say nothing
+    about the files (access denied, a lost connection) are raised.
+    """
+    found = []
+    for name in tables:
+        try:
+            df = spark.read.parquet(f"{path}/{name}")
+            if df.isEmpty():
+                return None
+        except AnalysisException as e:
+            if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                return None
+            raise
+        except Exception as e:
+            if re.search(r"is not a Parquet file|CANNOT_READ_FILE_FOOTER|CANNOT_READ_FOOTER|FAILED_READ_FILE", str(e)):
+                return None
+            raise
+        found.append(df)
+    return found
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, keep it in the shared folder, and cut its lineage.
 
