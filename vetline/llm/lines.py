@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vetline.llm.common import free_names, stored
+
 #: log2 of the registers of a sketch; its relative standard error is 1.04 / sqrt(registers).
 SKETCH_LOG2 = 10
 #: Standard errors around the threshold within which the estimate is not relied on.
@@ -55,6 +57,33 @@ def widespread_lines(docs: DataFrame, min_sites: int = 10) -> DataFrame:
     )
 
 
+def _marked(docs: DataFrame, min_sites: int) -> tuple[DataFrame, list[str]]:
+    """``docs`` with n_lines, n_removed and kept_text under free names, and these names."""
+    # Written once, so that the join below can split a line that fills many documents.
+    wide = stored(widespread_lines(docs, min_sites), "lines")
+    own, its_id, its_digest, gone, *new = free_names(
+        docs.columns, "own", "its_id", "its_digest", "gone", "n_lines", "n_removed", "kept_text"
+    )
+    removed = (
+        _lines(docs).join(wide, ["k1", "k2"])
+        .where(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
+        .groupBy(F.col("doc_id").alias(its_id), F.col("digest").alias(its_digest))
+        .agg(F.collect_set("pos").alias(gone))
+    )
+    joined = docs.withColumn(own, F.xxhash64("text")).join(
+        removed, F.col("doc_id").eqNullSafe(F.col(its_id)) & (F.col(own) == F.col(its_digest)), "left"
+    )
+    parts = _parts(F.col("text"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone))
+    made = (
+        F.size(parts), F.coalesce(F.size(F.col(gone)), F.lit(0)),
+        F.when(F.col(gone).isNull(), F.coalesce("text", F.lit(""))).otherwise(
+            F.array_join(F.transform(kept, lambda i: parts[i]), "\n")
+        ),
+    )
+    return joined.select(*docs.columns, *[m.alias(n) for m, n in zip(made, new)]), new
+
+
 def mark_lines(docs: DataFrame, min_sites: int = 10) -> DataFrame:
     """``docs`` with n_lines, n_removed and kept_text.
 
@@ -66,37 +95,21 @@ def mark_lines(docs: DataFrame, min_sites: int = 10) -> DataFrame:
     new columns replace any of the same name; other columns pass unchanged. An empty
     table gives an empty result.
     """
-    wide = widespread_lines(docs, min_sites)
-    removed = (
-        _lines(docs).join(wide, ["k1", "k2"])
-        .where(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
-        .groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-        .agg(F.collect_set("pos").alias("_removed"))
-    )
-    keyed = docs.withColumn("_own", F.xxhash64("text"))
-    joined = keyed.join(
-        removed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")), "left"
-    )
-    parts = _parts(F.col("text"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_removed"))
-    return joined.select(
-        *[joined[c] for c in docs.columns if c not in ("n_lines", "n_removed", "kept_text")],
-        F.size(parts).alias("n_lines"),
-        F.coalesce(F.size(F.col("_removed")), F.lit(0)).alias("n_removed"),
-        F.when(F.col("_removed").isNull(), F.coalesce("text", F.lit(""))).otherwise(
-            F.array_join(F.transform(kept, lambda i: parts[i]), "\n")
-        ).alias("kept_text"),
+    marked, new = _marked(docs, min_sites)
+    names = ("n_lines", "n_removed", "kept_text")
+    return marked.select(
+        *[c for c in docs.columns if c not in names], *[F.col(n).alias(name) for n, name in zip(new, names)]
     )
 
 
 def drop_lines(docs: DataFrame, min_sites: int = 10) -> DataFrame:
     """``docs`` with the text that is left, and n_chars (where present) to match."""
-    marked = mark_lines(docs, min_sites)
-    changed = F.col("n_removed") > 0
-    new = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("text"))}
+    marked, (_, n_removed, kept) = _marked(docs, min_sites)
+    changed = F.col(n_removed) > 0
+    new = {"text": F.when(changed, F.col(kept)).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        new["n_chars"] = F.when(changed, F.length("kept_text").cast(kind)).otherwise(F.col("n_chars"))
+        new["n_chars"] = F.when(changed, F.length(kept).cast(kind)).otherwise(F.col("n_chars"))
     return marked.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
