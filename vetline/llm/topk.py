@@ -91,7 +91,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, cell: int = CELL, blo
     inner product with another row's vector, all of them if fewer than k, ties to the
     smaller vec_id. Rows with a null vec_id, a null vector or a null or non-finite
     component take no part; of rows that share a vec_id the smallest vector counts; the
-    shorter of two vectors ends in zeros. Scores saturate at the limits of a long. Other
+    shorter of two vectors ends in zeros. Scores saturate at the limits of a long, and
+    which of several saturated ones are listed is left open. Other
     columns are ignored, an empty table gives an empty result.
 
     Candidates fall into cells and queries into blocks of bounded size, by hash. Each
