@@ -84,20 +84,14 @@ _RANGE = rf"^{WS_ANY}{_INT}{WS_ANY}-{WS_ANY}{_INT}{WS_ANY}\z"
 
 
 def salary_midpoint(c: Column) -> Column:
-    """Midpoint of ``low-high`` when both sides are integers, else null.
+    """Midpoint of ``low-high`` when both sides are integers of up to 36 digits, else null.
 
-    Summed as decimals, so long integers lose nothing; integers beyond 36
-    digits are summed as doubles, and an overflow counts as malformed.
+    Summed as decimals, so long integers lose nothing; longer ones count as malformed.
     """
-    sides = [F.replace(F.regexp_extract(c, _RANGE, i), F.lit("_"), F.lit("")) for i in (1, 2)]
-    exact = [
-        F.when(F.length(s) <= 36, s.try_cast("decimal(37,0)")) for s in sides
+    sides = [
+        F.replace(F.regexp_extract(c, _RANGE, i), F.lit("_"), F.lit("")).try_cast("decimal(36,0)") for i in (1, 2)
     ]
-    total = F.coalesce(
-        F.try_add(*exact).cast("double"),
-        sides[0].try_cast("double") + sides[1].try_cast("double"),
-    )
-    return F.when(c.rlike(_RANGE) & (F.abs(total) < F.lit(float("inf"))), total / 2)
+    return F.when(c.rlike(_RANGE), (sides[0] + sides[1]).cast("double") / 2)
 
 
 def salary_or(c: Column, fallback: float = schema.TRAIN_SALARY_MEDIAN) -> Column:

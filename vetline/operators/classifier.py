@@ -1,34 +1,48 @@
 """Class-weighted text classifier on hashed, IDF-weighted words."""
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from vetline.operators.profile import class_weights, stop_words
+from vetline.runtime import settle
 
 
 def with_class_weights(df: DataFrame, label: str = "fraudulent") -> DataFrame:
-    """Add ``weight``, balanced over the whole table; sample afterwards."""
-    weights = class_weights(df, label).select(label, "weight")
-    return df.join(weights, label)
+    """Add ``weight``, balanced over the whole table; sample afterwards.
+
+    The weights travel as one map, so the texts are not shuffled. A classifier has few
+    classes; rows without a label are left out.
+    """
+    weights = class_weights(df.where(F.col(label).isNotNull()), label)
+    by_label = weights.agg(F.map_from_entries(F.collect_list(F.struct(label, "weight")))).scalar()
+    return df.where(F.col(label).isNotNull()).withColumn("weight", F.try_element_at(by_label, F.col(label)))
 
 
 def fit_text_classifier(
     df: DataFrame, text: str = "text", label: str = "fraudulent", features: int = 1 << 16,
     iterations: int = 20, penalty: float = 0.01,
 ) -> PipelineModel:
-    """Fit on rows with ``text``, ``label`` and ``weight``."""
+    """Fit on rows with ``text``, ``label`` and ``weight``.
+
+    Words are hashed to ``features`` buckets, so a vocabulary of any size fits; words that
+    share a bucket count as one. The texts are read once: only their word counts, as
+    sparse vectors, are kept for the passes of the fit.
+    """
     words = RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=r"[\p{L}\p{N}]+", gaps=False)
     kept = StopWordsRemover(inputCol="_tokens", outputCol="_words", stopWords=stop_words())
     counts = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=features)
-    weighted = IDF(inputCol="_counts", outputCol="_features")
+    hashed = PipelineModel(stages=[words, kept, counts])
+    rows = settle(hashed.transform(df).select(label, "weight", "_counts"))
+    idf = IDF(inputCol="_counts", outputCol="_features").fit(rows)
     regression = LogisticRegression(
         featuresCol="_features", labelCol=label, weightCol="weight", maxIter=iterations, regParam=penalty,
         rawPredictionCol="_raw", probabilityCol="_probability", predictionCol="_prediction",
-    )
-    return Pipeline(stages=[words, kept, counts, weighted, regression]).fit(df)
+    ).fit(idf.transform(rows))
+    return PipelineModel(stages=[words, kept, counts, idf, regression])
 
 
 def predict_proba(df: DataFrame, model: PipelineModel, name: str = "nlp_score") -> DataFrame:

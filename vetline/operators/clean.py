@@ -53,14 +53,18 @@ def drop_duplicates(df: DataFrame, key: str | None = None) -> DataFrame:
     ``key`` is a row identifier that takes no part in the comparison; the
     smallest one survives, so the result does not depend on row order.
 
-    Rows meet by digest, not by their texts: columns nobody asks for later are
-    read for the digest but never shuffled, and copies collapse before the
-    shuffle however many there are.
+    Rows meet by digest, not by their texts: only digests and keys are aggregated, and the
+    rows of the surviving keys are then taken from the table, hashed and not sorted, with
+    the columns that are asked for later. Without a key the copies themselves are
+    aggregated, before and after the shuffle.
     """
-    columns = df.columns
-    rest = [c for c in columns if c != key]
-    kept = [F.min(c).alias(c) if c == key else F.any_value(c).alias(c) for c in columns]
-    return df.groupBy(row_digest(rest).alias("_digest")).agg(*kept).drop("_digest")
+    rest = [c for c in df.columns if c != key]
+    if key is None:
+        kept = [F.any_value(c).alias(c) for c in rest]
+        return df.groupBy(row_digest(rest).alias("_digest")).agg(*kept).drop("_digest")
+    digests = df.select(F.col(key), row_digest(rest).alias("_digest"))
+    first = digests.groupBy("_digest").agg(F.min(key).alias(key)).select(key)
+    return df.join(first.hint("shuffle_hash"), key, "left_semi")
 
 
 def clean_postings(df: DataFrame, dedupe: bool = True, key: str | None = "job_id") -> DataFrame:

@@ -13,6 +13,9 @@ from vetline.operators.ordered import exact_median, running_totals
 from vetline.runtime import settle
 
 
+SALTS = 16  # parts that the rows of one category are dealt to when they look up its code
+
+
 def _logo(df: DataFrame) -> Column:
     c = F.col("has_company_logo")
     if isinstance(df.schema["has_company_logo"].dataType, T.StringType):
@@ -53,12 +56,19 @@ def category_codes(df: DataFrame, column: str) -> DataFrame:
 
 
 def with_category_codes(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Replace each column by its alphabetical code; null becomes -1."""
+    """Replace each column by its alphabetical code; null becomes -1.
+
+    A category may fill much of the table, so both sides of the lookup carry a salt; nulls
+    match nothing and spread by it as well.
+    """
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_part")
     for c in columns:
-        codes = category_codes(df, c).withColumnsRenamed({"value": "_value", "code": "_code"})
-        df = df.join(codes, df[c] == codes["_value"], "left").withColumn(
-            c, F.coalesce("_code", F.lit(-1))
-        ).drop("_value", "_code")
+        codes = category_codes(df, c).select(F.col("value").alias("_value"), F.col("code").alias("_code"), salts)
+        salted = df.withColumn("_salt", salt)
+        df = salted.join(
+            codes, (salted[c] == codes["_value"]) & (salted["_salt"] == codes["_part"]), "left"
+        ).withColumn(c, F.coalesce("_code", F.lit(-1))).drop("_value", "_code", "_part", "_salt")
     return df
 
 

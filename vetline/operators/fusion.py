@@ -1,32 +1,61 @@
 """Fusing the text and the metadata score into one, with attributions."""
 
 from dataclasses import dataclass
+from functools import reduce
 from math import factorial
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vetline.functions import text
-from vetline.operators.classifier import predict_proba
+from vetline.operators.classifier import fit_text_classifier, predict_proba
 from vetline.operators.clean import clean_postings
 from vetline.operators.encode import encode_features
 from vetline.operators.iforest import Forest, score_outliers
+from vetline.operators.sampling import stratified_folds
+from vetline.runtime import read_stored, settle, side_by_side
 
 META_FEATURES = ["nlp_score", "outlier_score", "desc_len", "has_company_logo", "telecommuting", "has_questions"]
 
 
-def meta_features(clean: DataFrame, classifier: PipelineModel, forest: Forest | None, keep: list[str]) -> DataFrame:
-    """Both scores and the plain signals of each cleaned posting, on one row."""
+def meta_features(
+    clean: DataFrame, classifier: PipelineModel | None, forest: Forest | None, keep: list[str],
+    text_scores: DataFrame | None = None,
+) -> DataFrame:
+    """Both scores and the plain signals of each cleaned posting, on one row.
+
+    The text score comes from the ``classifier``, or from ``text_scores`` (first column of
+    ``keep``, nlp_score) where given.
+    """
     own = ["desc_len", "telecommuting", "has_questions"]
     encoded = encode_features(
         clean.withColumn("text", text.raw_full_text()), keep=[*keep, *own, "text"])
     outliers = score_outliers(encoded, forest, "fraud").withColumnRenamed("anomaly_score", "outlier_score")
-    return predict_proba(outliers, classifier).select(
-        *keep, *[F.col(c).cast("double").alias(c) for c in META_FEATURES])
+    if text_scores is None:
+        scored = predict_proba(outliers, classifier)
+    else:
+        scored = outliers.drop("text").join(text_scores, keep[0])
+    return scored.select(*keep, *[F.col(c).cast("double").alias(c) for c in META_FEATURES])
+
+
+def out_of_fold_scores(texts: DataFrame, key: str, label: str = "fraudulent", k: int = 2, seed: int = 42) -> DataFrame:
+    """Rows (key, nlp_score): each scored by a text model that was fitted without its fold.
+
+    ``texts`` has key, label, weight and text. Scores of rows a model was fitted on would
+    make it look better to the fusion than it is on new rows.
+    """
+    narrow = settle(stratified_folds(settle(texts.select(key, label)), key, label, k, seed).select(key, "fold"))
+    rows = texts.join(narrow, key)
+
+    def one(i: int) -> DataFrame:
+        model = fit_text_classifier(rows.where(F.col("fold") != i), label=label)
+        return predict_proba(rows.where(F.col("fold") == i), model).select(key, "nlp_score")
+
+    return reduce(DataFrame.union, side_by_side(texts.sparkSession, one, list(range(k))))
 
 
 @dataclass
@@ -44,7 +73,7 @@ def fit_fusion(meta: DataFrame, label: str = "fraudulent", rounds: int = 20, dep
     return Fusion(model, meta.agg(*[F.avg(c).alias(c) for c in META_FEATURES]).first().asDict())
 
 
-def _probability(df: DataFrame, model: PipelineModel, name: str) -> DataFrame:
+def probability(df: DataFrame, model: PipelineModel, name: str) -> DataFrame:
     return model.transform(df).select(*df.columns, vector_to_array("probability")[1].alias(name))
 
 
@@ -62,7 +91,7 @@ def score_fusion(meta: DataFrame, fusion: Fusion, key: str, cutoff: float = 0.5)
         F.when(F.col("_mask").bitwiseAND(1 << i) != 0, F.col(c)).otherwise(F.lit(fusion.background[c])).alias(c)
         for i, c in enumerate(META_FEATURES)
     ])
-    scored = _probability(mixed, fusion.model, "_f")
+    scored = probability(mixed, fusion.model, "_f")
 
     def share(i: int, mask: int) -> float:
         size = mask.bit_count()
@@ -91,3 +120,23 @@ def score_end_to_end(
     """Raw postings to the fused result."""
     clean = clean_postings(raw, dedupe=False)
     return score_fusion(meta_features(clean, classifier, forest, [key]), fusion, key)
+
+
+# --- storage --------------------------------------------------------------
+
+
+def save_scorer(spark: SparkSession, classifier: PipelineModel, fusion: Fusion, path: str) -> None:
+    """Store the text model and the fusion below ``path``."""
+    classifier.write().overwrite().save(f"{path}/text")
+    fusion.model.write().overwrite().save(f"{path}/fusion")
+    means = spark.createDataFrame([tuple(fusion.background[c] for c in META_FEATURES)], META_FEATURES)
+    means.coalesce(1).write.mode("overwrite").parquet(f"{path}/background")
+
+
+def load_scorer(spark: SparkSession, path: str) -> tuple[PipelineModel, Fusion] | None:
+    """The stored text model and fusion; None where nothing readable is stored."""
+    stored = read_stored(spark, path, "background")
+    if stored is None:
+        return None
+    classifier, model = (PipelineModel.load(f"{path}/{part}") for part in ("text", "fusion"))
+    return classifier, Fusion(model, stored[0].first().asDict())

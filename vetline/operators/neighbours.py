@@ -25,9 +25,8 @@ from vetline.operators.ordered import quantiles_of_counts, value_counts_of
 from vetline.operators.sampling import stratified_folds
 from vetline.runtime import read_stored, settle, side_by_side
 
-RANGE_VECTORS = 4096  # distinct fitted vectors per range
+RANGE_VECTORS = 512  # distinct fitted vectors per range
 CHUNK_QUERIES = 16_384  # distinct queries per task
-MAX_RANGES = 4096
 SALTS = 16  # parts that the rows of one vector are dealt to when they look up its factor
 LRD_GUARD = 1e-10  # keeps the density of a vector among its copies finite
 
@@ -57,14 +56,14 @@ def _splits(fitted: DataFrame, axis: str, k: int, range_vectors: int) -> tuple[l
     only where many vectors share one value on the axis.
     """
     rows = fitted.count()
-    n_ranges = min(MAX_RANGES, -(-rows // max(range_vectors, k)))
+    n_ranges = -(-rows // max(range_vectors, k))
     low, high = float("-inf"), float("inf")
     probs = [i / n_ranges for i in range(1, n_ranges)]
     cuts = sorted(set(fitted.approxQuantile(axis, probs, 0.1 / n_ranges))) if probs else []
     if not cuts:
         return [low, high], rows
     ranged = Bucketizer(splits=[low, *cuts, high], inputCol=axis, outputCol="_r").transform(fitted)
-    # One row per range, at most MAX_RANGES.
+    # One row per range: a small share of the distinct vectors.
     held = {int(r["_r"]): r["count"] for r in ranged.groupBy("_r").count().collect()}
     kept, sizes, pending = [], [], 0
     for i, cut in enumerate(cuts):
@@ -87,7 +86,15 @@ def _nearest(queries: np.ndarray, fitted: np.ndarray, k: int):
         d2 = np.zeros((len(part), len(fitted)))
         for j in range(fitted.shape[1]):
             d2 += (part[:, j, None] - fitted[None, :, j]) ** 2
-        order = np.argsort(d2, axis=1, kind="stable")[:, :k]
+        if k < d2.shape[1]:
+            # All rows within the k-th distance, ties included, are then ordered by distance and position.
+            reach = np.partition(d2, k - 1, axis=1)[:, k - 1]
+            order = np.empty((len(part), k), int)
+            for i, row in enumerate(d2):
+                near = np.flatnonzero(row <= reach[i])
+                order[i] = near[np.argsort(row[near], kind="stable")[:k]]
+        else:
+            order = np.argsort(d2, axis=1, kind="stable")
         yield part, order, np.take_along_axis(d2, order, axis=1)
 
 
@@ -137,7 +144,7 @@ def _chunked(
         sizes = {"_chunks": queries.agg(chunks).scalar(), "_parts": fitted.agg(parts).scalar()}
         asked, held = (df.select("*", one).withColumns(sizes) for df in (queries, fitted))
     else:
-        # One row per range, at most MAX_RANGES.
+        # One row per range.
         sizes = F.broadcast(queries.groupBy("_r").agg(chunks).join(fitted.groupBy("_r").agg(parts), "_r"))
         asked, held = queries.join(sizes, "_r"), fitted.join(sizes, "_r")
 

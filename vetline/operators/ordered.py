@@ -1,9 +1,8 @@
 """Running totals and exact quantiles along an order, without a one-task window.
 
-Rows are first compacted to one per distinct value. A compact table that is
-small (checked by counting) is ranked in one window per key; a larger one is
-cut into value ranges that are ranked in parallel and shifted by the totals of
-the ranges before them.
+Rows are first compacted to one per distinct value. The compact table is cut into value
+ranges of about RANGE_ROWS rows, as many as it takes; ranges are ranked in parallel and
+shifted by the totals of the ranges before them. A table that fills one range needs no shift.
 """
 
 from pyspark.ml.feature import Bucketizer
@@ -12,20 +11,14 @@ from pyspark.sql import functions as F
 
 from vetline.runtime import settle
 
-RANGE_ROWS = 100_000  # distinct values one window task may hold
-MAX_RANGES = 4096
-MAX_TEXT_CUTS = 255
+RANGE_ROWS = 10_000  # distinct values one window task holds, about
 
 
-def _value_range(df: DataFrame, order: str, rows: int, range_rows: int) -> DataFrame:
+def _value_range(df: DataFrame, order: str, n_ranges: int) -> DataFrame:
     """Add ``_range``, the number of the value range a row falls in."""
-    n_ranges = min(MAX_RANGES, -(-rows // range_rows))
     if dict(df.dtypes)[order] == "string":
-        # A hash sample of the values; the driver sees at most MAX_TEXT_CUTS of them.
-        sample = df.select(order).distinct().orderBy(F.xxhash64(order), order)
-        cuts = [r[0] for r in sample.limit(min(n_ranges, MAX_TEXT_CUTS)).collect()]
-        below = F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(order))
-        return df.withColumn("_range", F.size(below))
+        # Spark's own range partitioning; settled, as its cuts come from a sample.
+        return settle(df.repartitionByRange(n_ranges, order).withColumn("_range", F.spark_partition_id()))
     probs = [i / n_ranges for i in range(1, n_ranges)]
     cuts = sorted(set(df.approxQuantile(order, probs, 0.25 / n_ranges)))
     splits = [float("-inf"), *cuts, float("inf")]
@@ -47,21 +40,15 @@ def running_totals(
     string; the keys are not null.
     """
     keys = keys or []
-    rows = compact.count()
-
-    def ordered(window):
-        by = F.desc(order) if descending else F.asc(order)
-        return window.orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-    if rows <= range_rows:
-        w = ordered(Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0)))
-        return compact.withColumns({f"cum_{s}": F.sum(s).over(w) for s in sums})
-
-    ranged = _value_range(compact, order, rows, range_rows)
+    n_ranges = max(1, -(-compact.count() // range_rows))
+    by = F.desc(order) if descending else F.asc(order)
+    ranged = compact.withColumn("_range", F.lit(0)) if n_ranges == 1 else _value_range(compact, order, n_ranges)
     group = [*keys, "_range"]
-    w = ordered(Window.partitionBy(*group))
+    w = Window.partitionBy(*group).orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = ranged.withColumns({f"cum_{s}": F.sum(s).over(w) for s in sums})
-    # One row per key and range: at most MAX_RANGES rows in any window group.
+    if n_ranges == 1:
+        return inside.drop("_range")
+    # One row per key and range in this window: 1 / RANGE_ROWS of the distinct values.
     by = F.desc("_range") if descending else F.asc("_range")
     before = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(by)
     before = before.rowsBetween(Window.unboundedPreceding, -1)

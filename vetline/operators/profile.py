@@ -3,7 +3,6 @@
 from functools import reduce
 from itertools import combinations_with_replacement
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,12 +92,13 @@ def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     )
     # The deviation is summed around the mean; squares of raw values would cancel.
     off = F.col("value") - F.col("mean")
+    mean = F.broadcast(mean)  # one row per column
     spread = (
         counts.join(mean, "column").groupBy("column")
         .agg(F.sum(F.col("n") * off * off).alias("_ss"))
     )
     q = F.col("quantiles")
-    return quartiles.join(mean, "column").join(spread, "column").select(
+    return quartiles.join(mean, "column").join(F.broadcast(spread), "column").select(
         "column", F.col("n").alias("count"), "mean",
         F.sqrt(F.try_divide("_ss", F.col("n") - 1)).alias("std"), "min",
         q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), "max",
@@ -145,8 +145,13 @@ def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def stop_words(junk=tuple(schema.JUNK_WORDS)) -> list[str]:
-    """The library's English list plus the junk words."""
-    return sorted({*StopWordsRemover.loadDefaultStopWords("english"), *junk})
+    """The English list plus the junk words."""
+    return sorted({*schema.STOP_WORDS, *junk})
+
+
+def row_by_key(df: DataFrame, key: str, value: Column) -> DataFrame:
+    """The one row with this key, for scoring by itself."""
+    return df.where(F.col(key) == value)
 
 
 def word_frequency(df: DataFrame, words: Column, drop: list[str] | None = None) -> DataFrame:
@@ -193,7 +198,10 @@ def histogram(df: DataFrame, value: Column, bins: int = 10) -> DataFrame:
 
 
 def box_stats(df: DataFrame, value: Column, key: str) -> DataFrame:
-    """Quartiles, whiskers at the last values within 1.5 IQR, outlier count per key."""
+    """Quartiles, whiskers, outlier count per key.
+
+    A whisker ends at the last value within 1.5 IQR of the box, and never inside the box.
+    """
     counts = settle(value_counts_of(df, value, [key]))
     q = F.col("quantiles")
     fences = quantiles_of_counts(counts, [0.25, 0.5, 0.75], [key]).select(
@@ -201,11 +209,15 @@ def box_stats(df: DataFrame, value: Column, key: str) -> DataFrame:
         (q[0] - (q[2] - q[0]) * 1.5).alias("_low"), (q[2] + (q[2] - q[0]) * 1.5).alias("_high"),
     )
     inside = (F.col("value") >= F.col("_low")) & (F.col("value") <= F.col("_high"))
-    return counts.join(fences, key).groupBy(key, "q1", "median", "q3").agg(
-        F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
-        F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
+    found = counts.join(fences, key).groupBy(key, "q1", "median", "q3").agg(
+        F.min(F.when(inside, F.col("value"))).alias("_low"),
+        F.max(F.when(inside, F.col("value"))).alias("_high"),
         F.sum(F.when(inside, 0).otherwise(F.col("n"))).alias("outliers"),
     )
+    return found.select(
+        key, "q1", "median", "q3", F.least("_low", "q1").alias("whisker_low"),
+        F.greatest("_high", "q3").alias("whisker_high"), "outliers",
+    )
 
 
 def class_weights(df: DataFrame, label: str = "fraudulent") -> DataFrame:
@@ -242,9 +254,10 @@ def mutual_information(df: DataFrame, columns: list[str], label: str = "fraudule
     by_x = cells.groupBy("feature", "x").agg(F.sum("n").alias("n_x"))
     by_y = cells.groupBy("feature", label).agg(F.sum("n").alias("n_y"))
     total = cells.groupBy("feature").agg(F.sum("n").alias("n_all"))
+    # Few rows: one per column and label value, one per column.
     joined = (
         cells.join(by_x, ["feature", "x"])
-        .join(by_y, ["feature", label]).join(total, "feature")
+        .join(F.broadcast(by_y), ["feature", label]).join(F.broadcast(total), "feature")
     )
     n, nx, ny, na = (F.col(c).cast("double") for c in ("n", "n_x", "n_y", "n_all"))
     info = F.sum(n / na * F.ln(n * na / (nx * ny)))

@@ -4,13 +4,13 @@ Rows are ordered by a digest of (seed, key). A part of a class is a range of
 that order, so it has an exact size, needs no sort of the table, and does not
 change when the table is read in another order. The cut points are found from
 counts per digest prefix; only the rows in the prefix a cut falls into are
-ranked. ``key`` must identify a row; see ``with_row_key`` where there is none.
+ranked. There are about as many prefixes as rows share one, at every size of the table. ``key`` must identify a row; see ``with_row_key`` where there is none.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PREFIX_DIGITS = 4  # 65,536 prefixes: a cut ranks 1 / 65,536 of a class
+MAX_CLASSES = 10_000  # label values whose cut points may travel with every task
 
 
 def digest(key: Column, seed: int) -> Column:
@@ -18,16 +18,21 @@ def digest(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
 
 
-def _cuts(df: DataFrame, label: Column, key: str, bounds: list[float], seed: int, digits: int) -> DataFrame:
+def _cuts(df: DataFrame, label: Column, key: str, bounds: list[float], seed: int) -> DataFrame:
     """One row per class: ``_cut``, the first digest of each part after the first.
 
     A cut past the last row of its class is null.
     """
     rows = df.select(
         F.struct(label.alias("_label")).alias("_class"), digest(F.col(key), seed).alias("_h")
-    ).withColumn("_prefix", F.substring("_h", 1, digits))
+    )
+    # Hex digits that give some sqrt(rows) prefixes, so that some sqrt(rows) rows share each.
+    digits = rows.agg(
+        F.greatest(F.lit(1), F.ceil(F.log(16.0, F.greatest(F.count(F.lit(1)), F.lit(1))) / 2)).cast("int")
+    ).scalar()
+    rows = rows.withColumn("_digits", digits).withColumn("_prefix", F.expr("substring(_h, 1, _digits)")).drop("_digits")
     counts = rows.groupBy("_class", "_prefix").agg(F.count(F.lit(1)).alias("_n"))
-    # At most 16 ** digits rows per class in this window.
+    # Some sqrt(rows) prefixes per class in this window.
     upto = Window.partitionBy("_class").orderBy("_prefix")
     whole = Window.partitionBy("_class")
     ranked = counts.withColumns({
@@ -45,7 +50,7 @@ def _cuts(df: DataFrame, label: Column, key: str, bounds: list[float], seed: int
         "_class", "_prefix", "_part",
         (F.col("_rank") - F.col("_end") + F.col("_n") + 1).alias("_nth"),
     )
-    # Only rows that share a cut's prefix: a 16 ** -digits share of the class.
+    # Only rows that share a cut's prefix: some sqrt(rows) of the class.
     near = rows.join(hit, ["_class", "_prefix"])
     nth = F.row_number().over(Window.partitionBy("_class", "_part").orderBy("_h"))
     found = near.withColumn("_i", nth).where(F.col("_i") == F.col("_nth"))
@@ -62,13 +67,13 @@ def assign_parts(
     key: str,
     label: str | None = None,
     seed: int = 42,
-    digits: int = PREFIX_DIGITS,
     name: str = "part",
 ) -> DataFrame:
     """Add ``name``: the 0-based part of each row, by exact shares per class.
 
     Every class is divided by ``fractions`` (which sum to 1) to within one row.
-    The wide rows are not shuffled: they only look up their class's cut points.
+    The wide rows are not shuffled: the cut points of all classes travel as one map (at
+    most MAX_CLASSES entries), in which a row looks up its own.
     """
     bounds, total = [], 0.0
     for f in fractions[:-1]:
@@ -76,11 +81,16 @@ def assign_parts(
         bounds.append(round(total, 15))
     rows = df.withColumn("_h", digest(F.col(key), seed))
     if label is None:
-        cuts = _cuts(df, F.lit(0), key, bounds, seed, digits)
+        cuts = _cuts(df, F.lit(0), key, bounds, seed)
         rows = rows.withColumn("_cut", cuts.select("_cut").scalar())
     else:
-        cuts = _cuts(df, F.col(label), key, bounds, seed, digits)
-        rows = rows.withColumn("_class", F.struct(F.col(label).alias("_label"))).join(cuts, "_class", "left")
+        cuts = _cuts(df, F.col(label), key, bounds, seed)
+        listed = F.collect_list(F.struct("_class", "_cut"))
+        by_class = cuts.agg(
+            F.when(F.size(listed) <= MAX_CLASSES, F.map_from_entries(listed)).otherwise(
+                F.raise_error(F.lit(f"more than {MAX_CLASSES} values of {label}: too many to split by")))
+        ).scalar()
+        rows = rows.withColumn("_cut", F.try_element_at(by_class, F.struct(F.col(label).alias("_label"))))
     # A null cut lies past the end of the class.
     passed = [
         F.coalesce(F.col("_h") >= F.get("_cut", F.lit(i)), F.lit(False)).cast("int")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from vetline import schema
 from vetline.operators import iforest, metrics, neighbours, profile, selection, tuning
 from vetline.plans.evaluation import baseline_metrics, report_rows
+from vetline.plans.postings import table
 from vetline.plans.views import KEY, LABEL, single, split_scored, sql
 from vetline.runtime import fresh_path, settle
 
@@ -117,7 +118,7 @@ def _fraction(what):
     return f"(CAST('0x' || substr({digest}, 1, 13) AS UBIGINT) / CAST(4503599627370496 AS DOUBLE))"
 
 
-def forest_ctes(tag="", train="split = 'train'", val="split = 'val'", source="split"):
+def forest_ctes(tag="", train="split = 'train'", val="split = 'val'", source="split", val_source=None):
     """Trees grown row by row from the same digests; scores of distinct vectors; of rows.
 
     sm: samples, gr: sampled rows at every node, nd: nodes, fw: walks of all vectors, fs: raw
@@ -142,7 +143,7 @@ def forest_ctes(tag="", train="split = 'train'", val="split = 'val'", source="sp
     equal = " AND ".join(f"a.f{k} = b.f{k}" for k in i)
     return {
         f"ft_{t}": f"SELECT {KEY}, {LABEL}, {named} FROM {source} WHERE {train}",
-        f"fq_{t}": f"SELECT {KEY}, {LABEL}, {named}, {_F} FROM {source} WHERE {val}",
+        f"fq_{t}": f"SELECT {KEY}, {LABEL}, {named}, {_F} FROM {val_source or source} WHERE {val}",
         f"sm_{t}": f"""SELECT tree, 1 AS node, 0 AS depth, {fs} FROM (SELECT *, row_number() OVER (PARTITION BY tree
             ORDER BY md5('{_SEED}:' || tree || ':' || {KEY}), {KEY}) AS place
             FROM ft_{t}, (SELECT CAST(range AS INTEGER) AS tree FROM range({_TREES}))) WHERE place <= {size}""",
@@ -163,12 +164,12 @@ def forest_ctes(tag="", train="split = 'train'", val="split = 'val'", source="sp
     }
 
 
-def forest_sql(body, extra=None, **source):
+def forest_sql(body, before=None, **source):
     """Like ``sql`` up to the split rows, with the forest in front of the body."""
-    return sql(body, "split", forest_ctes(**source) | (extra or {})).replace("WITH ", "WITH RECURSIVE ", 1)
+    return sql(body, "split", (before or {}) | forest_ctes(**source)).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-def _offset(c, tag=""):
+def offset_sql(c, tag=""):
     return f"(SELECT quantile_cont(factor, {c}) FROM fr{tag})"
 
 
@@ -249,8 +250,8 @@ def lof_cv(spark, sf_dir):
 
 
 @query("iforest_scores", forest_sql(
-    f"""SELECT {KEY}, {LABEL}, {_F}, factor - {_offset(0.05)} AS anomaly_score,
-        CAST(CASE WHEN factor < {_offset(0.05)} THEN -1 ELSE 1 END AS INTEGER) AS anomaly_label FROM qr"""))
+    f"""SELECT {KEY}, {LABEL}, {_F}, factor - {offset_sql(0.05)} AS anomaly_score,
+        CAST(CASE WHEN factor < {offset_sql(0.05)} THEN -1 ELSE 1 END AS INTEGER) AS anomaly_label FROM qr"""))
 def iforest_scores(spark, sf_dir):
     train, val = _split(spark, sf_dir)
     model = iforest.fit_forest(train, KEY, FEATURES, contamination=0.05)
@@ -258,8 +259,8 @@ def iforest_scores(spark, sf_dir):
 
 
 @query("iforest_fraud_convention", forest_sql(
-    f"""SELECT {KEY}, {LABEL}, {_F}, -(factor - {_offset(0.1)}) AS anomaly_score,
-        CAST(CASE WHEN factor < {_offset(0.1)} THEN 1 ELSE 0 END AS INTEGER) AS anomaly_label FROM qr"""))
+    f"""SELECT {KEY}, {LABEL}, {_F}, -(factor - {offset_sql(0.1)}) AS anomaly_score,
+        CAST(CASE WHEN factor < {offset_sql(0.1)} THEN 1 ELSE 0 END AS INTEGER) AS anomaly_label FROM qr"""))
 def iforest_fraud_convention(spark, sf_dir):
     train, val = _split(spark, sf_dir)
     model = iforest.fit_forest(train, KEY, FEATURES, contamination=0.1)
@@ -332,9 +333,9 @@ def model_comparison(spark, sf_dir):
 
 DEFAULT_CONTAMINATION = 0.05
 _PREDICTED = {
-    "pred": f"""SELECT 'IF' AS model, {LABEL}, -factor AS suspicion, CASE WHEN factor < {_offset(DEFAULT_CONTAMINATION, '_f')}
+    "pred": f"""SELECT 'IF' AS model, {LABEL}, -factor AS suspicion, CASE WHEN factor < {offset_sql(DEFAULT_CONTAMINATION, '_f')}
         THEN 1 ELSE 0 END AS p FROM qr_f UNION ALL SELECT 'LOF', {LABEL}, -factor,
-        CASE WHEN factor < {_offset(DEFAULT_CONTAMINATION)} THEN 1 ELSE 0 END FROM qr""",
+        CASE WHEN factor < {offset_sql(DEFAULT_CONTAMINATION)} THEN 1 ELSE 0 END FROM qr""",
     "cells": f"SELECT model, {_CELLS} FROM pred GROUP BY model",
 }
 
@@ -413,6 +414,49 @@ def lof_cv_summary(spark, sf_dir):
     return _cv_summary(lof_cv(spark, sf_dir))
 
 
+# --- the same searches over tables with many distinct vectors ----------------
+
+_PRICE = ["o_totalprice", "o_custkey"]
+
+
+def _with(body, ctes):
+    return "WITH " + ",\n".join(f"{n} AS ({q})" for n, q in ctes.items()) + f"\n{body}"
+
+
+@query("knn_orders", _with(
+    """SELECT * FROM (SELECT q.o_totalprice, q.o_custkey, CAST(row_number() OVER (PARTITION BY q.o_totalprice, q.o_custkey
+        ORDER BY d2, n_o_totalprice, n_o_custkey) AS INTEGER) AS rank, n_o_totalprice, n_o_custkey, d2, weight FROM (
+        SELECT q.*, n.o_totalprice AS n_o_totalprice, n.o_custkey AS n_o_custkey, n.weight,
+        (q.o_totalprice - n.o_totalprice) * (q.o_totalprice - n.o_totalprice)
+        + (q.o_custkey - n.o_custkey) * (q.o_custkey - n.o_custkey) AS d2 FROM qv q, v n) q) WHERE rank <= 5""", {
+        "o": "SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS o_totalprice, CAST(o_custkey AS DOUBLE) AS o_custkey FROM orders",
+        "v": "SELECT o_totalprice, o_custkey, count(*) AS weight FROM o GROUP BY o_totalprice, o_custkey",
+        "qv": "SELECT DISTINCT o_totalprice, o_custkey FROM o WHERE o_orderkey % 50 = 0"}))
+def knn_orders(spark, sf_dir):
+    """The five nearest orders by price and customer, for every order whose key 50 divides."""
+    orders = table(spark, sf_dir, "orders")
+    fitted = settle(neighbours.distinct_vectors(orders, _PRICE))
+    asked = neighbours.distinct_vectors(orders.where("o_orderkey % 50 = 0"), _PRICE).select(*_PRICE)
+    near = neighbours.nearest_vectors(asked, fitted, _PRICE, 5)
+    rows = near.select(*_PRICE, F.posexplode("near").alias("_pos", "e"))
+    return rows.select(*_PRICE, (F.col("_pos") + 1).alias("rank"), *[
+        F.col(f"e.n_{f}").alias(f"n_{f}") for f in _PRICE], F.col("e.d2").alias("d2"), F.col("e.w").alias("weight"))
+
+
+_CUSTOMERS = ["c_acctbal", "c_nationkey", "0", "0"]  # in place of the four features
+
+
+@query("lof_customers", _with(
+    f"SELECT CAST(20 AS INTEGER) AS k, {_F}, weight, {single('factor')} AS factor FROM ft", {
+        "cust": "SELECT " + ", ".join(f"{c} AS {f}" for c, f in zip(_CUSTOMERS, FEATURES)) + " FROM customer",
+        **dict(list(lof_ctes(20, train="true", source="cust").items())[:5])}))
+def lof_customers(spark, sf_dir):
+    """Factors of all customers by balance and nation."""
+    rows = table(spark, sf_dir, "customer").selectExpr(
+        *[f"{c} AS {f}" for c, f in zip(_CUSTOMERS, FEATURES)])
+    return neighbours.fit_lof(rows, FEATURES, [20]).table.select("k", *FEATURES, "weight", "factor")
+
+
 # --- the winner -----------------------------------------------------------
 
 _WINNER_KS = sorted({*schema.NEIGHBOUR_COUNTS, 20})
@@ -434,8 +478,8 @@ _WINNER |= {
 
 
 def _winner_rows(tag, c, where):
-    return f"""SELECT {KEY}, {LABEL}, {_F}, -(factor - {_offset(c, tag)}) AS outlier_score,
-        CAST(CASE WHEN factor < {_offset(c, tag)} THEN 1 ELSE 0 END AS INTEGER) AS outlier_predict
+    return f"""SELECT {KEY}, {LABEL}, {_F}, -(factor - {offset_sql(c, tag)}) AS outlier_score,
+        CAST(CASE WHEN factor < {offset_sql(c, tag)} THEN 1 ELSE 0 END AS INTEGER) AS outlier_predict
         FROM qr{tag}, choice WHERE {where}"""
 
 

@@ -2,7 +2,7 @@
 
 The test tables hold no postings, so every attribute is made up from a
 document's length by a fixed rule; the description is the document's whole
-text. The rules are SQL expressions that Spark and the checking engine share.
+text, the title its first line. The rules are SQL expressions that Spark and the checking engine share.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 # Attribute rules; d is documents, l is labels.
 RULES = {
     "job_id": "d.doc_id",
-    "title": "substr(d.text, 1, 40)",
+    "title": "split_part(d.text, chr(10), 1)",
     "location": """CASE d.n_chars % 6 WHEN 0 THEN 'US, NY, New York' WHEN 1 THEN 'GB, LND, London'
         WHEN 2 THEN ' DE , BE, Berlin' WHEN 3 THEN ', CA, Toronto' WHEN 5 THEN 'unknown' END""",
     "department": """CASE d.n_chars % 4 WHEN 0 THEN 'Sales' WHEN 1 THEN 'Engineering' WHEN 2 THEN '' END""",
@@ -23,7 +23,7 @@ RULES = {
         WHEN 1 THEN concat('Company ', CAST(d.n_chars % 97 AS VARCHAR(20))) END""",
     "description": """CASE WHEN d.n_chars % 3 = 0 THEN concat('<p>', d.text, '</p>')
         WHEN d.n_chars % 11 = 0 THEN ' ' ELSE d.text END""",
-    "requirements": "CASE WHEN d.n_chars % 2 = 0 THEN substr(d.text, 41, 200) END",
+    "requirements": "CASE WHEN d.n_chars % 2 = 0 THEN concat('Needed: ', d.text) END",
     "benefits": """CASE d.n_chars % 5 WHEN 0 THEN 'unknown' WHEN 1 THEN 'Unknown'
         WHEN 3 THEN 'Paid leave - 401(k)' WHEN 4 THEN 'Paid leave - 401(k)' END""",
     "telecommuting": """CASE d.n_chars % 4 WHEN 0 THEN 't' WHEN 1 THEN 'f' WHEN 2 THEN ' T ' END""",

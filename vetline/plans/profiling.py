@@ -168,7 +168,10 @@ def top_words(spark, sf_dir):
         clean(spark, sf_dir), text.clean_eda(F.col("description")), 20, list(schema.JUNK_WORDS))
 
 
-@query("top_words_without_stop_words")
+@query("top_words_without_stop_words", sql(
+    f"""SELECT word, count(*) AS count FROM ({_WORDS})
+        WHERE word NOT IN ({quoted([*schema.STOP_WORDS, *schema.JUNK_WORDS])})
+        GROUP BY word ORDER BY count DESC, word LIMIT 20""", "clean"))
 def top_words_without_stop_words(spark, sf_dir):
     return profile.top_words(clean(spark, sf_dir), text.clean_eda(F.col("description")), 20)
 
@@ -201,8 +204,10 @@ def word_count_histogram(spark, sf_dir):
 
 @query("length_boxplot", sql(
     f"""SELECT s.fraudulent, q1, median, q3,
-          min(x) FILTER (x >= q1 - 1.5 * (q3 - q1) AND x <= q3 + 1.5 * (q3 - q1)) AS whisker_low,
-          max(x) FILTER (x >= q1 - 1.5 * (q3 - q1) AND x <= q3 + 1.5 * (q3 - q1)) AS whisker_high,
+          CASE WHEN min(x) FILTER (x >= q1 - 1.5 * (q3 - q1)) > q1 THEN q1
+            ELSE min(x) FILTER (x >= q1 - 1.5 * (q3 - q1)) END AS whisker_low,
+          CASE WHEN max(x) FILTER (x <= q3 + 1.5 * (q3 - q1)) < q3 THEN q3
+            ELSE max(x) FILTER (x <= q3 + 1.5 * (q3 - q1)) END AS whisker_high,
           count(*) FILTER (x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1)) AS outliers
         FROM lens s JOIN (SELECT fraudulent, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median,
           quantile_cont(x, 0.75) AS q3 FROM lens GROUP BY fraudulent) q ON q.fraudulent = s.fraudulent

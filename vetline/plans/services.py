@@ -1,16 +1,19 @@
 """Registered queries: file round trip, pages, stream, text classifier, fusion."""
 
+from pyspark.sql import functions as F
+
 from vetline import schema
 from vetline.functions import text
-from vetline.operators import classifier, fusion, iforest, sampling
+from vetline.operators import classifier, fusion, iforest, profile, sampling
 from vetline.operators.clean import clean_postings
 from vetline.operators.encode import encode_features
 from vetline.plans import views
+from vetline.plans.models import forest_sql, offset_sql
 from vetline.plans.postings import postings_of, raw_postings, table
 from vetline.plans.views import CLEAN_COLUMNS, KEY, LABEL, clean, sql, strip
 from vetline.runtime import fresh_path, settle
 from vetline.sources import files, pages
-from vetline.streaming.scoring import score_postings, write_scored
+from vetline.streaming.scoring import landed_postings, score_postings, write_scored
 
 QUERIES, ORACLES = {}, {}
 
@@ -68,28 +71,101 @@ def stream_encoded_postings(spark, sf_dir):
     return files.read_table(spark, path)
 
 
-def _text_rows(spark, sf_dir):
-    df = clean(spark, sf_dir).select(KEY, LABEL, text.raw_full_text().alias("text"))
-    return sampling.stratified_split(settle(df), KEY, LABEL)
+#: Share of the training rows that the text model is fitted on.
+TEXT_SAMPLE = 0.3
+
+
+def _split_keys(spark, sf_dir):
+    """(key, label, split) of the rows that remain after cleaning; narrow, computed once."""
+    return settle(sampling.stratified_split(settle(clean(spark, sf_dir).select(KEY, LABEL)), KEY, LABEL))
+
 
+def _cleaned(spark, sf_dir):
+    """All cleaned postings, copies included; the keys of a split pick those that count."""
+    return clean_postings(raw_postings(spark, sf_dir), dedupe=False)
 
-@query("text_classifier")
+
+def _texts(spark, sf_dir):
+    return _cleaned(spark, sf_dir).select(KEY, text.raw_full_text().alias("text"))
+
+
+@query("text_classifier", sql(
+    "SELECT job_id, fraudulent, true AS is_probability FROM split WHERE split = 'val'", "split"))
 def text_classifier(spark, sf_dir):
-    rows = _text_rows(spark, sf_dir)
-    train = classifier.with_class_weights(settle(rows.where("split = 'train'")))
-    # The sample is read by every pass of the fit.
-    model = classifier.fit_text_classifier(settle(sampling.exact_sample(train, KEY, 0.3)))
-    scored = classifier.predict_proba(rows.where("split = 'val'"), model)
+    """Validation rows with whether their score is a probability; the score itself has no SQL twin."""
+    scored = text_scores(spark, sf_dir)
+    return scored.select(KEY, LABEL, F.col("nlp_score").between(0, 1).alias("is_probability"))
+
+
+@query("text_scores")
+def text_scores(spark, sf_dir):
+    keys = _split_keys(spark, sf_dir)
+    weighted = classifier.with_class_weights(keys.where("split = 'train'"))
+    sample = sampling.exact_sample(settle(weighted), KEY, TEXT_SAMPLE)
+    texts = _texts(spark, sf_dir)
+    model = classifier.fit_text_classifier(texts.join(sample, KEY))
+    scored = classifier.predict_proba(texts.join(keys.where("split = 'val'"), KEY), model)
     return scored.select(KEY, LABEL, "nlp_score")
 
 
+@query("landed_scores", forest_sql(
+    f"""SELECT CAST({KEY} AS VARCHAR) AS {KEY}, {', '.join(schema.FEATURES)}, factor - {offset_sql(0.05)} AS anomaly_score,
+        CAST(CASE WHEN factor < {offset_sql(0.05)} THEN -1 ELSE 1 END AS INTEGER) AS anomaly_label FROM qr""",
+    before={"enc1": views.features_sql("single")}, val="true", val_source="enc1"))
+def landed_scores(spark, sf_dir):
+    """Postings written as CSV, streamed from the folder and scored with a stored forest."""
+    train = settle(views.split_scored(spark, sf_dir).select(KEY, "split", *schema.FEATURES)).where("split = 'train'")
+    model = fresh_path(spark, "forest")
+    iforest.save_forest(spark, iforest.fit_forest(train, KEY, contamination=0.05), model)
+    landed = fresh_path(spark, "landed")
+    files.write_csv(raw_postings(spark, sf_dir).select(KEY, *schema.RAW_COLUMNS), landed)
+    scored = score_postings(landed_postings(spark, landed, KEY), iforest.load_forest(spark, model), [KEY])
+    path, checkpoint = fresh_path(spark, "scored"), fresh_path(spark, "stream-state")
+    write_scored(scored, path, checkpoint).awaitTermination()
+    return files.read_table(spark, path)
+
+
+@query("posting_by_key", sql(
+    f"SELECT {KEY}, {', '.join(schema.FEATURES)} FROM enc WHERE {KEY} = (SELECT max({KEY}) FROM clean)", "enc"))
+def posting_by_key(spark, sf_dir):
+    rows = views.encoded(spark, sf_dir).drop(LABEL)
+    return profile.row_by_key(rows, KEY, rows.agg(F.max(KEY)).scalar())
+
+
+def _fused(spark, sf_dir):
+    """(scored postings, fusion): trained, stored, read back and applied to all raw postings."""
+    keys = _split_keys(spark, sf_dir)
+    train = _cleaned(spark, sf_dir).drop(LABEL).join(keys.where("split = 'train'").drop("split"), KEY)
+    weighted = settle(classifier.with_class_weights(keys.where("split = 'train'")).drop("split"))
+    texts = _texts(spark, sf_dir).join(weighted, KEY)
+    nlp = classifier.fit_text_classifier(texts)
+    forest = iforest.fit_forest(settle(encode_features(train, keep=[KEY])), KEY, contamination=0.1)
+    unseen = settle(fusion.out_of_fold_scores(texts, KEY, LABEL))
+    fused = fusion.fit_fusion(settle(fusion.meta_features(train, None, forest, [KEY, LABEL], unseen)))
+    path = fresh_path(spark, "scorer")
+    fusion.save_scorer(spark, nlp, fused, path)
+    nlp, fused = fusion.load_scorer(spark, path)
+    return fusion.score_end_to_end(raw_postings(spark, sf_dir), nlp, forest, fused, KEY), fused
+
+
 @query("fused_scores")
 def fused_scores(spark, sf_dir):
-    raw = settle(raw_postings(spark, sf_dir))
-    rows = sampling.stratified_split(settle(clean_postings(raw)), KEY, LABEL)
-    train = settle(rows.where("split = 'train'").drop("split"))
-    texts = classifier.with_class_weights(train.select(KEY, LABEL, text.raw_full_text().alias("text")))
-    nlp = classifier.fit_text_classifier(settle(texts))
-    forest = iforest.fit_forest(encode_features(train, keep=[KEY]), KEY, contamination=0.1)
-    fused = fusion.fit_fusion(settle(fusion.meta_features(train, nlp, forest, [KEY, LABEL])))
-    return fusion.score_end_to_end(raw, nlp, forest, fused, KEY)
+    return _fused(spark, sf_dir)[0]
+
+
+@query("fused_checks",
+       "SELECT doc_id AS job_id, true AS is_probability, true AS label_fits, true AS attributions_add_up FROM documents")
+def fused_checks(spark, sf_dir):
+    """Every posting: a probability, the label that goes with it, attributions that sum to the difference.
+
+    The attributions of a row sum to its score minus the score of the training means.
+    """
+    scored, fused = _fused(spark, sf_dir)
+    means = spark.createDataFrame([fused.background]).select(*fusion.META_FEATURES)
+    base = fusion.probability(means, fused.model, "p").first()["p"]
+    total = F.aggregate(F.map_values("shap_values"), F.lit(0.0), lambda a, v: a + v)
+    return scored.select(
+        KEY, F.col("fraud_score").between(0, 1).alias("is_probability"),
+        ((F.col("fraud_score") >= 0.5) == (F.col("label") == "Fraudulent")).alias("label_fits"),
+        (F.abs(total - (F.col("fraud_score") - base)) < 1e-9).alias("attributions_add_up"),
+    )

@@ -29,6 +29,7 @@ CSV_NULL_TOKENS = [
 TRUE_TOKENS = ["t", "true", "1"]
 FALSE_TOKENS = ["f", "false", "0"]
 
+# Columns by kind.
 BINARY_COLUMNS = [
     "telecommuting", "has_company_logo", "has_questions",
     "fraudulent", "in_balanced_dataset",
@@ -65,12 +66,12 @@ EDUCATION_CODES = {
 # Fixed value: median salary midpoint of the training table.
 TRAIN_SALARY_MEDIAN = 44000.0
 
-# The four scored features; the order is part of the model contract.
+# The four scored features; the order is part of the model contract.
 FEATURES = [
     "salary_processed", "employment_type", "has_company_logo", "required_education",
 ]
 
-# Columns of the one-hot metadata model.
+# Columns of the one-hot metadata model.
 METADATA_COLUMNS = [
     "location", "telecommuting", "has_company_logo", "has_questions",
     "employment_type", "required_experience", "required_education",
@@ -84,6 +85,16 @@ JUNK_WORDS = [
     "accent", "heading", "grid", "table", "light", "medium", "dark",
 ]
 
+# Frequent English words, dropped from word counts and the text model.
+STOP_WORDS = (
+    "a about above after again against all also am an and any are as at be because been before being below "
+    "between both but by can could did do does doing down during each few for from further had has have having "
+    "he her here hers him his how i if in into is it its just me more most my no nor not now of off on once only "
+    "or other our ours out over own same she should so some such than that the their theirs them then there "
+    "these they this those through to too under until up very was we were what when where which while who whom "
+    "why will with would you your yours"
+).split()
+
 # Swept parameters.
 CONTAMINATIONS = [0.01, 0.02, 0.03, 0.04, 0.05, 0.07, 0.10]
 NEIGHBOUR_COUNTS = [10, 15, 20, 30]

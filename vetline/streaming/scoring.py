@@ -6,6 +6,7 @@ a time, so the batch functions run on a stream as they are, without state.
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StringType, StructField, StructType
 
 from vetline import schema
 from vetline.operators.clean import clean_postings, standardise_nulls
@@ -14,9 +15,16 @@ from vetline.operators.iforest import Forest, score_outliers
 from vetline.sources.files import CSV_OPTIONS
 
 
-def landed_postings(spark: SparkSession, folder: str) -> DataFrame:
-    """A stream of the CSV files that land in ``folder``."""
-    raw = spark.readStream.schema(schema.RAW_SCHEMA).options(**CSV_OPTIONS).csv(folder)
+def landed_postings(spark: SparkSession, folder: str, key: str | None = None) -> DataFrame:
+    """A stream of the CSV files that land in ``folder``, with ``key`` as their first column.
+
+    A file's header must name exactly these columns in this order (in any case of
+    letters); a file with another header stops the stream instead of shifting values
+    into wrong columns.
+    """
+    columns = ([StructField(key, StringType())] if key else []) + list(schema.RAW_SCHEMA.fields)
+    options = {**CSV_OPTIONS, "enforceSchema": "false"}
+    raw = spark.readStream.schema(StructType(columns)).options(**options).csv(folder)
     return raw.transform(standardise_nulls, tuple(schema.CSV_NULL_TOKENS))
 
 
