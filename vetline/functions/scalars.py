@@ -84,14 +84,15 @@ _RANGE = rf"^{WS_ANY}{_INT}{WS_ANY}-{WS_ANY}{_INT}{WS_ANY}\z"
 
 
 def salary_midpoint(c: Column) -> Column:
-    """Midpoint of ``low-high`` when both sides are integers of up to 36 digits, else null.
+    """Midpoint of ``low-high`` when both sides are integers, else null.
 
-    Summed as decimals, so long integers lose nothing; longer ones count as malformed.
+    Numbers are doubles throughout; one too large for a double counts as malformed.
     """
-    sides = [
-        F.replace(F.regexp_extract(c, _RANGE, i), F.lit("_"), F.lit("")).try_cast("decimal(36,0)") for i in (1, 2)
-    ]
-    return F.when(c.rlike(_RANGE), (sides[0] + sides[1]).cast("double") / 2)
+    low, high = (
+        F.replace(F.regexp_extract(c, _RANGE, i), F.lit("_"), F.lit("")).try_cast("double") for i in (1, 2)
+    )
+    total = low + high
+    return F.when(c.rlike(_RANGE) & (F.abs(total) < F.lit(float("inf"))), total / 2)
 
 
 def salary_or(c: Column, fallback: float = schema.TRAIN_SALARY_MEDIAN) -> Column:

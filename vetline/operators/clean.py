@@ -58,8 +58,9 @@ def drop_duplicates(df: DataFrame, key: str | None = None) -> DataFrame:
     the columns that are asked for later. Without a key the copies themselves are
     aggregated, before and after the shuffle.
     """
-    rest = [c for c in df.columns if c != key]
-    if key is None:
+    columns = df.columns
+    rest = [c for c in columns if c != key]
+    if key not in columns:
         kept = [F.any_value(c).alias(c) for c in rest]
         return df.groupBy(row_digest(rest).alias("_digest")).agg(*kept).drop("_digest")
     digests = df.select(F.col(key), row_digest(rest).alias("_digest"))

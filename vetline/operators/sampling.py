@@ -18,7 +18,7 @@ def digest(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
 
 
-def _cuts(df: DataFrame, label: Column, key: str, bounds: list[float], seed: int) -> DataFrame:
+def _cuts(df: DataFrame, label: Column, key: str, bounds: list[float], seed: int, digits: int | None) -> DataFrame:
     """One row per class: ``_cut``, the first digest of each part after the first.
 
     A cut past the last row of its class is null.
@@ -27,10 +27,10 @@ def _cuts(df: DataFrame, label: Column, key: str, bounds: list[float], seed: int
         F.struct(label.alias("_label")).alias("_class"), digest(F.col(key), seed).alias("_h")
     )
     # Hex digits that give some sqrt(rows) prefixes, so that some sqrt(rows) rows share each.
-    digits = rows.agg(
+    chosen = F.lit(digits) if digits else rows.agg(
         F.greatest(F.lit(1), F.ceil(F.log(16.0, F.greatest(F.count(F.lit(1)), F.lit(1))) / 2)).cast("int")
     ).scalar()
-    rows = rows.withColumn("_digits", digits).withColumn("_prefix", F.expr("substring(_h, 1, _digits)")).drop("_digits")
+    rows = rows.withColumn("_digits", chosen).withColumn("_prefix", F.expr("substring(_h, 1, _digits)")).drop("_digits")
     counts = rows.groupBy("_class", "_prefix").agg(F.count(F.lit(1)).alias("_n"))
     # Some sqrt(rows) prefixes per class in this window.
     upto = Window.partitionBy("_class").orderBy("_prefix")
@@ -67,13 +67,15 @@ def assign_parts(
     key: str,
     label: str | None = None,
     seed: int = 42,
+    digits: int | None = None,
     name: str = "part",
 ) -> DataFrame:
     """Add ``name``: the 0-based part of each row, by exact shares per class.
 
     Every class is divided by ``fractions`` (which sum to 1) to within one row.
     The wide rows are not shuffled: the cut points of all classes travel as one map (at
-    most MAX_CLASSES entries), in which a row looks up its own.
+    most MAX_CLASSES entries), in which a row looks up its own. ``digits`` sets the length
+    of the digest prefixes that are counted; without it the table's size does.
     """
     bounds, total = [], 0.0
     for f in fractions[:-1]:
@@ -81,10 +83,10 @@ def assign_parts(
         bounds.append(round(total, 15))
     rows = df.withColumn("_h", digest(F.col(key), seed))
     if label is None:
-        cuts = _cuts(df, F.lit(0), key, bounds, seed)
+        cuts = _cuts(df, F.lit(0), key, bounds, seed, digits)
         rows = rows.withColumn("_cut", cuts.select("_cut").scalar())
     else:
-        cuts = _cuts(df, F.col(label), key, bounds, seed)
+        cuts = _cuts(df, F.col(label), key, bounds, seed, digits)
         listed = F.collect_list(F.struct("_class", "_cut"))
         by_class = cuts.agg(
             F.when(F.size(listed) <= MAX_CLASSES, F.map_from_entries(listed)).otherwise(
