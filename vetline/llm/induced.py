@@ -1,7 +1,8 @@
 """Suffix order of an integer string by induced sorting, with common-prefix values.
 
-Suffixes that begin a descent (S*) are ordered first, by recursion on the string of their
-names; the order of all others is induced from them. Both directions of induction run on
+Suffixes that begin a descent (S*) are ordered first, from the string of their names: by
+recursion where that string is long, directly in memory once it is short. The order of
+all others is induced from them. Both directions of induction run on
 a monotone priority queue that holds suffix tuples (first symbol and type, place, common
 prefix with the tuple before) and moves what does not fit its memory to disk. Tuples
 leave the queue in batches: as many as cannot be overtaken by what they push.
@@ -15,7 +16,9 @@ import numpy as np
 #: Bytes of tuples that a queue keeps in memory.
 MEMORY = 64 << 20
 #: Ranges that a queue cuts its keys into, and rows of the front looked at in one go.
-RANGES, AHEAD = 48, 8192
+RANGES, AHEAD = 48, 16384
+#: Names that are ordered directly, in memory.
+DIRECT = 1 << 21
 FAR = np.iinfo(np.int32).max
 _TUPLE = 12  # bytes: place, common prefix
 
@@ -225,6 +228,22 @@ def _names(text: np.ndarray, starts: np.ndarray, ordered: np.ndarray) -> tuple[n
     return names, int(differs.sum()) + 1
 
 
+def _doubled(names: np.ndarray) -> np.ndarray:
+    """Suffix order of a short string: ranks by ever longer prefixes, each twice the last."""
+    n, width, rank = len(names), 1, names.astype(np.int64)
+    while True:
+        behind = np.zeros(n, np.int64)
+        behind[:-width] = rank[width:] + 1
+        key = rank * (n + 1) + behind
+        order = np.argsort(key)
+        key = key[order]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
+        if rank[order[-1]] == n - 1:
+            return order
+        width *= 2
+
+
 def suffix_order(text: np.ndarray, limit: int = 0, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray]:
     """(places of all suffixes in rising order, common prefix with the one before).
 
@@ -262,7 +281,8 @@ def suffix_order(text: np.ndarray, limit: int = 0, memory: int = MEMORY) -> tupl
     ordered = rough[is_start[rough]]
     names, kinds = _names(text, starts, ordered)
     if kinds < len(starts):
-        ordered = starts[suffix_order(names, 0, memory)[0]]
+        inner = _doubled(names) if len(names) <= DIRECT else suffix_order(names, 0, memory)[0]
+        ordered = starts[inner]
     shared = None
     if limit:
         shared = np.append(0, _common(text, ordered[:-1], ordered[1:], limit)).astype(np.int32)

@@ -5,8 +5,9 @@
    need to meet. The windows of one place's anchor, one after another, form a segment.
 2. Segments meet by anchor. Of equal segments only the first one's windows can be first;
    all windows of the others are repeats. Anchors with one segment left are done.
-3. The remaining segments are cut out of the texts and dealt to shards by anchor. A shard's
-   suffixes are ordered by external induced sorting (see ``induced``); windows that share
+3. The remaining segments are cut out of the texts and dealt to shards by anchor. Windows
+   whose first and last pieces no other one of the shard has are left out. The suffixes of
+   the rest are ordered by external induced sorting (see ``induced``); windows that share
    their whole width stand next to each other, and all but the first are repeats.
 """
 
@@ -16,6 +17,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,9 +28,11 @@ from vetline.llm.induced import suffix_order
 #: Bytes of a piece, as a power of two, and bits of a place within a block of texts.
 GRAM_LOG2, PLACE_BITS = 4, 24
 #: Bytes of texts hashed together, segments held back to find equal ones among them.
-BLOCK, HELD = 1 << 20, 1 << 19
+BLOCK, HELD = 1 << 19, 1 << 18
 #: Segments of one anchor beyond which its windows are dealt out singly; bytes of a shard.
-CROWDED, SHARD_BYTES = 1 << 13, 1 << 20
+CROWDED, SHARD_BYTES = 1 << 13, 1 << 19
+#: A segment's place: its first window, then its number of windows, as one long.
+LENGTH_BITS = 31
 FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
@@ -70,20 +74,26 @@ def _stretch(sums: list[np.ndarray], start: np.ndarray, end: np.ndarray) -> list
     return [(s[end] - s[start]) * down[start] for s, (_, down) in zip(sums, powers)]
 
 
+def _grams(data: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the pieces that begin at each byte."""
+    h = data.astype(np.uint64) + np.uint64(1)
+    for k in range(GRAM_LOG2):
+        h = h[: -(1 << k)] * FACTORS[k] + h[1 << k :]
+    return _mixed(h)
+
+
 def segments(data: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
-    """(anchor hash, first window, last window, two hashes) of each segment of a block.
+    """(anchor hash, first window, last window, hash) of each segment of a block.
 
-    ``data`` holds texts one after another, ``ends`` where each ends. The hashes cover a
-    segment's bytes, its length and the offset of its anchor.
+    ``data`` holds texts one after another, ``ends`` where each ends. The last hash covers
+    a segment's bytes, its length and the offset of its anchor; with the anchor's own hash
+    that makes 128 bits.
     """
     n, gram = len(data), 1 << GRAM_LOG2
     none = np.empty(0, np.int64)
     if n < width:
-        return (none.astype(np.uint64), none, none, none.astype(np.uint64), none.astype(np.uint64))
-    h = data.astype(np.uint64) + np.uint64(1)
-    for k in range(GRAM_LOG2):
-        h = h[: -(1 << k)] * FACTORS[k] + h[1 << k :]
-    h = _mixed(h)
+        return none.astype(np.uint64), none, none, none.astype(np.uint64)
+    h = _grams(data)
     low = (h >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)) | np.arange(len(h), dtype=np.uint64)
     pieces, span = width - gram + 1, 1
     while 2 * span <= pieces:
@@ -99,14 +109,14 @@ def segments(data: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray
     np.add.at(inside, ends[long] - width + 1, -1)
     window = np.flatnonzero(np.cumsum(inside[: len(anchor)]) > 0)
     if not len(window):
-        return (none.astype(np.uint64), none, none, none.astype(np.uint64), none.astype(np.uint64))
+        return none.astype(np.uint64), none, none, none.astype(np.uint64)
     own = anchor[window]
     new = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
     first, last = window[new], window[np.append(new[1:], len(window)) - 1]
     at = own[new]
     shape = ((at - first).astype(np.uint64) << np.uint64(32)) | (last - first).astype(np.uint64)
     a, b = _stretch(_sums(data), first, last + width)
-    return h[at], first, last, _mixed(a ^ _mixed(shape)), _mixed(b ^ _mixed(shape + np.uint64(1)))
+    return h[at], first, last, _mixed(a + _mixed(b ^ _mixed(shape)))
 
 
 def joined(places: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -114,8 +124,18 @@ def joined(places: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], (docs[1:] != docs[:-1]) | (places[1:] != places[:-1] + 1))))
 
 
-_FIELDS = ("done", "shard", "seg1", "seg2", "doc", "s", "e")
-_ROWS = "done boolean, shard long, seg1 long, seg2 long, doc long, s int, e int"
+_FIELDS = ("shard", "seg", "doc", "place")
+_ROWS = "shard long, seg long, doc long, place long, done boolean"
+
+
+def _place(s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    return (s.astype(np.int64) << LENGTH_BITS) | (e - s + 1)
+
+
+def _windows(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) window of a place."""
+    s = place >> LENGTH_BITS
+    return s, s + (place & ((1 << LENGTH_BITS) - 1)) - 1
 
 
 def _segment_rows(docs: DataFrame, width: int) -> DataFrame:
@@ -144,87 +164,93 @@ def _segment_rows(docs: DataFrame, width: int) -> DataFrame:
             yield texts, ids, at
 
     def sent(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        key, seg1, seg2, doc, s, e = (np.concatenate(c) for c in zip(*held))
-        order = np.lexsort((s, doc, seg2, seg1, key))
-        key, seg1, seg2, doc, s, e = (c[order] for c in (key, seg1, seg2, doc, s, e))
-        copy = np.concatenate(([False], (key[1:] == key[:-1]) & (seg1[1:] == seg1[:-1]) & (seg2[1:] == seg2[:-1])))
-        copy[1:] &= (doc[1:] != doc[:-1]) | (s[1:] != s[:-1])  # a repeated row is no copy of itself
-        back = np.flatnonzero(copy)
-        back = back[np.lexsort((s[back], doc[back]))]
-        run = np.flatnonzero(np.concatenate(([True], (doc[back][1:] != doc[back][:-1]) | (s[back][1:] > e[back][:-1] + 1)))) if len(back) else back
+        key, seg, doc, place = (np.concatenate(c) for c in zip(*held))
+        order = np.lexsort((place, doc, seg, key))
+        key, seg, doc, place = (c[order] for c in (key, seg, doc, place))
+        copy = np.concatenate(([False], (key[1:] == key[:-1]) & (seg[1:] == seg[:-1])))
+        copy[1:] &= (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])  # a repeated row is no copy of itself
+        back, open_ = np.flatnonzero(copy), np.flatnonzero(~copy)
+        back = back[np.lexsort((place[back], doc[back]))]
+        own, (s, e) = doc[back], _windows(place[back])
+        run = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (s[1:] > e[:-1] + 1)))) if len(back) else back
         stop = np.append(run[1:], len(back))[: len(run)] - 1
-        open_ = np.flatnonzero(~copy)
-        zeros = np.zeros(len(run), np.int64)
         columns = [
+            np.concatenate((key[open_].view(np.int64), own[run])),
+            np.concatenate((seg[open_].view(np.int64), np.zeros(len(run), np.int64))),
+            np.concatenate((doc[open_], own[run])), np.concatenate((place[open_], _place(s[run], e[stop]))),
             np.concatenate((np.zeros(len(open_), bool), np.ones(len(run), bool))),
-            np.concatenate((key[open_].view(np.int64), doc[back][run])),
-            np.concatenate((seg1[open_].view(np.int64), zeros)), np.concatenate((seg2[open_].view(np.int64), zeros)),
-            np.concatenate((doc[open_], doc[back][run])),
-            np.concatenate((s[open_], s[back][run])).astype(np.int32),
-            np.concatenate((e[open_], e[back][stop])).astype(np.int32),
         ]
-        return pa.record_batch([pa.array(c) for c in columns], names=list(_FIELDS))
+        return pa.record_batch([pa.array(c) for c in columns], names=[*_FIELDS, "done"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
         for texts, ids, at in blocks(batches):
             ends = np.cumsum([len(t) for t in texts])
-            key, first, last, seg1, seg2 = segments(np.frombuffer(b"".join(texts), np.uint8), ends, width)
+            key, first, last, seg = segments(np.frombuffer(b"".join(texts), np.uint8), ends, width)
             number = np.searchsorted(ends, first, "right")
             shift = np.array(at, np.int64) - np.concatenate(([0], ends[:-1]))
-            held.append((key, seg1, seg2, np.array(ids, np.int64)[number], first + shift[number], last + shift[number]))
+            held.append((key, seg, np.array(ids, np.int64)[number], _place(first + shift[number], last + shift[number])))
             count += len(key)
             if count >= HELD:
                 yield sent(held)
                 held, count = [], 0
-        if held:
+        if count:
             yield sent(held)
 
     return docs.select("doc", "text").mapInArrow(work, _ROWS)
 
 
 def _judged(rows: DataFrame) -> DataFrame:
-    """(doc, s, e, key): repeated windows (key null), and first segments still to compare."""
+    """(doc, place, key): repeated windows (key null), and first segments still to compare."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Carried over: the last segment seen, whether it was given out, whether its anchor has others.
+        # Carried over: the last first segment, whether it was given out, whether its anchor has others.
         carried, given, several = None, False, False
         for batch in batches:
             if not batch.num_rows:
                 continue
-            done, key, seg1, seg2, doc, s, e = (batch.column(c).to_numpy(zero_copy_only=False) for c in _FIELDS)
-            out = [(doc[done], s[done], e[done], np.zeros(int(done.sum()), np.int64), np.ones(int(done.sum()), bool))]
-            live = ~done
-            cols = [c[live] for c in (key, seg1, seg2, doc, s, e)]
+            done, *cols = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("done", *_FIELDS))
+            out = [(cols[2][done], cols[3][done], cols[0][done], np.ones(int(done.sum()), bool))]
+            cols = [c[~done] for c in cols]
             if carried is not None:
                 cols = [np.concatenate((a, b)) for a, b in zip(carried, cols)]
-            key, seg1, seg2, doc, s, e = cols
+            key, seg, doc, place = cols
             if len(key):
                 same_key = np.concatenate(([False], key[1:] == key[:-1]))
-                same = same_key & np.concatenate(([False], (seg1[1:] == seg1[:-1]) & (seg2[1:] == seg2[:-1])))
+                same = same_key & np.concatenate(([False], seg[1:] == seg[:-1]))
                 lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(key))))  # first of the equal ones
-                copy = same & ((doc != doc[lead]) | (s != s[lead]))
-                first_key = np.flatnonzero(~same_key)
+                copy = same & ((doc != doc[lead]) | (place != place[lead]))
                 group = np.cumsum(~same_key) - 1
-                kinds = np.bincount(group, ~same, len(first_key))
-                if carried is not None and several:
+                kinds = np.bincount(group, ~same)
+                if several:
                     kinds[0] += 1
                 open_ = ~same & (kinds[group] >= 2)
-                several = bool(kinds[-1] >= 2)
-                tail = int(lead[-1])
-                if carried is not None and given:
+                several, tail = bool(kinds[-1] >= 2), int(lead[-1])
+                if given:
                     open_[0] = False
-                given = bool(several)
+                given = several
                 carried = [c[tail : tail + 1].copy() for c in cols]
-                out.append((doc[copy], s[copy], e[copy], key[copy], np.ones(int(copy.sum()), bool)))
-                out.append((doc[open_], s[open_], e[open_], key[open_], np.zeros(int(open_.sum()), bool)))
-            doc, s, e, key, gone = (np.concatenate(c) for c in zip(*out))
-            yield pa.record_batch(
-                [pa.array(doc), pa.array(s), pa.array(e), pa.array(key, pa.int64(), mask=gone)], ["doc", "s", "e", "key"]
-            )
+                for chosen, gone in ((copy, True), (open_, False)):
+                    out.append((doc[chosen], place[chosen], key[chosen], np.full(int(chosen.sum()), gone)))
+            doc, place, key, gone = (np.concatenate(c) for c in zip(*out))
+            yield pa.record_batch([pa.array(doc), pa.array(place), pa.array(key, pa.int64(), mask=gone)], ["doc", "place", "key"])
 
     dealt = rows.repartition("shard").sortWithinPartitions(*_FIELDS)
-    return dealt.mapInArrow(work, "doc long, s int, e int, key long")
+    return dealt.mapInArrow(work, "doc long, place long, key long")
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """(doc, packed): the UTF-8 bytes of each text, compressed before they are shuffled."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in slices(batches):
+            data = pa.array([pack((t or "").encode()) for t in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.drop_columns(["text"]).columns, data], [*rest, "packed"])
+
+    rest = [c for c in docs.columns if c != "text"]
+    schema = T.StructType([*[docs.schema[c] for c in rest], T.StructField("packed", T.BinaryType())])
+    return docs.select(*rest, "text").mapInArrow(work, schema)
 
 
 def _cut(docs: DataFrame, opened: DataFrame, width: int) -> DataFrame:
@@ -236,23 +262,25 @@ def _cut(docs: DataFrame, opened: DataFrame, width: int) -> DataFrame:
         "key", F.ceil(F.col("n") / CROWDED).cast("int").alias("parts")
     )
     wanted = opened.join(crowded, "key", "left").groupBy(F.col("doc").alias("_doc")).agg(
-        F.collect_list(F.struct("key", "s", "e", F.coalesce("parts", F.lit(1)).alias("parts"))).alias("wanted")
+        F.collect_list(F.struct("key", "place", F.coalesce("parts", F.lit(1)).alias("parts"))).alias("wanted")
     )
-    rows = docs.select("doc", "text").join(wanted, F.col("doc") == F.col("_doc")).select("doc", "text", "wanted")
+    rows = _packed(docs.select("doc", "text")).join(wanted, F.col("doc") == F.col("_doc")).select("doc", "packed", "wanted")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in slices(batches, 64):
             out = []
-            for doc, text, own in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "wanted"))):
-                data = (text or "").encode()
+            for doc, packed, own in zip(*(batch.column(c).to_pylist() for c in ("doc", "packed", "wanted"))):
+                data = unpack(packed)
                 for w in own:
+                    s, e = _windows(w["place"])
                     if w["parts"] == 1:
-                        out.append((w["key"], doc, w["s"], data[w["s"] : w["e"] + width]))
+                        out.append((w["key"], doc, s, data[s : e + width]))
                         continue
-                    for at in range(w["s"], w["e"] + 1):
+                    for at in range(s, e + 1):
                         piece = data[at : at + width]
                         part = int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little") % w["parts"]
-                        out.append(((w["key"] + part * 0x9E3779B97F4A7C15 + (1 << 63)) % (1 << 64) - (1 << 63), doc, at, piece))
+                        out.append(((w["key"] + part * BASES[0] + (1 << 63)) % (1 << 64) - (1 << 63), doc, at, piece))
             if out:
                 shard, doc, s, piece = zip(*out)
                 yield pa.record_batch(
@@ -263,8 +291,39 @@ def _cut(docs: DataFrame, opened: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(work, "shard long, doc long, s int, bytes binary")
 
 
+def _possible(pieces: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(index, first byte within, bytes): the runs of windows whose ends another window has too.
+
+    Equal windows begin and end with equal pieces, so windows alone with theirs cannot
+    repeat and need not be sorted.
+    """
+    sizes = np.array([len(p) for p in pieces], np.int64)
+    begins = np.cumsum(sizes) - sizes
+    count = sizes - width + 1
+    index = np.repeat(np.arange(len(pieces)), count)
+    offset = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    at = begins[index] + offset
+    h = _grams(np.frombuffer(b"".join(pieces), np.uint8))
+    both = h[at] * FACTORS[0] + h[at + width - (1 << GRAM_LOG2)]
+    order = np.argsort(both)
+    alike = both[order][1:] == both[order][:-1]
+    kept = np.zeros(len(both), bool)
+    kept[order] = np.concatenate(([False], alike)) | np.concatenate((alike, [False]))
+    index, offset = index[kept], offset[kept]
+    if not len(index):
+        return index, offset, []
+    run = joined(offset, index)
+    stop = np.append(run[1:], len(index)) - 1
+    cut = [pieces[i][a : b + width] for i, a, b in zip(index[run].tolist(), offset[run].tolist(), offset[stop].tolist())]
+    return index[run], offset[run], cut
+
+
 def repeated_windows(doc: np.ndarray, start: np.ndarray, pieces: list[bytes], width: int) -> tuple[np.ndarray, ...]:
     """(doc, first, last): runs of windows that an earlier place of the shard holds too."""
+    index, offset, pieces = _possible(pieces, width)
+    if not pieces:
+        return (np.empty(0, np.int64),) * 3
+    doc, start = doc[index], start[index] + offset
     sizes = np.array([len(p) for p in pieces], np.int64)
     count, total = len(pieces), int(sizes.sum()) + len(pieces)
     # Byte b becomes b + count; segment i ends in the symbol count - 1 - i, which occurs once.
@@ -299,7 +358,7 @@ def repeated_windows(doc: np.ndarray, start: np.ndarray, pieces: list[bytes], wi
 
 
 def _sorted_shards(cut: DataFrame, width: int) -> DataFrame:
-    """(doc, s, e): repeated windows found by sorting the suffixes of each shard."""
+    """(doc, place): repeated windows found by sorting the suffixes of each shard."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -310,7 +369,7 @@ def _sorted_shards(cut: DataFrame, width: int) -> DataFrame:
                 table.column("doc").to_numpy(), table.column("s").to_numpy().astype(np.int64),
                 table.column("bytes").to_pylist(), width,
             )
-            return pa.record_batch([pa.array(doc), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], ["doc", "s", "e"])
+            return pa.record_batch([pa.array(doc), pa.array(_place(s, e))], ["doc", "place"])
 
         size = 0
         for batch in batches:
@@ -327,7 +386,7 @@ def _sorted_shards(cut: DataFrame, width: int) -> DataFrame:
         if held:
             yield result(held)
 
-    return cut.repartition("shard").sortWithinPartitions("shard").mapInArrow(work, "doc long, s int, e int")
+    return cut.repartition("shard").sortWithinPartitions("shard").mapInArrow(work, "doc long, place long")
 
 
 def remove_repeats(docs: DataFrame, width: int = 100) -> DataFrame:
@@ -347,21 +406,22 @@ def remove_repeats(docs: DataFrame, width: int = 100) -> DataFrame:
     keyed = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), nameless).alias("doc"))
     judged = stored(_judged(_segment_rows(keyed, width)), "segments")
     cut = _cut(keyed, judged.where("key is not null"), width)
-    found = judged.where("key is null").select("doc", "s", "e").unionByName(_sorted_shards(cut, width))
-    windows = found.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("s", "e")).alias("windows"))
-    rows = keyed.join(windows, F.col("doc") == F.col("_doc"), "left").select("doc_id", "text", "windows")
+    found = judged.where("key is null").select("doc", "place").unionByName(_sorted_shards(cut, width))
+    windows = found.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("place").alias("windows"))
+    rows = _packed(keyed).join(windows, F.col("doc") == F.col("_doc"), "left").select("doc_id", "packed", "windows")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in slices(batches):
             out = []
             lists = batch.column("windows")
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                data = (text or "").encode()
+            for i, packed in enumerate(batch.column("packed").to_pylist()):
+                data = unpack(packed)
                 own = lists[i].values
                 if own is None or not len(own):
                     out.append((data, len(data), 0, 0, hashlib.sha256(data).hexdigest()))
                     continue
-                s, e = own.field("s").to_numpy(), own.field("e").to_numpy()
+                s, e = _windows(own.to_numpy())
                 change = np.zeros(len(data) + 1, np.int64)
                 np.add.at(change, s, 1)
                 np.add.at(change, np.minimum(e + width, len(data)), -1)
