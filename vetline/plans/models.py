@@ -6,7 +6,7 @@ from vetline import schema
 from vetline.operators import iforest, metrics, neighbours, profile, selection, tuning
 from vetline.plans.evaluation import baseline_metrics, report_rows
 from vetline.plans.postings import table
-from vetline.plans.views import KEY, LABEL, single, split_scored, sql
+from vetline.plans.views import KEY, LABEL, clean, single, split_scored, sql
 from vetline.runtime import fresh_path, settle
 
 QUERIES, ORACLES = {}, {}
@@ -279,13 +279,68 @@ def neutral_scores(spark, sf_dir):
     return iforest.score_outliers(val.select(KEY), missing)
 
 
-@query("iforest_one_hot_crosstab")
+_FLAGS = ["telecommuting", "has_company_logo", "has_questions"]
+_TEXTS = [c for c in schema.METADATA_COLUMNS if c not in _FLAGS]
+
+
+def one_hot_ctes(source="clean"):
+    """The forest over flags and one-hot categories, grown on all rows of ``source``.
+
+    A split is a struct (f, v): column number, and for a category its value. A column with
+    at least two values in a node offers each of them but its alphabetically first overall.
+    """
+    flags, texts = range(len(_FLAGS)), range(len(_TEXTS))
+    cells = [f"CAST({c} AS DOUBLE) AS f{k}" for k, c in enumerate(_FLAGS)]
+    cells += [f"coalesce({c}, '{schema.MISSING_CATEGORY}') AS c{k}" for k, c in enumerate(_TEXTS)]
+    names = ", ".join([f"f{k}" for k in flags] + [f"c{k}" for k in texts])
+    size = f"(SELECT least({_SAMPLE}, count(*)) FROM mt)"
+    windows = ", ".join(
+        [f"min(f{k}) OVER w AS lo{k}, max(f{k}) OVER w AS hi{k}" for k in flags]
+        + [f"list(c{k}) OVER w AS all{k}" for k in texts])
+    numbers = ", ".join(f"CASE WHEN lo{k} < hi{k} THEN {{'f': {k}, 'v': CAST(NULL AS VARCHAR)}} END" for k in flags)
+    lists = [f"[x FOR x IN [{numbers}] IF x IS NOT NULL]"] + [
+        f"""[{{'f': {len(_FLAGS) + k}, 'v': x}} FOR x IN list_sort(list_distinct(all{k}))
+            IF x <> b{k} AND len(list_distinct(all{k})) > 1]""" for k in texts]
+    can = lists[0]
+    for more in lists[1:]:
+        can = f"list_concat({can}, {more})"
+    pick = lambda name: "CASE pick.f " + " ".join(f"WHEN {k} THEN {name}{k}" for k in flags) + " END"
+    split = f"""SELECT *, CASE WHEN raw >= hi THEN lo ELSE raw END AS cut FROM (
+        SELECT *, lo + {_fraction('c')} * (hi - lo) AS raw FROM (
+        SELECT *, {pick('lo')} AS lo, {pick('hi')} AS hi FROM (
+        SELECT *, CASE WHEN depth < ceil(log2(greatest({size}, 2))) AND n > 1
+            THEN can[CAST(floor({_fraction('s')} * len(can)) AS INTEGER) + 1] END AS pick FROM (
+        SELECT * EXCLUDE ({', '.join(f'all{k}, b{k}' for k in texts)}), {can} AS can FROM (
+        SELECT *, count(*) OVER w AS n, {windows} FROM mg, mb WINDOW w AS (PARTITION BY tree, node))))))"""
+    right = "CASE pick.f " + " ".join(
+        [f"WHEN {k} THEN f{k} > cut" for k in flags] + [f"WHEN {len(_FLAGS) + k} THEN c{k} = pick.v" for k in texts]) + " END"
+    equal = " AND ".join(f"a.{c} = b.{c}" for c in names.split(", "))
+    trees = f"(SELECT CAST(range AS INTEGER) AS tree FROM range({_TREES}))"
+    return {
+        "mt": f"SELECT {KEY}, {LABEL}, {', '.join(cells)} FROM {source}",
+        "mb": f"SELECT {', '.join(f'min(c{k}) AS b{k}' for k in texts)} FROM mt",
+        "ms": f"""SELECT tree, 1 AS node, 0 AS depth, {names} FROM (SELECT *, row_number() OVER (PARTITION BY tree
+            ORDER BY md5('{_SEED}:' || tree || ':' || {KEY}), {KEY}) AS place FROM mt, {trees}) WHERE place <= {size}""",
+        "mg": f"""SELECT * FROM ms UNION ALL SELECT tree, 2 * node + CASE WHEN {right} THEN 1 ELSE 0 END, depth + 1, {names}
+            FROM ({split}) WHERE pick IS NOT NULL""",
+        "mn": f"SELECT DISTINCT tree, node, pick, cut, depth + {_PATH.format(n='n')} AS path FROM ({split})",
+        "mv": f"SELECT DISTINCT {names} FROM mt",
+        "mw": f"""SELECT {names}, tree, 1 AS node FROM mv, {trees} UNION ALL
+            SELECT {names}, tree, 2 * node + CASE WHEN {right} THEN 1 ELSE 0 END FROM (
+            SELECT w.*, d.pick, d.cut FROM mw w JOIN mn d ON w.tree = d.tree AND w.node = d.node WHERE d.pick IS NOT NULL)""",
+        "mx": f"""SELECT {names}, round(-power(2.0, -avg(path) / ({_PATH.format(n=size)})), 12) AS raw FROM mw w
+            JOIN mn d ON w.tree = d.tree AND w.node = d.node WHERE d.pick IS NULL GROUP BY {names}""",
+        "fr": f"SELECT a.{LABEL}, b.raw AS factor FROM mt a JOIN mx b ON {equal}",
+    }
+
+
+@query("iforest_one_hot_crosstab", sql(
+    f"""SELECT CAST(CASE WHEN factor < {offset_sql(0.05)} THEN -1 ELSE 1 END AS INTEGER) AS anomaly_label,
+        count(*) FILTER (fraudulent = 0) AS fraudulent_0, count(*) FILTER (fraudulent = 1) AS fraudulent_1
+        FROM fr GROUP BY 1""", "clean", one_hot_ctes()).replace("WITH ", "WITH RECURSIVE ", 1))
 def iforest_one_hot_crosstab(spark, sf_dir):
-    from vetline.plans.views import clean
     rows = settle(clean(spark, sf_dir).select(KEY, LABEL, *schema.METADATA_COLUMNS))
-    flags = ["telecommuting", "has_company_logo", "has_questions"]
-    texts = [c for c in schema.METADATA_COLUMNS if c not in flags]
-    model = iforest.fit_forest(rows, KEY, flags, texts, contamination=0.05)
+    model = iforest.fit_forest(rows, KEY, _FLAGS, _TEXTS, contamination=0.05)
     return profile.crosstab(iforest.score_outliers(rows, model), "anomaly_label", LABEL, [0, 1])
 
 
