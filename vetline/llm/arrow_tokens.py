@@ -40,34 +40,69 @@ _encoders: dict[int, "Encoder"] = {}
 class Encoder:
     """Whole texts to ids with a ``tokenizers`` vocabulary that drops white space.
 
-    Such a vocabulary handles what stands between spaces or line feeds by itself, so the
-    ids of a word are remembered; the library encodes each new one.
+    Such a vocabulary handles what stands between spaces or line feeds by itself, most of
+    them a mark after letters too, and some do not tell A-Z from a-z (all of which is tried
+    when loading), so the ids of such words are remembered; the library encodes new ones. What is remembered ages in two
+    generations: the older one goes when the younger is full.
     """
 
+    MARKS = ".,;:!?"
+
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype(np.uint16 if self.size <= 1 << 16 else np.uint32)
-        probe = self.tokenizer.encode_batch(["a b\na", "a", "b"], add_special_tokens=False)
-        self.by_word = probe[0].ids == probe[1].ids + probe[2].ids + probe[1].ids
+        plain = self._ids(["a b\na", "a", "b"])
+        self.by_word = plain[0] == plain[1] + plain[2] + plain[1]
+        marks = self._ids([*self.MARKS, *(f"añb{m}" for m in self.MARKS), "añb"])
+        n = len(self.MARKS)
+        self.marks = {m: marks[i] for i, m in enumerate(self.MARKS) if marks[n + i] == marks[-1] + marks[i]}
+        self.lowers = all(a == b for a, b in zip(self._ids(["ABC", "Then", "ZOO"]), self._ids(["abc", "then", "zoo"])))
         self.words: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         code = "H" if self.kind.itemsize == 2 else "I"
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array(code, e.ids).tobytes() for e in found]
 
+    def _learn(self, words: list[str]) -> None:
+        """Remember words that are not yet."""
+        known, older = self.words, self.older
+        new, composed = {}, []
+        for w in words:
+            held = older.get(w)
+            if held is not None:
+                known[w] = held
+                continue
+            core, mark = w, self.marks.get(w[-1])
+            if mark is not None and w[:-1].lower().isalpha():  # letters that stay letters in lower case
+                core = w[:-1]
+            if self.lowers and core.isascii() and core.isalpha():
+                core = core.lower()
+            if core is not w and core != w:
+                composed.append((w, core, mark if len(core) < len(w) else b""))
+            if core not in known:
+                held = older.get(core)
+                if held is None:
+                    new[core] = True
+                else:
+                    known[core] = held
+        fresh = list(new)
+        known.update(zip(fresh, self._ids(fresh)))
+        for w, core, mark in composed:
+            known[w] = known[core] + mark
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
             return [np.frombuffer(b, self.kind) for b in self._ids(texts)]
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for words in split for w in words} - self.words.keys())
-        if len(self.words) + len(new) > REMEMBERED:
-            self.words = {"": b""}
-            new = list({w for words in split for w in words} - {""})
-        self.words.update(zip(new, self._ids(new)))
+        held = set().union(*split)
+        if len(self.words) + len(held) > REMEMBERED:
+            self.older, self.words = self.words, {"": b""}
+        self._learn([w for w in held if w not in self.words])
         look = self.words.__getitem__
         return [np.frombuffer(b"".join(map(look, words)), self.kind) for words in split]
 
