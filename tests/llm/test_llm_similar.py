@@ -1,0 +1,80 @@
+"""Near copies by shingle similarity, against all pairs by brute force."""
+
+import random
+
+import pytest
+from awkward_rows import ROWS, clashing, long_text
+
+import corpus_pipeline
+from vetline.llm import simhash, similar
+
+
+def brute_set(text, words=5):
+    tokens = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    for c in "\t\n\x0b\x0c\r":
+        tokens = tokens.replace(c, " ")
+    tokens = [t for t in tokens.split(" ") if t]
+    width = min(words, len(tokens))
+    return frozenset(tuple(tokens[i : i + width]) for i in range(len(tokens) - width + 1)) if tokens else frozenset()
+
+
+def brute_least(rows):
+    """doc -> smallest doc over links of similarity 0.8 or more."""
+    sets = [(d, brute_set(t)) for d, t in rows if d is not None]
+    least = {d: d for d, _ in sets}
+    links = [(a, b) for i, (a, x) in enumerate(sets) for b, y in sets[:i] if 10 * len(x & y) >= 8 * len(x | y)]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(least[a], least[b])
+            changed |= least[a] != low or least[b] != low
+            least[a] = least[b] = low
+    return least
+
+
+def edited(text, rng, n):
+    words = text.split()
+    for at in rng.sample(range(len(words)), n):
+        words[at] = f"new{rng.random()}"
+    return " ".join(words)
+
+
+def corpus():
+    """Groups of copies with edits around similarity 0.8, of short and long texts, and chains of edits."""
+    rng, texts = random.Random(8), []
+    for g in range(60):
+        length = rng.choice([5, 8, 12, 40, 120, 300])
+        base = long_text(1000 + g, length)
+        texts += [base, *(edited(base, rng, rng.randint(0, max(1, length // 35))) for _ in range(3))]
+    chain = long_text(5, 300)
+    for _ in range(12):
+        chain = edited(chain, rng, 4)
+        texts.append(chain)
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("chunk", [2048, 4])
+def test_all_links_and_no_others(spark, frame, monkeypatch, chunk):
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    rows = corpus()
+    found = {r.doc_id: r.component_id for r in similar.near_copies(frame(rows, "doc_id long, text string")).collect()}
+    assert found == brute_least(rows)
+
+
+def test_the_stage_removes_edited_copies(spark, frame):
+    """Copies at 0.8 to 0.9 lie some ten bits of a 64-bit fingerprint apart."""
+    rows = corpus()
+    kept = corpus_pipeline.one_of_each_group(spark, frame(rows, "doc_id long, text string"), None)
+    want = brute_least(rows)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d in want if want[d] == d)
+
+
+def test_odd_rows(spark, odd, none):
+    kept = similar.keep_one(clashing(odd))
+    assert kept.columns == clashing(odd).columns
+    least = brute_least([(r[0], r[1]) for r in ROWS])
+    ids = [r.doc_id for r in kept.collect()]
+    assert ids.count(None) == sum(r[0] is None for r in ROWS)
+    assert {i for i in ids if i is not None} == {d for d in least if least[d] == d}
+    assert similar.keep_one(none).count() == 0
