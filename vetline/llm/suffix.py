@@ -29,7 +29,7 @@ from vetline.llm.induced import suffix_order
 GRAM_LOG2, PLACE_BITS = 4, 24
 #: Bytes of texts hashed together, segments held back to find equal ones among them.
 BLOCK, HELD = 1 << 19, 1 << 18
-#: Segments of one anchor beyond which its windows are dealt out singly; bytes of a shard.
+#: Segments of one anchor beyond which its windows are compared singly, by hash; bytes of a shard.
 CROWDED, SHARD_BYTES = 1 << 13, 1 << 19
 #: A segment's place: its first window, then its number of windows, as one long.
 LENGTH_BITS = 31
@@ -253,18 +253,19 @@ def _packed(docs: DataFrame) -> DataFrame:
     return docs.select(*rest, "text").mapInArrow(work, schema)
 
 
-def _cut(docs: DataFrame, opened: DataFrame, width: int) -> DataFrame:
-    """(shard, doc, s, bytes): the segments still to compare, as bytes.
+def _open_segments(docs: DataFrame, opened: DataFrame) -> DataFrame:
+    """(doc, packed, wanted): each text that has opened segments, beside their keys and places."""
+    wanted = opened.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("key", "place")).alias("wanted"))
+    return _packed(docs.select("doc", "text")).join(wanted, F.col("doc") == F.col("_doc")).select("doc", "packed", "wanted")
+
+
+def _crowded(opened: DataFrame) -> DataFrame:
+    """(key): the anchors with more segments than a shard is to hold."""
+    return opened.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED).select("key")
 
-    Those of a crowded anchor are cut into single windows, dealt by their content.
-    """
-    crowded = opened.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED).select(
-        "key", F.ceil(F.col("n") / CROWDED).cast("int").alias("parts")
-    )
-    wanted = opened.join(crowded, "key", "left").groupBy(F.col("doc").alias("_doc")).agg(
-        F.collect_list(F.struct("key", "place", F.coalesce("parts", F.lit(1)).alias("parts"))).alias("wanted")
-    )
-    rows = _packed(docs.select("doc", "text")).join(wanted, F.col("doc") == F.col("_doc")).select("doc", "packed", "wanted")
+
+def _cut(docs: DataFrame, opened: DataFrame, width: int) -> DataFrame:
+    """(shard, doc, s, bytes): the segments still to compare, as bytes, without those of crowded anchors."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -274,13 +275,7 @@ def _cut(docs: DataFrame, opened: DataFrame, width: int) -> DataFrame:
                 data = unpack(packed)
                 for w in own:
                     s, e = _windows(w["place"])
-                    if w["parts"] == 1:
-                        out.append((w["key"], doc, s, data[s : e + width]))
-                        continue
-                    for at in range(s, e + 1):
-                        piece = data[at : at + width]
-                        part = int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little") % w["parts"]
-                        out.append(((w["key"] + part * BASES[0] + (1 << 63)) % (1 << 64) - (1 << 63), doc, at, piece))
+                    out.append((w["key"], doc, s, data[s : e + width]))
             if out:
                 shard, doc, s, piece = zip(*out)
                 yield pa.record_batch(
@@ -288,7 +283,45 @@ def _cut(docs: DataFrame, opened: DataFrame, width: int) -> DataFrame:
                     ["shard", "doc", "s", "bytes"],
                 )
 
-    return rows.mapInArrow(work, "shard long, doc long, s int, bytes binary")
+    few = opened.join(_crowded(opened), "key", "left_anti")
+    return _open_segments(docs, few).mapInArrow(work, "shard long, doc long, s int, bytes binary")
+
+
+def _crowded_repeats(docs: DataFrame, opened: DataFrame, width: int) -> DataFrame:
+    """(doc, place): the repeated windows of crowded anchors, singly.
+
+    The first place of each different window, by a 128-bit hash, is found by an
+    aggregation that combines before the shuffle; the later ones by a join with it, whose
+    large keys can be split. No task holds all copies of a window.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in slices(batches, 64):
+            out = []
+            for doc, packed, own in zip(*(batch.column(c).to_pylist() for c in ("doc", "packed", "wanted"))):
+                data = unpack(packed)
+                for w in own:
+                    s, e = _windows(w["place"])
+                    for at in range(s, e + 1):
+                        digest = hashlib.blake2b(data[at : at + width], digest_size=16).digest()
+                        out.append((int.from_bytes(digest[:8], "little", signed=True),
+                                    int.from_bytes(digest[8:], "little", signed=True), doc, at))
+            if out:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], ["h1", "h2", "doc", "s"])
+
+    many = opened.join(_crowded(opened), "key", "left_semi")
+    rows = _open_segments(docs, many).mapInArrow(work, "h1 long, h2 long, doc long, s long")
+    first = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "s")).alias("first"), F.count(F.lit(1)).alias("n"))
+    later = rows.join(first.where("n > 1"), ["h1", "h2"]).where(F.struct("doc", "s") != F.col("first"))
+    windows = later.select("doc", "s").distinct()
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = batch.column("s").to_numpy()
+            yield pa.record_batch([batch.column("doc"), pa.array(_place(s, s))], ["doc", "place"])
+
+    return windows.mapInArrow(placed, "doc long, place long")
 
 
 def _possible(pieces: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -405,8 +438,10 @@ def remove_repeats(docs: DataFrame, width: int = 100) -> DataFrame:
     nameless = -(F.lit(1 << 62) + F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1).cast("long")))
     keyed = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), nameless).alias("doc"))
     judged = stored(_judged(_segment_rows(keyed, width)), "segments")
-    cut = _cut(keyed, judged.where("key is not null"), width)
-    found = judged.where("key is null").select("doc", "place").unionByName(_sorted_shards(cut, width))
+    opened = judged.where("key is not null")
+    found = judged.where("key is null").select("doc", "place").unionByName(
+        _sorted_shards(_cut(keyed, opened, width), width)
+    ).unionByName(_crowded_repeats(keyed, opened, width))
     windows = found.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("place").alias("windows"))
     rows = _packed(keyed).join(windows, F.col("doc") == F.col("_doc"), "left").select("doc_id", "packed", "windows")
 
