@@ -6,7 +6,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vetline.llm import decontaminate, lines, pieces, quality, similar
+from vetline.llm import decontaminate, lines, pieces, quality, simhash
 from vetline.llm.common import stored, table
 from vetline.runtime import ship
 
@@ -23,9 +23,9 @@ def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group linked by a five-word shingle similarity of 0.8 or more."""
+    """The first document of each group whose fingerprints (four-word shingles) link at four or fewer bits."""
     ship(spark)
-    return similar.keep_one(docs, words=5, similarity=0.8)
+    return simhash.keep_one(docs, words=4, distance=4)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
