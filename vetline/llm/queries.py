@@ -3,7 +3,10 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from vetline.llm import arrow_tokens, decontaminate, langid, lines, pieces, pii, quality, simhash, suffix, topk
+from vetline.llm import (
+    arrow_tokens, decontaminate, divergence, hard_negatives, hnsw, langid, lines, pieces, pii, quality, simhash, suffix,
+    topk,
+)
 from vetline.llm.common import table
 from vetline.runtime import fresh_path
 
@@ -59,6 +62,19 @@ def op10_quality(spark, sf_dir):
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_nearest(spark, sf_dir):
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op12_hard_negatives(spark, sf_dir):
+    rows = hard_negatives.labelled(table(spark, sf_dir, "embeddings"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+def op13_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_arrow_tokens": op2_arrow_tokens,
@@ -70,10 +86,15 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
+    "op11_nearest": op11_nearest,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_divergence": op13_divergence,
 }
 
 ORACLES = {
     "op1_decontamination": decontaminate.ORACLE,
     "op3_line_dedup": lines.ORACLE,
     "op4_top_k": topk.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
+    "op13_divergence": divergence.ORACLE,
 }
