@@ -13,6 +13,39 @@ def test_duplicates_count_nulls_as_equal(spark):
     assert ops.drop_duplicates(df.drop("job_id")).count() == 3
 
 
+def test_one_row_of_each_set_stays_whatever_its_key(spark):
+    def left(rows):
+        df = spark.createDataFrame(rows, "job_id int, a string")
+        return sorted(map(tuple, ops.drop_duplicates(df, "job_id").collect()), key=repr)
+
+    assert left([(1, "x"), (1, "x")]) == [(1, "x")]
+    assert left([(None, "x"), (None, "y"), (2, "z")]) == [(2, "z"), (None, "x"), (None, "y")]
+    assert left([(1, "x"), (2, "x"), (2, "y")]) == [(1, "x"), (2, "y")]
+    assert left([(None, "x"), (5, "x"), (None, None), (3, None)]) == [(3, None), (5, "x")]
+    assert left([(1, "x"), (1, "y"), (1, "x")]) == [(1, "x"), (1, "y")]
+
+
+def test_zeros_of_both_signs_and_odd_names(spark):
+    df = spark.createDataFrame([(1, 0.0, "a"), (2, -0.0, "a"), (3, float("nan"), "a"), (4, float("nan"), "a")],
+                               "job_id int, `_digest` double, `a.b` string")
+    kept = ops.drop_duplicates(df, "job_id")
+    assert kept.columns == df.columns and sorted(r.job_id for r in kept.collect()) == [1, 3]
+
+
+def test_texts_are_shuffled_once_and_only_if_read(spark, tmp_path):
+    spark.range(50).selectExpr("id AS job_id", "CAST(id % 5 AS STRING) AS a", "repeat('t', 50) AS wide").write.parquet(
+        str(tmp_path / "t"))
+    kept = ops.drop_duplicates(spark.read.parquet(str(tmp_path / "t")), "job_id")
+
+    def exchanges(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return plan.count("Exchange hashpartitioning"), plan
+
+    assert exchanges(kept)[0] == 1
+    n, plan = exchanges(kept.select("job_id", "a"))
+    assert n == 1 and "any_value(wide" not in plan
+
+
 def test_hot_duplicate_group(spark):
     df = spark.range(3000).select(
         F.col("id").alias("job_id"), F.when(F.col("id") % 3 == 0, F.lit("copy")).otherwise(F.col("id").cast("string")).alias("x"))

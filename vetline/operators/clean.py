@@ -39,9 +39,12 @@ def add_features(df: DataFrame) -> DataFrame:
     return df
 
 
-def row_digest(columns: list[str]) -> Column:
+def row_digest(fields: list[T.StructField]) -> Column:
     """SHA-256 over the cells, each with its length, so that no two rows read alike; nulls are equal."""
-    texts = [f"CAST(`{c}` AS STRING)" for c in columns]
+    numbers = (T.FloatType, T.DoubleType)
+    # + 0 turns -0.0 into 0.0, so that both count as one value.
+    values = [f"`{f.name}` + 0" if isinstance(f.dataType, numbers) else f"`{f.name}`" for f in fields]
+    texts = [f"CAST({v} AS STRING)" for v in values]
     # A null cell reads as length -1 and no content.
     cells = [f"coalesce(length({t}), -1), {t}" for t in texts]
     return F.expr(f"unhex(sha2(concat_ws('|', {', '.join(cells)}), 256))")
@@ -50,22 +53,20 @@ def row_digest(columns: list[str]) -> Column:
 def drop_duplicates(df: DataFrame, key: str | None = None) -> DataFrame:
     """Keep one of each set of rows equal in all columns (nulls equal).
 
-    ``key`` is a row identifier that takes no part in the comparison; the
-    smallest one survives, so the result does not depend on row order.
+    ``key`` is a row identifier that takes no part in the comparison: one row of each set
+    stays and has the smallest identifier of the set, null if no row of it has one. An
+    identifier may be null or shared by different rows; no row is lost by it.
 
-    Rows meet by digest, not by their texts: only digests and keys are aggregated, and the
-    rows of the surviving keys are then taken from the table, hashed and not sorted, with
-    the columns that are asked for later. Without a key the copies themselves are
-    aggregated, before and after the shuffle.
+    One aggregation by digest, which copies enter combined before the shuffle. As all rows
+    of a set are equal, any cell of a column will do, so columns nobody reads later are
+    not shuffled.
     """
-    columns = df.columns
-    rest = [c for c in columns if c != key]
-    if key not in columns:
-        kept = [F.any_value(c).alias(c) for c in rest]
-        return df.groupBy(row_digest(rest).alias("_digest")).agg(*kept).drop("_digest")
-    digests = df.select(F.col(key), row_digest(rest).alias("_digest"))
-    first = digests.groupBy("_digest").agg(F.min(key).alias(key)).select(key)
-    return df.join(first.hint("shuffle_hash"), key, "left_semi")
+    rest = [f for f in df.schema.fields if f.name != key]
+    name = "_digest"
+    while name in df.columns:
+        name = f"_{name}"
+    kept = [(F.min if c == key else F.any_value)(F.col(f"`{c}`")).alias(c) for c in df.columns]
+    return df.groupBy(row_digest(rest).alias(name)).agg(*kept).drop(name)
 
 
 def clean_postings(df: DataFrame, dedupe: bool = True, key: str | None = "job_id") -> DataFrame:

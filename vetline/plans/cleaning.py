@@ -7,7 +7,7 @@ from vetline.functions import scalars, text
 from vetline.operators import clean as ops
 from vetline.operators import encode, sampling
 from vetline.plans import views
-from vetline.plans.postings import raw_postings, table
+from vetline.plans.postings import RULES, raw_postings, table
 from vetline.plans.views import KEY, LABEL, clean, encoded, sql
 from vetline.runtime import settle
 
@@ -31,6 +31,35 @@ def clean_training(spark, sf_dir):
     return clean(spark, sf_dir)
 
 
+# Copies added to the raw postings, as (rows, their job_id, their department).
+_COPIES = [("job_id % 3 = 0", "job_id", "department"), ("job_id % 5 = 0", "CAST(NULL AS BIGINT)", "department"),
+           ("job_id % 7 = 0", "job_id - 1000000", "department"),
+           ("job_id % 11 = 0", "CAST(NULL AS BIGINT)", "concat('Team ', CAST(job_id AS VARCHAR(20)))"),
+           ("job_id % 13 = 0", "job_id", "concat('Desk ', CAST(job_id AS VARCHAR(20)))")]
+_RAW_COLUMNS = list(RULES)
+
+
+def _copied(rows, key, department):
+    cells = {KEY: key, "department": department}
+    return [f"{cells.get(c, c)} AS {c}" for c in _RAW_COLUMNS], rows
+
+
+_REPEATED = " UNION ALL ".join(
+    ["SELECT * FROM once"] + [f"SELECT {', '.join(cells)} FROM once WHERE {rows}" for cells, rows in (_copied(*c) for c in _COPIES)])
+
+
+@query("clean_repeated", sql(f"SELECT {_COLS} FROM clean", "clean").replace("raw AS (", "once AS (", 1).replace(
+    "nulls AS (", f"raw AS ({_REPEATED}),\nnulls AS (", 1))
+def clean_repeated(spark, sf_dir):
+    """Postings of which many occur again: whole, without an identifier, with another one, or as another
+    posting with the same identifier or none."""
+    once = raw_postings(spark, sf_dir)
+    both = once
+    for cells, rows in (_copied(*c) for c in _COPIES):
+        both = both.unionByName(once.where(rows).selectExpr(*cells))
+    return ops.clean_postings(both)
+
+
 @query("clean_for_scoring", sql(f"SELECT {_COLS} FROM single", "single"))
 def clean_scoring(spark, sf_dir):
     return ops.clean_postings(raw_postings(spark, sf_dir), dedupe=False)
