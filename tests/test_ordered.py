@@ -9,7 +9,7 @@ from vetline.operators.ordered import (
 )
 
 
-@pytest.mark.parametrize("range_rows", [10_000, 7])
+@pytest.mark.parametrize("range_rows", [10_000, 7, 3])
 @pytest.mark.parametrize("descending", [False, True])
 def test_running_totals(spark, range_rows, descending):
     pdf = pd.DataFrame({"g": [i % 2 for i in range(200)], "value": [((i * 37) % 211) / 2 for i in range(200)],
@@ -47,3 +47,18 @@ def test_quantiles_per_key_ignore_missing(spark):
         "k string, x double")
     got = {r.k: (r.n, list(r.quantiles)) for r in exact_quantiles(df, F.col("x"), [0.5], ["k"]).collect()}
     assert got == {"a": (4, [2.5]), "b": (2, [0.0])}
+
+
+def test_scan_in_levels(spark):
+    """Ranges of ranges of ranges: no window without a range, no cut list, and the same totals."""
+    df = spark.range(2000).select(((F.col("id") * 7919) % 2003 - 1000).cast("double").alias("value"), (F.col("id") % 3 + 1).alias("n"))
+    got = running_totals(df, "value", ["n"], range_rows=10)
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert "_range3" in plan and "_range4" not in plan and "Bucketizer" not in plan and "UDF" not in plan
+    total, want = 0, {}
+    for r in sorted(df.collect(), key=lambda r: r.value):
+        total += r.n
+        want[r.value] = total
+    assert {r.value: r.cum_n for r in got.collect()} == want
+    ranges = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(_range" in ranges and "windowspecdefinition(value" not in ranges

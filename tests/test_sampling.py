@@ -67,3 +67,23 @@ def test_row_key_for_repeated_rows(spark):
     assert keyed.where("x = 'hot'").count() == 300
     again = sampling.with_row_key(df.repartition(5), block=50)
     assert keyed.exceptAll(again).count() == 0
+
+
+def test_more_classes_than_the_map_takes(spark, monkeypatch):
+    """10,001 classes and more: those beyond the map are joined, and all shares stay exact."""
+    def parts(df):
+        rows = sampling.stratified_split(df, "key", "label").collect()
+        assert len({r.key for r in rows}) == len(rows) == df.count()
+        return {r.key: r.split for r in rows}
+
+    many = spark.range(40_004).select(
+        F.col("id").alias("key"), F.when(F.col("id") % 10_001 == 0, F.lit(None)).otherwise(F.col("id") % 10_001).alias("label"))
+    got = parts(many)
+    sizes = Counter((k % 10_001, s) for k, s in got.items())
+    assert all(sizes[c, "train"] == 3 and sizes[c, "val"] + sizes[c, "test"] == 1 for c in range(10_001))
+    few = spark.range(900).select(F.col("id").alias("key"), (F.col("id") % 37 % 11).alias("label"))
+    base = parts(few)
+    monkeypatch.setattr(sampling, "MAP_CLASSES", 3)
+    assert parts(few) == base
+    plan = sampling.stratified_split(few, "key", "label")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter" in plan

@@ -1,28 +1,43 @@
-"""Running totals and exact quantiles along an order, without a one-task window.
+"""Running totals and exact quantiles along an order, by a scan in levels.
 
-Rows are first compacted to one per distinct value. The compact table is cut into value
-ranges of about RANGE_ROWS rows, as many as it takes; ranges are ranked in parallel and
-shifted by the totals of the ranges before them. A table that fills one range needs no shift.
+Rows are first compacted to one per distinct value. The compact table is dealt into value
+ranges of about RANGE_ROWS rows by Spark's range partitioning and ranked range by range, in
+parallel. The ranges' totals are again a table along the same order, of which RANGE_ROWS
+rows at a time make up a range, and so on until one range is left; what comes before a range is
+joined to its rows. No list of cuts and no window grows with the table.
 """
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vetline.runtime import settle
 
-RANGE_ROWS = 10_000  # distinct values one window task holds, about
+RANGE_ROWS = 10_000  # rows that one window holds, about
 
 
 def _value_range(df: DataFrame, order: str, n_ranges: int) -> DataFrame:
-    """Add ``_range``, the number of the value range a row falls in."""
-    if dict(df.dtypes)[order] == "string":
-        # Spark's own range partitioning; settled, as its cuts come from a sample.
-        return settle(df.repartitionByRange(n_ranges, order).withColumn("_range", F.spark_partition_id()))
-    probs = [i / n_ranges for i in range(1, n_ranges)]
-    cuts = sorted(set(df.approxQuantile(order, probs, 0.25 / n_ranges)))
-    splits = [float("-inf"), *cuts, float("inf")]
-    return Bucketizer(splits=splits, inputCol=order, outputCol="_range").transform(df)
+    """Add ``_range0``, the number of the value range a row falls in; equal values share one."""
+    if n_ranges == 1:
+        return df.withColumn("_range0", F.lit(0))
+    # Settled, as the ranges come from a sample.
+    return settle(df.repartitionByRange(n_ranges, order).withColumn("_range0", F.spark_partition_id()))
+
+
+def _scan(rows: DataFrame, order: str, level: int, n_ranges: int, sums: list[str], keys: list[str],
+          descending: bool, range_rows: int) -> DataFrame:
+    """Add ``_before_<sum>``: the total of all rows before each row along ``order``, in all ranges."""
+    group = [*keys, f"_range{level}"]
+    by = F.desc(order) if descending else F.asc(order)
+    w = Window.partitionBy(*group).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    inside = rows.withColumns({f"_before_{s}": F.coalesce(F.sum(s).over(w), F.lit(0)) for s in sums})
+    if n_ranges == 1:
+        return inside
+    totals = rows.groupBy(*group).agg(*[F.sum(s).alias(s) for s in sums]).withColumn(
+        f"_range{level + 1}", F.expr(f"CAST(_range{level} DIV {range_rows} AS INT)"))
+    above = _scan(totals, f"_range{level}", level + 1, -(-n_ranges // range_rows), sums, keys, descending, range_rows)
+    shifts = above.select(*group, *[F.col(f"_before_{s}").alias(f"_shift_{s}") for s in sums])
+    joined = inside.join(shifts, group)
+    return joined.select(*rows.columns, *[(F.col(f"_before_{s}") + F.col(f"_shift_{s}")).alias(f"_before_{s}") for s in sums])
 
 
 def running_totals(
@@ -36,30 +51,12 @@ def running_totals(
     """Add ``cum_<sum>``: the total of ``<sum>`` up to and including each row.
 
     ``compact`` holds one row per (keys, order) value; it is read several
-    times, so pass a settled table. ``order`` is a non-null double or
-    string; the keys are not null.
+    times, so pass a settled table. ``order`` and the keys are not null.
     """
-    keys = keys or []
     n_ranges = max(1, -(-compact.count() // range_rows))
-    by = F.desc(order) if descending else F.asc(order)
-    ranged = compact.withColumn("_range", F.lit(0)) if n_ranges == 1 else _value_range(compact, order, n_ranges)
-    group = [*keys, "_range"]
-    w = Window.partitionBy(*group).orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = ranged.withColumns({f"cum_{s}": F.sum(s).over(w) for s in sums})
-    if n_ranges == 1:
-        return inside.drop("_range")
-    # One row per key and range in this window: 1 / RANGE_ROWS of the distinct values.
-    by = F.desc("_range") if descending else F.asc("_range")
-    before = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(by)
-    before = before.rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy(*group).agg(*[F.sum(s).alias(f"_total_{s}") for s in sums])
-    shifts = totals.select(
-        *group, *[F.coalesce(F.sum(f"_total_{s}").over(before), F.lit(0)).alias(f"_shift_{s}") for s in sums]
-    )
-    joined = inside.join(shifts, group)
-    return joined.select(
-        *compact.columns, *[(F.col(f"cum_{s}") + F.col(f"_shift_{s}")).alias(f"cum_{s}") for s in sums]
-    )
+    rows = _value_range(compact, order, n_ranges)
+    scanned = _scan(rows, order, 0, n_ranges, sums, keys or [], descending, range_rows)
+    return scanned.select(*compact.columns, *[(F.col(f"_before_{s}") + F.col(s)).alias(f"cum_{s}") for s in sums])
 
 
 def value_counts_of(df: DataFrame, value: Column, keys: list[str] | None = None, weight: str | None = None) -> DataFrame:

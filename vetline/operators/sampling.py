@@ -4,13 +4,16 @@ Rows are ordered by a digest of (seed, key). A part of a class is a range of
 that order, so it has an exact size, needs no sort of the table, and does not
 change when the table is read in another order. The cut points are found from
 counts per digest prefix; only the rows in the prefix a cut falls into are
-ranked. There are about as many prefixes as rows share one, at every size of the table. ``key`` must identify a row; see ``with_row_key`` where there is none.
+ranked. There are about as many prefixes as rows share one, at every size of the table.
+``key`` must identify a row; see ``with_row_key`` where there is none.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_CLASSES = 10_000  # label values whose cut points may travel with every task
+from vetline.runtime import settle
+
+MAP_CLASSES = 10_000  # the largest classes, whose cut points travel with every task
 
 
 def digest(key: Column, seed: int) -> Column:
@@ -58,7 +61,24 @@ def _cuts(df: DataFrame, label: Column, key: str, bounds: list[float], seed: int
         F.map_from_entries(F.collect_list(F.struct("_part", "_h"))).alias("_at")
     )
     at = F.array(*[F.try_element_at("_at", F.lit(i)) for i in range(len(bounds))])
-    return per_class.select("_class", at.alias("_cut"))
+    sizes = counts.groupBy("_class").agg(F.sum("_n").alias("_rows"))
+    return per_class.join(sizes, "_class").select("_class", "_rows", at.alias("_cut"))
+
+
+def _with_cuts(rows: DataFrame, label: str, cuts: DataFrame, bounds: list[float]) -> DataFrame:
+    """Add ``_cut``, the cut points of each row's class (none: null, past the last row)."""
+    own = F.struct(F.col(label).alias("_label"))
+    largest = cuts.orderBy(F.desc("_rows"), "_class").limit(MAP_CLASSES).select("_class", "_cut")
+    by_class = largest.agg(F.map_from_entries(F.collect_list(F.struct("_class", "_cut")))).scalar()
+    cut = F.try_element_at(by_class, own)
+    mapped = rows.withColumn("_cut", cut)
+    if cuts.count() <= MAP_CLASSES:
+        return mapped
+    further = cuts.join(largest, cuts["_class"].eqNullSafe(largest["_class"]), "left_anti").select(
+        F.col("_class").alias("_of"), F.col("_cut").alias("_its"))
+    rest = mapped.where(F.col("_cut").isNull()).withColumn("_class", own)
+    joined = rest.join(further, F.col("_class") == F.col("_of"), "left")
+    return mapped.where(F.col("_cut").isNotNull()).unionByName(joined.select(*rows.columns, F.col("_its").alias("_cut")))
 
 
 def assign_parts(
@@ -72,10 +92,11 @@ def assign_parts(
 ) -> DataFrame:
     """Add ``name``: the 0-based part of each row, by exact shares per class.
 
-    Every class is divided by ``fractions`` (which sum to 1) to within one row.
-    The wide rows are not shuffled: the cut points of all classes travel as one map (at
-    most MAX_CLASSES entries), in which a row looks up its own. ``digits`` sets the length
-    of the digest prefixes that are counted; without it the table's size does.
+    Every class is divided by ``fractions`` (which sum to 1) to within one row. The cut
+    points of the largest MAP_CLASSES classes travel as one map, in which a row looks up
+    its own, so that wide rows are not shuffled. Rows of further classes, none of which
+    has more than a MAP_CLASSES-th of the table, are joined with theirs. ``digits`` sets the
+    length of the digest prefixes that are counted; without it the table's size does.
     """
     bounds, total = [], 0.0
     for f in fractions[:-1]:
@@ -86,13 +107,7 @@ def assign_parts(
         cuts = _cuts(df, F.lit(0), key, bounds, seed, digits)
         rows = rows.withColumn("_cut", cuts.select("_cut").scalar())
     else:
-        cuts = _cuts(df, F.col(label), key, bounds, seed, digits)
-        listed = F.collect_list(F.struct("_class", "_cut"))
-        by_class = cuts.agg(
-            F.when(F.size(listed) <= MAX_CLASSES, F.map_from_entries(listed)).otherwise(
-                F.raise_error(F.lit(f"more than {MAX_CLASSES} values of {label}: too many to split by")))
-        ).scalar()
-        rows = rows.withColumn("_cut", F.try_element_at(by_class, F.struct(F.col(label).alias("_label"))))
+        rows = _with_cuts(rows, label, settle(_cuts(df, F.col(label), key, bounds, seed, digits)), bounds)
     # A null cut lies past the end of the class.
     passed = [
         F.coalesce(F.col("_h") >= F.get("_cut", F.lit(i)), F.lit(False)).cast("int")
