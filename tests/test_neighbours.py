@@ -51,12 +51,12 @@ def brute_lof(fitted, queries, k):
     return factor, np.array(new)
 
 
-@pytest.mark.parametrize("range_vectors", [4096, 12])
-def test_search_is_exact_in_one_range_and_in_many(spark, range_vectors):
+@pytest.mark.parametrize("leaf_vectors", [4096, 12])
+def test_search_is_exact_in_one_range_and_in_many(spark, leaf_vectors):
     fitted, queries = rows(400), rows(120, seed=2)
     v = nb.settle(nb.distinct_vectors(frame(spark, fitted), FEATURES))
     q = nb.distinct_vectors(frame(spark, queries), FEATURES)
-    got = nb.nearest_vectors(q, v, FEATURES, 7, range_vectors=range_vectors).collect()
+    got = nb.nearest_vectors(q, v, FEATURES, 7, leaf_vectors=leaf_vectors).collect()
     points = np.unique(fitted, axis=0)
     assert len(got) == len(np.unique(queries, axis=0))
     for r in got:
@@ -65,24 +65,55 @@ def test_search_is_exact_in_one_range_and_in_many(spark, range_vectors):
         assert [(e.d2, e.n_x, e.n_y) for e in r.near] == want
 
 
-def test_many_ranges_were_really_cut(spark):
-    v = nb.settle(nb.distinct_vectors(frame(spark, rows(400)), FEATURES))
-    splits, fullest = nb._splits(v, "x", 7, 12)
-    assert len(splits) > 5 and 7 <= fullest <= v.count()
-    assert nb._splits(v, "x", 7, 4096) == ([float("-inf"), float("inf")], v.count())
+def leaves_of(spark, points, leaf_vectors):
+    v = nb.settle(nb.distinct_vectors(frame(spark, points), FEATURES))
+    tree = nb.build_tree(v, v, FEATURES, leaf_vectors)
+    return tree, [r["count"] for r in tree.rows.where("weight is not null").groupBy("_node").count().collect()]
+
+
+@pytest.mark.parametrize("leaf_vectors", [1, 3, 12])
+def test_tree_is_cut_down_to_small_leaves(spark, leaf_vectors):
+    tree, sizes = leaves_of(spark, rows(400), leaf_vectors)
+    assert max(sizes) <= leaf_vectors and sum(sizes) == len(np.unique(rows(400), axis=0))
+    assert len(tree.levels) > 2 and tree.rows.where("weight is null").count() == sum(sizes)
+    cells = {r._node: r for level in tree.levels for r in level.collect()}
+    for r in tree.rows.collect():
+        box, node = cells[r._node], r._node
+        assert box._low_x <= r.x <= box._high_x and box._low_y <= r.y <= box._high_y
+        while "." in node:
+            node = cells[node]._parent
+            assert node in cells
+    assert len(nb.build_tree(*[nb.distinct_vectors(frame(spark, rows(50)), FEATURES)] * 2, FEATURES, 4096).levels) == 1
+
+
+def test_values_that_nearly_all_vectors_share(spark):
+    """Quantiles that are all the greatest (or least) value still separate the rest."""
+    points = np.array([(10.0, float(i)) for i in range(200)] + [(i / 10, 0.0) for i in range(5)] + [(20.0 + i, 3.0) for i in range(5)])
+    assert max(leaves_of(spark, points, 8)[1]) <= 8
 
 
-@pytest.mark.parametrize("axis", ["x", "y"])
-def test_crowded_axis_value_is_searched_in_parts(spark, axis):
-    """On y there are four values only, so a range holds many vectors."""
-    fitted, queries = rows(500), rows(80, seed=4)
+def test_queries_between_and_beyond_the_leaves(spark):
+    """Also leaves with fewer vectors than are asked for, and none at all."""
+    fitted = np.concatenate([rows(300), [(1000.0, 0.0), (1000.0, 9.0), (-4000.0, 2.0)]])
+    queries = np.array([(a, b) for a in (-1e5, -50.25, 0.1, 43.9, 300.0, 999.0, 1e6) for b in (-7.0, 1.5, 1e4)])
     v = nb.settle(nb.distinct_vectors(frame(spark, fitted), FEATURES))
     q = nb.distinct_vectors(frame(spark, queries), FEATURES)
-    assert nb._splits(v, "y", 5, 5)[1] > 4 * 5
     points = np.unique(fitted, axis=0)
-    for r in nb.nearest_vectors(q, v, FEATURES, 5, axis, 5).collect():
+    got = nb.nearest_vectors(q, v, FEATURES, 3, 6).collect()
+    assert len(got) == len(queries)
+    for r in got:
         idx, d2 = order(points, np.array([r.x, r.y]))
-        assert [(e.d2, e.n_x, e.n_y) for e in r.near] == [(d2[i], *points[i]) for i in idx[:5]]
+        assert [(e.d2, e.n_x, e.n_y) for e in r.near] == [(d2[i], *points[i]) for i in idx[:3]]
+
+
+def test_only_narrow_levels_are_broadcast(spark, monkeypatch):
+    """The same neighbours when no level may go to every task."""
+    v = nb.settle(nb.distinct_vectors(frame(spark, rows(400)), FEATURES))
+    want = {(r.x, r.y): r.near for r in nb.nearest_vectors(v, v, FEATURES, 3, 6).collect()}
+    monkeypatch.setattr(nb, "NARROW_LEVELS", 0)
+    near = nb.nearest_vectors(v, v, FEATURES, 3, 6)
+    assert "ResolvedHint" not in near._jdf.queryExecution().analyzed().toString()
+    assert {(r.x, r.y): r.near for r in near.collect()} == want
 
 
 def test_crowded_ranges_are_chunked(spark, monkeypatch):
@@ -90,7 +121,7 @@ def test_crowded_ranges_are_chunked(spark, monkeypatch):
     fitted = rows(300)
     v = nb.settle(nb.distinct_vectors(frame(spark, fitted), FEATURES))
     for size in (4096, 20):
-        a = {(r.x, r.y): r.near for r in nb.nearest_vectors(v, v, FEATURES, 3, range_vectors=size).collect()}
+        a = {(r.x, r.y): r.near for r in nb.nearest_vectors(v, v, FEATURES, 3, leaf_vectors=size).collect()}
         assert len(a) == v.count()
         points = np.unique(fitted, axis=0)
         for (x, y), near in a.items():
@@ -98,10 +129,10 @@ def test_crowded_ranges_are_chunked(spark, monkeypatch):
             assert [(e.n_x, e.n_y) for e in near] == [tuple(points[i]) for i in idx[:3]]
 
 
-@pytest.mark.parametrize("k,range_vectors", [(5, 4096), (20, 40)])
-def test_factor_equals_brute_force(spark, k, range_vectors):
+@pytest.mark.parametrize("k,leaf_vectors", [(5, 4096), (20, 40)])
+def test_factor_equals_brute_force(spark, k, leaf_vectors):
     fitted, queries = rows(240), rows(60, seed=3)
-    model = nb.fit_lof(frame(spark, fitted), FEATURES, [3, k], range_vectors)
+    model = nb.fit_lof(frame(spark, fitted), FEATURES, [3, k], leaf_vectors)
     want, new = brute_lof(fitted, queries, k)
     table = {(r.x, r.y): r.factor for r in model.table.where(F.col("k") == k).collect()}
     assert np.allclose([table[tuple(p)] for p in fitted], want, rtol=1e-6)

@@ -61,7 +61,8 @@ def with_category_codes(df: DataFrame, columns: list[str]) -> DataFrame:
     A category may fill much of the table, so both sides of the lookup carry a salt; nulls
     match nothing and spread by it as well.
     """
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int")
+    # Equal rows of different partitions get different salts.
+    salt = F.pmod(F.xxhash64(*df.columns) + F.spark_partition_id(), F.lit(SALTS)).cast("int")
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_part")
     for c in columns:
         codes = category_codes(df, c).select(F.col("value").alias("_value"), F.col("code").alias("_code"), salts)

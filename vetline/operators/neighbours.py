@@ -1,11 +1,12 @@
 """Exact nearest neighbours and the Local Outlier Factor.
 
 Equal vectors are compacted to one with a multiplicity, so repeated postings
-cost nothing. The distinct vectors are cut into ranges along one axis. A query
-first searches its own range; the distance it finds bounds how far along the
-axis a nearer vector can lie, and only the ranges within that bound are
-searched as well. The result is exact, and only the nearest vectors ever leave
-a task.
+cost nothing. The distinct vectors are divided by a tree that is held as
+tables: a crowded cell is split along its widest feature into up to FAN cells,
+until every leaf is small. A query first searches its own leaf; the distance
+it finds rules out all cells whose box lies farther away, and only the other
+leaves are searched as well. The result is exact, and only the nearest vectors
+ever leave a task. Nothing that grows with the table passes through the driver.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +25,9 @@ from vetline.operators.ordered import quantiles_of_counts, value_counts_of
 from vetline.operators.sampling import stratified_folds
 from vetline.runtime import read_stored, settle, side_by_side
 
-RANGE_VECTORS = 512  # distinct fitted vectors per range
+LEAF_VECTORS = 512  # distinct fitted vectors per leaf, at most
+FAN = 16  # cells that one is split into, at most
+NARROW_LEVELS = 3  # levels of the tree with at most FAN ** 3 cells, which may go to every task
 CHUNK_QUERIES = 16_384  # distinct queries per task
 SALTS = 16  # parts that the rows of one vector are dealt to when they look up its factor
 LRD_GUARD = 1e-10  # keeps the density of a vector among its copies finite
@@ -49,34 +51,76 @@ def distinct_vectors(df: DataFrame, features: list[str], weight: str = "weight")
 # --- nearest neighbours ---------------------------------------------------
 
 
-def _splits(fitted: DataFrame, axis: str, k: int, range_vectors: int) -> tuple[list[float], int]:
-    """Range limits on the axis, every range holding at least ``k`` fitted vectors.
+@dataclass
+class Tree:
+    """Cells of the fitted vectors; a cell's path begins with its parent's."""
+
+    levels: list[DataFrame]  # per level below the root: _node, _parent, _n, _low_<feature>, _high_<feature>
+    rows: DataFrame  # the vectors with their leaf in _node: features, weight (null: only asked), _node
+
+
+def _cells(rows: DataFrame, features: list[str], leaf_vectors: int) -> DataFrame:
+    """Size, box and split of each cell: _n, _low_f and _high_f, _feature, _cuts and _strict.
 
-    Also the size of the fullest range, which exceeds ``range_vectors`` by much
-    only where many vectors share one value on the axis.
+    The split takes quantiles of the feature that is widest between its first and last
+    quantile, else of the widest one at all. A cell with a single cut at its greatest
+    value is split into what lies below and the rest (_strict), so that splitting ends.
     """
-    rows = fitted.count()
-    n_ranges = -(-rows // max(range_vectors, k))
-    low, high = float("-inf"), float("inf")
-    probs = [i / n_ranges for i in range(1, n_ranges)]
-    cuts = sorted(set(fitted.approxQuantile(axis, probs, 0.1 / n_ranges))) if probs else []
-    if not cuts:
-        return [low, high], rows
-    ranged = Bucketizer(splits=[low, *cuts, high], inputCol=axis, outputCol="_r").transform(fitted)
-    # One row per range: a small share of the distinct vectors.
-    held = {int(r["_r"]): r["count"] for r in ranged.groupBy("_r").count().collect()}
-    kept, sizes, pending = [], [], 0
-    for i, cut in enumerate(cuts):
-        pending += held.get(i, 0)
-        if pending >= k:
-            kept.append(cut)
-            sizes.append(pending)
-            pending = 0
-    sizes.append(pending + held.get(len(cuts), 0))
-    if kept and sizes[-1] < k:
-        kept.pop()
-        sizes[-2:] = [sizes[-2] + sizes[-1]]
-    return [low, *kept, high], max(sizes)
+    probs = [i / FAN for i in range(1, FAN)]
+    made = [F.count(F.lit(1)).alias("_n")]
+    for f in features:
+        made += [F.min(f).alias(f"_low_{f}"), F.max(f).alias(f"_high_{f}"),
+                 F.percentile_approx(f, probs, 1000).alias(f"_q_{f}")]
+    cells = rows.where("weight is not null").groupBy("_node").agg(*made)
+    # As many parts as there have to be leaves, evenly spaced.
+    parts = F.least(F.lit(FAN), F.ceil(F.col("_n") / leaf_vectors)).cast("int")
+
+    def spread(i: int, f: str) -> Column:
+        q = F.col(f"_q_{f}")
+        return F.struct((F.element_at(q, -1) - F.element_at(q, 1)).alias("inner"),
+                        (F.col(f"_high_{f}") - F.col(f"_low_{f}")).alias("outer"), F.lit(i).alias("at"))
+
+    chosen = F.greatest(*[spread(i, f) for i, f in enumerate(features)]) if len(features) > 1 else spread(0, features[0])
+    quantiles = F.array(*[F.col(f"_q_{f}") for f in features])
+    highs = F.array(*[F.col(f"_high_{f}") for f in features])
+    cells = cells.withColumn("_feature", chosen["at"]).withColumn("_parts", parts)
+    high = F.get(highs, F.col("_feature"))
+    picked = F.filter(F.get(quantiles, F.col("_feature")), lambda x, i: (
+        F.floor((i + 1) * F.col("_parts") / FAN) > F.floor(i * F.col("_parts") / FAN)) & (x < high))
+    cells = cells.withColumn("_cuts", F.array_distinct(picked))
+    return cells.withColumn("_strict", F.size("_cuts") == 0).withColumn(
+        "_cuts", F.when(F.col("_strict"), F.array(high)).otherwise(F.col("_cuts"))
+    ).drop("_parts", *[f"_q_{f}" for f in features])
+
+
+def _narrow(df: DataFrame, level: int) -> DataFrame:
+    """A table with a row per cell of a level: small enough for every task on the first levels."""
+    return F.broadcast(df) if level < NARROW_LEVELS else df
+
+
+def build_tree(fitted: DataFrame, queries: DataFrame, features: list[str], leaf_vectors: int) -> Tree:
+    """Divide ``fitted`` until no leaf has more than ``leaf_vectors``, and send ``queries`` along."""
+    rows = fitted.select(*features, F.col("weight").cast("bigint").alias("weight")).unionByName(
+        queries.select(*features, F.lit(None).cast("bigint").alias("weight"))).withColumn("_node", F.lit("0"))
+    levels, done, open_ = [], [], settle(rows)
+    while True:
+        cells = settle(_cells(open_, features, leaf_vectors))
+        boxes = cells.select(
+            "_node", F.regexp_replace("_node", r"\.?[0-9]+$", "").alias("_parent"), "_n",
+            *[f"_{side}_{f}" for f in features for side in ("low", "high")])
+        levels.append(boxes)
+        splits = cells.where(F.col("_n") > leaf_vectors).select(F.col("_node").alias("_of"), "_feature", "_cuts", "_strict")
+        if splits.isEmpty():
+            return Tree(levels, reduce(DataFrame.unionByName, [*done, open_]))
+        value = F.get(F.array(*features), F.col("_feature"))
+        child = F.when(F.col("_strict"), (value >= F.get("_cuts", F.lit(0))).cast("int")).otherwise(
+            F.size(F.filter("_cuts", lambda c: c < value)))
+        joined = open_.join(_narrow(splits, len(levels) - 1), F.col("_node") == F.col("_of"), "left")
+        moved = settle(joined.select(
+            *features, "weight", F.col("_of").isNotNull().alias("_split"),
+            F.when(F.col("_of").isNull(), F.col("_node")).otherwise(F.concat_ws(".", "_node", child)).alias("_node")))
+        done.append(moved.where("NOT _split").drop("_split"))
+        open_ = moved.where("_split").drop("_split")
 
 
 def _nearest(queries: np.ndarray, fitted: np.ndarray, k: int):
@@ -99,27 +143,37 @@ def _nearest(queries: np.ndarray, fitted: np.ndarray, k: int):
 
 
 def _search(queries: DataFrame, fitted: DataFrame, features: list[str], k: int) -> DataFrame:
-    """Search every query's range; both sides carry range, chunk and part (``_r _c _f``)."""
+    """Search one leaf for each row of ``queries``: the ``k`` nearest, no farther than ``_reach`` (squared).
+
+    Both sides carry ``_node``; crowds of queries are dealt out in chunks.
+    """
     n = len(features)
 
     def search(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         held = held.sort_values(features)
         points, weights = held[features].to_numpy(), held["weight"].to_numpy()
-        parts = []
+        limits, parts, at = asked["_reach"].to_numpy(), [], 0
         for part, order, d2 in _nearest(asked[features].to_numpy(), points, k):
+            reached = (d2 <= limits[at : at + len(part), None]).sum(axis=1)
+            at += len(part)
             frame = {f: part[:, j] for j, f in enumerate(features)}
-            frame["_d2"] = list(d2)
+            frame["_d2"] = [d[:m] for d, m in zip(d2, reached)]
             for j in range(n):
-                frame[f"_n{j}"] = list(points[order, j])
-            frame["_w"] = list(weights[order])
+                frame[f"_n{j}"] = [points[o[:m], j] for o, m in zip(order, reached)]
+            frame["_w"] = [weights[o[:m]] for o, m in zip(order, reached)]
             parts.append(pd.DataFrame(frame))
         return pd.concat(parts) if parts else pd.DataFrame(columns=columns)
 
     columns = [*features, "_d2", *[f"_n{j}" for j in range(n)], "_w"]
     fields = [f"`{f}` double" for f in features] + ["_d2 array<double>"]
     fields += [f"_n{j} array<double>" for j in range(n)] + ["_w array<bigint>"]
-    found = queries.groupBy("_r", "_c", "_f").cogroup(fitted.groupBy("_r", "_c", "_f")).applyInPandas(
-        search, ", ".join(fields))
+    # Fresh column identities, as both sides come from one tree.
+    queries, fitted = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (queries, fitted))
+    chunks = queries.groupBy("_node").agg(F.ceil(F.count(F.lit(1)) / CHUNK_QUERIES).cast("int").alias("_chunks"))
+    asked = queries.join(chunks, "_node").withColumn("_c", F.pmod(F.xxhash64(*features), F.col("_chunks")).cast("int"))
+    held = fitted.join(chunks, "_node").withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+    found = asked.drop("_chunks").groupBy("_node", "_c").cogroup(
+        held.drop("_chunks").groupBy("_node", "_c")).applyInPandas(search, ", ".join(fields))
     zipped = F.arrays_zip("_d2", *[f"_n{j}" for j in range(n)], "_w")
     entry = F.transform(zipped, lambda e: F.struct(
         e["_d2"].alias("d2"),
@@ -129,90 +183,71 @@ def _search(queries: DataFrame, fitted: DataFrame, features: list[str], k: int)
     return found.select(*features, entry.alias("near"))
 
 
-def _chunked(
-    queries: DataFrame, fitted: DataFrame, features: list[str], part_vectors: int
-) -> tuple[DataFrame, DataFrame]:
-    """Split crowded ranges: the queries into chunks, the fitted vectors into parts.
-
-    Every chunk of a range meets every part of it. Without a range column
-    ``_r`` on the fitted side, all is one range.
-    """
-    chunks = F.ceil(F.count(F.lit(1)) / CHUNK_QUERIES).cast("int").alias("_chunks")
-    parts = F.ceil(F.count(F.lit(1)) / part_vectors).cast("int").alias("_parts")
-    if "_r" not in fitted.columns:
-        one = F.lit(0).alias("_r")
-        sizes = {"_chunks": queries.agg(chunks).scalar(), "_parts": fitted.agg(parts).scalar()}
-        asked, held = (df.select("*", one).withColumns(sizes) for df in (queries, fitted))
-    else:
-        # One row per range.
-        sizes = F.broadcast(queries.groupBy("_r").agg(chunks).join(fitted.groupBy("_r").agg(parts), "_r"))
-        asked, held = queries.join(sizes, "_r"), fitted.join(sizes, "_r")
-
-    def every(n: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1))
-
-    def share(n: str) -> Column:
-        return F.pmod(F.xxhash64(*features), F.greatest(F.col(n), F.lit(1))).cast("int")
-
-    asked = asked.withColumn("_c", share("_chunks")).withColumn("_f", every("_parts"))
-    held = held.withColumn("_f", share("_parts")).withColumn("_c", every("_chunks"))
-    return asked.drop("_chunks", "_parts"), held.drop("_chunks", "_parts")
-
-
 def _merged(found: DataFrame, features: list[str], k: int) -> DataFrame:
     """The ``k`` nearest of several searches; structs sort by distance, then vector.
 
-    At most ``k`` entries per searched range or part come together here.
+    At most ``k`` entries per searched leaf come together here, all within the first leaf's reach.
     """
     lists = found.groupBy(*features).agg(F.flatten(F.collect_list("near")).alias("near"))
     return lists.withColumn("near", F.slice(F.array_sort("near"), 1, k))
 
 
+def _box_distance(features: list[str], farthest: bool = False) -> Column:
+    """Squared distance from a vector to the nearest (or farthest) point of a cell's box."""
+    def away(f: str) -> Column:
+        below, above = F.col(f"_low_{f}") - F.col(f), F.col(f) - F.col(f"_high_{f}")
+        most = F.greatest(F.abs(below), F.abs(above)) if farthest else F.greatest(below, above, F.lit(0.0))
+        return most * most
+
+    return reduce(lambda x, y: x + y, [away(f) for f in features])
+
+
 def nearest_vectors(
     queries: DataFrame,
     fitted: DataFrame,
     features: list[str],
     k: int,
-    axis: str | None = None,
-    range_vectors: int = RANGE_VECTORS,
+    leaf_vectors: int = LEAF_VECTORS,
 ) -> DataFrame:
     """The ``k`` nearest distinct fitted vectors of every distinct query, exactly.
 
     Euclidean and unscaled. Adds ``near``, an array of structs (d2, n_<feature>,
     w) ordered by distance, then by vector. ``fitted`` is a settled
-    ``distinct_vectors`` table, ``queries`` has the same features. ``axis`` is
-    the feature the ranges are cut on; it should be the one that spreads most.
+    ``distinct_vectors`` table, ``queries`` has the same features.
     """
-    axis = axis or features[0]
-    splits, fullest = _splits(fitted, axis, k, range_vectors)
-    part_vectors = 4 * max(range_vectors, k)
-    crowded = fullest > part_vectors
-    # Fresh column identities, as the queries may be the fitted table itself.
-    asked = queries.select(*[F.col(f).alias(f) for f in features])
-
-    def searched(some: DataFrame, held: DataFrame) -> DataFrame:
-        found = _search(*_chunked(some, held, features, part_vectors), features, k)
-        return _merged(found, features, k) if crowded else found
-
-    if len(splits) == 2:
-        return searched(asked, fitted)
-
-    def ranged(df: DataFrame, column: str, name: str) -> DataFrame:
-        cut = Bucketizer(splits=splits, inputCol=column, outputCol="_b").transform(df)
-        return cut.withColumn(name, F.col("_b").cast("int")).drop("_b")
-
-    held = ranged(fitted, axis, "_r")
-    own = settle(searched(ranged(asked, axis, "_r"), held))
-    # A nearer vector is at most the k-th distance away along the axis too.
-    # The margin covers the rounding of the root.
-    reach = F.sqrt(F.element_at("near", -1)["d2"]) * (1 + 1e-9)
-    limits = own.select(*features, (F.col(axis) - reach).alias("_from"), (F.col(axis) + reach).alias("_to"))
-    limits = ranged(ranged(ranged(limits, "_from", "_first"), "_to", "_last"), axis, "_own")
-    others = limits.select(
-        *features, "_own", F.explode(F.sequence("_first", "_last")).alias("_r")
-    ).where(F.col("_r") != F.col("_own")).select(*features, "_r")
-    more = _search(*_chunked(others, held, features, part_vectors), features, k)
-    return _merged(own.union(more), features, k)
+    tree = build_tree(fitted, queries, features, max(leaf_vectors, 2 * k))
+    held = tree.rows.where("weight is not null")
+    asked = tree.rows.where("weight is null").drop("weight")
+    own = _search(asked.withColumn("_reach", F.lit(float("inf"))), held, features, k)
+    if len(tree.levels) == 1:
+        return own
+    # A leaf with too few vectors bounds nothing: the box of the smallest cell around it that has enough does.
+    # The margin covers rounding.
+    own = settle(own)
+    last = F.when(F.size("near") >= k, F.element_at("near", -1)["d2"])
+    steps = own.select(*features, (last * (1 + 1e-9)).alias("_reach")).join(asked, features)
+    lone = steps.where("_reach is null").drop("_reach")
+    around = lone.withColumn("_leaf", F.col("_node")).withColumn("_step", F.explode(F.sequence(
+        F.lit(1), F.size(F.split("_node", r"\."))))).withColumn("_node", F.call_function(
+            "substring_index", F.col("_leaf"), F.lit("."), F.col("_step")))
+    boxes = reduce(DataFrame.unionByName, tree.levels).where(F.col("_n") >= k)
+    bounds = around.join(boxes, "_node").groupBy(*features, F.col("_leaf").alias("_node")).agg(
+        (F.min_by(_box_distance(features, True), -F.col("_step")) * (1 + 1e-9)).alias("_reach"))
+    reached = steps.where("_reach is not null").unionByName(
+        lone.join(bounds, [*features, "_node"], "left").withColumn("_reach", F.coalesce("_reach", F.lit(float("inf")))))
+    # Down the tree: to every cell whose box a nearer vector could lie in.
+    walk = reached.select(*features, "_reach", F.col("_node").alias("_leaf"), F.lit("0").alias("_node"))
+    leaves = []
+    for level, cells in enumerate(tree.levels[1:]):
+        step = walk.withColumnRenamed("_node", "_at").join(
+            _narrow(cells, level), F.col("_at") == F.col("_parent"), "left")
+        leaves.append(step.where(F.col("_node").isNull()).withColumn("_node", F.col("_at")))
+        walk = step.where(F.col("_node").isNotNull() & (_box_distance(features) <= F.col("_reach"))).select(
+            *features, "_reach", "_leaf", "_node")
+    kept = [*features, "_reach", "_leaf", "_node"]
+    others = reduce(DataFrame.unionByName, [df.select(*kept) for df in [*leaves, walk]])
+    others = others.where(F.col("_node") != F.col("_leaf")).drop("_leaf")
+    return _merged(own.unionByName(_search(others, held, features, k)), features, k)
 
 
 def neighbour_rows(near: DataFrame, features: list[str], ks: list[int], rows: Column, leave_self: bool) -> DataFrame:
@@ -259,7 +294,7 @@ class LofModel:
     features: list[str]
     ks: list[int]
     rows: int
-    range_vectors: int = RANGE_VECTORS
+    leaf_vectors: int = LEAF_VECTORS
 
 
 def _neighbour_side(table: DataFrame, features: list[str], column: str) -> DataFrame:
@@ -289,20 +324,20 @@ def _factors(rows: DataFrame, own: DataFrame, fitted: DataFrame, features: list[
 
 def fit_lof(
     df: DataFrame, features: list[str] = tuple(schema.FEATURES), ks: list[int] = (20,),
-    range_vectors: int = RANGE_VECTORS,
+    leaf_vectors: int = LEAF_VECTORS,
 ) -> LofModel:
     """Fit for all neighbour counts ``ks`` from one search with the largest."""
     features, ks = list(features), sorted(ks)
     vectors = settle(distinct_vectors(df, features))
     rows = vectors.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
-    near = nearest_vectors(vectors, vectors, features, max(ks) + 1, range_vectors=range_vectors)
+    near = nearest_vectors(vectors, vectors, features, max(ks) + 1, leaf_vectors)
     pairs = settle(neighbour_rows(near, features, ks, F.lit(rows), leave_self=True))
     k_distances = pairs.groupBy("k", *features).agg(F.max("distance").alias("k_distance"))
     density = settle(_densities(pairs, k_distances, features))
     factors = _factors(pairs, density, density, features)
     table = factors.join(k_distances, ["k", *features]).join(vectors, features)
     table = table.select("k", *features, "weight", "k_distance", "density", "factor")
-    return LofModel(settle(table), vectors, features, ks, rows, range_vectors)
+    return LofModel(settle(table), vectors, features, ks, rows, leaf_vectors)
 
 
 def lof_vector_scores(model: LofModel, queries: DataFrame) -> DataFrame:
@@ -311,7 +346,7 @@ def lof_vector_scores(model: LofModel, queries: DataFrame) -> DataFrame:
     A fitted row scored as a new one counts itself among its neighbours.
     """
     f = model.features
-    near = nearest_vectors(queries, model.vectors, f, max(model.ks) + 1, range_vectors=model.range_vectors)
+    near = nearest_vectors(queries, model.vectors, f, max(model.ks) + 1, model.leaf_vectors)
     pairs = settle(neighbour_rows(near, f, model.ks, F.lit(model.rows), leave_self=False))
     own = _densities(pairs, model.table, f)
     return _factors(pairs, own, model.table, f).select("k", *f, "factor")
@@ -330,12 +365,13 @@ def score_lof(
     """Add ``lof_factor``, ``lof_score`` (lower is more anomalous) and ``lof_anomaly`` (-1 or 1).
 
     Rows look their vector's factor up. A vector that makes up much of the table would
-    meet its factor in one task, so both sides carry a salt.
+    meet its factor in one task, so both sides carry a salt, which equal rows of
+    different partitions do not share.
     """
     f = model.features
     scores = lof_vector_scores(model, distinct_vectors(df, f)).where(F.col("k") == k)
     keyed = df.withColumns({f"_{c}": F.col(c).cast("double") + F.lit(0.0) for c in f}).withColumn(
-        "_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
+        "_salt", F.pmod(F.xxhash64(*df.columns) + F.spark_partition_id(), F.lit(SALTS)).cast("int"))
     scores = scores.select(
         *[F.col(c).alias(f"_{c}") for c in f], F.col("factor").alias("lof_factor"),
         F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
