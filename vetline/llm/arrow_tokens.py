@@ -12,41 +12,60 @@ Nothing is compressed, so a reader maps the file and takes any sequence or docum
 without copying.
 """
 
+import json
+import re
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vetline.llm.common import slices, texts_of
-
 LENGTH = 2048
 #: Sequences of a record batch.
 SEQUENCES = 256
-#: Words whose ids a worker remembers.
+#: Words whose ids a worker remembers, in each of two generations.
 REMEMBERED = 600_000
+#: Bytes of the texts encoded together, unless one alone is longer.
+TOGETHER = 8_000_000
 #: Characters of a shard's texts, about; the number of shards follows from the input.
 SHARD_CHARS = 64_000_000
 
+# How a vocabulary that can be encoded word by word normalises and splits.
+_NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"},
+]}
+_SPLIT = {"type": "Split", "behavior": "Removed", "invert": True, "pattern": {
+    "Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+#: A word of letters that lower case leaves single letters, and marks that stand together.
+_LETTERS, _MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-&(-/:-@\[-`{-~]"
+_PLAIN = re.compile(rf"({_LETTERS}+)({_MARKS}*)\Z")
+
 _encoders: dict[int, "Encoder"] = {}
 
 
-class Encoder:
-    """Whole texts to ids with a ``tokenizers`` vocabulary that drops white space.
+def _byte_signs() -> list[str]:
+    """The character that stands for each byte: itself if it can be seen, else one from 256 on, in order."""
+    seen = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = iter(range(256, 512))
+    return [chr(b) if b in seen else chr(next(hidden)) for b in range(256)]
 
-    Such a vocabulary handles what stands between spaces or line feeds by itself, most of
-    them a mark after letters too, and some do not tell A-Z from a-z (all of which is tried
-    when loading), so the ids of such words are remembered; the library encodes new ones. What is remembered ages in two
-    generations: the older one goes when the younger is full.
-    """
 
-    MARKS = ".,;:!?"
+class Encoder:
+    """Whole texts to ids with a vocabulary of the ``tokenizers`` library.
+
+    Where the vocabulary's own rules (read from the file) drop white space and split letters
+    from marks, a text's ids are those of its words one after another. The words of many
+    texts are then split and numbered in Arrow, each different one is looked up once, and
+    the ids are gathered by number. New words of letters and marks go to the library's
+    model in lower case, the others through all its steps. Other vocabularies encode whole
+    texts. What is remembered ages in two generations: the older one goes when the younger is full.
+    """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
@@ -54,57 +73,82 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype(np.uint16 if self.size <= 1 << 16 else np.uint32)
-        plain = self._ids(["a b\na", "a", "b"])
-        self.by_word = plain[0] == plain[1] + plain[2] + plain[1]
-        marks = self._ids([*self.MARKS, *(f"añb{m}" for m in self.MARKS), "añb"])
-        n = len(self.MARKS)
-        self.marks = {m: marks[i] for i, m in enumerate(self.MARKS) if marks[n + i] == marks[-1] + marks[i]}
-        self.lowers = all(a == b for a, b in zip(self._ids(["ABC", "Then", "ZOO"]), self._ids(["abc", "then", "zoo"])))
+        rules = json.loads(vocabulary)
+        model = rules["model"]
+        self.by_word = (
+            rules.get("normalizer") == _NORMALIZER
+            and rules.get("pre_tokenizer") == {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTES]}
+            and rules.get("post_processor") is None and rules.get("truncation") is None and rules.get("padding") is None
+            and model["type"] == "BPE" and not model.get("dropout")
+            and all(not t["lstrip"] and not t["rstrip"] and not re.search(r"\s", t["content"]) for t in rules["added_tokens"])
+        )
+        # Added tokens are looked for first; a plain word that one can be part of takes all steps.
+        self.added = [t["content"] for t in rules["added_tokens"] if re.fullmatch(f"{_LETTERS}*{_MARKS}*", t["content"])]
+        self.signs = _byte_signs()
+        self.parts: dict[str, bytes] = {"": b""}
         self.words: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        code = "H" if self.kind.itemsize == 2 else "I"
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array(code, e.ids).tobytes() for e in found]
-
-    def _learn(self, words: list[str]) -> None:
-        """Remember words that are not yet."""
-        known, older = self.words, self.older
-        new, composed = {}, []
-        for w in words:
-            held = older.get(w)
-            if held is not None:
-                known[w] = held
+        return [np.array(e.ids, self.kind).tobytes() for e in found]
+
+    def _part(self, part: str) -> bytes:
+        """Ids of letters in lower case or of marks, from the model."""
+        found = self.parts.get(part)
+        if found is None:
+            text = part if part.isascii() else "".join(map(self.signs.__getitem__, part.encode()))
+            found = np.array([t.id for t in self.tokenizer.model.tokenize(text)], self.kind).tobytes()
+            if len(self.parts) >= REMEMBERED:
+                self.parts = {"": b""}
+            self.parts[part] = found
+        return found
+
+    def _look_up(self, words: list[str]) -> list[bytes]:
+        """The ids of different words."""
+        if len(self.words) + len(words) > REMEMBERED:
+            self.older, self.words = self.words, {"": b""}
+        known, out, odd = self.words, list(map(self.words.get, words)), []
+        for at, found in enumerate(out):
+            if found is not None:
                 continue
-            core, mark = w, self.marks.get(w[-1])
-            if mark is not None and w[:-1].lower().isalpha():  # letters that stay letters in lower case
-                core = w[:-1]
-            if self.lowers and core.isascii() and core.isalpha():
-                core = core.lower()
-            if core is not w and core != w:
-                composed.append((w, core, mark if len(core) < len(w) else b""))
-            if core not in known:
-                held = older.get(core)
-                if held is None:
-                    new[core] = True
-                else:
-                    known[core] = held
-        fresh = list(new)
-        known.update(zip(fresh, self._ids(fresh)))
-        for w, core, mark in composed:
-            known[w] = known[core] + mark
+            word = words[at]
+            found = self.older.get(word)
+            if found is None:
+                plain = _PLAIN.match(word)
+                if plain is None or any(t in word for t in self.added):
+                    odd.append(at)
+                    continue
+                found = self._part(plain[1].lower()) + self._part(plain[2])
+            known[word] = out[at] = found
+        for at, found in zip(odd, self._ids([words[at] for at in odd])):
+            known[words[at]] = out[at] = found
+        return out
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each); a null text is empty."""
+        texts = pc.fill_null(texts, "")
+        if not self.by_word:
+            found = self._ids(texts.to_pylist())
+            sizes = np.array([len(b) for b in found], np.int64) // self.kind.itemsize
+            return np.frombuffer(b"".join(found), self.kind), sizes
+        split = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
+        ends = split.offsets.to_numpy()[1:].astype(np.int64) - split.offsets[0].as_py()
+        coded = split.flatten().dictionary_encode()
+        found = self._look_up(coded.dictionary.to_pylist())
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
+        words, flat = coded.indices.to_numpy(), np.frombuffer(b"".join(found), self.kind)
+        begins, length = np.cumsum(lengths) - lengths, lengths[words]
+        upto = np.cumsum(length)
+        total = np.concatenate(([0], upto))
+        narrow = np.int32 if max(total[-1], len(flat)) < 1 << 31 else np.int64
+        shift = (begins[words] - total[:-1]).astype(narrow)
+        ids = flat[np.arange(total[-1], dtype=narrow) + np.repeat(shift, length)]
+        return ids, np.diff(total[ends], prepend=0)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if not self.by_word:
-            return [np.frombuffer(b, self.kind) for b in self._ids(texts)]
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        held = set().union(*split)
-        if len(self.words) + len(held) > REMEMBERED:
-            self.older, self.words = self.words, {"": b""}
-        self._learn([w for w in held if w not in self.words])
-        look = self.words.__getitem__
-        return [np.frombuffer(b"".join(map(look, words)), self.kind) for words in split]
+        ids, sizes = self.encode_column(pa.array(texts, pa.string()))
+        return np.split(ids, np.cumsum(sizes)[:-1]) if len(sizes) else []
 
 
 def encoder(vocabulary: str) -> Encoder:
@@ -114,6 +158,18 @@ def encoder(vocabulary: str) -> Encoder:
     return _encoders[key]
 
 
+def pieces_of(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the texts of each piece have some TOGETHER bytes, or are one."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        upto, start = np.cumsum(sizes), 0
+        while start < batch.num_rows:
+            before = upto[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(upto, before + TOGETHER, "right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
 class ShardWriter:
     """Writes one shard; documents go in one after another."""
 
@@ -129,15 +185,15 @@ class ShardWriter:
         self.writers = [pa.ipc.new_stream(o, s) for o, s in zip(self.outs, (self.schema, self.docs))]
         self.held, self.held_tokens = [], 0
 
-    def add(self, doc_ids: list, rows: list[np.ndarray]) -> None:
-        sizes = np.array([len(r) for r in rows], np.int64)
+    def add(self, doc_ids: pa.Array | list, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """The ids of some documents one after another, and how many each has."""
         starts = self.tokens + np.cumsum(sizes) - sizes
         self.writers[1].write_batch(pa.record_batch(
             [pa.array(doc_ids, pa.int64()), pa.array(starts), pa.array(sizes)], schema=self.docs
         ))
-        self.tokens += int(sizes.sum())
-        self.held.extend(rows)
-        self.held_tokens += int(sizes.sum())
+        self.tokens += len(ids)
+        self.held.append(ids)
+        self.held_tokens += len(ids)
         block = self.length * SEQUENCES
         if self.held_tokens >= block:
             flat = np.concatenate(self.held)
@@ -186,12 +242,12 @@ class ShardReader:
         held = self.batches[batch].column(column)
         return held.values.slice(held.offset * self.length, len(held) * self.length)
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, mask) of the i-th sequence; the ids are a view of the mapped file."""
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """(ids, mask) of the i-th sequence, both views of the mapped file; the mask is kept as bits."""
         batch, row = divmod(i, SEQUENCES)
         at = row * self.length
         ids = self._flat(batch, "ids").to_numpy(zero_copy_only=True)[at : at + self.length]
-        return ids, self._flat(batch, "mask").slice(at, self.length).to_numpy(zero_copy_only=False)
+        return ids, self._flat(batch, "mask").slice(at, self.length)
 
     def tokens(self, start: int, n: int) -> list[np.ndarray]:
         """The shard's tokens from ``start`` on: views of the batches they lie in."""
@@ -220,14 +276,14 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, folder: str,
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, writer, name, first, n = encoder(shared.value), None, uuid.uuid4().hex, None, 0
-        for batch in slices(batches):
-            ids = batch.column("doc_id").to_pylist()
-            end = np.array([end_id], own.kind)
-            rows = [np.append(r, end) for r in own.encode(texts_of(batch))]
+        for batch in pieces_of(batches):
+            ids, sizes = own.encode_column(batch.column("text"))
+            # Every document is followed by the end.
+            ended = np.insert(ids, np.cumsum(sizes), own.kind.type(end_id))
             if writer is None:
-                writer, first = ShardWriter(folder, name, own.kind, length), ids[0]
-            writer.add(ids, rows)
-            n += len(rows)
+                writer, first = ShardWriter(folder, name, own.kind, length), batch.column("doc_id")[0].as_py()
+            writer.add(batch.column("doc_id"), ended, sizes + 1)
+            n += batch.num_rows
         if writer is not None:
             writer.close()
             yield pa.record_batch(
@@ -272,7 +328,7 @@ def read_documents(shards: DataFrame, folder: str) -> DataFrame:
                             crc = zlib.crc32(piece.astype("<u4").tobytes(), crc)
                         sums.append(crc)
                     yield pa.record_batch(
-                        [docs.column("doc_id"), pa.compute.add(docs.column("start"), base), docs.column("n_tokens"),
+                        [docs.column("doc_id"), pc.add(docs.column("start"), base), docs.column("n_tokens"),
                          pa.array(sums, pa.int64())],
                         ["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
