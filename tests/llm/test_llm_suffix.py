@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 from awkward_rows import ROWS, clashing, long_text, rows_of
 from vetline.llm import induced, suffix
 
@@ -10,23 +11,23 @@ COLUMNS = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def brute(rows, width=100):
-    seen, out = {}, []
-    order = sorted({(d, t) for d, t, *_ in rows}, key=lambda r: (r[0] is not None, r[0] or 0, hash(r[1])))
-    result = {}
-    for doc, text in order:
+    """Every row is its own document, in the order of doc_id and of the texts' hashes."""
+    def place(row):
+        text = None if row[1] is None else xxhash.xxh64_intdigest(row[1].encode(), 42)
+        return row[0] is not None, row[0] or 0, 42 if text is None else text - (text >> 63 << 64)
+
+    seen, out = set(), []
+    for doc, text in sorted(((r[0], r[1]) for r in rows), key=place):
         data = (text or "").encode()
         gone = np.zeros(len(data), bool)
         for i in range(len(data) - width + 1):
             piece = data[i : i + width]
             if piece in seen:
                 gone[i : i + width] = True
-            else:
-                seen[piece] = True
+            seen.add(piece)
         kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
         runs = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
-        result[doc, text] = (len(data), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest())
-    for doc, text, *_ in rows:
-        out.append((doc, *result[doc, text]))
+        out.append((doc, len(data), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
     return sorted(out, key=repr)
 
 
@@ -124,6 +125,16 @@ def test_odd_rows(odd, none):
     assert found(none) == []
 
 
+def test_rows_that_share_an_id(frame):
+    """Different texts, copies and short ones under one id, and several rows without any."""
+    letters = "".join(f"{i:03d}" for i in range(283))
+    rows = [(1, letters, "en", "s", 1), (1, "short", "en", "s", 1), (2, letters[300:450] + "x" * 40, "en", "s", 1)]
+    assert found(frame(rows)) == brute(rows)
+    rows += [(1, letters, "en", "t", 1), (1, long_text(5, 90), "en", "s", 1), (2, long_text(5, 70), "en", "s", 1)]
+    rows += [(None, long_text(5, 60), "en", "s", 1), (None, letters[:200], "en", "s", 1), (None, None, "en", "s", 1)] * 2
+    assert found(frame(rows).repartition(3)) == brute(rows)
+
+
 def test_windows_of_copies_go_in_one_row(frame):
     """Equal texts near each other leave a task as one interval, not one per segment."""
     rows = [(i, long_text(3, 400), "en", "s", 1) for i in range(20)]

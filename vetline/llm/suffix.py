@@ -168,7 +168,6 @@ def _segment_rows(docs: DataFrame, width: int) -> DataFrame:
         order = np.lexsort((place, doc, seg, key))
         key, seg, doc, place = (c[order] for c in (key, seg, doc, place))
         copy = np.concatenate(([False], (key[1:] == key[:-1]) & (seg[1:] == seg[:-1])))
-        copy[1:] &= (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])  # a repeated row is no copy of itself
         back, open_ = np.flatnonzero(copy), np.flatnonzero(~copy)
         back = back[np.lexsort((place[back], doc[back]))]
         own, (s, e) = doc[back], _windows(place[back])
@@ -422,6 +421,22 @@ def _sorted_shards(cut: DataFrame, width: int) -> DataFrame:
     return cut.repartition("shard").sortWithinPartitions("shard").mapInArrow(work, "doc long, place long")
 
 
+def _ordered(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, doc): ``doc`` is a number of the row's own, in the order of doc_id.
+
+    doc_id itself, unless rows share one or several have none. Then rows are dealt into
+    ranges and numbered in them, by doc_id, by a hash of the text, and by place in the table.
+    """
+    docs = docs.select("doc_id", "text")
+    alone = docs.select("doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    if alone:
+        return docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))))
+    order = [F.asc_nulls_first("doc_id"), F.asc("hash"), F.asc("place")]
+    placed = docs.withColumn("hash", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
+    dealt = placed.repartitionByRange(*order).sortWithinPartitions(*order)
+    return stored(dealt.select("doc_id", "text", F.monotonically_increasing_id().alias("doc")), "numbered")
+
+
 def remove_repeats(docs: DataFrame, width: int = 100) -> DataFrame:
     """(doc_id, kept, n_bytes, n_removed, n_spans, kept_sha256) for every row of ``docs``.
 
@@ -430,13 +445,13 @@ def remove_repeats(docs: DataFrame, width: int = 100) -> DataFrame:
     lie within documents, overlaps count, and all are judged on the input. ``n_spans``
     counts the maximal runs removed; ``kept`` is the rest, as bytes.
 
-    doc_id is an integer key. Rows without one come before all others, in an order given
-    by their text; rows that share one are taken for the same document. Texts shorter
+    doc_id is an integer key. Every row is a document of its own: rows without one come
+    before all others, and rows that share one follow each other by the xxhash64 of their
+    texts, so of equal rows one counts as the first. Texts shorter
     than ``width`` stay whole. Other columns are ignored; an empty table gives an empty
     result.
     """
-    nameless = -(F.lit(1 << 62) + F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1).cast("long")))
-    keyed = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), nameless).alias("doc"))
+    keyed = _ordered(docs)
     judged = stored(_judged(_segment_rows(keyed, width)), "segments")
     opened = judged.where("key is not null")
     found = judged.where("key is null").select("doc", "place").unionByName(
