@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from awkward_rows import clashing, rows_of
 from pyspark.sql import functions as F
@@ -64,16 +66,16 @@ def test_against_the_definition(spark):
 
 
 def test_small_blocks_many_passes(spark):
-    """Runs of a few postings, several shards, merges in several passes."""
+    """Runs of a few texts, several shards, merges in several passes, texts longer than a block."""
     rows = corpus(300, 2)
     docs = spark.createDataFrame(rows, DOCS).na.fill("")
-    small = divergence.frequencies(docs, 10, postings=40, shard_chars=2_000, fan=4)
+    small = divergence.frequencies(docs, 10, block=60, shard_chars=2_000, fan=4)
     large = divergence.frequencies(docs, 10)
 
     def plain(df):
         return sorted((r.lang, r.term, sorted(map(tuple, r.postings))) for r in df.collect())
 
-    runs = divergence.block_runs(docs.repartition(8), 3, 40)
+    runs = divergence.block_runs(docs.repartition(8), 3, 60)
     assert runs.groupBy("shard").count().agg(F.max("count")).first()[0] > 4
     assert plain(small) == plain(large) != []
 
@@ -81,8 +83,40 @@ def test_small_blocks_many_passes(spark):
 def test_runs_are_sorted(spark):
     rows = spark.createDataFrame(corpus(200, 3), DOCS).na.fill("")
     for run in divergence.block_runs(rows, 2, 100).collect():
-        keys = [(a.encode(), b.encode()) for a, b in zip(run.langs, run.terms)]
-        assert keys == sorted(set(keys)) and sum(run.sizes) == len(run.owners) == len(run.counts)
+        found = divergence.Postings.unpacked(run.postings)
+        keys = found.keys.to_pylist()
+        assert keys == sorted(set(keys)) and found.sizes.sum() == len(found.owners) == len(found.counts)
+        assert found.owners.max(initial=0) < len(run.sources) and found.sizes.min(initial=1) > 0
+
+
+@pytest.mark.parametrize("stretch", [1, 3, 1000])
+def test_merge_in_stretches(stretch):
+    """Any cut gives the same sums, in order."""
+    rng = np.random.default_rng(9)
+    runs, want = [], Counter()
+    for _ in range(7):
+        texts = [" ".join(f"t{chr(97 + i)}" for i in rng.integers(0, 26, rng.integers(0, 12))) for _ in range(9)]
+        owners = rng.integers(0, 4, 9)
+        runs.append(divergence.index(pa.array(["l"] * 9), owners, pa.array(texts), 4))
+        for text, owner in zip(texts, owners.tolist()):
+            want.update((t.encode() + b"\0l", owner) for t in text.split())
+    runs.append(divergence.index(pa.array([], pa.string()), np.empty(0, np.int64), pa.array([], pa.string()), 4))
+    got, last = {}, b""
+    for part in divergence.merge(runs, 4, stretch):
+        at = 0
+        for key, size in zip(part.keys.to_pylist(), part.sizes.tolist()):
+            assert key > last
+            last = key
+            got |= {(key, o): n for o, n in zip(part.owners[at : at + size].tolist(), part.counts[at : at + size].tolist())}
+            at += size
+    assert got == want
+
+
+def test_terms_of_a_slice():
+    texts = pa.array(["first", "The cat's HAT\x00-É2é", "", "  x  ", "漢字 Ab", "last"])
+    want = [[t for t in TERM.findall(x.translate(LOWER))] for x in texts.to_pylist()]
+    for part, expected in ((texts, want), (texts[1:5], want[1:5]), (texts[2:2], [])):
+        assert [[t for t in x if t] for x in divergence.terms_of(part).to_pylist()] == expected
 
 
 @pytest.mark.parametrize("sources,postings", [(2, 30), (3, 1000), (512, 10)])

@@ -9,6 +9,7 @@ import pytest
 from awkward_rows import ROWS, clashing, rows_of
 from tokenizers import Tokenizer
 from vetline.llm import arrow_tokens as t
+from vetline.llm.common import pieces_of
 from vetline.runtime import fresh_path
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -86,11 +87,10 @@ def test_what_is_remembered_ages(vocabulary, monkeypatch):
     assert max(len(encoder.words), len(encoder.older), len(encoder.parts)) <= 120
 
 
-def test_pieces_are_bounded_by_bytes(monkeypatch):
-    monkeypatch.setattr(t, "TOGETHER", 10)
+def test_pieces_are_bounded_by_bytes():
     texts = ["abc", None, "defgh", "x" * 40, "", "ij", "k" * 9, "l"]
     batch = pa.record_batch([pa.array(texts)], ["text"])
-    cut = [p.column("text").to_pylist() for p in t.pieces_of(iter([batch, batch.slice(0, 0)]))]
+    cut = [p.column("text").to_pylist() for p in pieces_of(iter([batch, batch.slice(0, 0)]), 10)]
     assert [x for p in cut for x in p] == texts
     assert all(len(p) == 1 or sum(len(x or "") for x in p) <= 10 for p in cut)
 

@@ -25,6 +25,8 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vetline.llm.common import Laid, pieces_of, words_of
+
 LENGTH = 2048
 #: Sequences of a record batch.
 SEQUENCES = 256
@@ -127,24 +129,15 @@ class Encoder:
 
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each); a null text is empty."""
-        texts = pc.fill_null(texts, "")
         if not self.by_word:
-            found = self._ids(texts.to_pylist())
+            found = self._ids(pc.fill_null(texts, "").to_pylist())
             sizes = np.array([len(b) for b in found], np.int64) // self.kind.itemsize
             return np.frombuffer(b"".join(found), self.kind), sizes
-        split = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
-        ends = split.offsets.to_numpy()[1:].astype(np.int64) - split.offsets[0].as_py()
-        coded = split.flatten().dictionary_encode()
-        found = self._look_up(coded.dictionary.to_pylist())
+        ends, numbers, words = words_of(texts)
+        found = self._look_up(words)
         lengths = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
-        words, flat = coded.indices.to_numpy(), np.frombuffer(b"".join(found), self.kind)
-        begins, length = np.cumsum(lengths) - lengths, lengths[words]
-        upto = np.cumsum(length)
-        total = np.concatenate(([0], upto))
-        narrow = np.int32 if max(total[-1], len(flat)) < 1 << 31 else np.int64
-        shift = (begins[words] - total[:-1]).astype(narrow)
-        ids = flat[np.arange(total[-1], dtype=narrow) + np.repeat(shift, length)]
-        return ids, np.diff(total[ends], prepend=0)
+        places, total = Laid(lengths).places(numbers)
+        return np.frombuffer(b"".join(found), self.kind)[places], np.diff(total[ends], prepend=0)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         ids, sizes = self.encode_column(pa.array(texts, pa.string()))
@@ -158,18 +151,6 @@ def encoder(vocabulary: str) -> Encoder:
     return _encoders[key]
 
 
-def pieces_of(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches cut so that the texts of each piece have some TOGETHER bytes, or are one."""
-    for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        upto, start = np.cumsum(sizes), 0
-        while start < batch.num_rows:
-            before = upto[start - 1] if start else 0
-            end = max(start + 1, int(np.searchsorted(upto, before + TOGETHER, "right")))
-            yield batch.slice(start, end - start)
-            start = end
-
-
 class ShardWriter:
     """Writes one shard; documents go in one after another."""
 
@@ -276,7 +257,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, folder: str,
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, writer, name, first, n = encoder(shared.value), None, uuid.uuid4().hex, None, 0
-        for batch in pieces_of(batches):
+        for batch in pieces_of(batches, TOGETHER):
             ids, sizes = own.encode_column(batch.column("text"))
             # Every document is followed by the end.
             ended = np.insert(ids, np.cumsum(sizes), own.kind.type(end_id))

@@ -2,7 +2,9 @@
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,46 @@ def slices(batches: Iterable[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.
             yield batch.slice(start, size)
 
 
+def pieces_of(batches: Iterable[pa.RecordBatch], size: int, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the texts of each piece have some ``size`` bytes, or are one."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        upto, start = np.cumsum(sizes), 0
+        while start < batch.num_rows:
+            before = upto[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(upto, before + size, "right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(end of each text, number of each word, different words) of texts cut at blanks and line feeds.
+
+    A null text is empty; an empty text is one empty word.
+    """
+    plain = pc.replace_substring(pc.fill_null(texts, "").cast(pa.large_string()), "\n", " ")
+    split = pc.split_pattern(plain, " ")
+    ends = split.offsets.to_numpy()[1:].astype(np.int64) - split.offsets[0].as_py()
+    coded = split.flatten().dictionary_encode()
+    return ends, coded.indices.to_numpy(), coded.dictionary.to_pylist()
+
+
+class Laid:
+    """Parts of given lengths that lie one after another."""
+
+    def __init__(self, lengths: np.ndarray):
+        self.lengths, self.begins = lengths, np.cumsum(lengths) - lengths
+        self.small = int(lengths.sum()) < 1 << 31
+
+    def places(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, total before each and at last) of all elements of the parts ``numbers``."""
+        length = self.lengths[numbers]
+        total = np.concatenate(([0], np.cumsum(length)))
+        kind = np.int32 if self.small and total[-1] < 1 << 31 else np.int64
+        shift = (self.begins[numbers] - total[:-1]).astype(kind)
+        return np.arange(total[-1], dtype=kind) + np.repeat(shift, length), total
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """A text column as strings, null as the empty text."""
     return [t or "" for t in batch.column(name).to_pylist()]

@@ -8,24 +8,27 @@ two sources without any term would have; the terms then pass by and correct it.
 
 import heapq
 import uuid
-from collections import Counter
+import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import groupby
 from operator import itemgetter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vetline.llm.common import stored
+from vetline.llm.common import pieces_of, stored
 
-#: Postings and bytes of different terms that a block holds before it becomes a run.
-BLOCK_POSTINGS, BLOCK_BYTES = 600_000, 48_000_000
-#: Characters of the input for each hash shard, about.
-SHARD_CHARS = 64_000_000
-#: Runs of a shard that one merge takes; more are merged in several passes.
-FAN = 64
+#: Bytes of the texts that a block holds before it becomes a run.
+BLOCK = 12_000_000
+#: Characters of the input for each hash shard, about, and shards at most.
+SHARD_CHARS, SHARDS = 64_000_000, 4096
+#: Runs of a shard that one merge takes, more in several passes; terms of each run that it looks at together.
+FAN, STRETCH = 256, 1 << 15
 #: Sources of a block of the pair table, and postings that one of its tasks meets, about.
 SOURCES, POSTINGS = 512, 500_000
 
@@ -37,174 +40,261 @@ _LETTERS = bytes(
     for b in range(256)
 )
 
-RUN = ("shard int, run string, sources array<struct<lang:string,source:string>>, langs array<string>, "
-       "terms array<string>, docs array<long>, sizes array<int>, owners array<int>, counts array<long>")
+RUN = "shard int, run string, sources array<struct<lang:string,source:string>>, postings binary"
 _GROUP = pa.struct([("lang", pa.string()), ("source", pa.string())])
+Source = tuple[str, str]
 
 
-def terms_of(text: bytes) -> list[bytes]:
-    """The terms of a UTF-8 text, repeats included."""
-    return text.translate(_LETTERS).split()
-
-
-def _run(shard: int, sources: list[tuple[bytes, bytes]], entries: list[tuple]) -> pa.RecordBatch:
-    """One run of a shard as a row: entries (lang, term, docs, owners, counts) in order of lang and term."""
-    langs, terms, docs, owners, counts = zip(*entries)
-    groups = pa.array([{"lang": a, "source": b} for a, b in sources], _GROUP)
-    columns = [
-        pa.array(langs, pa.binary()).cast(pa.string()), pa.array(terms, pa.binary()).cast(pa.string()),
-        pa.array(docs, pa.int64()), pa.array(list(map(len, owners)), pa.int32()),
-        pa.array(np.concatenate(owners).astype(np.int32)), pa.array(np.concatenate(counts).astype(np.int64)),
-    ]
-    lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in (groups, *columns)]
-    return pa.record_batch(
-        [pa.array([shard], pa.int32()), pa.array([uuid.uuid4().hex]), *lists],
-        ["shard", "run", "sources", "langs", "terms", "docs", "sizes", "owners", "counts"],
-    )
-
-
-class _Block:
-    """Postings of the texts seen since the last run."""
-
-    def __init__(self, shards: int, postings: int):
-        self.shards, self.postings, self.counts, self.docs = shards, postings, {}, {}
-
-    def add(self, lang: bytes, source: bytes, text: bytes) -> None:
-        terms = terms_of(text)
-        self.counts.setdefault((lang, source), Counter()).update(terms)
-        self.docs.setdefault(lang, Counter()).update(set(terms))
-
-    def full(self) -> bool:
-        if sum(map(len, self.counts.values())) > self.postings:
-            return True
-        return sum(sum(map(len, own)) for own in self.docs.values()) > BLOCK_BYTES
-
-    def runs(self) -> Iterator[pa.RecordBatch]:
-        """The block as one term-sorted run for each hash shard; the block is empty afterwards."""
-        sources = sorted(self.counts)
-        postings: dict[tuple[bytes, bytes], list[tuple[int, int]]] = {}
-        for at, group in enumerate(sources):
-            lang = group[0]
-            for term, n in self.counts.pop(group).items():
-                postings.setdefault((lang, term), []).append((at, n))
-        cut: dict[int, list[tuple[bytes, bytes]]] = {}
-        for key in sorted(postings):
-            cut.setdefault(_shard(key[1], self.shards), []).append(key)
-        for shard, keys in cut.items():
-            entries = [
-                (lang, term, self.docs[lang][term], *np.array(postings[lang, term], np.int64).T) for lang, term in keys
-            ]
-            yield _run(shard, sources, entries)
-        self.docs.clear()
-
-
-def _shard(term: bytes, shards: int) -> int:
-    return int.from_bytes(_digest(term), "big") % shards
-
-
-def _digest(term: bytes) -> bytes:
-    from xxhash import xxh64_digest
-
-    return xxh64_digest(term, 42)
+class Postings(NamedTuple):
+    """Terms in order with their postings.
 
+    A key is a term, a zero byte (which no term has) and the language. ``sizes`` tells how
+    many of ``owners`` (numbers of sources) and ``counts`` belong to each key.
+    """
 
-def block_runs(docs: DataFrame, shards: int, postings: int = BLOCK_POSTINGS) -> DataFrame:
-    """One row per run and hash shard, from one pass over the texts."""
+    keys: pa.Array
+    docs: np.ndarray
+    sizes: np.ndarray
+    owners: np.ndarray
+    counts: np.ndarray
+
+    def chosen(self, which: np.ndarray) -> "Postings":
+        """The keys that ``which`` marks."""
+        own = np.repeat(which, self.sizes)
+        return Postings(self.keys.filter(pa.array(which)), self.docs[which], self.sizes[which], self.owners[own], self.counts[own])
+
+    def packed(self) -> bytes:
+        ends = pa.array(np.concatenate(([0], np.cumsum(self.sizes))).astype(np.int32))
+        batch = pa.record_batch([
+            self.keys, pa.array(self.docs), pa.ListArray.from_arrays(ends, pa.array(self.owners.astype(np.int32))),
+            pa.ListArray.from_arrays(ends, pa.array(self.counts)),
+        ], ["key", "docs", "owners", "counts"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(batch)
+        return sink.getvalue().to_pybytes()
+
+    @staticmethod
+    def unpacked(data: bytes) -> "Postings":
+        batch = pa.ipc.open_stream(data).read_next_batch()
+        owners = batch.column("owners")
+        return Postings(
+            batch.column("key"), batch.column("docs").to_numpy(), np.diff(owners.offsets.to_numpy()).astype(np.int64),
+            owners.flatten().to_numpy().astype(np.int64), batch.column("counts").flatten().to_numpy(),
+        )
+
+
+def terms_of(texts: pa.Array) -> pa.Array:
+    """The terms of each text, repeats included, between empty strings that are none."""
+    held = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(held.buffers()[1], np.int64)[held.offset : held.offset + len(held) + 1]
+    data = held.buffers()[2]
+    plain = (memoryview(data)[offsets[0] : offsets[-1]].tobytes() if data else b"").translate(_LETTERS)
+    # What changes are single ASCII bytes, so the text stays what it was in length and in UTF-8.
+    same = pa.Array.from_buffers(pa.large_string(), len(held), [None, pa.py_buffer(offsets - offsets[0]), pa.py_buffer(plain)])
+    return pc.ascii_split_whitespace(same)
+
+
+def _keyed(terms: pa.Array, langs: pa.Array) -> pa.Array:
+    return pc.binary_join_element_wise(terms.cast(pa.large_binary()), langs.cast(pa.large_binary()), pa.scalar(b"\0", pa.large_binary()))
+
+
+def index(langs: pa.Array, owners: np.ndarray, texts: pa.Array, n_sources: int) -> Postings:
+    """The postings of some texts; ``owners`` has the number of each one's source."""
+    split = terms_of(texts)
+    coded = split.flatten().dictionary_encode()
+    terms, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    doc = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+    empty = pc.index(terms, pa.scalar("", terms.type)).as_py()
+    if empty >= 0:
+        code, doc = code[code != empty], doc[code != empty]
+    lang = langs.dictionary_encode()
+    of_doc, n_langs = lang.indices.to_numpy().astype(np.int64), max(1, len(lang.dictionary))
+    # One pair for each term of a document; then one for each term and language.
+    once = np.unique(code * len(texts) + doc)
+    pair, docs = np.unique(once // max(1, len(texts)) * n_langs + of_doc[once % max(1, len(texts))], return_counts=True)
+    keys = _keyed(terms.take(pa.array(pair // n_langs)), lang.dictionary.take(pa.array(pair % n_langs)))
+    order = pc.sort_indices(keys).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    of_owner = np.zeros(n_sources, np.int64)
+    of_owner[owners] = of_doc
+    posted, counts = np.unique(code * n_sources + owners[doc], return_counts=True)
+    code, owner = posted // max(1, n_sources), posted % max(1, n_sources)
+    at = place[np.searchsorted(pair, code * n_langs + of_owner[owner])]
+    by_key = np.lexsort((owner, at))
+    return Postings(keys.take(pa.array(order)), docs[order].astype(np.int64), np.bincount(at, minlength=len(order)),
+                    owner[by_key], counts[by_key].astype(np.int64))
+
+
+def merge(runs: list[Postings], n_sources: int, stretch: int = STRETCH) -> Iterator[Postings]:
+    """Several runs as one, in stretches of keys.
+
+    A heap holds each run's next ``stretch`` keys by the last of them. The least of these
+    ends the next stretch of the result: up to it, every run gives what it has.
+    """
+    at = [0] * len(runs)
+    begins = [np.concatenate(([0], np.cumsum(r.sizes))) for r in runs]
+
+    def last(i: int) -> tuple[bytes, int]:
+        return runs[i].keys[min(at[i] + stretch, len(runs[i].keys)) - 1].as_py(), i
+
+    heap = [last(i) for i, r in enumerate(runs) if len(r.keys)]
+    heapq.heapify(heap)
+    while heap:
+        bound, parts = heap[0][0], []
+        for _, i in heap:
+            keys = runs[i].keys
+            end = bisect_right(range(len(keys)), bound, at[i], min(at[i] + stretch, len(keys)), key=lambda j, k=keys: k[j].as_py())
+            if end > at[i]:
+                parts.append((i, at[i], end))
+        for i, _, end in parts:
+            at[i] = end
+        heap = [last(i) for _, i in heap if at[i] < len(runs[i].keys)]
+        heapq.heapify(heap)
+        yield _summed([
+            Postings(r.keys[a:b], r.docs[a:b], r.sizes[a:b], r.owners[e[a] : e[b]], r.counts[e[a] : e[b]])
+            for r, e, a, b in ((runs[i], begins[i], a, b) for i, a, b in parts)
+        ], n_sources)
+
+
+def _summed(parts: list[Postings], n_sources: int) -> Postings:
+    """Parts of equal keys added up, in order of the keys."""
+    if len(parts) == 1:
+        return parts[0]
+    coded = pa.concat_arrays([p.keys for p in parts]).dictionary_encode()
+    order = pc.sort_indices(coded.dictionary)
+    place = np.empty(len(order), np.int64)
+    place[order.to_numpy()] = np.arange(len(order))
+    at = place[coded.indices.to_numpy()]
+    docs = np.zeros(len(order), np.int64)
+    np.add.at(docs, at, np.concatenate([p.docs for p in parts]))
+    pair = np.repeat(at, np.concatenate([p.sizes for p in parts])) * n_sources + np.concatenate([p.owners for p in parts])
+    pair, where = np.unique(pair, return_inverse=True)
+    counts = np.zeros(len(pair), np.int64)
+    np.add.at(counts, where, np.concatenate([p.counts for p in parts]))
+    return Postings(coded.dictionary.take(order), docs, np.bincount(pair // n_sources, minlength=len(order)), pair % n_sources, counts)
+
+
+def _joined(parts: list[Postings]) -> Postings:
+    """Stretches one after another."""
+    return Postings(pa.concat_arrays([p.keys for p in parts]), *[np.concatenate(c) for c in list(zip(*parts))[1:]])
+
+
+def _run(shard: int, sources: list[Source], postings: Postings) -> pa.RecordBatch:
+    return pa.record_batch([
+        pa.array([shard], pa.int32()), pa.array([uuid.uuid4().hex]),
+        pa.array([[{"lang": a, "source": b} for a, b in sources]], pa.list_(_GROUP)), pa.array([postings.packed()], pa.binary()),
+    ], ["shard", "run", "sources", "postings"])
+
+
+def _parts(text: str, size: int) -> list[str]:
+    """A long text cut at blanks into parts of some ``size`` characters."""
+    parts, start = [], 0
+    while start < len(text):
+        end = text.find(" ", start + size)
+        end = len(text) if end < 0 else end
+        parts.append(text[start:end])
+        start = end
+    return parts
+
+
+def block_runs(docs: DataFrame, shards: int, block: int = BLOCK) -> DataFrame:
+    """One row per run and hash shard, from one pass over the texts; the terms of a run are in order."""
+
+    def one(langs: pa.Array, owners: np.ndarray, texts: pa.Array, n: int) -> Postings:
+        if len(texts) > 1 or len(text := texts[0].as_py()) <= block:
+            return index(langs, owners, texts, n)
+        parts = [index(langs, owners, pa.array([part], pa.string()), n) for part in _parts(text, block)]
+        whole = _joined(list(merge(parts, n)))
+        return whole._replace(docs=np.ones(len(whole.docs), np.int64))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = _Block(shards, postings)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                piece = batch.slice(at, 64)
-                for row in zip(*(c.cast(pa.binary()).to_pylist() for c in piece.columns)):
-                    block.add(*row)
-                if block.full():
-                    yield from block.runs()
-        yield from block.runs()
+        for batch in pieces_of(_together(batches, block), block):
+            langs, texts = batch.column("lang"), batch.column("text")
+            of_doc = list(zip(langs.to_pylist(), batch.column("source").to_pylist()))
+            number: dict[Source, int] = {}
+            owners = np.array([number.setdefault(s, len(number)) for s in of_doc], np.int64)
+            postings = one(langs, owners, texts, len(number))
+            shard = np.array([zlib.crc32(k[: k.index(b"\0")]) % shards for k in postings.keys.to_pylist()], np.int64)
+            for at in np.unique(shard).tolist():
+                yield _run(at, list(number), postings.chosen(shard == at))
 
     return docs.select("lang", "source", "text").mapInArrow(work, RUN)
 
 
-def _entries(row: dict, number: dict) -> Iterator[tuple]:
-    """A run's entries in order, its sources under the merge's numbers."""
-    own = np.array([number.setdefault((s["lang"], s["source"]), len(number)) for s in row["sources"]], np.int64)
-    owners, counts = own[np.asarray(row["owners"], np.int64)], np.asarray(row["counts"], np.int64)
-    ends = np.cumsum(row["sizes"])
-    for lang, term, docs, size, end in zip(row["langs"], row["terms"], row["docs"], row["sizes"], ends.tolist()):
-        yield lang.encode(), term.encode(), docs, owners[end - size : end], counts[end - size : end]
-
-
-def merge(rows: list[dict]) -> tuple[list[tuple[bytes, bytes]], Iterator[tuple]]:
-    """(sources, entries) of several runs of one shard, merged by a heap in order of lang and term."""
-    number: dict[tuple[str, str], int] = {}
-    runs = [_entries(row, number) for row in rows]
+def _together(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Small batches joined until their texts have some ``size`` bytes."""
+    held, total = [], 0
+    for batch in batches:
+        held.append(batch)
+        total += batch.column("text").nbytes
+        if total >= size:
+            yield pa.concat_batches(held)
+            held, total = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
-    def merged() -> Iterator[tuple]:
-        for (lang, term), same in groupby(heapq.merge(*runs, key=itemgetter(0, 1)), key=itemgetter(0, 1)):
-            same = list(same)
-            if len(same) == 1:
-                yield same[0]
-                continue
-            owners, at = np.unique(np.concatenate([e[3] for e in same]), return_inverse=True)
-            counts = np.zeros(len(owners), np.int64)
-            np.add.at(counts, at, np.concatenate([e[4] for e in same]))
-            yield lang, term, sum(e[2] for e in same), owners, counts
 
-    # The numbers are only complete once the entries have passed.
-    return number, merged()
+def _merged(rows: list[dict]) -> tuple[list[Source], Iterator[Postings]]:
+    """(sources, stretches) of the runs in some rows."""
+    number: dict[Source, int] = {}
+    runs = []
+    for row in rows:
+        own = np.array([number.setdefault((s["lang"], s["source"]), len(number)) for s in row["sources"]], np.int64)
+        run = Postings.unpacked(row["postings"])
+        runs.append(run._replace(owners=own[run.owners]))
+    return list(number), merge(runs, max(1, len(number)))
 
 
-def _by_key(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[tuple, list[dict]]]:
+def _by_key(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[list[dict]]:
     """Rows of equal keys together; the batches are sorted by them."""
     rows = (row for batch in batches for row in batch.to_pylist())
-    for key, same in groupby(rows, key=itemgetter(*keys)):
-        yield key, list(same)
+    for _, same in groupby(rows, key=itemgetter(*keys)):
+        yield list(same)
 
 
 def merge_pass(runs: DataFrame, parts: int) -> DataFrame:
     """Fewer runs: those of a shard that fall into the same of ``parts`` parts become one."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (shard, _), rows in _by_key(batches, "shard", "part"):
-            number, entries = merge(rows)
-            entries = list(entries)
-            yield _run(shard, [(a.encode(), b.encode()) for a, b in number], entries)
+        for rows in _by_key(batches, "shard", "part"):
+            sources, stretches = _merged(rows)
+            yield _run(rows[0]["shard"], sources, _joined(list(stretches)))
 
     dealt = runs.withColumn("part", F.pmod(F.xxhash64("run"), F.lit(parts)).cast("int"))
     return dealt.repartition("shard", "part").sortWithinPartitions("shard", "part").mapInArrow(work, RUN)
 
 
-def frequencies(docs: DataFrame, min_docs: int = MIN_DOCS, postings: int = BLOCK_POSTINGS,
+def frequencies(docs: DataFrame, min_docs: int = MIN_DOCS, block: int = BLOCK,
                 shard_chars: int = SHARD_CHARS, fan: int = FAN) -> DataFrame:
     """(lang, term, postings): terms in at least ``min_docs`` documents of a language.
 
     ``postings`` lists (source, n), the occurrences in each source that has any. ``docs`` has
     non-null lang, source and text.
     """
-    spark = docs.sparkSession
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = int(max(1, -(-chars // shard_chars)))
-    runs = stored(block_runs(docs, shards, postings), "runs")
+    shards = int(min(SHARDS, max(1, -(-chars // shard_chars))))
+    runs = stored(block_runs(docs, shards, block), "runs")
     while (most := runs.groupBy("shard").count().agg(F.max("count")).first()[0] or 0) > fan:
         runs = stored(merge_pass(runs, int(-(-most // (fan // 2)))), "runs")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _by_key(batches, "shard"):
-            number, entries = merge(rows)
-            kept = [e for e in entries if e[2] >= min_docs]
-            if not kept:
-                continue
-            names = pa.array([b for _, b in number], pa.string())
-            langs, terms, _, owners, counts = zip(*kept)
-            offsets = pa.array(np.cumsum([0, *map(len, owners)]).astype(np.int32))
-            postings = pa.StructArray.from_arrays(
-                [names.take(pa.array(np.concatenate(owners))), pa.array(np.concatenate(counts))], ["source", "n"]
-            )
-            yield pa.record_batch(
-                [pa.array(langs, pa.binary()).cast(pa.string()), pa.array(terms, pa.binary()).cast(pa.string()),
-                 pa.ListArray.from_arrays(offsets, postings)],
-                ["lang", "term", "postings"],
-            )
+        for rows in _by_key(batches, "shard"):
+            sources, stretches = _merged(rows)
+            names = pa.array([s for _, s in sources], pa.string())
+            for found in stretches:
+                kept = found.chosen(found.docs >= min_docs)
+                if not len(kept.keys):
+                    continue
+                both = [k.split(b"\0", 1) for k in kept.keys.to_pylist()]
+                offsets = pa.array(np.concatenate(([0], np.cumsum(kept.sizes))).astype(np.int32))
+                postings = pa.StructArray.from_arrays([names.take(pa.array(kept.owners)), pa.array(kept.counts)], ["source", "n"])
+                yield pa.record_batch(
+                    [*(pa.array([b[i] for b in both], pa.binary()).cast(pa.string()) for i in (1, 0)),
+                     pa.ListArray.from_arrays(offsets, postings)],
+                    ["lang", "term", "postings"],
+                )
 
     schema = "lang string, term string, postings array<struct<source:string,n:long>>"
     merged = runs.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(work, schema)
