@@ -127,13 +127,52 @@ def test_round_trip_and_missing_model(spark, matrix, tmp_path):
     a, b = (forest.score_outliers(matrix, m) for m in (model, loaded))
     assert a.exceptAll(b).count() == 0
     assert forest.load_forest(spark, str(tmp_path / "absent")) is None
-    (tmp_path / "bad" / "params").mkdir(parents=True)
-    (tmp_path / "bad" / "params" / "x.parquet").write_bytes(b"not a table")
-    assert forest.load_forest(spark, str(tmp_path / "bad")) is None
+    for f in (tmp_path / "model").glob("version-*/params/*.parquet"):
+        f.write_bytes(b"not a table")
+    for f in (tmp_path / "model").glob("version-*/params/.*.crc"):
+        f.unlink()
+    assert forest.load_forest(spark, path) is None
     row = forest.score_outliers(matrix, None).first()
     assert (row.anomaly_score, row.anomaly_label) == (0.0, 1)
 
 
+def test_a_writer_that_stops_leaves_the_version_before(spark, matrix, tmp_path, monkeypatch):
+    """Nodes of a new model without its parameters, or all of it without the last step, are not seen."""
+    first, second = (forest.fit_forest(matrix, "id", trees=t, sample=32) for t in (3, 5))
+    path = str(tmp_path / "model")
+    forest.save_forest(spark, first, path)
+
+    def stop(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr("vetline.runtime.publish", stop)
+        with pytest.raises(OSError):
+            forest.save_forest(spark, second, path)
+    frame = spark.createDataFrame
+    with monkeypatch.context() as m:
+        m.setattr(type(spark), "createDataFrame", lambda self, rows, schema=None: stop() if "offset" in str(schema) else frame(rows, schema))
+        with pytest.raises(OSError):
+            forest.save_forest(spark, second, path)
+    assert forest.load_forest(spark, path).nodes["tree"].nunique() == 3
+    forest.save_forest(spark, second, path)
+    assert forest.load_forest(spark, path).nodes["tree"].nunique() == 5
+
+
+def test_digests_per_tree_are_drawn_from_a_bounded_pool(spark, monkeypatch):
+    """Of a table larger than the pool, the pool is the first rows by digest; the trees draw from it alone."""
+    monkeypatch.setattr(forest, "POOL", 0)
+    df = spark.range(500).select("id", F.col("id").cast("double").alias("x"))
+    samples, size = forest._tree_samples(df, "id", 5, 20, 42)
+    got = {}
+    for r in samples.collect():
+        got.setdefault(r._tree, set()).add(r.id)
+    md5 = lambda *a: hashlib.md5(":".join(map(str, a)).encode()).hexdigest()
+    pool = sorted(range(500), key=lambda i: md5(42, i))[:100]
+    assert size == 20
+    assert got == {t: set(sorted(pool, key=lambda i: md5(42, t, i))[:20]) for t in range(5)}
+
+
 def test_hot_vector(spark):
     df = spark.range(900).select(
         "id", *[F.when(F.col("id") % 3 == 0, F.lit(1.0)).otherwise((F.col("id") % 11).cast("double")).alias(f)

@@ -103,9 +103,11 @@ def test_winner_round_trip(spark, rows, tmp_path, kind):
 
 
 def test_unreadable_model(spark, tmp_path):
-    (tmp_path / "params").mkdir()
-    (tmp_path / "params" / "x.parquet").write_bytes(b"not a table")
+    for name in ("versions", "params"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.parquet").write_bytes(b"not a table")
     assert neighbours.load_lof(spark, str(tmp_path)) is None
+    assert read_stored(spark, str(tmp_path), "params") is None
     assert read_stored(spark, str(tmp_path), "nothing") is None
 
 

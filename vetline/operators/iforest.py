@@ -22,10 +22,11 @@ from vetline import schema
 from vetline.functions.scalars import flagged
 from vetline.operators.metrics import confusion, precision_recall_f1
 from vetline.operators.ordered import quantiles_of_counts, value_counts_of
-from vetline.operators.sampling import stratified_folds
-from vetline.runtime import read_stored, settle, side_by_side
+from vetline.operators.sampling import first_by_digest, stratified_folds
+from vetline.runtime import current_version, read_stored, settle, side_by_side, write_version
 
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, category string, path double"
+POOL = 100 * 256  # rows that the trees draw from, at least
 SCORE_DIGITS = 12  # of a raw score: equal vectors then compare as equal, in whatever order paths were added
 
 
@@ -64,16 +65,18 @@ class Forest:
 def _tree_samples(df: DataFrame, key: str, trees: int, sample: int, seed: int) -> tuple[DataFrame, int]:
     """Rows with a ``_tree`` number, ``sample`` rows per tree without repeats.
 
-    Each tree takes the rows whose digest of (seed, tree, key) is smallest, whatever
-    the size of the table. A bound on the digest, eight deviations above what is needed,
-    leaves some ``sample`` rows per tree to rank.
+    A pool of POOL or trees * ``sample`` rows (all, if fewer) is drawn first, by one digest a row;
+    each tree takes the rows of the pool whose digest of (seed, tree, key) is smallest. So
+    the digests per tree are bounded, whatever the size of the table. A bound on the digest,
+    eight deviations above what is needed, leaves some ``sample`` rows per tree to rank.
     """
     rows = df.count()
-    size = min(sample, rows)
+    size, pool = min(sample, rows), min(max(trees * sample, POOL), rows)
+    drawn_from = df if pool == rows else first_by_digest(df, key, pool, rows, seed)
     wanted = size + 8 * size**0.5 + 8
-    bound = f"{min(int(wanted / max(rows, 1) * 16**32), 16**32 - 1):032x}"
+    bound = f"{min(int(wanted / max(pool, 1) * 16**32), 16**32 - 1):032x}"
     draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_tree"), F.col(key).cast("string")).cast("binary"))
-    drawn = df.withColumn("_tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("_h", draw)
+    drawn = drawn_from.withColumn("_tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("_h", draw)
     order = Window.partitionBy("_tree").orderBy("_h", key)
     drawn = drawn.where(F.col("_h") <= bound).withColumn("_i", F.row_number().over(order))
     return drawn.where(F.col("_i") <= size).drop("_i", "_h"), size
@@ -292,18 +295,20 @@ def cross_validate_forest(
 
 
 def save_forest(spark: SparkSession, model: Forest, path: str) -> None:
-    """Write the node table and the one-row parameter table."""
+    """Store the node table and the one-row parameter table as a new version of ``path``."""
     nodes = model.nodes.astype(object).where(model.nodes.notna(), None)
-    spark.createDataFrame(nodes, NODE_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
-    spark.createDataFrame(
-        [(model.numeric, model.categorical, model.sample, model.contamination, model.offset)],
-        "numeric array<string>, categorical array<string>, sample int, contamination double, offset double",
-    ).coalesce(1).write.mode("overwrite").parquet(f"{path}/params")
+    write_version(spark, path, {
+        "nodes": spark.createDataFrame(nodes, NODE_SCHEMA).coalesce(1),
+        "params": spark.createDataFrame(
+            [(model.numeric, model.categorical, model.sample, model.contamination, model.offset)],
+            "numeric array<string>, categorical array<string>, sample int, contamination double, offset double",
+        ).coalesce(1),
+    })
 
 
 def load_forest(spark: SparkSession, path: str) -> Forest | None:
-    """Read a stored forest; a missing or unreadable one gives None."""
-    stored = read_stored(spark, path, "params", "nodes")
+    """Read the current version of a stored forest; a missing or unreadable one gives None."""
+    stored = read_stored(spark, current_version(spark, path), "params", "nodes")
     if stored is None:
         return None
     p, nodes = stored[0].first(), stored[1].toPandas()

@@ -23,7 +23,7 @@ from vetline import schema
 from vetline.operators.metrics import confusion_of, contamination_sweep, precision_recall_f1
 from vetline.operators.ordered import quantiles_of_counts, value_counts_of
 from vetline.operators.sampling import stratified_folds
-from vetline.runtime import read_stored, settle, side_by_side
+from vetline.runtime import current_version, read_stored, settle, side_by_side, write_version
 
 LEAF_VECTORS = 512  # distinct fitted vectors per leaf, at most
 FAN = 16  # cells that one is split into, at most
@@ -443,16 +443,15 @@ def cross_validate_lof(
 
 
 def save_lof(model: LofModel, path: str) -> None:
+    """Store the fitted vectors and the parameters as a new version of ``path``."""
     spark = model.table.sparkSession
-    model.table.write.mode("overwrite").parquet(f"{path}/vectors")
-    spark.createDataFrame(
-        [(model.features, model.ks, model.rows)], "features array<string>, ks array<int>, rows bigint"
-    ).coalesce(1).write.mode("overwrite").parquet(f"{path}/params")
+    write_version(spark, path, {"vectors": model.table, "params": spark.createDataFrame(
+        [(model.features, model.ks, model.rows)], "features array<string>, ks array<int>, rows bigint").coalesce(1)})
 
 
 def load_lof(spark: SparkSession, path: str) -> LofModel | None:
-    """Read a stored model; a missing or unreadable one gives None."""
-    stored = read_stored(spark, path, "params", "vectors")
+    """Read the current version of a stored model; a missing or unreadable one gives None."""
+    stored = read_stored(spark, current_version(spark, path), "params", "vectors")
     if stored is None:
         return None
     p, table = stored[0].first(), stored[1]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vetline import schema
 from vetline.operators import iforest, metrics, neighbours, tuning
-from vetline.runtime import read_stored, settle
+from vetline.runtime import current_version, publish, read_stored, settle, version_folder
 
 
 @dataclass
@@ -77,17 +77,21 @@ def select_model(
 
 
 def save_winner(spark: SparkSession, winner: Winner, path: str) -> None:
-    """Store the winner with its settings, read it back and compare it with what was meant."""
+    """Store the winner with its settings as a new version, compare it with what was meant, then publish it.
+
+    Until it is published readers see the version before.
+    """
     forest = winner.kind == "IsolationForest"
+    folder = version_folder(path)
     if forest:
-        iforest.save_forest(spark, winner.model, f"{path}/model")
+        iforest.save_forest(spark, winner.model, f"{folder}/model")
     else:
-        neighbours.save_lof(winner.model, f"{path}/model")
+        neighbours.save_lof(winner.model, f"{folder}/model")
     spark.createDataFrame(
         [(winner.kind, winner.contamination, winner.n_neighbors, winner.offset)],
         "kind string, contamination double, n_neighbors int, offset double",
-    ).coalesce(1).write.mode("overwrite").parquet(f"{path}/winner")
-    again = load_winner(spark, path)
+    ).coalesce(1).write.parquet(f"{folder}/winner")
+    again = _winner_in(spark, folder)
     same = again is not None and (again.kind, again.contamination, again.n_neighbors, again.offset) == (
         winner.kind, winner.contamination, winner.n_neighbors, winner.offset)
     if same:
@@ -96,11 +100,16 @@ def save_winner(spark: SparkSession, winner: Winner, path: str) -> None:
             else again.model.rows == winner.model.rows and again.model.table.count() == winner.model.table.count()
         )
     if not same:
-        raise OSError(f"what is stored at {path} is not what was to be stored")
+        raise OSError(f"what is stored at {folder} is not what was to be stored")
+    publish(spark, path, folder)
 
 
 def load_winner(spark: SparkSession, path: str) -> Winner | None:
-    """A stored winner; a missing or unreadable one gives None."""
+    """The published winner; a missing or unreadable one gives None."""
+    return _winner_in(spark, current_version(spark, path))
+
+
+def _winner_in(spark: SparkSession, path: str | None) -> Winner | None:
     stored = read_stored(spark, path, "winner")
     if stored is None:
         return None

@@ -144,9 +144,10 @@ def forest_ctes(tag="", train="split = 'train'", val="split = 'val'", source="sp
     return {
         f"ft_{t}": f"SELECT {KEY}, {LABEL}, {named} FROM {source} WHERE {train}",
         f"fq_{t}": f"SELECT {KEY}, {LABEL}, {named}, {_F} FROM {val_source or source} WHERE {val}",
+        f"pl_{t}": f"SELECT * FROM ft_{t} QUALIFY row_number() OVER (ORDER BY md5('{_SEED}:' || {KEY}), {KEY}) <= {_TREES} * {_SAMPLE}",
         f"sm_{t}": f"""SELECT tree, 1 AS node, 0 AS depth, {fs} FROM (SELECT *, row_number() OVER (PARTITION BY tree
             ORDER BY md5('{_SEED}:' || tree || ':' || {KEY}), {KEY}) AS place
-            FROM ft_{t}, (SELECT CAST(range AS INTEGER) AS tree FROM range({_TREES}))) WHERE place <= {size}""",
+            FROM pl_{t}, (SELECT CAST(range AS INTEGER) AS tree FROM range({_TREES}))) WHERE place <= {size}""",
         f"gr_{t}": f"""SELECT * FROM sm_{t} UNION ALL
             SELECT tree, 2 * node + CASE WHEN {pick('f')} > cut THEN 1 ELSE 0 END, depth + 1, {fs}
             FROM ({split.format(rows=f'gr_{t}')}) WHERE feature IS NOT NULL""",

@@ -14,6 +14,7 @@ from multiprocessing.pool import ThreadPool
 from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int = 8, app: str = "vetline") -> SparkSession:
@@ -80,12 +81,46 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def read_stored(spark: SparkSession, path: str, *tables: str) -> list[DataFrame] | None:
+def version_folder(path: str) -> str:
+    """A folder of its own for the next version of what is stored at ``path``."""
+    return f"{path}/version-{uuid.uuid4().hex}"
+
+
+def publish(spark: SparkSession, path: str, folder: str) -> None:
+    """Make a written version the current one, by one row appended to the list of versions.
+
+    The row appears whole or not at all, and after everything it points to. A writer that stops
+    before leaves the version before current.
+    """
+    listed = read_stored(spark, path, "versions")
+    number = 1 + (listed[0].agg(F.max("number")).first()[0] if listed else 0)
+    row = spark.createDataFrame([(number, os.path.basename(folder))], "number bigint, folder string")
+    row.coalesce(1).write.mode("append").parquet(f"{path}/versions")
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """The folder of the version published last; None if there is none."""
+    listed = read_stored(spark, path, "versions")
+    last = listed and listed[0].agg(F.max_by("folder", F.struct("number", "folder"))).first()[0]
+    return f"{path}/{last}" if last else None
+
+
+def write_version(spark: SparkSession, path: str, tables: dict[str, DataFrame]) -> None:
+    """Write the tables into a new folder, then publish it."""
+    folder = version_folder(path)
+    for name, df in tables.items():
+        df.write.parquet(f"{folder}/{name}")
+    publish(spark, path, folder)
+
+
+def read_stored(spark: SparkSession, path: str | None, *tables: str) -> list[DataFrame] | None:
     """The Parquet tables below a stored model's folder.
 
-    None where one is missing, empty or not readable as Parquet. Failures that say nothing
+    None where one is missing, empty or not readable as Parquet, or without a folder. Failures that say nothing
     about the files (access denied, a lost connection) are raised.
     """
+    if path is None:
+        return None
     found = []
     for name in tables:
         try:
