@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from awkward_rows import ROWS, clashing, rows_of
 from vetline.llm import langid
 
@@ -9,6 +10,12 @@ TEXTS = {
 }
 
 
+def grams_of(word):
+    """The n-grams of a word between two blanks; a lone blank is none."""
+    padded = f" {word} "
+    return [*word, *(padded[i : i + n] for n in (2, 3) for i in range(len(padded) - n + 1))]
+
+
 def prose(lang, seed, n=60):
     words = TEXTS[lang].split()
     rng = np.random.default_rng(seed)
@@ -20,7 +27,7 @@ def brute_profile(texts):
     counts = {}
     for text in texts:
         for word in langid.LETTERS.findall(text.lower()):
-            for gram in langid.grams_of(word):
+            for gram in grams_of(word):
                 counts[gram] = counts.get(gram, 0) + 1
     return brute_ranks(counts)
 
@@ -54,11 +61,26 @@ def test_profiles_and_predictions_like_counting_by_hand(frame, monkeypatch):
         assert profiles[lang] == want
     own = langid.Identifier(profiles)
     for text in [r[1] for r in rows[:20]] + ["", "12 34 !", "ßß", "zzz qqq", prose("en", 5, 3) + prose("de", 6, 3)]:
-        lang, score = own.predict(text)
+        (lang,), (score,) = own.predict(pa.array([text]))
         want = brute_predict(profiles, text)
         assert lang == want[0] and abs(score - want[1]) < 1e-6
 
 
+def test_grams_of_whole_texts():
+    """Counts over texts with marks, digits, long words, other scripts and letters that lower case lengthens."""
+    texts = ["The cat's hat_rack, x2y: 3\tTHE\u00a0the", None, "", "12 34", "漢字 İstanbul ΟΔΟΣ ße\u0301 ½a", "a", " b  c\n\nd ",
+             "w" * 300 + " " + "é" * 70, "\0 z\0z 😀q"]
+    found = list(langid.counted(pa.array(texts)))
+    assert len(found) == len(texts)
+    for text, (keys, places, counts) in zip(texts, found):
+        want = {}
+        for word in langid.LETTERS.findall((text or "").lower()):
+            for gram in grams_of(word):
+                want[gram] = want.get(gram, 0) + 1
+        got = {langid.gram_text(k): n for k, n in zip(keys[places].tolist(), counts.tolist())}
+        assert got == want and all(langid.gram_key(g) in keys for g in got)
+
+
 def test_held_out_accuracy(frame):
     rows = [(i, prose(lang, i, 25), lang, "s", 1) for i, lang in enumerate(list(TEXTS) * 60)]
     found = langid.identify(frame(rows)).collect()
@@ -73,21 +95,23 @@ def test_language_source_and_id_are_no_inputs(frame):
     rows = [(i, prose(lang, i, 25), lang, "s", 1) for i, lang in enumerate(list(TEXTS) * 20)]
     profiles = langid.learn(frame(rows))
     a, b = langid.Identifier(profiles), langid.Identifier(profiles)
-    assert a.predict(rows[0][1]) == b.predict(rows[0][1])
+    text = pa.array([rows[0][1]])
+    assert a.predict(text) == b.predict(text)
 
 
 def test_small_memories_change_nothing(frame, monkeypatch):
     rows = [(i, prose(lang, i, 40), lang, "s", 1) for i, lang in enumerate(list(TEXTS) * 10)]
     whole = langid.learn(frame(rows))
-    monkeypatch.setattr(langid, "GRAMS", 40)
-    monkeypatch.setattr(langid, "REMEMBERED", 5)
+    monkeypatch.setattr(langid, "HELD", 40)
+    monkeypatch.setattr(langid, "TABLE", 10)
+    monkeypatch.setattr(langid, "TOGETHER", 90)
     monkeypatch.setattr(langid, "PIECE", 8)
     assert langid.learn(frame(rows)) == whole
     small = langid.Identifier(whole)
-    found = [small.predict(r[1]) for r in rows]
+    found = [tuple(x[0] for x in small.predict(pa.array([r[1]]))) for r in rows]
     monkeypatch.undo()
     large = langid.Identifier(whole)
-    assert found == [large.predict(r[1]) for r in rows]
+    assert found == list(zip(*large.predict(pa.array([r[1] for r in rows]))))
 
 
 def test_odd_rows(odd, none, frame):
