@@ -1,25 +1,22 @@
 """Fusing the text and the metadata score into one, with attributions."""
 
-from dataclasses import dataclass
 from functools import reduce
-from math import factorial
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vetline.functions import text
+from vetline.operators.boosting import Boosted, fit_boosted, load_boosted, save_boosted, score_boosted
 from vetline.operators.classifier import fit_text_classifier, predict_proba
 from vetline.operators.clean import clean_postings
 from vetline.operators.encode import encode_features
 from vetline.operators.iforest import Forest, score_outliers
 from vetline.operators.sampling import stratified_folds
-from vetline.runtime import read_stored, settle, side_by_side
+from vetline.runtime import current_version, publish, settle, side_by_side, stored_at, version_folder
 
 META_FEATURES = ["nlp_score", "outlier_score", "desc_len", "has_company_logo", "telecommuting", "has_questions"]
+NLP_DIGITS = 3  # of the text score as a meta-feature: it is cut into bins anyway
 
 
 def meta_features(
@@ -39,6 +36,7 @@ def meta_features(
         scored = predict_proba(outliers, classifier)
     else:
         scored = outliers.drop("text").join(text_scores, keep[0])
+    scored = scored.withColumn("nlp_score", F.round("nlp_score", NLP_DIGITS))
     return scored.select(*keep, *[F.col(c).cast("double").alias(c) for c in META_FEATURES])
 
 
@@ -58,64 +56,27 @@ def out_of_fold_scores(texts: DataFrame, key: str, label: str = "fraudulent", k:
     return reduce(DataFrame.union, side_by_side(texts.sparkSession, one, list(range(k))))
 
 
-@dataclass
-class Fusion:
-    model: PipelineModel
-    background: dict[str, float]  # mean of each meta-feature in training
-
-
-def fit_fusion(meta: DataFrame, label: str = "fraudulent", rounds: int = 20, depth: int = 3, seed: int = 42) -> Fusion:
+def fit_fusion(meta: DataFrame, label: str = "fraudulent", rounds: int = 20, depth: int = 3) -> Boosted:
     """Gradient-boosted trees over the meta-features."""
-    model = Pipeline(stages=[
-        VectorAssembler(inputCols=META_FEATURES, outputCol="_meta"),
-        GBTClassifier(featuresCol="_meta", labelCol=label, maxIter=rounds, maxDepth=depth, seed=seed),
-    ]).fit(meta)
-    return Fusion(model, meta.agg(*[F.avg(c).alias(c) for c in META_FEATURES]).first().asDict())
-
-
-def probability(df: DataFrame, model: PipelineModel, name: str) -> DataFrame:
-    return model.transform(df).select(*df.columns, vector_to_array("probability")[1].alias(name))
+    return fit_boosted(meta, META_FEATURES, label, rounds, depth)
 
 
-def score_fusion(meta: DataFrame, fusion: Fusion, key: str, cutoff: float = 0.5) -> DataFrame:
-    """Columns key, ``fraud_score``, ``label``, ``shap_values``.
+def score_fusion(meta: DataFrame, fusion: Boosted, key: str, cutoff: float = 0.5) -> DataFrame:
+    """Columns key, ``fraud_score``, ``label``, ``shap_values``; one row for each of ``meta``, whatever its key.
 
-    The attributions are exact Shapley values of the probability against the
-    training means: every subset of features is scored once per row, and the
-    subsets of a row meet again in a partial sum within its own task.
+    The attributions are exact Shapley values of the log-odds against the training means,
+    taken from the paths of the trees.
     """
-    n = len(META_FEATURES)
-    masks = range(1 << n)
-    subsets = meta.withColumn("_mask", F.explode(F.array(*[F.lit(m) for m in masks])))
-    mixed = subsets.select(key, "_mask", *[
-        F.when(F.col("_mask").bitwiseAND(1 << i) != 0, F.col(c)).otherwise(F.lit(fusion.background[c])).alias(c)
-        for i, c in enumerate(META_FEATURES)
-    ])
-    scored = probability(mixed, fusion.model, "_f")
-
-    def share(i: int, mask: int) -> float:
-        size = mask.bit_count()
-        if mask >> i & 1:
-            return factorial(size - 1) * factorial(n - size) / factorial(n)
-        return -factorial(size) * factorial(n - size - 1) / factorial(n)
-
-    def value(i: int):
-        shares = F.array(*[F.lit(share(i, m)) for m in masks])
-        return F.sum(F.get(shares, F.col("_mask")) * F.col("_f"))
-
-    full = F.max(F.when(F.col("_mask") == masks[-1], F.col("_f")))
-    values = scored.groupBy(key).agg(
-        full.alias("fraud_score"), *[value(i).alias(f"_s{i}") for i in range(n)])
-    pairs = [x for i, c in enumerate(META_FEATURES) for x in (F.lit(c), F.col(f"_s{i}"))]
-    return values.select(
+    scored = score_boosted(meta.select(key, *META_FEATURES), fusion)
+    probability = 1.0 / (1.0 + F.exp(-F.col("margin")))
+    pairs = [x for i, c in enumerate(META_FEATURES) for x in (F.lit(c), F.get("shares", F.lit(i)))]
+    return scored.select(key, probability.alias("fraud_score"), F.create_map(*pairs).alias("shap_values")).select(
         key, "fraud_score",
-        F.when(F.col("fraud_score") >= cutoff, "Fraudulent").otherwise("Legitimate").alias("label"),
-        F.create_map(*pairs).alias("shap_values"),
-    )
+        F.when(F.col("fraud_score") >= cutoff, "Fraudulent").otherwise("Legitimate").alias("label"), "shap_values")
 
 
 def score_end_to_end(
-    raw: DataFrame, classifier: PipelineModel, forest: Forest | None, fusion: Fusion, key: str
+    raw: DataFrame, classifier: PipelineModel, forest: Forest | None, fusion: Boosted, key: str
 ) -> DataFrame:
     """Raw postings to the fused result."""
     clean = clean_postings(raw, dedupe=False)
@@ -125,18 +86,18 @@ def score_end_to_end(
 # --- storage --------------------------------------------------------------
 
 
-def save_scorer(spark: SparkSession, classifier: PipelineModel, fusion: Fusion, path: str) -> None:
-    """Store the text model and the fusion below ``path``."""
-    classifier.write().overwrite().save(f"{path}/text")
-    fusion.model.write().overwrite().save(f"{path}/fusion")
-    means = spark.createDataFrame([tuple(fusion.background[c] for c in META_FEATURES)], META_FEATURES)
-    means.coalesce(1).write.mode("overwrite").parquet(f"{path}/background")
+def save_scorer(spark: SparkSession, classifier: PipelineModel, fusion: Boosted, path: str) -> None:
+    """Store the text model and the fusion as one new version of ``path``."""
+    folder = version_folder(path)
+    classifier.write().save(f"{folder}/text")
+    save_boosted(spark, fusion, f"{folder}/fusion")
+    publish(spark, path, folder)
 
 
-def load_scorer(spark: SparkSession, path: str) -> tuple[PipelineModel, Fusion] | None:
-    """The stored text model and fusion; None where nothing readable is stored."""
-    stored = read_stored(spark, path, "background")
-    if stored is None:
+def load_scorer(spark: SparkSession, path: str) -> tuple[PipelineModel, Boosted] | None:
+    """The current text model and fusion; None where either is missing or unreadable."""
+    folder = current_version(spark, path)
+    if folder is None or not stored_at(spark, f"{folder}/text/metadata"):
         return None
-    classifier, model = (PipelineModel.load(f"{path}/{part}") for part in ("text", "fusion"))
-    return classifier, Fusion(model, stored[0].first().asDict())
+    fusion = load_boosted(spark, f"{folder}/fusion")
+    return fusion and (PipelineModel.load(f"{folder}/text"), fusion)

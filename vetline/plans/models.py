@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from vetline import schema
-from vetline.operators import iforest, metrics, neighbours, profile, selection, tuning
+from vetline.operators import boosting, iforest, metrics, neighbours, profile, selection, tuning
 from vetline.plans.evaluation import baseline_metrics, report_rows
 from vetline.plans.postings import table
 from vetline.plans.views import KEY, LABEL, clean, single, split_scored, sql
@@ -550,3 +550,101 @@ def winner_scores(spark, sf_dir):
     path = fresh_path(spark, "winner")
     selection.save_winner(spark, chosen.winner, path)
     return selection.score_with_winner(val.select(KEY, LABEL, *FEATURES), selection.load_winner(spark, path))
+
+
+# --- boosted trees --------------------------------------------------------
+
+_ROUNDS, _DEPTH, _BINS, _RATE, _STEP = 20, 3, 32, 0.3, float(1 << 30)
+_BOOSTED = [*FEATURES, "score_a", "score_b"]
+
+
+def boosted_ctes(features, train, label, source, key=KEY):
+    """Trees grown step by step from the rows' gradients, and all coalitions of features.
+
+    bn: bins, bs: every row after each step (a level of a tree, or its leaves), tn and tl: splits
+    and leaves, cm: margin of each coalition, sh: margin and attributions per row of ``source``
+    for which ``train`` does not hold.
+    """
+    i = range(len(features))
+    probs = ", ".join(f"{j / _BINS!r}::DOUBLE" for j in range(1, _BINS))
+    bins = lambda x: ", ".join(
+        f"len([c FOR c IN c{k} IF c < {x.format(f=f, k=k)}])::INTEGER AS b{k}" for k, f in enumerate(features))
+    bs, level = ", ".join(f"b{k}" for k in i), f"(step % {_DEPTH + 1})"
+    pick = lambda name, j: f"CASE {j} " + " ".join(f"WHEN {k} THEN {name}{k}" for k in i) + " END"
+    lam = f"{_STEP!r}::DOUBLE"
+    steps = _ROUNDS * (_DEPTH + 1)
+    share = lambda k: " + ".join(
+        f"{_shapley(len(features), k, m)!r}::DOUBLE * max(margin) FILTER (mask = {m})" for m in range(1 << len(features)))
+    walk = "1"
+    for d in range(_DEPTH):
+        walk = f"""(SELECT 2 * w.node + coalesce((n.j >= 0 AND {pick('w.m', 'n.j')} > n.b)::INTEGER, 0) AS node, w.* EXCLUDE (node)
+            FROM {walk} w LEFT JOIN tn n ON n.tree = w.tree AND n.node = w.node)""" if d else f"""(
+            SELECT 2 + coalesce((n.j >= 0 AND {pick('w.m', 'n.j')} > n.b)::INTEGER, 0) AS node, w.*
+            FROM (SELECT * FROM mx, (SELECT range::INTEGER AS tree FROM range({_ROUNDS}))) w
+            LEFT JOIN tn n ON n.tree = w.tree AND n.node = 1)"""
+    return {
+        "ct": "SELECT " + ", ".join(
+            f"list_sort(list_distinct(quantile_cont(CAST({f} AS DOUBLE) + 0.0, [{probs}]))) AS c{k}"
+            for k, f in enumerate(features)) + f" FROM {source} WHERE {train} AND {label} IS NOT NULL",
+        "bn": f"SELECT {key} AS id, ({train} AND {label} IS NOT NULL) AS tr, CAST({label} AS DOUBLE) AS y, "
+              + bins("CAST({f} AS DOUBLE)") + f" FROM {source}, ct",
+        "bg": "SELECT " + bins("x{k}").replace(" AS b", " AS g") + " FROM ct, (SELECT " + ", ".join(
+            f"avg(CAST({f} AS DOUBLE)) AS x{k}" for k, f in enumerate(features))
+              + f" FROM {source} WHERE {train} AND {label} IS NOT NULL)",
+        "bs": f"""SELECT id, tr, y, {bs}, 0.0::DOUBLE AS f, 1 AS node, 0 AS step, 1 AS own, -1 AS j, 0 AS b, 0.0::DOUBLE AS v FROM bn
+            UNION ALL SELECT id, tr, y, {bs}, CASE WHEN {level} = {_DEPTH} THEN f + leaf ELSE f END,
+            CASE WHEN {level} = {_DEPTH} THEN 1 WHEN best.gain > 0 THEN 2 * node + ({pick('b', 'best.j')} > best.b)::INTEGER
+                ELSE 2 * node END, step + 1, node, CASE WHEN best.gain > 0 THEN best.j ELSE -1 END, best.b, leaf
+            FROM (SELECT *, first_value({{'gain': gain, 'j': fi, 'b': own_b}}) OVER (PARTITION BY node ORDER BY gain DESC, fi, own_b) AS best,
+                    {_RATE!r}::DOUBLE * (gt / (ht + {lam})) AS leaf
+                FROM (SELECT *, gl * gl / (hl + {lam}) + (gt - gl) * (gt - gl) / (ht - hl + {lam}) - gt * gt / (ht + {lam}) AS gain
+                FROM (SELECT *, CAST(sum(g) OVER (PARTITION BY node, fi ORDER BY own_b) AS DOUBLE) AS gl,
+                    CAST(sum(h) OVER (PARTITION BY node, fi ORDER BY own_b) AS DOUBLE) AS hl,
+                    CAST(sum(g) OVER (PARTITION BY node, fi) AS DOUBLE) AS gt, CAST(sum(h) OVER (PARTITION BY node, fi) AS DOUBLE) AS ht
+                FROM (SELECT *, {pick('b', 'fi')} AS own_b,
+                    CASE WHEN tr THEN CAST(round((y - p) * {_STEP!r}::DOUBLE) AS BIGINT) ELSE 0 END AS g,
+                    CASE WHEN tr THEN CAST(round(p * (1.0 - p) * {_STEP!r}::DOUBLE) AS BIGINT) ELSE 0 END AS h
+                FROM (SELECT *, 1.0::DOUBLE / (1.0::DOUBLE + exp(-f)) AS p FROM bs WHERE step < {steps}),
+                    (SELECT range::INTEGER AS fi FROM range({len(features)}))))))
+            WHERE fi = 0""",
+        "tn": f"""SELECT DISTINCT ((step - 1) // {_DEPTH + 1})::INTEGER AS tree, own AS node, j, b FROM bs
+            WHERE step > 0 AND (step - 1) % {_DEPTH + 1} < {_DEPTH}""",
+        "tl": f"""SELECT DISTINCT ((step - 1) // {_DEPTH + 1})::INTEGER AS tree, own AS node, v FROM bs
+            WHERE step > 0 AND (step - 1) % {_DEPTH + 1} = {_DEPTH}""",
+        "mx": "SELECT id, mask, " + ", ".join(f"CASE WHEN mask & {1 << k} <> 0 THEN b{k} ELSE g{k} END AS m{k}" for k in i)
+              + f" FROM bn, bg, (SELECT range::INTEGER AS mask FROM range({1 << len(features)})) WHERE NOT tr",
+        "cm": f"SELECT id, mask, sum(coalesce(l.v, 0)) AS margin FROM {walk} w LEFT JOIN tl l ON l.tree = w.tree AND l.node = w.node GROUP BY ALL",
+        "sh": "SELECT id, max(margin) FILTER (mask = " + str((1 << len(features)) - 1) + ") AS margin, "
+              + ", ".join(f"{share(k)} AS s{k}" for k in i) + " FROM cm GROUP BY id",
+    }
+
+
+def _shapley(n, feature, mask):
+    """Weight of a coalition's value in the Shapley value of a feature."""
+    from math import factorial
+    size = mask.bit_count()
+    if mask >> feature & 1:
+        return factorial(size - 1) * factorial(n - size) / factorial(n)
+    return -factorial(size) * factorial(n - size - 1) / factorial(n)
+
+
+def shapley_columns(features, digits=6):
+    return ", ".join(f"round(s{k}, {digits}) + 0.0 AS shap_{f}" for k, f in enumerate(features))
+
+
+@query("boosted_scores", sql(
+    f"SELECT id AS {KEY}, round(1.0 / (1.0 + exp(-margin)), 6) AS fraud_score, "
+    f"CASE WHEN 1.0 / (1.0 + exp(-margin)) >= 0.5 THEN 'Fraudulent' ELSE 'Legitimate' END AS label, "
+    f"{shapley_columns(_BOOSTED)} FROM sh WHERE id IN (SELECT {KEY} FROM split WHERE split = 'val')", "split",
+    boosted_ctes(_BOOSTED, "split = 'train'", LABEL, "split")).replace("WITH ", "WITH RECURSIVE ", 1))
+def boosted_scores(spark, sf_dir):
+    """Boosted trees over features and scores that SQL knows: probability, label and attributions of validation rows."""
+    rows = settle(split_scored(spark, sf_dir).select(KEY, LABEL, "split", *_BOOSTED))
+    model = boosting.fit_boosted(rows.where("split = 'train'"), _BOOSTED, LABEL, _ROUNDS, _DEPTH, _BINS, _RATE)
+    path = fresh_path(spark, "boosted")
+    boosting.save_boosted(spark, model, path)
+    scored = boosting.score_boosted(rows.where("split = 'val'"), boosting.load_boosted(spark, path))
+    p = 1.0 / (1.0 + F.exp(-F.col("margin")))
+    return scored.select(KEY, F.round(p, 6).alias("fraud_score"),
+                         F.when(p >= 0.5, "Fraudulent").otherwise("Legitimate").alias("label"),
+                         *[(F.round(F.get("shares", F.lit(k)), 6) + 0.0).alias(f"shap_{f}") for k, f in enumerate(_BOOSTED)])

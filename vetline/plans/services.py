@@ -4,11 +4,12 @@ from pyspark.sql import functions as F
 
 from vetline import schema
 from vetline.functions import text
-from vetline.operators import classifier, fusion, iforest, profile, sampling
+from vetline.operators import boosting, classifier, fusion, iforest, profile, sampling
 from vetline.operators.clean import clean_postings
 from vetline.operators.encode import encode_features
 from vetline.plans import views
-from vetline.plans.models import forest_sql, offset_sql
+from vetline.operators.profile import stop_words
+from vetline.plans.models import boosted_ctes, forest_ctes, forest_sql, offset_sql, shapley_columns
 from vetline.plans.postings import postings_of, raw_postings, table
 from vetline.plans.views import CLEAN_COLUMNS, KEY, LABEL, clean, sql, strip
 from vetline.runtime import fresh_path, settle
@@ -71,6 +72,8 @@ def stream_encoded_postings(spark, sf_dir):
     return files.read_table(spark, path)
 
 
+_RAW = " || ' ' || ".join(f"coalesce({c}, '')" for c in ["title", "company_profile", "description", "requirements"])
+
 #: Share of the training rows that the text model is fitted on.
 TEXT_SAMPLE = 0.3
 
@@ -89,15 +92,73 @@ def _texts(spark, sf_dir):
     return _cleaned(spark, sf_dir).select(KEY, text.raw_full_text().alias("text"))
 
 
-@query("text_classifier", sql(
-    "SELECT job_id, fraudulent, true AS is_probability FROM split WHERE split = 'val'", "split"))
+# --- SQL twin of the text classifier --------------------------------------
+
+_WORDS, _PENALTY, _STEPS = 512, 0.01, 200
+#: Smoothness of the loss: a quarter of the squared length of (vector, 1), and the penalty.
+_SMOOTH = 0.5 + _PENALTY
+_MOMENTUM = (_SMOOTH**0.5 - _PENALTY**0.5) / (_SMOOTH**0.5 + _PENALTY**0.5)
+
+
+def text_ctes(tag, rows, asked, texts="tx"):
+    """Logistic regression by accelerated gradient steps; p{tag}: (id, p) of the rows ``asked``.
+
+    ``rows`` gives (id, y, weight) to fit on, ``texts`` (id, text) of all.
+    """
+    t, stop = tag, views.quoted(stop_words())
+    return {
+        f"fr{t}": f"SELECT * FROM ({rows})",
+        f"tk{t}": f"""SELECT id, w, count(*)::DOUBLE AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS w
+            FROM {texts} WHERE id IN (SELECT id FROM fr{t}) OR id IN ({asked})) WHERE w NOT IN ({stop}) GROUP BY ALL""",
+        f"vo{t}": f"""SELECT w, ln(((SELECT count(*) FROM fr{t}) + 1) / (count(*) + 1)) AS idf FROM tk{t}
+            WHERE id IN (SELECT id FROM fr{t}) GROUP BY w ORDER BY count(*) DESC, w LIMIT {_WORDS}""",
+        f"ve{t}": f"""SELECT id, w, tf * idf / length AS x FROM (SELECT id, w, tf, idf, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY id)) AS length
+            FROM tk{t} JOIN vo{t} USING (w)) WHERE length > 0 UNION ALL SELECT id, '', 1.0 FROM {texts}
+            WHERE id IN (SELECT id FROM fr{t}) OR id IN ({asked})""",
+        f"px{t}": f"SELECT w, x, id, y, weight / (SELECT sum(weight) FROM fr{t}) AS c FROM ve{t} JOIN fr{t} USING (id)",
+        f"gd{t}": f"""SELECT w, 0.0::DOUBLE AS theta, 0.0::DOUBLE AS ahead, 0 AS step FROM (SELECT DISTINCT w FROM px{t})
+            UNION ALL SELECT w, new, new + {_MOMENTUM!r}::DOUBLE * (new - theta), step FROM (
+            SELECT w, theta, step, ahead - (g + CASE WHEN w = '' THEN 0 ELSE {_PENALTY} * ahead END) / {_SMOOTH!r}::DOUBLE AS new FROM (
+            SELECT w, theta, ahead, step + 1 AS step, sum(x * c * (1.0 / (1.0 + exp(-m)) - y)) AS g FROM (
+            SELECT *, sum(x * ahead) OVER (PARTITION BY id) AS m FROM gd{t} JOIN px{t} USING (w) WHERE step < {_STEPS}) GROUP BY ALL))""",
+        f"p{t}": f"""SELECT id, 1.0 / (1.0 + exp(-sum(x * theta))) AS p FROM ve{t} JOIN gd{t} USING (w)
+            WHERE step = {_STEPS} AND id IN ({asked}) GROUP BY id""",
+    }
+
+
+def _weighted(where):
+    """(id, y, weight): balanced over the rows that ``where`` picks from the split."""
+    return f"""SELECT {KEY} AS id, {LABEL}::DOUBLE AS y, (count(*) OVER ()) / (2.0 * count(*) OVER (PARTITION BY {LABEL})) AS weight
+        FROM split WHERE {where}"""
+
+
+_TEXT_CTES = {"tx": f"SELECT {KEY} AS id, {_RAW} AS text FROM single"}
+_SAMPLED = f"""SELECT id, y, weight FROM (SELECT *, row_number() OVER (ORDER BY md5('42:' || id)) - 1 AS place, count(*) OVER () AS m
+    FROM ({_weighted("split = 'train'")})) WHERE place < floor(m * CAST({{share}} AS DOUBLE) + 0.5)"""
+
+
+def text_sql(body, ctes):
+    return sql(body, "split", _TEXT_CTES | ctes).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("text_classifier", text_sql(
+    f"""SELECT {KEY}, {LABEL}, round(p, 4) AS nlp_score, (p >= 0.5)::INTEGER AS predicted
+        FROM split JOIN pt ON id = {KEY} WHERE split = 'val'""",
+    text_ctes("t", _weighted("split = 'train'"), f"SELECT {KEY} FROM split WHERE split = 'val'")))
 def text_classifier(spark, sf_dir):
-    """Validation rows with whether their score is a probability; the score itself has no SQL twin."""
-    scored = text_scores(spark, sf_dir)
-    return scored.select(KEY, LABEL, F.col("nlp_score").between(0, 1).alias("is_probability"))
+    """Validation rows with their score and label by a model of all training rows."""
+    keys = _split_keys(spark, sf_dir)
+    texts = _texts(spark, sf_dir)
+    weighted = classifier.with_class_weights(keys.where("split = 'train'"))
+    model = classifier.fit_text_classifier(texts.join(settle(weighted), KEY))
+    scored = classifier.predict_proba(texts.join(keys.where("split = 'val'"), KEY), model)
+    return scored.select(KEY, LABEL, F.round("nlp_score", 4).alias("nlp_score"),
+                         (F.col("nlp_score") >= 0.5).cast("int").alias("predicted"))
 
 
-@query("text_scores")
+@query("text_scores", text_sql(
+    f"SELECT {KEY}, {LABEL}, round(p, 4) AS nlp_score FROM split JOIN pt ON id = {KEY} WHERE split = 'val'",
+    text_ctes("t", _SAMPLED.format(share=TEXT_SAMPLE), f"SELECT {KEY} FROM split WHERE split = 'val'")))
 def text_scores(spark, sf_dir):
     keys = _split_keys(spark, sf_dir)
     weighted = classifier.with_class_weights(keys.where("split = 'train'"))
@@ -105,7 +166,7 @@ def text_scores(spark, sf_dir):
     texts = _texts(spark, sf_dir)
     model = classifier.fit_text_classifier(texts.join(sample, KEY))
     scored = classifier.predict_proba(texts.join(keys.where("split = 'val'"), KEY), model)
-    return scored.select(KEY, LABEL, "nlp_score")
+    return scored.select(KEY, LABEL, F.round("nlp_score", 4).alias("nlp_score"))
 
 
 @query("landed_scores", forest_sql(
@@ -148,9 +209,38 @@ def _fused(spark, sf_dir):
     return fusion.score_end_to_end(raw_postings(spark, sf_dir), nlp, forest, fused, KEY), fused
 
 
-@query("fused_scores")
+_META = fusion.META_FEATURES
+_FOLDS = f"""SELECT id, y, weight, (r >= floor(n * CAST(0.5 AS DOUBLE) + 0.5))::INTEGER AS fold FROM (SELECT *,
+    row_number() OVER (PARTITION BY y ORDER BY md5('42:' || id)) - 1 AS r, count(*) OVER (PARTITION BY y) AS n
+    FROM ({_weighted("split = 'train'")}))"""
+_SIGNALS = f"-(q.factor - {offset_sql(0.1)}) AS outlier_score, s.desc_len, s.has_company_logo, s.telecommuting, s.has_questions"
+
+
+def _fused_sql(body):
+    """All of it: text models (whole, and one per fold), forest, meta-features, trees, coalitions."""
+    ctes = (
+        {"enc1": views.features_sql("single")} | forest_ctes(val="true", val_source="enc1") | _TEXT_CTES
+        | text_ctes("t", _weighted("split = 'train'"), f"SELECT {KEY} FROM single") | {"fo": _FOLDS}
+        | text_ctes("u", "SELECT id, y, weight FROM fo WHERE fold = 1", "SELECT id FROM fo WHERE fold = 0")
+        | text_ctes("w", "SELECT id, y, weight FROM fo WHERE fold = 0", "SELECT id FROM fo WHERE fold = 1")
+        | {"mt": f"""SELECT -f.id - 1 AS rid, true AS fit, f.y, round(p, 3) AS nlp_score, {_SIGNALS}
+                FROM fo f JOIN (FROM pu UNION ALL FROM pw) u ON u.id = f.id JOIN single s ON s.{KEY} = f.id JOIN qr q ON q.{KEY} = f.id
+                UNION ALL SELECT s.{KEY}, false, NULL, round(p, 3), {_SIGNALS}
+                FROM single s JOIN pt ON pt.id = s.{KEY} JOIN qr q ON q.{KEY} = s.{KEY}"""}
+        | boosted_ctes(_META, "fit", "y", "mt", "rid")
+    )
+    return sql(body, "split", ctes).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("fused_scores", _fused_sql(
+    f"""SELECT id AS {KEY}, round(1.0 / (1.0 + exp(-margin)), 6) AS fraud_score,
+        CASE WHEN 1.0 / (1.0 + exp(-margin)) >= 0.5 THEN 'Fraudulent' ELSE 'Legitimate' END AS label,
+        {shapley_columns(_META, 5)} FROM sh"""))
 def fused_scores(spark, sf_dir):
-    return _fused(spark, sf_dir)[0]
+    """Raw postings to fused score, label and attributions, all models trained, stored and read back."""
+    scored, _ = _fused(spark, sf_dir)
+    return scored.select(KEY, F.round("fraud_score", 6).alias("fraud_score"), "label", *[
+        (F.round(F.col("shap_values")[c], 5) + 0.0).alias(f"shap_{c}") for c in _META])
 
 
 @query("fused_checks",
@@ -158,14 +248,13 @@ def fused_scores(spark, sf_dir):
 def fused_checks(spark, sf_dir):
     """Every posting: a probability, the label that goes with it, attributions that sum to the difference.
 
-    The attributions of a row sum to its score minus the score of the training means.
+    The attributions of a row sum to its log-odds minus those of the training means.
     """
     scored, fused = _fused(spark, sf_dir)
-    means = spark.createDataFrame([fused.background]).select(*fusion.META_FEATURES)
-    base = fusion.probability(means, fused.model, "p").first()["p"]
     total = F.aggregate(F.map_values("shap_values"), F.lit(0.0), lambda a, v: a + v)
+    p = F.col("fraud_score")
     return scored.select(
-        KEY, F.col("fraud_score").between(0, 1).alias("is_probability"),
-        ((F.col("fraud_score") >= 0.5) == (F.col("label") == "Fraudulent")).alias("label_fits"),
-        (F.abs(total - (F.col("fraud_score") - base)) < 1e-9).alias("attributions_add_up"),
+        KEY, p.between(0, 1).alias("is_probability"),
+        ((p >= 0.5) == (F.col("label") == "Fraudulent")).alias("label_fits"),
+        (F.abs(total - (F.log(p / (1 - p)) - F.lit(boosting.base_margin(fused)))) < 1e-9).alias("attributions_add_up"),
     )

@@ -139,6 +139,16 @@ def read_stored(spark: SparkSession, path: str | None, *tables: str) -> list[Dat
     return found
 
 
+def stored_at(spark: SparkSession, path: str) -> bool:
+    """Whether there are files that Spark can list at a path."""
+    try:
+        return not spark.read.text(path).isEmpty()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, keep it in the shared folder, and cut its lineage.
 
