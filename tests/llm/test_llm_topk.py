@@ -1,3 +1,4 @@
+import duckdb
 import numpy as np
 import pytest
 from awkward_rows import rows_of
@@ -8,17 +9,17 @@ VECTORS = "vec_id long, embedding array<float>"
 
 
 def brute(rows, k=5):
-    kept = {}
+    """Every row is its own, whatever its id."""
+    kept = []
     for i, v in rows:
         if i is None or v is None or any(x is None or not np.isfinite(np.float32(x)) for x in v):
             continue
-        w = [int(np.floor(256 * float(np.float32(x)))) for x in v]
-        kept[i] = min(kept.get(i, w), w)
+        kept.append((i, [int(np.floor(256 * float(np.float32(x)))) for x in v]))
     out = []
-    for q, a in kept.items():
+    for at, (q, a) in enumerate(kept):
         if q % 50:
             continue
-        scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in kept.items() if i != q)
+        scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for j, (i, b) in enumerate(kept) if j != at)
         out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])]
     return sorted(out, key=repr)
 
@@ -55,6 +56,19 @@ def test_odd_rows(spark):
     assert found(df.where("vec_id = 0")) == []
 
 
+def test_rows_that_share_an_id_and_the_sql(spark, tmp_path):
+    """The second row of an id is a candidate and a query of its own, in the check SQL too."""
+    rng = np.random.default_rng(3)
+    rows = [(i // 2 * 5, rng.normal(size=4).astype(np.float32).tolist()) for i in range(80)] + [(50, [0.5, 0.5, 0.5, 0.5])] * 3
+    df = spark.createDataFrame(rows, VECTORS)
+    want = brute(rows)
+    assert found(df) == want and found(df, cell=8, block=2) == want
+    df.coalesce(1).write.parquet(str(tmp_path / "e"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/e/*.parquet'")
+    assert sorted(con.execute(topk.ORACLE).fetchall(), key=repr) == want
+
+
 def test_large_numbers(spark):
     """Sums that doubles cannot hold stay exact; beyond a long they saturate."""
     rng = np.random.default_rng(6)

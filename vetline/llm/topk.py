@@ -5,6 +5,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vetline.llm.common import stored
+
 #: Candidates of a cell and queries of a block, about; a task holds one of each.
 CELL, BLOCK = 32768, 32768
 #: Dimensions added before survivors are looked for again, and candidates scored in full first.
@@ -27,8 +29,8 @@ def usable(vector: Column) -> Column:
 class Columns:
     """A cell's vectors by dimension, the most widely spread first, with their remaining mass."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray):
-        self.ids = ids
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, names: np.ndarray | None = None):
+        self.ids, self.names = ids, ids if names is None else names
         self.order = np.argsort(-(rows.astype(np.float64) ** 2).sum(axis=0), kind="stable") if len(rows) else np.arange(rows.shape[1])
         self.values = np.ascontiguousarray(rows.T[self.order])
         self.most = int(np.abs(self.values).max(initial=0))
@@ -44,15 +46,15 @@ class Columns:
         return np.sqrt(np.array(ends)) * (1 + 1e-9) if ends else np.zeros((1, values.shape[1]))
 
     def best(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best other vectors, ties to the smaller id."""
+        """(ids, scores) of the k best vectors that are not named ``own``, ties to the smaller id."""
         query = query[self.order]
         most = max(1, len(query)) * max(1, int(np.abs(query).max(initial=0))) * max(1, self.most)
         kind = np.float64 if most < EXACT else np.int64 if most < 1 << 62 else object
         values, query = self.values.astype(kind, copy=False), query.astype(kind)
-        opening = self.opening[self.ids[self.opening] != own]
+        opening = self.opening[self.names[self.opening] != own]
         opened = query @ values[:, opening] if len(query) else np.zeros(len(opening), kind)
         least = np.sort(opened)[-k] if len(opened) >= k else None
-        left, sums = np.flatnonzero(self.ids != own), None
+        left, sums = np.flatnonzero(self.names != own), None
         mine = self._mass(query[:, None])[:, 0] if len(query) else [0]
         for block, at in enumerate(range(0, len(query), STEP)):
             part = values[at : at + STEP]
@@ -74,14 +76,15 @@ class Columns:
         return self.ids[left[order]], np.array(scores, np.int64)
 
 
-def _matrix(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, rows) in id order, one row per id (the smallest), filled up with zeros to ``width``."""
-    rows = sorted(zip(table.column("vec_id").to_pylist(), table.column("vector").to_pylist()))
-    kept = [r for i, r in enumerate(rows) if not i or rows[i - 1][0] != r[0]]
-    out = np.zeros((len(kept), width), np.int64)
-    for at, (_, v) in enumerate(kept):
-        out[at, : len(v)] = v
-    return np.array([i for i, _ in kept], np.int64), out
+def _matrix(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, names, vectors) in the order of ids and names; vectors filled up with zeros to ``width``."""
+    table = table.sort_by([("vec_id", "ascending"), ("row", "ascending")])
+    held = table.column("vector").combine_chunks()
+    held = held.chunk(0) if isinstance(held, pa.ChunkedArray) else held
+    sizes = np.diff(held.offsets.to_numpy())
+    out = np.zeros((len(held), width), np.int64)
+    out[np.arange(width)[None, :] < sizes[:, None]] = held.flatten().to_numpy()
+    return table.column("vec_id").to_numpy(), table.column("row").to_numpy(), out
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 5, cell: int = CELL, block: int = BLOCK) -> DataFrame:
@@ -90,8 +93,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, cell: int = CELL, blo
     ``vectors`` has vec_id and embedding. Components become floor(256 * x); a score is the
     inner product with another row's vector, all of them if fewer than k, ties to the
     smaller vec_id. Rows with a null vec_id, a null vector or a null or non-finite
-    component take no part; of rows that share a vec_id the smallest vector counts; the
-    shorter of two vectors ends in zeros. Scores saturate at the limits of a long, and
+    component take no part. Rows that share a vec_id are rows of their own, as queries too,
+    told apart by their place in the stored table. The shorter of two vectors ends in zeros. Scores saturate at the limits of a long, and
     which of several saturated ones are listed is left open. Other
     columns are ignored, an empty table gives an empty result.
 
@@ -103,9 +106,10 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, cell: int = CELL, blo
     spark = vectors.sparkSession
     whole = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector"))
     whole = whole.where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
-    rows = whole.select("vec_id", scaled(F.col("vector")).alias("vector"))
+    rows = stored(whole.select(
+        "vec_id", scaled(F.col("vector")).alias("vector"), F.monotonically_increasing_id().alias("row")), "vectors")
     asked = rows.where(queries)
-    n, width, n_asked = whole.agg(
+    n, width, n_asked = rows.agg(
         F.count(F.lit(1)), F.max(F.size("vector")), F.count_if(queries)
     ).first()
     cells = max(-(-n // cell), 2 * spark.sparkContext.defaultParallelism)
@@ -113,39 +117,39 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, cell: int = CELL, blo
     width = width or 0
 
     def spread(df: DataFrame, own: str, count: int, other: str, others: int) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int")).withColumn(
+        return df.withColumn(own, F.pmod(F.xxhash64("row"), F.lit(count)).cast("int")).withColumn(
             other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
         )
 
     def search(_: tuple, held: pa.Table, wanted: pa.Table) -> pa.Table:
-        ids, matrix = _matrix(held, width)
-        columns, found = Columns(ids, matrix), []
-        for q, vector in zip(*_matrix(wanted, width)):
-            best, scores = columns.best(vector, int(q), k)
-            found.append((np.full(len(best), q), best, scores))
-        parts = [np.concatenate([f[i] for f in found] or [np.empty(0, np.int64)]) for i in range(3)]
-        return pa.table([pa.array(p, pa.int64()) for p in parts], names=["query_id", "vec_id", "score"])
+        ids, names, matrix = _matrix(held, width)
+        columns, found = Columns(ids, matrix, names), []
+        for q, name, vector in zip(*_matrix(wanted, width)):
+            best, scores = columns.best(vector, int(name), k)
+            found.append((np.full(len(best), q), np.full(len(best), name), best, scores))
+        parts = [np.concatenate([f[i] for f in found] or [np.empty(0, np.int64)]) for i in range(4)]
+        return pa.table([pa.array(p, pa.int64()) for p in parts], names=["query_id", "query_row", "vec_id", "score"])
 
     candidates = spread(rows, "cell", cells, "block", blocks).groupBy("cell", "block")
     found = candidates.cogroup(spread(asked, "block", blocks, "cell", cells).groupBy("cell", "block")).applyInArrow(
-        search, "query_id long, vec_id long, score long"
+        search, "query_id long, query_row long, vec_id long, score long"
     )
-    best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best_first = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score"
     )
 
 
 ORACLE = """
-WITH v AS (
-    SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
+WITH v AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
     WHERE embedding IS NOT NULL
         AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
 ), s AS (
-    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
-    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+    SELECT q.r, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+    FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 50 = 0
 ), r AS (
-    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s
+    SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INT AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
