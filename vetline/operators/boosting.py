@@ -112,8 +112,8 @@ def _split(g: np.ndarray, h: np.ndarray, penalty: float) -> tuple[int, int]:
 
 
 def fit_boosted(
-    df: DataFrame, features: list[str], label: str, rounds: int = 20, depth: int = 3, bins: int = 32,
-    rate: float = 0.3, penalty: float = 1.0,
+    df: DataFrame, features: list[str], label: str, rounds: int = 10, depth: int = 3, bins: int = 32,
+    rate: float = 0.5, penalty: float = 1.0,
 ) -> Boosted:
     """Logistic loss, Newton steps of ``rate``, hessians raised by ``penalty``.
 

@@ -56,7 +56,7 @@ def out_of_fold_scores(texts: DataFrame, key: str, label: str = "fraudulent", k:
     return reduce(DataFrame.union, side_by_side(texts.sparkSession, one, list(range(k))))
 
 
-def fit_fusion(meta: DataFrame, label: str = "fraudulent", rounds: int = 20, depth: int = 3) -> Boosted:
+def fit_fusion(meta: DataFrame, label: str = "fraudulent", rounds: int = 10, depth: int = 3) -> Boosted:
     """Gradient-boosted trees over the meta-features."""
     return fit_boosted(meta, META_FEATURES, label, rounds, depth)
 

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +25,9 @@ from vetline.operators.ordered import quantiles_of_counts, value_counts_of
 from vetline.operators.sampling import stratified_folds
 from vetline.runtime import current_version, read_stored, settle, side_by_side, write_version
 
-LEAF_VECTORS = 512  # distinct fitted vectors per leaf, at most
-FAN = 16  # cells that one is split into, at most
-NARROW_LEVELS = 3  # levels of the tree with at most FAN ** 3 cells, which may go to every task
+LEAF_VECTORS = 2048  # distinct fitted vectors per leaf, at most
+FAN = 64  # cells that one is split into, at most
+NARROW_LEVELS = 2  # levels of the tree with at most FAN ** 2 cells, which may go to every task
 CHUNK_QUERIES = 16_384  # distinct queries per task
 SALTS = 16  # parts that the rows of one vector are dealt to when they look up its factor
 LRD_GUARD = 1e-10  # keeps the density of a vector among its copies finite
@@ -72,8 +72,8 @@ def _cells(rows: DataFrame, features: list[str], leaf_vectors: int) -> DataFrame
         made += [F.min(f).alias(f"_low_{f}"), F.max(f).alias(f"_high_{f}"),
                  F.percentile_approx(f, probs, 1000).alias(f"_q_{f}")]
     cells = rows.where("weight is not null").groupBy("_node").agg(*made)
-    # As many parts as there have to be leaves, evenly spaced.
-    parts = F.least(F.lit(FAN), F.ceil(F.col("_n") / leaf_vectors)).cast("int")
+    # Evenly spaced parts, half as many again as there have to be leaves: quantiles are approximate.
+    parts = F.least(F.lit(FAN), F.ceil(1.5 * F.col("_n") / leaf_vectors)).cast("int")
 
     def spread(i: int, f: str) -> Column:
         q = F.col(f"_q_{f}")
@@ -149,20 +149,20 @@ def _search(queries: DataFrame, fitted: DataFrame, features: list[str], k: int)
     """
     n = len(features)
 
-    def search(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        held = held.sort_values(features)
-        points, weights = held[features].to_numpy(), held["weight"].to_numpy()
-        limits, parts, at = asked["_reach"].to_numpy(), [], 0
-        for part, order, d2 in _nearest(asked[features].to_numpy(), points, k):
-            reached = (d2 <= limits[at : at + len(part), None]).sum(axis=1)
+    def search(asked: pa.Table, held: pa.Table) -> pa.Table:
+        points, queries = (np.column_stack([t.column(f).to_numpy() for f in features]) for t in (held, asked))
+        order = np.lexsort(points.T[::-1])
+        points, weights = points[order], held.column("weight").to_numpy()[order]
+        limits, out, at = asked.column("_reach").to_numpy(), [], 0
+        for part, near, d2 in _nearest(queries, points, k):
+            within = d2 <= limits[at : at + len(part), None]
             at += len(part)
-            frame = {f: part[:, j] for j, f in enumerate(features)}
-            frame["_d2"] = [d[:m] for d, m in zip(d2, reached)]
-            for j in range(n):
-                frame[f"_n{j}"] = [points[o[:m], j] for o, m in zip(order, reached)]
-            frame["_w"] = [weights[o[:m]] for o, m in zip(order, reached)]
-            parts.append(pd.DataFrame(frame))
-        return pd.concat(parts) if parts else pd.DataFrame(columns=columns)
+            out.append((within.sum(axis=1), d2[within], near[within]))
+        sizes, d2, near = (np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, int),) * 3
+        ends = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+        lists = [pa.array(d2, pa.float64()), *[pa.array(points[near, j]) for j in range(n)], pa.array(weights[near], pa.int64())]
+        return pa.table(
+            [*(asked.column(f) for f in features), *(pa.ListArray.from_arrays(ends, x) for x in lists)], names=columns)
 
     columns = [*features, "_d2", *[f"_n{j}" for j in range(n)], "_w"]
     fields = [f"`{f}` double" for f in features] + ["_d2 array<double>"]
@@ -173,7 +173,7 @@ def _search(queries: DataFrame, fitted: DataFrame, features: list[str], k: int)
     asked = queries.join(chunks, "_node").withColumn("_c", F.pmod(F.xxhash64(*features), F.col("_chunks")).cast("int"))
     held = fitted.join(chunks, "_node").withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
     found = asked.drop("_chunks").groupBy("_node", "_c").cogroup(
-        held.drop("_chunks").groupBy("_node", "_c")).applyInPandas(search, ", ".join(fields))
+        held.drop("_chunks").groupBy("_node", "_c")).applyInArrow(search, ", ".join(fields))
     zipped = F.arrays_zip("_d2", *[f"_n{j}" for j in range(n)], "_w")
     entry = F.transform(zipped, lambda e: F.struct(
         e["_d2"].alias("d2"),

@@ -554,7 +554,7 @@ def winner_scores(spark, sf_dir):
 
 # --- boosted trees --------------------------------------------------------
 
-_ROUNDS, _DEPTH, _BINS, _RATE, _STEP = 20, 3, 32, 0.3, float(1 << 30)
+_ROUNDS, _DEPTH, _BINS, _RATE, _STEP = 10, 3, 32, 0.5, float(1 << 30)
 _BOOSTED = [*FEATURES, "score_a", "score_b"]
 
 
