@@ -57,6 +57,63 @@ def pages_to_postings(spark, sf_dir):
     return pages.pages_to_postings(table(spark, sf_dir, "pages"))
 
 
+#: Columns that the made-up pages state, with the label a page gives them and the embedded property.
+_STATED = {
+    "department": ("Department:", None), "employment_type": ("Job type", "employmentType"),
+    "required_experience": ("Experience :", "experienceRequirements"),
+    "required_education": ("EDUCATION", "educationRequirements"), "industry": ("Industry", "industry"),
+    "function": ("Job function", "occupationalCategory"),
+}
+
+
+def _flat(c):
+    return f"nullif({strip(f"regexp_replace({c}, '{views.WS}+', ' ', 'g')")}, '')"
+
+
+_NUMBERS = r"regexp_extract_all(salary_range, '[0-9]+(?:\.[0-9]+)?')"
+_AREA = [_flat(f"split_part(location, ',', {i})") for i in (1, 2, 3)]
+
+
+@query("stated_fields", sql(
+    f"""SELECT {KEY}, CASE WHEN {KEY} % 3 <> 0 THEN {_flat('location')}
+            WHEN coalesce({', '.join(_AREA)}) IS NOT NULL THEN {" || ', ' || ".join(f"coalesce({a}, '')" for a in _AREA)} END AS location,
+        CASE WHEN len({_NUMBERS}) = 2 THEN {_NUMBERS}[1] || '-' || {_NUMBERS}[2]
+            WHEN {KEY} % 3 <> 0 THEN {_flat('salary_range')} END AS salary_range,
+        CASE WHEN telecommuting IN ('t', ' T ') THEN 't' WHEN {KEY} % 3 <> 0 AND telecommuting = 'f' THEN 'f' END AS telecommuting,
+        """ + ", ".join(f"CASE WHEN {KEY} % 3 <> 0 OR {prop is not None} THEN {_flat(c)} END AS {c}" for c, (_, prop) in _STATED.items())
+    + " FROM raw", "raw"))
+def stated_fields(spark, sf_dir):
+    """Postings written as web pages (embedded posting, definition list or table, by key) and read back."""
+    raw = raw_postings(spark, sf_dir)
+
+    def escaped(c):
+        for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            c = F.replace(c, F.lit(char), F.lit(entity))
+        return c
+
+    pairs = {c: label for c, (label, _) in _STATED.items()} | {
+        "location": "Location", "salary_range": "Salary range", "telecommuting": "Remote"}
+
+    def listed(before, between, after):
+        return F.concat_ws("\n", *[
+            F.concat(F.lit(f"{before}{label}{between}"), escaped(F.trim(F.col(c))), F.lit(after)) for c, label in pairs.items()])
+
+    numbers = F.regexp_extract_all("salary_range", F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0))
+    area = [F.when(F.trim(part) != "", F.trim(part)) for part in (F.get(F.split("location", ","), F.lit(i)) for i in range(3))]
+    flag = F.upper(F.trim("telecommuting")) == "T"
+    embedded = F.to_json(F.struct(
+        *[F.col(c).alias(prop) for c, (_, prop) in _STATED.items() if prop],
+        F.when(flag, "TELECOMMUTE").alias("jobLocationType"),
+        F.struct(F.struct(*[a.alias(n) for a, n in zip(area, ("addressCountry", "addressRegion", "addressLocality"))]).alias("address")).alias("jobLocation"),
+        F.struct(F.when(F.size(numbers) == 2, F.struct(numbers[0].alias("minValue"), numbers[1].alias("maxValue"))).alias("value")).alias("baseSalary"),
+    ))
+    body = F.when(F.col(KEY) % 3 == 0, F.concat(F.lit('<script type="application/ld+json">'), embedded, F.lit("</script>"))).when(
+        F.col(KEY) % 3 == 1, F.concat(F.lit("<dl>"), listed("<dt>", "</dt> <dd class='v'>", "</dd>"), F.lit("</dl>"))).otherwise(
+        F.concat(F.lit("<table>"), listed("<tr><th>", "</th>\n<td>", "</td></tr>"), F.lit("</table>")))
+    html = raw.select(F.col(KEY).alias("page_id"), F.concat(F.lit("<html><body>"), body, F.lit("</body></html>")).alias("html"))
+    return pages.pages_to_postings(html).select(KEY, "location", "salary_range", "telecommuting", *_STATED)
+
+
 @query("stream_encoded_postings", sql(
     """SELECT job_id, salary_processed, employment_type, has_company_logo, required_education,
        CAST(0.0 AS DOUBLE) AS anomaly_score, CAST(1 AS INTEGER) AS anomaly_label FROM enc1""", "single",
