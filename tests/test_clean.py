@@ -96,3 +96,16 @@ def test_histogram_edges(spark):
     assert [r["count"] for r in profile.histogram(df, F.col("x"), 5).orderBy("bin").collect()] == [2, 0, 1, 0, 1]
     one = profile.histogram(df.where("x = 5"), F.col("x"), 2).orderBy("bin").collect()
     assert [(r.lo, r.hi, r["count"]) for r in one] == [(4.5, 5.0, 0), (5.0, 5.5, 1)]
+
+
+def test_one_hot_of_many_categories(spark, monkeypatch):
+    """Far more values than a range of the dictionary holds; no indexer, no label on the driver."""
+    from vetline.operators import ordered
+    monkeypatch.setattr(ordered.running_totals, "__defaults__", (None, False, 50))
+    df = spark.range(1200).selectExpr("id", "concat('v', lpad(CAST(id % 700 AS STRING), 4, '0')) AS c", "id % 2 AS n")
+    hot = encode.one_hot(df, ["c"], ["n"])
+    assert "StringIndexer" not in str(hot._jdf.queryExecution().analyzed().toString())
+    for r in hot.collect():
+        v, rank = r.features, r.id % 700
+        assert v.size == 700 and v[0] == r.n
+        assert sorted(i for i in v.indices if i) == ([] if rank == 0 else [700 - rank])

@@ -1,7 +1,7 @@
 """Encoding metadata columns as numbers."""
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,14 +48,14 @@ def fill_salary_median(df: DataFrame, name: str = "salary_processed") -> DataFra
     return df.withColumn(name, F.coalesce(midpoint, exact_median(df, midpoint)))
 
 
-def category_codes(df: DataFrame, column: str) -> DataFrame:
-    """Rows (value, code): the alphabetical rank of each distinct value."""
+def category_codes(df: DataFrame, column: str, descending: bool = False) -> DataFrame:
+    """Rows (value, code): the alphabetical rank of each distinct value, from 0 (``descending``: the last has 0)."""
     values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
-    ranked = running_totals(settle(values.withColumn("n", F.lit(1))), "value", ["n"])
+    ranked = running_totals(settle(values.withColumn("n", F.lit(1))), "value", ["n"], descending=descending)
     return ranked.select("value", (F.col("cum_n") - 1).cast("int").alias("code"))
 
 
-def with_category_codes(df: DataFrame, columns: list[str]) -> DataFrame:
+def with_category_codes(df: DataFrame, columns: list[str], descending: bool = False) -> DataFrame:
     """Replace each column by its alphabetical code; null becomes -1.
 
     A category may fill much of the table, so both sides of the lookup carry a salt; nulls
@@ -65,7 +65,7 @@ def with_category_codes(df: DataFrame, columns: list[str]) -> DataFrame:
     salt = F.pmod(F.xxhash64(*df.columns) + F.spark_partition_id(), F.lit(SALTS)).cast("int")
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_part")
     for c in columns:
-        codes = category_codes(df, c).select(F.col("value").alias("_value"), F.col("code").alias("_code"), salts)
+        codes = category_codes(df, c, descending).select(F.col("value").alias("_value"), F.col("code").alias("_code"), salts)
         salted = df.withColumn("_salt", salt)
         df = salted.join(
             codes, (salted[c] == codes["_value"]) & (salted["_salt"] == codes["_part"]), "left"
@@ -76,18 +76,20 @@ def with_category_codes(df: DataFrame, columns: list[str]) -> DataFrame:
 def one_hot(df: DataFrame, categorical: list[str], numeric: list[str], output: str = "features") -> DataFrame:
     """Sparse one-hot vector with each column's alphabetically first value dropped.
 
-    Null categories are a category of their own, named Unknown.
+    Null categories are a category of their own, named Unknown. The dictionary of each column
+    is a table, ranked in parallel and joined to the rows; the driver learns its size only.
     """
     filled = df.na.fill(schema.MISSING_CATEGORY, categorical)
     index = [f"_{c}_i" for c in categorical]
     hot = [f"_{c}_v" for c in categorical]
-    # Reverse order puts the first value last, which is the one the encoder drops.
+    # From the last value to the first, which then has the highest code: the one the encoder drops.
+    coded = with_category_codes(filled.withColumns({i: F.col(c) for i, c in zip(index, categorical)}), index, descending=True)
+    coded = coded.withColumns({i: F.col(i).cast("double") for i in index})
     stages = [
-        StringIndexer(inputCols=categorical, outputCols=index, stringOrderType="alphabetDesc"),
         OneHotEncoder(inputCols=index, outputCols=hot, dropLast=True),
         VectorAssembler(inputCols=[*numeric, *hot], outputCol=output),
     ]
-    return Pipeline(stages=stages).fit(filled).transform(filled).drop(*index, *hot)
+    return Pipeline(stages=stages).fit(coded).transform(coded).drop(*index, *hot)
 
 
 def one_hot_counts(df: DataFrame, categorical: list[str]) -> DataFrame:
