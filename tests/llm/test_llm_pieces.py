@@ -84,3 +84,17 @@ def test_stage(odd, none, library):
     want = [(d, len(ids := library.encode(t or "")), ids) for d, t, *_ in ROWS]
     assert found == sorted(want, key=repr)
     assert pieces.encode_documents(none, PATH).count() == 0
+
+
+def test_decoding_gives_the_texts_back(odd, none, frame):
+    docs = clashing(odd)
+    encoded = pieces.encode_documents(docs, PATH)
+    decoded = pieces.decode_documents(encoded.drop("n_pieces"), PATH)
+    want = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=repr)
+    assert sorted(((r.doc_id, r.text) for r in decoded.collect()), key=repr) == want
+    assert pieces.decode_documents(pieces.encode_documents(none, PATH), PATH).count() == 0
+    ids = frame([(1, [1, 0, 2]), (2, None), (3, []), (4, [3 + 0xE9])], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.text for r in pieces.decode_documents(ids, PATH).collect()} == {1: "", 2: "", 3: "", 4: "\ufffd"}
+    for bad in ([99_999_999], [-1], [5, None]):
+        with pytest.raises(Exception, match="outside the vocabulary|id is null"):
+            pieces.decode_documents(frame([(1, bad)], "doc_id long, ids array<int>"), PATH).collect()

@@ -229,6 +229,36 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFram
     return docs.select(*kept, text).mapInArrow(work, schema)
 
 
+def decode_documents(docs: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
+    """``docs`` with ``ids`` (array of int) replaced by the ``text`` they stand for.
+
+    The opposite of ``encode_documents``: the space that encoding put in front goes, unknown
+    and control pieces stand for no text, bytes that are no UTF-8 become U+FFFD. A null or
+    empty array is the empty text; an id outside the vocabulary, or a null among the ids, stops
+    the job with a message. Other columns pass unchanged, a column called ``text`` is
+    replaced. An empty table gives an empty result.
+    """
+    model = _model(docs, path)
+    kept = [c for c in docs.columns if c not in (ids, text)]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = compiled(model.value)
+        for batch in slices(batches):
+            found = []
+            for own in batch.column(ids):
+                values = own.values
+                if values is not None and values.null_count:
+                    raise ValueError("an id is null")
+                values = np.empty(0, np.int32) if values is None else values.to_numpy()
+                if len(values) and not 0 <= values.min() <= values.max() < len(machine.names):
+                    raise ValueError("an id is outside the vocabulary")
+                found.append(machine.decode(values))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(found, pa.string())], [*kept, text])
+
+    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField(text, T.StringType())])
+    return docs.select(*kept, ids).mapInArrow(work, schema)
+
+
 def check_documents(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_pieces, ids_crc32, round_trip) from encoding and decoding whole texts.
 
