@@ -5,9 +5,10 @@
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vetline.llm import decontaminate, lines, pieces, quality, simhash
-from vetline.llm.common import stored, table
+from vetline.llm.common import free_names, stored, table
 from vetline.runtime import ship
 
 
@@ -35,9 +36,14 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their piece ids in place of the text."""
+    """The documents with their piece ids in place of the text; ``round_trip`` tells whether these decode to it."""
     ship(spark)
-    return pieces.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    mark, copy, text = free_names([*docs.columns, "n_pieces", "ids", "round_trip"], "mark", "copy", "decoded")
+    marked = docs.withColumn(mark, F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
+    encoded = pieces.encode_documents(marked, model).withColumn(copy, F.col("ids"))
+    decoded = pieces.decode_documents(encoded, model, copy, text)
+    return decoded.withColumn("round_trip", F.crc32(F.col(text).cast("binary")) == F.col(mark)).drop(mark, text)
 
 
 STAGES = [
@@ -45,7 +51,7 @@ STAGES = [
     ("line dedup", without_shared_lines),
     ("SimHash near-dedup", one_of_each_group),
     ("benchmark decontamination", uncontaminated),
-    ("SentencePiece encoding", token_ids),
+    ("SentencePiece encoding and decoding", token_ids),
 ]
 
 #: Hinge loss, fingerprints and merges are beyond SQL; tests/llm compares each stage with brute force.
