@@ -1,7 +1,9 @@
 import random
 import zlib
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from vetline.llm import pieces
@@ -98,3 +100,18 @@ def test_decoding_gives_the_texts_back(odd, none, frame):
     for bad in ([99_999_999], [-1], [5, None]):
         with pytest.raises(Exception, match="outside the vocabulary|id is null"):
             pieces.decode_documents(frame([(1, bad)], "doc_id long, ids array<int>"), PATH).collect()
+
+
+def test_columns_are_encoded_like_texts(machine, monkeypatch):
+    """Words of many texts together give each text's own ids and bytes, also with small memories."""
+    own = texts(machine) + ["", " ", "  a", "a ", "a  b", "▁", "a▁ b", "a ▁b", "x\n y", "\n", "é " * 50, "w" * 200 + " v", "\x00 \x00"]
+    for size in (10**6, 7):
+        monkeypatch.setattr(pieces, "REMEMBERED", size)
+        column = pa.array([*own[:40], None, *own[40:]])
+        ids, sizes = machine.encode_column(column.slice(3))
+        parts = np.split(ids, np.cumsum(sizes)[:-1])
+        spelled = list(machine.spell(ids, sizes))
+        assert len(parts) == len(column) - 3 == len(spelled)
+        for text, part, data in zip(column.slice(3).to_pylist(), parts, spelled):
+            assert part.tolist() == machine.encode(text or "").tolist()
+            assert bytes(data).decode(errors="replace") == machine.decode(part)

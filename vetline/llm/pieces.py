@@ -7,14 +7,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from vetline.llm.common import slices, texts_of
+from vetline.llm.common import Laid, pieces_of, slices
 
 SPACE = "▁"
-#: Chunks and piece pairs that a worker remembers.
-REMEMBERED, REMEMBERED_PAIRS = 300_000, 1_500_000
+#: Words (in each of two generations), chunks and piece pairs that a worker remembers.
+REMEMBERED, REMEMBERED_CHUNKS, REMEMBERED_PAIRS = 500_000, 100_000, 1_500_000
+#: Bytes of the texts encoded together, unless one alone is longer; characters of a word that is remembered.
+TOGETHER, SHORT = 4_000_000, 64
 #: Last piece of a path at the start of a chunk and after a byte fallback.
 START = -1
 #: Key of the piece that ends at a node of the lexicon.
@@ -76,6 +79,9 @@ class Transducer:
                 self.surface[i] = b""
         self.pairs: dict[int, bool] = {}
         self.chunks = _Chunks(self)
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.spelled = pa.array(self.surface, pa.large_binary())
 
     def merged(self, text: str) -> list[str]:
         """The text after all merges: best score first, then leftmost."""
@@ -162,6 +168,52 @@ class Transducer:
         normal = self.prefix + text.replace(" ", SPACE)
         return np.frombuffer(b"".join(map(self.chunks.__getitem__, self.chunk.findall(normal))), np.int32)
 
+    def _word(self, word: str) -> bytes:
+        """The ids of what stands after a blank."""
+        found = self.words.get(word)
+        if found is None:
+            found = self.older.get(word)
+            if found is None:
+                found = b"".join(map(self.chunks.__getitem__, self.chunk.findall(SPACE + word)))
+            if len(word) <= SHORT:
+                if len(self.words) >= REMEMBERED:
+                    self.older, self.words = self.words, {}
+                self.words[word] = found
+        return found
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each); a null text is empty.
+
+        No chunk goes on over a single blank, so the words of all texts are split and numbered in
+        Arrow, each different one is encoded once, and ids are gathered by number. Texts with
+        blanks side by side or at an end, or with U+2581, are encoded by themselves.
+        """
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        split = pc.split_pattern(texts, " ")
+        ends = split.offsets.to_numpy()[1:].astype(np.int64) - split.offsets[0].as_py()
+        coded = split.flatten().dictionary_encode()
+        numbers, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        found = list(map(self._word, words)) if self.prefix else [b""] * len(words)
+        places, total = Laid(np.fromiter(map(len, found), np.int64, len(found)) // 4).places(numbers)
+        ids, sizes = np.frombuffer(b"".join(found), np.int32)[places], np.diff(total[ends], prepend=0)
+        alone = np.array([not self.prefix or not w or SPACE in w for w in words], bool)[numbers]
+        odd = np.unique(np.searchsorted(ends, np.flatnonzero(alone), "right"))
+        if len(odd):
+            parts = np.split(ids, np.cumsum(sizes)[:-1])
+            for at in odd.tolist():
+                parts[at] = self.encode(texts[at].as_py())
+                sizes[at] = len(parts[at])
+            ids = np.concatenate(parts)
+        return ids, sizes
+
+    def spell(self, ids: np.ndarray, sizes: np.ndarray) -> Iterator[memoryview]:
+        """The bytes that each text's ids stand for, without the space that encoding put in front."""
+        spelled = self.spelled.take(pa.array(ids))
+        begins = np.frombuffer(spelled.buffers()[1], np.int64, len(ids) + 1)[np.concatenate(([0], np.cumsum(sizes)))].tolist()
+        data = memoryview(spelled.buffers()[2] or b"")
+        for start, end in zip(begins, begins[1:]):
+            yield data[start + bool(self.prefix and end > start and data[start] == 32) : end]
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of the ids; the space that encoding put in front goes."""
         text = b"".join(map(self.surface.__getitem__, ids.tolist())).decode(errors="replace")
@@ -177,8 +229,8 @@ class _Chunks(dict):
 
     def __missing__(self, chunk: str) -> bytes:
         found = array("i", self.machine.shortest(chunk)).tobytes()
-        if len(chunk) <= 64:
-            if len(self) >= REMEMBERED:
+        if len(chunk) <= SHORT:
+            if len(self) >= REMEMBERED_CHUNKS:
                 self.clear()
             self[chunk] = found
         return found
@@ -212,12 +264,11 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFram
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = compiled(model.value)
-        for batch in slices(batches):
-            ids = [machine.encode(t) for t in texts_of(batch, text)]
-            offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            flat = np.concatenate([*ids, np.empty(0, np.int32)])
+        for batch in pieces_of(batches, TOGETHER, text):
+            flat, sizes = machine.encode_column(batch.column(text))
+            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in kept], pa.array(np.diff(offsets)),
+                [*[batch.column(c) for c in kept], pa.array(sizes.astype(np.int32)),
                  pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
                 [*kept, "n_pieces", "ids"],
             )
@@ -244,15 +295,14 @@ def decode_documents(docs: DataFrame, path: str, ids: str = "ids", text: str = "
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = compiled(model.value)
         for batch in slices(batches):
-            found = []
-            for own in batch.column(ids):
-                values = own.values
-                if values is not None and values.null_count:
-                    raise ValueError("an id is null")
-                values = np.empty(0, np.int32) if values is None else values.to_numpy()
-                if len(values) and not 0 <= values.min() <= values.max() < len(machine.names):
-                    raise ValueError("an id is outside the vocabulary")
-                found.append(machine.decode(values))
+            column = batch.column(ids)
+            values, sizes = column.flatten(), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+            if values.null_count:
+                raise ValueError("an id is null")
+            values = values.to_numpy()
+            if len(values) and not 0 <= values.min() <= values.max() < len(machine.names):
+                raise ValueError("an id is outside the vocabulary")
+            found = [str(data, "utf-8", "replace") for data in machine.spell(values, sizes)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(found, pa.string())], [*kept, text])
 
     schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField(text, T.StringType())])
@@ -270,13 +320,12 @@ def check_documents(docs: DataFrame, path: str) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = compiled(model.value)
-        for batch in slices(batches):
-            sizes, sums, same = [], [], []
-            for text in texts_of(batch):
-                ids = machine.encode(text)
-                sizes.append(len(ids))
-                sums.append(zlib.crc32(ids.astype("<i4").tobytes()))
-                same.append(machine.decode(ids) == text)
+        for batch in pieces_of(batches, TOGETHER):
+            texts = pc.fill_null(batch.column("text"), "")
+            ids, sizes = machine.encode_column(texts)
+            ends = np.cumsum(sizes)
+            sums = [zlib.crc32(part.astype("<i4").tobytes()) for part in np.split(ids, ends[:-1])]
+            same = [data == text.as_buffer() for data, text in zip(machine.spell(ids, sizes), texts.cast(pa.large_binary()))]
             yield pa.record_batch(
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(same, pa.bool_())],
                 ["doc_id", "n_pieces", "ids_crc32", "round_trip"],
