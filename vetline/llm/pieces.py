@@ -15,7 +15,7 @@ from vetline.llm.common import Laid, pieces_of, slices
 
 SPACE = "▁"
 #: Words (in each of two generations), chunks and piece pairs that a worker remembers.
-REMEMBERED, REMEMBERED_CHUNKS, REMEMBERED_PAIRS = 500_000, 100_000, 1_500_000
+REMEMBERED, REMEMBERED_CHUNKS, REMEMBERED_PAIRS = 130_000, 20_000, 1_500_000
 #: Bytes of the texts encoded together, unless one alone is longer; characters of a word that is remembered.
 TOGETHER, SHORT = 4_000_000, 64
 #: Last piece of a path at the start of a chunk and after a byte fallback.
