@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from vetline import schema
 from vetline.operators import iforest
 from vetline.operators.encode import encode_features
+from vetline.plans import services
 from vetline.sources import files, pages
 from vetline.streaming.scoring import landed_postings, score_postings, write_scored
 
@@ -53,3 +54,16 @@ def test_pages(spark):
     got = {r.job_id: (r.title, r.description) for r in pages.pages_to_postings(df).collect()}
     assert got == {1: ("A & B", "Pay 10 < 20"), 2: (None, "just text"), 3: (None, None)}
     assert encode_features(pages.pages_to_postings(df), keep=["job_id"]).count() == 3
+
+
+def test_stream_reads_a_file_or_a_folder(spark, tmp_path):
+    """documents.parquet as one file and as a folder of files gives the same rows; other tables are left out."""
+    docs = spark.range(20).selectExpr("id AS doc_id", "'a text' AS text", "'en' AS lang", "'web' AS source", "id * 7 AS n_chars")
+    (tmp_path / "folder").mkdir()
+    docs.repartition(3).write.parquet(str(tmp_path / "folder" / "documents.parquet"))
+    docs.write.parquet(str(tmp_path / "folder" / "documents.parquet2"))
+    (tmp_path / "file").mkdir()
+    docs.toPandas().to_parquet(tmp_path / "file" / "documents.parquet")
+    whole, single = (services.stream_encoded_postings(spark, str(tmp_path / d)) for d in ("folder", "file"))
+    assert whole.count() == single.count() == 20
+    assert whole.exceptAll(single).count() == 0

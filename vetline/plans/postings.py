@@ -54,6 +54,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files, whether it is one file or a folder of them."""
+    # Only as a pattern may a stream's path be a single file; this one fits nothing else.
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def postings_of(documents: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Raw postings; without labels the two label columns are left out."""
     rules = RULES

@@ -10,7 +10,7 @@ from vetline.operators.encode import encode_features
 from vetline.plans import views
 from vetline.operators.profile import stop_words
 from vetline.plans.models import boosted_ctes, forest_ctes, forest_sql, offset_sql, shapley_columns
-from vetline.plans.postings import postings_of, raw_postings, table
+from vetline.plans.postings import postings_of, raw_postings, table, table_stream
 from vetline.plans.views import CLEAN_COLUMNS, KEY, LABEL, clean, sql, strip
 from vetline.runtime import fresh_path, settle
 from vetline.sources import files, pages
@@ -119,9 +119,7 @@ def stated_fields(spark, sf_dir):
        CAST(0.0 AS DOUBLE) AS anomaly_score, CAST(1 AS INTEGER) AS anomaly_label FROM enc1""", "single",
     {"enc1": views.features_sql("single")}))
 def stream_encoded_postings(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents")
-    stream = spark.readStream.schema(documents.schema).option(
-        "pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    stream = table_stream(spark, sf_dir, "documents")
     # Without a model every posting scores neutral, as in the SQL twin.
     scored = score_postings(postings_of(stream, None), None, [KEY])
     path, checkpoint = fresh_path(spark, "scored"), fresh_path(spark, "stream-state")
