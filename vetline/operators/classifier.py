@@ -2,7 +2,7 @@
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizerModel, Normalizer, RegexTokenizer, StopWordsRemover
+from pyspark.ml.feature import IDF, CountVectorizerModel, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,31 +22,30 @@ def with_class_weights(df: DataFrame, label: str = "fraudulent") -> DataFrame:
     return df.where(F.col(label).isNotNull()).withColumn("weight", F.try_element_at(by_label, F.col(label)))
 
 
-def vocabulary(tokens: DataFrame, column: str, size: int) -> list[str]:
-    """The ``size`` words that most texts have, equal ones in alphabetical order."""
+def vocabulary(tokens: DataFrame, column: str, size: int, drop: list[str] = ()) -> list[str]:
+    """The ``size`` words outside ``drop`` that most texts have, equal ones in alphabetical order."""
     words = tokens.select(F.explode(F.array_distinct(column)).alias("word"))
-    top = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(size)
-    return [r["word"] for r in top.collect()]
+    counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(~F.col("word").isin(list(drop)))
+    return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(size).collect()]
 
 
 def fit_text_classifier(
     df: DataFrame, text: str = "text", label: str = "fraudulent", features: int = 512,
     iterations: int = 300, penalty: float = 0.01,
 ) -> PipelineModel:
-    """Fit on rows with ``text``, ``label`` and ``weight``.
+    """Fit on rows with ``text``, ``label`` and ``weight``, stored or otherwise cheap to read twice.
 
-    The ``features`` words that most texts have, weighted by their inverse document frequency,
-    each text's vector of length one; class-weighted logistic loss with an L2 penalty, taken
-    to its only minimum. The texts are read once: words first, then only their counts, as
-    sparse vectors, are kept for the passes of the fit.
+    The ``features`` words that most texts have, stop words aside, weighted by their inverse
+    document frequency, each text's vector of length one; class-weighted logistic loss with an
+    L2 penalty, taken to its only minimum. The texts are read for the words to count, then for
+    their counts; only these, as sparse vectors, are kept for the passes of the fit. Stop words
+    go once they are grouped, not text by text: what is not in the list is not counted anyway.
     """
-    words = RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=r"[\p{L}\p{N}]+", gaps=False)
-    kept = StopWordsRemover(inputCol="_tokens", outputCol="_words", stopWords=stop_words())
-    split = PipelineModel(stages=[words, kept])
-    tokens = settle(split.transform(df).select(label, "weight", "_words"))
+    words = RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"[\p{L}\p{N}]+", gaps=False)
+    tokens = words.transform(df).select(label, "weight", "_words")
     # A bounded list; without any word one that no text has keeps the vectors from being empty.
     counts = CountVectorizerModel.from_vocabulary(
-        vocabulary(tokens, "_words", features) or [" "], inputCol="_words", outputCol="_counts")
+        vocabulary(tokens, "_words", features, stop_words()) or [" "], inputCol="_words", outputCol="_counts")
     rows = settle(counts.transform(tokens).select(label, "weight", "_counts"))
     idf = IDF(inputCol="_counts", outputCol="_idf").fit(rows)
     unit = Normalizer(inputCol="_idf", outputCol="_features", p=2.0)
@@ -54,7 +53,7 @@ def fit_text_classifier(
         featuresCol="_features", labelCol=label, weightCol="weight", maxIter=iterations, regParam=penalty, tol=1e-14,
         standardization=False, rawPredictionCol="_raw", probabilityCol="_probability", predictionCol="_prediction",
     ).fit(unit.transform(idf.transform(rows)))
-    return PipelineModel(stages=[words, kept, counts, idf, unit, regression])
+    return PipelineModel(stages=[words, counts, idf, unit, regression])
 
 
 def predict_proba(df: DataFrame, model: PipelineModel, name: str = "nlp_score") -> DataFrame:

@@ -13,7 +13,7 @@ from vetline.operators.clean import clean_postings
 from vetline.operators.encode import encode_features
 from vetline.operators.iforest import Forest, score_outliers
 from vetline.operators.sampling import stratified_folds
-from vetline.runtime import current_version, publish, settle, side_by_side, stored_at, version_folder
+from vetline.runtime import current_version, publish, settle, side_by_side, stored, stored_at, version_folder
 
 META_FEATURES = ["nlp_score", "outlier_score", "desc_len", "has_company_logo", "telecommuting", "has_questions"]
 NLP_DIGITS = 3  # of the text score as a meta-feature: it is cut into bins anyway
@@ -47,7 +47,8 @@ def out_of_fold_scores(texts: DataFrame, key: str, label: str = "fraudulent", k:
     make it look better to the fusion than it is on new rows.
     """
     narrow = settle(stratified_folds(settle(texts.select(key, label)), key, label, k, seed).select(key, "fold"))
-    rows = texts.join(narrow, key)
+    # Each fold's model reads its texts several times.
+    rows = stored(texts.join(narrow, key), "folds")
 
     def one(i: int) -> DataFrame:
         model = fit_text_classifier(rows.where(F.col("fold") != i), label=label)

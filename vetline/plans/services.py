@@ -12,7 +12,7 @@ from vetline.operators.profile import stop_words
 from vetline.plans.models import boosted_ctes, forest_ctes, forest_sql, offset_sql, shapley_columns
 from vetline.plans.postings import postings_of, raw_postings, table, table_stream
 from vetline.plans.views import CLEAN_COLUMNS, KEY, LABEL, clean, sql, strip
-from vetline.runtime import fresh_path, settle
+from vetline.runtime import fresh_path, settle, stored
 from vetline.sources import files, pages
 from vetline.streaming.scoring import landed_postings, score_postings, write_scored
 
@@ -143,8 +143,10 @@ def _cleaned(spark, sf_dir):
     return clean_postings(raw_postings(spark, sf_dir), dedupe=False)
 
 
-def _texts(spark, sf_dir):
-    return _cleaned(spark, sf_dir).select(KEY, text.raw_full_text().alias("text"))
+def _texts(spark, sf_dir, keys):
+    """The texts of the rows ``keys``, next to its columns; joined and written once."""
+    texts = _cleaned(spark, sf_dir).select(KEY, text.raw_full_text().alias("text"))
+    return stored(texts.join(keys, KEY), "texts")
 
 
 # --- SQL twin of the text classifier --------------------------------------
@@ -203,10 +205,9 @@ def text_sql(body, ctes):
 def text_classifier(spark, sf_dir):
     """Validation rows with their score and label by a model of all training rows."""
     keys = _split_keys(spark, sf_dir)
-    texts = _texts(spark, sf_dir)
-    weighted = classifier.with_class_weights(keys.where("split = 'train'"))
-    model = classifier.fit_text_classifier(texts.join(settle(weighted), KEY))
-    scored = classifier.predict_proba(texts.join(keys.where("split = 'val'"), KEY), model)
+    texts = _texts(spark, sf_dir, keys)
+    model = classifier.fit_text_classifier(classifier.with_class_weights(texts.where("split = 'train'")))
+    scored = classifier.predict_proba(texts.where("split = 'val'"), model)
     return scored.select(KEY, LABEL, F.round("nlp_score", 4).alias("nlp_score"),
                          (F.col("nlp_score") >= 0.5).cast("int").alias("predicted"))
 
@@ -218,9 +219,10 @@ def text_scores(spark, sf_dir):
     keys = _split_keys(spark, sf_dir)
     weighted = classifier.with_class_weights(keys.where("split = 'train'"))
     sample = sampling.exact_sample(settle(weighted), KEY, TEXT_SAMPLE)
-    texts = _texts(spark, sf_dir)
-    model = classifier.fit_text_classifier(texts.join(sample, KEY))
-    scored = classifier.predict_proba(texts.join(keys.where("split = 'val'"), KEY), model)
+    asked = keys.where("split = 'val'").withColumn("weight", F.lit(None).cast("double"))
+    texts = _texts(spark, sf_dir, sample.unionByName(asked))
+    model = classifier.fit_text_classifier(texts.where("split = 'train'"))
+    scored = classifier.predict_proba(texts.where("split = 'val'"), model)
     return scored.select(KEY, LABEL, F.round("nlp_score", 4).alias("nlp_score"))
 
 
@@ -253,7 +255,7 @@ def _fused(spark, sf_dir):
     keys = _split_keys(spark, sf_dir)
     train = _cleaned(spark, sf_dir).drop(LABEL).join(keys.where("split = 'train'").drop("split"), KEY)
     weighted = settle(classifier.with_class_weights(keys.where("split = 'train'")).drop("split"))
-    texts = _texts(spark, sf_dir).join(weighted, KEY)
+    texts = _texts(spark, sf_dir, weighted)
     nlp = classifier.fit_text_classifier(texts)
     forest = iforest.fit_forest(settle(encode_features(train, keep=[KEY])), KEY, contamination=0.1)
     unseen = settle(fusion.out_of_fold_scores(texts, KEY, LABEL))

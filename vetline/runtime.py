@@ -159,6 +159,16 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder once and read it back.
+
+    For wide tables (texts) read more than once: packed, and each reader takes only its columns.
+    """
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def side_by_side(spark: SparkSession, work: Callable, items: list) -> list:
     """Run independent Spark jobs at once, so that one fills the gaps of another."""
     with ThreadPool(len(items)) as pool:
