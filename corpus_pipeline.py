@@ -39,10 +39,10 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their piece ids in place of the text; ``round_trip`` tells whether these decode to it."""
     ship(spark)
     model = public_tokenizers.path("piece_bpe_32k.model")
-    mark, copy, text = free_names([*docs.columns, "n_pieces", "ids", "round_trip"], "mark", "copy", "decoded")
+    mark, text = free_names([*docs.columns, "n_pieces", "ids", "round_trip"], "mark", "decoded")
     marked = docs.withColumn(mark, F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
-    encoded = pieces.encode_documents(marked, model).withColumn(copy, F.col("ids"))
-    decoded = pieces.decode_documents(encoded, model, copy, text)
+    encoded = pieces.encode_documents(marked, model)
+    decoded = pieces.decode_documents(encoded, model, "ids", text, keep=True)
     return decoded.withColumn("round_trip", F.crc32(F.col(text).cast("binary")) == F.col(mark)).drop(mark, text)
 
 

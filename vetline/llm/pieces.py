@@ -4,6 +4,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -61,12 +62,6 @@ class Transducer:
             raise ValueError("a piece holds a character that is no piece itself")
         if any(SPACE in p.lstrip(SPACE) for p in self.piece):
             raise ValueError("a piece holds a space after another character")
-        self.lexicon: dict = {}
-        for text, i in self.piece.items():
-            node = self.lexicon
-            for c in text:
-                node = node.setdefault(c, {})
-            node[FINAL] = i
         # No piece spans these places, so the text between them can be composed by itself.
         apart = "".join(c for c in "\n\t\r" if c not in single)
         self.chunk = re.compile(f"{SPACE}+[^{SPACE}{apart}]*|[{apart}]|[^{SPACE}{apart}]+" if apart
@@ -83,6 +78,17 @@ class Transducer:
         self.older: dict[str, bytes] = {}
         self.spelled = pa.array(self.surface, pa.large_binary())
 
+    @cached_property
+    def lexicon(self) -> dict:
+        """The trie of pieces; built by the first chunk, so that workers which only decode do without."""
+        root: dict = {}
+        for text, i in self.piece.items():
+            node = root
+            for c in text:
+                node = node.setdefault(c, {})
+            node[FINAL] = i
+        return root
+
     def merged(self, text: str) -> list[str]:
         """The text after all merges: best score first, then leftmost."""
         parts = list(text)
@@ -280,8 +286,8 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFram
     return docs.select(*kept, text).mapInArrow(work, schema)
 
 
-def decode_documents(docs: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
-    """``docs`` with ``ids`` (array of int) replaced by the ``text`` they stand for.
+def decode_documents(docs: DataFrame, path: str, ids: str = "ids", text: str = "text", keep: bool = False) -> DataFrame:
+    """``docs`` with ``ids`` (array of int) replaced by the ``text`` they stand for; with ``keep`` the ids stay as well.
 
     The opposite of ``encode_documents``: the space that encoding put in front goes, unknown
     and control pieces stand for no text, bytes that are no UTF-8 become U+FFFD. A null or
@@ -290,7 +296,8 @@ def decode_documents(docs: DataFrame, path: str, ids: str = "ids", text: str = "
     replaced. An empty table gives an empty result.
     """
     model = _model(docs, path)
-    kept = [c for c in docs.columns if c not in (ids, text)]
+    kept = [c for c in docs.columns if c != text and (keep or c != ids)]
+    read = kept if keep else [*kept, ids]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = compiled(model.value)
@@ -306,7 +313,7 @@ def decode_documents(docs: DataFrame, path: str, ids: str = "ids", text: str = "
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(found, pa.string())], [*kept, text])
 
     schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField(text, T.StringType())])
-    return docs.select(*kept, ids).mapInArrow(work, schema)
+    return docs.select(*read).mapInArrow(work, schema)
 
 
 def check_documents(docs: DataFrame, path: str) -> DataFrame:
