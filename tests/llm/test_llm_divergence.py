@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -139,3 +140,53 @@ def test_large_counts(spark):
     df = spark.sql("SELECT 20000000000L AS n, 30000000000L AS total, 5L AS kept")
     got = df.select(divergence.share(F.col("n"), F.col("total"), F.col("kept"))).first()[0]
     assert got == 1 + 10**9 * (2 * 10**10 + 2) // (3 * 10**10 + 10)
+
+
+class Captured:
+    """Stands for a DataFrame: keeps the function that would run in a task."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, work, _):
+        return work
+
+
+def peak_of(work) -> int:
+    """Bytes that numpy and Python hold at most while ``work`` runs."""
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_a_block():
+    """The words of a block are not all spread out at once."""
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(600)])
+    texts = [" ".join(words[rng.integers(0, 600, 700)]) for _ in range(2000)]
+    batch = pa.record_batch([pa.array(["l"] * 2000), pa.array(["s", "t"] * 1000), pa.array(texts)], ["lang", "source", "text"])
+    found = []
+    work = divergence.block_runs(Captured(), 2)
+    assert peak_of(lambda: found.extend(work(iter([batch])))) < 30_000_000
+    want = Counter(w for t in texts for w in t.split())
+    got = [divergence.Postings.unpacked(b.column("postings")[0].as_py()) for b in found]
+    assert sum(len(p.keys) for p in got) == len(want) and sum(int(p.counts.sum()) for p in got) == sum(want.values())
+    assert all(p.docs.max() <= 2000 for p in got)
+
+
+def test_memory_of_a_merge():
+    """Stretches of many runs together stay as small as that of a few."""
+    names = np.array(sorted({f"{a}{b}{c}{d}" for a in "abcdefghij" for b in "abcdefghij" for c in "abcdefghij" for d in "abcdefghij"}))
+    keys = pa.array([n.encode() + b"\0l" for n in names], pa.large_binary())
+    ones = np.ones(len(names), np.int64)
+    runs = [divergence.Postings(keys, ones, ones, ones * (i % 3), ones) for i in range(100)]
+    total = []
+
+    def work():
+        total.extend((len(p.keys), int(p.docs.sum()), int(p.counts.sum())) for p in divergence.merge(runs, 3))
+
+    assert peak_of(work) < 40_000_000
+    assert [sum(t) for t in zip(*total)] == [len(names), 100 * len(names), 100 * len(names)]

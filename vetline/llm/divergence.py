@@ -23,12 +23,12 @@ from pyspark.sql import functions as F
 
 from vetline.llm.common import pieces_of, stored
 
-#: Bytes of the texts that a block holds before it becomes a run.
-BLOCK = 12_000_000
+#: Bytes of the texts that a block holds before it becomes a run, and of those that are indexed at once.
+BLOCK, PORTION = 12_000_000, 2_000_000
 #: Characters of the input for each hash shard, about, and shards at most.
 SHARD_CHARS, SHARDS = 64_000_000, 4096
-#: Runs of a shard that one merge takes, more in several passes; terms of each run that it looks at together.
-FAN, STRETCH = 256, 1 << 15
+#: Runs of a shard that one merge takes, more in several passes; terms of all its runs that it looks at together.
+FAN, STRETCH = 256, 1 << 17
 #: Sources of a block of the pair table, and postings that one of its tasks meets, about.
 SOURCES, POSTINGS = 512, 500_000
 
@@ -80,7 +80,7 @@ class Postings(NamedTuple):
         owners = batch.column("owners")
         return Postings(
             batch.column("key"), batch.column("docs").to_numpy(), np.diff(owners.offsets.to_numpy()).astype(np.int64),
-            owners.flatten().to_numpy().astype(np.int64), batch.column("counts").flatten().to_numpy(),
+            owners.flatten().to_numpy(), batch.column("counts").flatten().to_numpy(),
         )
 
 
@@ -130,10 +130,10 @@ def index(langs: pa.Array, owners: np.ndarray, texts: pa.Array, n_sources: int)
 def merge(runs: list[Postings], n_sources: int, stretch: int = STRETCH) -> Iterator[Postings]:
     """Several runs as one, in stretches of keys.
 
-    A heap holds each run's next ``stretch`` keys by the last of them. The least of these
-    ends the next stretch of the result: up to it, every run gives what it has.
+    A heap holds each run's next keys, its part of some ``stretch``, by the last of them. The
+    least of these ends the next stretch of the result: up to it, every run gives what it has.
     """
-    at = [0] * len(runs)
+    at, stretch = [0] * len(runs), max(1, stretch // max(1, len(runs)))
     begins = [np.concatenate(([0], np.cumsum(r.sizes))) for r in runs]
 
     def last(i: int) -> tuple[bytes, int]:
@@ -199,30 +199,49 @@ def _parts(text: str, size: int) -> list[str]:
     return parts
 
 
+def block_postings(batch: pa.RecordBatch, portion: int = PORTION) -> tuple[list[Source], Postings]:
+    """(sources, postings) of a block: only some ``portion`` bytes of its texts are spread out as words at a time."""
+    number: dict[Source, int] = {}
+    of_doc = zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist())
+    owners = np.array([number.setdefault(s, len(number)) for s in of_doc], np.int64)
+    n, at, found = max(1, len(number)), 0, []
+    for few in pieces_of([batch], portion):
+        langs, texts, own = few.column("lang"), few.column("text"), owners[at : at + len(few)]
+        at += len(few)
+        if len(few) > 1 or len(text := texts[0].as_py()) <= portion:
+            found.append(index(langs, own, texts, n))
+            continue
+        parts = [index(langs, own, pa.array([part], pa.string()), n) for part in _parts(text, portion)]
+        whole = _whole(parts, n)
+        found.append(whole._replace(docs=np.ones(len(whole.docs), np.int64)))
+    return list(number), _whole(found, n)
+
+
+def _whole(parts: list[Postings], n_sources: int) -> Postings:
+    """Some postings as one."""
+    return parts[0] if len(parts) == 1 else _joined(list(merge(parts, n_sources)) or parts[:1])
+
+
 def block_runs(docs: DataFrame, shards: int, block: int = BLOCK) -> DataFrame:
     """One row per run and hash shard, from one pass over the texts; the terms of a run are in order."""
 
-    def one(langs: pa.Array, owners: np.ndarray, texts: pa.Array, n: int) -> Postings:
-        if len(texts) > 1 or len(text := texts[0].as_py()) <= block:
-            return index(langs, owners, texts, n)
-        parts = [index(langs, owners, pa.array([part], pa.string()), n) for part in _parts(text, block)]
-        whole = _joined(list(merge(parts, n)))
-        return whole._replace(docs=np.ones(len(whole.docs), np.int64))
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(_together(batches, block), block):
-            langs, texts = batch.column("lang"), batch.column("text")
-            of_doc = list(zip(langs.to_pylist(), batch.column("source").to_pylist()))
-            number: dict[Source, int] = {}
-            owners = np.array([number.setdefault(s, len(number)) for s in of_doc], np.int64)
-            postings = one(langs, owners, texts, len(number))
+            sources, postings = block_postings(batch, min(block, PORTION))
             shard = np.array([zlib.crc32(k[: k.index(b"\0")]) % shards for k in postings.keys.to_pylist()], np.int64)
             for at in np.unique(shard).tolist():
-                yield _run(at, list(number), postings.chosen(shard == at))
+                yield _run(at, sources, postings.chosen(shard == at))
+            del postings, shard
+            _release()
 
     return docs.select("lang", "source", "text").mapInArrow(work, RUN)
 
 
+def _release() -> None:
+    """A worker goes on to other tasks: what Arrow holds in reserve would add to theirs."""
+    pa.default_memory_pool().release_unused()
+
+
 def _together(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Small batches joined until their texts have some ``size`` bytes."""
     held, total = [], 0
@@ -230,10 +249,10 @@ def _together(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
         held.append(batch)
         total += batch.column("text").nbytes
         if total >= size:
-            yield pa.concat_batches(held)
+            yield held[0] if len(held) == 1 else pa.concat_batches(held)
             held, total = [], 0
     if held:
-        yield pa.concat_batches(held)
+        yield held[0] if len(held) == 1 else pa.concat_batches(held)
 
 
 def _merged(rows: list[dict]) -> tuple[list[Source], Iterator[Postings]]:
@@ -241,8 +260,8 @@ def _merged(rows: list[dict]) -> tuple[list[Source], Iterator[Postings]]:
     number: dict[Source, int] = {}
     runs = []
     for row in rows:
-        own = np.array([number.setdefault((s["lang"], s["source"]), len(number)) for s in row["sources"]], np.int64)
-        run = Postings.unpacked(row["postings"])
+        own = np.array([number.setdefault((s["lang"], s["source"]), len(number)) for s in row["sources"]], np.int32)
+        run = Postings.unpacked(row.pop("postings"))
         runs.append(run._replace(owners=own[run.owners]))
     return list(number), merge(runs, max(1, len(number)))
 
@@ -261,6 +280,8 @@ def merge_pass(runs: DataFrame, parts: int) -> DataFrame:
         for rows in _by_key(batches, "shard", "part"):
             sources, stretches = _merged(rows)
             yield _run(rows[0]["shard"], sources, _joined(list(stretches)))
+            del stretches
+            _release()
 
     dealt = runs.withColumn("part", F.pmod(F.xxhash64("run"), F.lit(parts)).cast("int"))
     return dealt.repartition("shard", "part").sortWithinPartitions("shard", "part").mapInArrow(work, RUN)
@@ -295,6 +316,8 @@ def frequencies(docs: DataFrame, min_docs: int = MIN_DOCS, block: int = BLOCK,
                      pa.ListArray.from_arrays(offsets, postings)],
                     ["lang", "term", "postings"],
                 )
+            del stretches
+            _release()
 
     schema = "lang string, term string, postings array<struct<source:string,n:long>>"
     merged = runs.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(work, schema)
@@ -319,15 +342,14 @@ def _gaps(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 def _pair_sums(key: tuple, groups: pa.Table, postings: pa.Table) -> pa.Table:
     """Partial divergences of the pairs of one block pair over one part of the terms."""
     lang, low, high, part = (k.as_py() for k in key)
-    names = groups.column("source").to_pylist()
-    number = {s: i for i, s in enumerate(names)}
+    names = groups.column("source").combine_chunks()
     block = groups.column("block").to_numpy()
     zero = groups.column("zero").to_numpy()
     kept = int(groups.column("kept")[0].as_py())
     base = _gaps(zero[:, None], zero[None, :])
     one, both = np.zeros(base.shape, np.int64), np.zeros(base.shape, np.int64)
     postings = postings.sort_by("term")
-    owner = np.array([number[s] for s in postings.column("source").to_pylist()], np.int64)
+    owner = pc.index_in(postings.column("source"), value_set=names).to_numpy().astype(np.int64)
     p = postings.column("p").to_numpy()
     terms = postings.column("term").combine_chunks().dictionary_encode() if len(owner) else None
     code = terms.indices.to_numpy() if terms is not None else np.empty(0, np.int64)
@@ -345,8 +367,7 @@ def _pair_sums(key: tuple, groups: pa.Table, postings: pa.Table) -> pa.Table:
     wanted = (block[:, None] == low) & (block[None, :] == high)
     wanted = (wanted | wanted.T) & ~np.eye(len(names), dtype=bool)
     g, h = np.nonzero(wanted)
-    text = pa.array(names, pa.string())
-    return pa.table([pa.array([lang] * len(g), pa.string()), text.take(pa.array(g)), text.take(pa.array(h)),
+    return pa.table([pa.array([lang] * len(g), pa.string()), names.take(pa.array(g)), names.take(pa.array(h)),
                      pa.array(total[g, h])], ["lang", "source", "item", "value"])
 
 
