@@ -6,6 +6,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import sentencepiece
+from pyspark.sql.types import LongType, StructField
 from vetline.llm import pieces
 
 from awkward_rows import ROWS, clashing, rows_of
@@ -115,3 +116,23 @@ def test_columns_are_encoded_like_texts(machine, monkeypatch):
         for text, part, data in zip(column.slice(3).to_pylist(), parts, spelled):
             assert part.tolist() == machine.encode(text or "").tolist()
             assert bytes(data).decode(errors="replace") == machine.decode(part)
+
+
+def test_workers_keep_no_words(machine, monkeypatch):
+    """Whatever a worker goes on with after a task has the memory of the words to itself."""
+    class Captured:
+        columns, schema = ["doc_id", "text"], {"doc_id": StructField("doc_id", LongType())}
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, work, _):
+            return work
+
+    monkeypatch.setattr(pieces, "compiled", lambda _: machine)
+    monkeypatch.setattr(pieces, "_model", lambda *_: type("Shared", (), {"value": b""}))
+    batch = pa.record_batch([pa.array([1, 2]), pa.array(["some words here", "and more of them"])], ["doc_id", "text"])
+    for make in (pieces.encode_documents, pieces.check_documents):
+        machine.encode_column(pa.array(["one two"]))
+        assert sum(b.num_rows for b in make(Captured(), PATH)(iter([batch]))) == 2
+        assert not machine.words and not machine.older and not machine.chunks

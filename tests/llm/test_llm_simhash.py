@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -114,3 +115,23 @@ def test_keep_one(odd, none, frame):
     ids = [r.doc_id for r in kept.collect()]
     assert ids.count(None) == 2 and 2 not in ids and 1 in ids
     assert simhash.keep_one(none).count() == 0
+
+
+def test_memory_of_crowded_blocks():
+    """The close pairs of several crowded blocks are not held together; their links connect the same."""
+    rng = np.random.default_rng(3)
+    near = np.unique(np.uint64(7) ^ (np.uint64(1) << rng.integers(0, 64, 1200).astype(np.uint64))
+                     ^ (np.uint64(1) << rng.integers(0, 64, 1200).astype(np.uint64)))
+    far = np.uint64(0xFFFF0000FFFF0000) ^ near[:300]
+    fp = np.sort(np.concatenate((near, far)))
+    block = np.repeat(np.arange(8), len(fp))
+    tracemalloc.start()
+    try:
+        a, b = simhash._spanning(block, np.tile(fp, 8), 4)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 40_000_000
+    assert len(a) == 8 * (len(fp) - 2)
+    side = np.isin(a, near), np.isin(b, near)
+    assert (side[0] == side[1]).all()

@@ -28,11 +28,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give back what Arrow holds in reserve: a worker goes on to other tasks, and it would add to theirs."""
+    pa.default_memory_pool().release_unused()
+
+
 def slices(batches: Iterable[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of few rows, so that long texts do not pile up."""
     for batch in batches:
         for start in range(0, batch.num_rows, size):
             yield batch.slice(start, size)
+        del batch
+        release()
 
 
 def pieces_of(batches: Iterable[pa.RecordBatch], size: int, column: str = "text") -> Iterator[pa.RecordBatch]:
@@ -45,6 +52,9 @@ def pieces_of(batches: Iterable[pa.RecordBatch], size: int, column: str = "text"
             end = max(start + 1, int(np.searchsorted(upto, before + size, "right")))
             yield batch.slice(start, end - start)
             start = end
+            release()
+        del batch
+        release()
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vetline.llm.common import pieces_of, stored
+from vetline.llm.common import pieces_of, release, stored
 
 #: Bytes of the texts that a block holds before it becomes a run, and of those that are indexed at once.
 BLOCK, PORTION = 12_000_000, 2_000_000
@@ -232,16 +232,10 @@ def block_runs(docs: DataFrame, shards: int, block: int = BLOCK) -> DataFrame:
             for at in np.unique(shard).tolist():
                 yield _run(at, sources, postings.chosen(shard == at))
             del postings, shard
-            _release()
 
     return docs.select("lang", "source", "text").mapInArrow(work, RUN)
 
 
-def _release() -> None:
-    """A worker goes on to other tasks: what Arrow holds in reserve would add to theirs."""
-    pa.default_memory_pool().release_unused()
-
-
 def _together(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Small batches joined until their texts have some ``size`` bytes."""
     held, total = [], 0
@@ -281,7 +275,7 @@ def merge_pass(runs: DataFrame, parts: int) -> DataFrame:
             sources, stretches = _merged(rows)
             yield _run(rows[0]["shard"], sources, _joined(list(stretches)))
             del stretches
-            _release()
+            release()
 
     dealt = runs.withColumn("part", F.pmod(F.xxhash64("run"), F.lit(parts)).cast("int"))
     return dealt.repartition("shard", "part").sortWithinPartitions("shard", "part").mapInArrow(work, RUN)
@@ -317,7 +311,7 @@ def frequencies(docs: DataFrame, min_docs: int = MIN_DOCS, block: int = BLOCK,
                     ["lang", "term", "postings"],
                 )
             del stretches
-            _release()
+            release()
 
     schema = "lang string, term string, postings array<struct<source:string,n:long>>"
     merged = runs.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(work, schema)

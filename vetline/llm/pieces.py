@@ -168,6 +168,11 @@ class Transducer:
                 found.append((end + 1, piece))
         return found
 
+    def forget(self) -> None:
+        """Drop the words and chunks remembered: the worker may go on with other work, which needs the memory."""
+        self.words, self.older = {}, {}
+        self.chunks.clear()
+
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, np.int32)
@@ -278,6 +283,8 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFram
                  pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
                 [*kept, "n_pieces", "ids"],
             )
+            del flat, sizes, offsets, batch
+        machine.forget()
 
     schema = T.StructType([
         *[docs.schema[c] for c in kept], T.StructField("n_pieces", T.IntegerType()),
@@ -311,6 +318,7 @@ def decode_documents(docs: DataFrame, path: str, ids: str = "ids", text: str = "
                 raise ValueError("an id is outside the vocabulary")
             found = [str(data, "utf-8", "replace") for data in machine.spell(values, sizes)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(found, pa.string())], [*kept, text])
+            del column, values, found, batch
 
     schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField(text, T.StringType())])
     return docs.select(*read).mapInArrow(work, schema)
@@ -337,6 +345,8 @@ def check_documents(docs: DataFrame, path: str) -> DataFrame:
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(same, pa.bool_())],
                 ["doc_id", "n_pieces", "ids_crc32", "round_trip"],
             )
+            del texts, ids, ends, batch
+        machine.forget()
 
     return docs.select("doc_id", "text").mapInArrow(work, T.StructType([
         docs.schema["doc_id"], T.StructField("n_pieces", T.LongType()), T.StructField("ids_crc32", T.LongType()),

@@ -117,7 +117,7 @@ def _least_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _close_pairs(block: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of rows that share a block and differ in at most ``distance`` bits."""
+    """Index pairs of rows that share a block and differ in at most ``distance`` bits; of crowded blocks a spanning forest."""
     first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
     size = np.diff(np.append(first, len(block)))
     left, right = [], []
@@ -130,12 +130,15 @@ def _close_pairs(block: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.n
         left.append(i[near])
         right.append(i[near] + step)
     for at, n in zip(first[size > 32], size[size > 32]):
-        own = fp[at : at + n]
+        own, a, b = fp[at : at + n], np.empty(0, np.int64), np.empty(0, np.int64)
         for i in range(0, n, 256):
-            a, b = np.nonzero(np.bitwise_count(own[i : i + 256, None] ^ own[None, i:]) <= distance)
-            keep = a < b
-            left.append(at + i + a[keep])
-            right.append(at + i + b[keep])
+            x, y = np.nonzero(np.bitwise_count(own[i : i + 256, None] ^ own[None, i:]) <= distance)
+            keep = x < y
+            root = _least_reachable(n, np.concatenate((a, i + x[keep])), np.concatenate((b, i + y[keep])))
+            a = np.flatnonzero(root != np.arange(n))
+            b = root[a]
+        left.append(at + a)
+        right.append(at + b)
     if not left:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate(left), np.concatenate(right)
