@@ -159,3 +159,17 @@ def test_model_round_trip(spark, tmp_path):
     q = frame(spark, rows(30, seed=9))
     a, b = (nb.score_lof(q, m, 10, 0.1) for m in (model, again))
     assert a.exceptAll(b).count() == 0 and a.count() == 30
+
+
+def test_vectors_searched_among_themselves_are_held_once(spark, monkeypatch):
+    """One row per vector in the tree, no join to find the leaves again, neighbour rows without per-row expressions."""
+    v = nb.settle(nb.distinct_vectors(frame(spark, rows(300)), FEATURES))
+    trees, whole = [], nb.build_tree
+    monkeypatch.setattr(nb, "build_tree", lambda *a: trees.append(whole(*a)) or trees[-1])
+    near = nb.nearest_vectors(v, v, FEATURES, 3, 20)
+    assert len(trees) == 1 and len(trees[0].levels) > 1 and trees[0].rows.count() == v.count() == near.count()
+    other = nb.nearest_vectors(v.select(*FEATURES), v, FEATURES, 3, 20)
+    assert trees[1].rows.count() == 2 * v.count()
+    assert sorted(map(str, near.collect())) == sorted(map(str, other.select(*near.columns).collect()))
+    plan = nb.neighbour_rows(nb.settle(near), FEATURES, [2], F.lit(300), True)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan

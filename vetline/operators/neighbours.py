@@ -11,6 +11,7 @@ ever leave a task. Nothing that grows with the table passes through the driver.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -29,6 +30,7 @@ LEAF_VECTORS = 2048  # distinct fitted vectors per leaf, at most
 FAN = 64  # cells that one is split into, at most
 NARROW_LEVELS = 2  # levels of the tree with at most FAN ** 2 cells, which may go to every task
 CHUNK_QUERIES = 16_384  # distinct queries per task
+NEAR_VECTORS = 2048  # vectors whose neighbours are listed at once
 SALTS = 16  # parts that the rows of one vector are dealt to when they look up its factor
 LRD_GUARD = 1e-10  # keeps the density of a vector among its copies finite
 
@@ -98,10 +100,12 @@ def _narrow(df: DataFrame, level: int) -> DataFrame:
     return F.broadcast(df) if level < NARROW_LEVELS else df
 
 
-def build_tree(fitted: DataFrame, queries: DataFrame, features: list[str], leaf_vectors: int) -> Tree:
-    """Divide ``fitted`` until no leaf has more than ``leaf_vectors``, and send ``queries`` along."""
-    rows = fitted.select(*features, F.col("weight").cast("bigint").alias("weight")).unionByName(
-        queries.select(*features, F.lit(None).cast("bigint").alias("weight"))).withColumn("_node", F.lit("0"))
+def build_tree(fitted: DataFrame, queries: DataFrame | None, features: list[str], leaf_vectors: int) -> Tree:
+    """Divide ``fitted`` until no leaf has more than ``leaf_vectors``, and send ``queries`` along, if any."""
+    rows = fitted.select(*features, F.col("weight").cast("bigint").alias("weight"))
+    if queries is not None:
+        rows = rows.unionByName(queries.select(*features, F.lit(None).cast("bigint").alias("weight")))
+    rows = rows.withColumn("_node", F.lit("0"))
     levels, done, open_ = [], [], settle(rows)
     while True:
         cells = settle(_cells(open_, features, leaf_vectors))
@@ -162,10 +166,10 @@ def _search(queries: DataFrame, fitted: DataFrame, features: list[str], k: int)
         ends = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
         lists = [pa.array(d2, pa.float64()), *[pa.array(points[near, j]) for j in range(n)], pa.array(weights[near], pa.int64())]
         return pa.table(
-            [*(asked.column(f) for f in features), *(pa.ListArray.from_arrays(ends, x) for x in lists)], names=columns)
+            [*(asked.column(c) for c in [*features, "_node"]), *(pa.ListArray.from_arrays(ends, x) for x in lists)], names=columns)
 
-    columns = [*features, "_d2", *[f"_n{j}" for j in range(n)], "_w"]
-    fields = [f"`{f}` double" for f in features] + ["_d2 array<double>"]
+    columns = [*features, "_node", "_d2", *[f"_n{j}" for j in range(n)], "_w"]
+    fields = [f"`{f}` double" for f in features] + ["_node string", "_d2 array<double>"]
     fields += [f"_n{j} array<double>" for j in range(n)] + ["_w array<bigint>"]
     # Fresh column identities, as both sides come from one tree.
     queries, fitted = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (queries, fitted))
@@ -180,16 +184,18 @@ def _search(queries: DataFrame, fitted: DataFrame, features: list[str], k: int)
         *[e[f"_n{j}"].alias(f"n_{f}") for j, f in enumerate(features)],
         e["_w"].alias("w"),
     ))
-    return found.select(*features, entry.alias("near"))
+    return found.select(*features, "_node", entry.alias("near"))
 
 
 def _merged(found: DataFrame, features: list[str], k: int) -> DataFrame:
     """The ``k`` nearest of several searches; structs sort by distance, then vector.
 
     At most ``k`` entries per searched leaf come together here, all within the first leaf's reach.
+    Most vectors come with their own leaf's list only, which is in order.
     """
-    lists = found.groupBy(*features).agg(F.flatten(F.collect_list("near")).alias("near"))
-    return lists.withColumn("near", F.slice(F.array_sort("near"), 1, k))
+    lists = found.groupBy(*features).agg(F.collect_list("near").alias("_lists"))
+    merged = F.slice(F.array_sort(F.flatten("_lists")), 1, k)
+    return lists.select(*features, F.when(F.size("_lists") == 1, F.get("_lists", F.lit(0))).otherwise(merged).alias("near"))
 
 
 def _box_distance(features: list[str], farthest: bool = False) -> Column:
@@ -213,19 +219,21 @@ def nearest_vectors(
 
     Euclidean and unscaled. Adds ``near``, an array of structs (d2, n_<feature>,
     w) ordered by distance, then by vector. ``fitted`` is a settled
-    ``distinct_vectors`` table, ``queries`` has the same features.
+    ``distinct_vectors`` table, ``queries`` has the same features; the table itself, given
+    for both, goes through the tree once.
     """
-    tree = build_tree(fitted, queries, features, max(leaf_vectors, 2 * k))
+    same = queries is fitted
+    tree = build_tree(fitted, None if same else queries, features, max(leaf_vectors, 2 * k))
     held = tree.rows.where("weight is not null")
-    asked = tree.rows.where("weight is null").drop("weight")
+    asked = (held if same else tree.rows.where("weight is null")).drop("weight")
     own = _search(asked.withColumn("_reach", F.lit(float("inf"))), held, features, k)
     if len(tree.levels) == 1:
-        return own
+        return own.drop("_node")
     # A leaf with too few vectors bounds nothing: the box of the smallest cell around it that has enough does.
     # The margin covers rounding.
     own = settle(own)
     last = F.when(F.size("near") >= k, F.element_at("near", -1)["d2"])
-    steps = own.select(*features, (last * (1 + 1e-9)).alias("_reach")).join(asked, features)
+    steps = own.select(*features, (last * (1 + 1e-9)).alias("_reach"), "_node")
     lone = steps.where("_reach is null").drop("_reach")
     around = lone.withColumn("_leaf", F.col("_node")).withColumn("_step", F.explode(F.sequence(
         F.lit(1), F.size(F.split("_node", r"\."))))).withColumn("_node", F.call_function(
@@ -246,8 +254,9 @@ def nearest_vectors(
             *features, "_reach", "_leaf", "_node")
     kept = [*features, "_reach", "_leaf", "_node"]
     others = reduce(DataFrame.unionByName, [df.select(*kept) for df in [*leaves, walk]])
-    others = others.where(F.col("_node") != F.col("_leaf")).drop("_leaf")
-    return _merged(own.unionByName(_search(others, held, features, k)), features, k)
+    # The search reads them twice; the walk meets every cell below a query's, few of which stay.
+    others = settle(others.where(F.col("_node") != F.col("_leaf")).drop("_leaf"))
+    return _merged(own.unionByName(_search(others, held, features, k)).drop("_node"), features, k)
 
 
 def neighbour_rows(near: DataFrame, features: list[str], ks: list[int], rows: Column, leave_self: bool) -> DataFrame:
@@ -258,28 +267,34 @@ def neighbour_rows(near: DataFrame, features: list[str], ks: list[int], rows: Co
     not its own neighbour. ``rows`` is the number of fitted rows: never more
     than ``rows`` - 1 neighbours are used.
     """
-    def copies(e: Column) -> Column:
-        return e["w"] - F.when(e["d2"] == 0, 1).otherwise(0) if leave_self else e["w"]
-
-    entries = F.transform("near", lambda e: F.struct(
-        e["d2"].alias("d2"), *[e[f"n_{f}"].alias(f"n_{f}") for f in features], copies(e).alias("w")))
-    listed = near.select(*features, entries.alias("_e"))
-    before = F.transform(
-        F.sequence(F.lit(0), F.size("_e") - 1),
-        lambda i: F.struct(
-            F.get("_e", i).alias("e"),
-            F.aggregate(F.slice("_e", F.lit(1), i), F.lit(0).cast("bigint"), lambda a, e: a + e["w"]).alias("before"),
-        ),
-    )
-    long = listed.select(*features, F.explode(before).alias("_x")).select(
-        *features, F.sqrt("_x.e.d2").alias("distance"),
-        *[F.col(f"_x.e.n_{f}").alias(f"n_{f}") for f in features],
-        F.col("_x.e.w").alias("_w"), F.col("_x.before").alias("_before"),
-        F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"),
-    )
-    wanted = F.greatest(F.lit(1), F.least(F.col("k"), rows - 1))
-    take = F.least(F.col("_w"), wanted - F.col("_before"))
-    return long.withColumn("take", take).where(F.col("take") > 0).drop("_w", "_before")
+    columns = [*features, "distance", *[f"n_{f}" for f in features], "k", "take"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, NEAR_VECTORS):
+                yield from expanded(whole.slice(start, NEAR_VECTORS))
+
+    def expanded(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        near = batch.column("near")
+        entries, sizes = near.flatten(), near.value_lengths().to_numpy()
+        own, first = np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.cumsum(sizes) - sizes, sizes)
+        d2, w = entries.field("d2").to_numpy(), entries.field("w").to_numpy()
+        w = w - (d2 == 0) if leave_self else w
+        before = np.cumsum(w) - w
+        before = before - before[first]
+        most = batch.column("_rows").to_numpy()[own] - 1
+        for k in ks:
+            take = np.minimum(w, np.maximum(1, np.minimum(k, most)) - before)
+            kept = np.flatnonzero(take > 0)
+            at, of = pa.array(kept), pa.array(own[kept])
+            yield pa.RecordBatch.from_arrays([
+                *[batch.column(f).take(of) for f in features], pa.array(np.sqrt(d2[kept])),
+                *[entries.field(f"n_{f}").take(at) for f in features],
+                pa.array(np.full(len(kept), k, np.int32)), pa.array(take[kept])], columns)
+
+    kinds = [*["double"] * (2 * len(features) + 1), "int", "bigint"]
+    return near.select(*features, "near", rows.cast("bigint").alias("_rows")).mapInArrow(
+        work, ", ".join(f"`{c}` {kind}" for c, kind in zip(columns, kinds)))
 
 
 # --- Local Outlier Factor -------------------------------------------------
@@ -302,9 +317,12 @@ def _neighbour_side(table: DataFrame, features: list[str], column: str) -> DataF
 
 
 def _densities(rows: DataFrame, k_distances: DataFrame, features: list[str]) -> DataFrame:
-    """Local reachability density per (k, vector)."""
+    """Local reachability density per (k, vector).
+
+    The join names ``k`` last: rows are sorted by their first key, and all share a few ``k``.
+    """
     joined = rows.join(
-        _neighbour_side(k_distances, features, "k_distance"), ["k", *[f"n_{f}" for f in features]])
+        _neighbour_side(k_distances, features, "k_distance"), [*[f"n_{f}" for f in features], "k"])
     reach = F.sum(F.col("take") * F.greatest("_v", "distance")) / F.sum("take")
     return joined.groupBy("k", *features).agg((1.0 / (reach + LRD_GUARD)).alias("density"))
 
@@ -316,9 +334,9 @@ def _factors(rows: DataFrame, own: DataFrame, fitted: DataFrame, features: list[
     single precision: that drops the noise of the order of summation.
     """
     joined = rows.join(
-        _neighbour_side(fitted, features, "density"), ["k", *[f"n_{f}" for f in features]])
+        _neighbour_side(fitted, features, "density"), [*[f"n_{f}" for f in features], "k"])
     mean = joined.groupBy("k", *features).agg((F.sum(F.col("take") * F.col("_v")) / F.sum("take")).alias("_m"))
-    return mean.join(own, ["k", *features]).select(
+    return mean.join(own, [*features, "k"]).select(
         "k", *features, "density", (-F.col("_m") / F.col("density")).cast("float").cast("double").alias("factor"))
 
 
@@ -335,7 +353,7 @@ def fit_lof(
     k_distances = pairs.groupBy("k", *features).agg(F.max("distance").alias("k_distance"))
     density = settle(_densities(pairs, k_distances, features))
     factors = _factors(pairs, density, density, features)
-    table = factors.join(k_distances, ["k", *features]).join(vectors, features)
+    table = factors.join(k_distances, [*features, "k"]).join(vectors, features)
     table = table.select("k", *features, "weight", "k_distance", "density", "factor")
     return LofModel(settle(table), vectors, features, ks, rows, leaf_vectors)
 
