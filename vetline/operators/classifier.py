@@ -1,14 +1,16 @@
 """Class-weighted text classifier on IDF-weighted words."""
 
-from pyspark.ml import PipelineModel
+from dataclasses import dataclass
+
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizerModel, Normalizer, RegexTokenizer
+from pyspark.ml.feature import IDF, CountVectorizerModel, Normalizer, RegexTokenizer, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vetline.operators.profile import class_weights, stop_words
-from vetline.runtime import settle
+from vetline.runtime import settle, stored
 
 
 def with_class_weights(df: DataFrame, label: str = "fraudulent") -> DataFrame:
@@ -31,7 +33,7 @@ def vocabulary(tokens: DataFrame, column: str, size: int, drop: list[str] = ())
 
 def fit_text_classifier(
     df: DataFrame, text: str = "text", label: str = "fraudulent", features: int = 512,
-    iterations: int = 300, penalty: float = 0.01,
+    iterations: int = 300, penalty: float = 0.01, counting: list[Transformer] | None = None,
 ) -> PipelineModel:
     """Fit on rows with ``text``, ``label`` and ``weight``, stored or otherwise cheap to read twice.
 
@@ -40,20 +42,72 @@ def fit_text_classifier(
     L2 penalty, taken to its only minimum. The texts are read for the words to count, then for
     their counts; only these, as sparse vectors, are kept for the passes of the fit. Stop words
     go once they are grouped, not text by text: what is not in the list is not counted anyway.
+    Where the words were counted before (``count_words``), ``counting`` are the stages that give
+    the counts ``_counts`` from ``df``.
     """
-    words = RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"[\p{L}\p{N}]+", gaps=False)
-    tokens = words.transform(df).select(label, "weight", "_words")
-    # A bounded list; without any word one that no text has keeps the vectors from being empty.
-    counts = CountVectorizerModel.from_vocabulary(
-        vocabulary(tokens, "_words", features, stop_words()) or [" "], inputCol="_words", outputCol="_counts")
-    rows = settle(counts.transform(tokens).select(label, "weight", "_counts"))
+    words = _tokenizer(text)
+    if counting is None:
+        tokens = words.transform(df).select(label, "weight", "_words")
+        # A bounded list; without any word one that no text has keeps the vectors from being empty.
+        counts = CountVectorizerModel.from_vocabulary(
+            vocabulary(tokens, "_words", features, stop_words()) or [" "], inputCol="_words", outputCol="_counts")
+        counting, counted = [words, counts], counts.transform(tokens)
+    else:
+        counted = PipelineModel(stages=counting).transform(df)
+    rows = settle(counted.select(label, "weight", "_counts"))
     idf = IDF(inputCol="_counts", outputCol="_idf").fit(rows)
     unit = Normalizer(inputCol="_idf", outputCol="_features", p=2.0)
     regression = LogisticRegression(
         featuresCol="_features", labelCol=label, weightCol="weight", maxIter=iterations, regParam=penalty, tol=1e-14,
         standardization=False, rawPredictionCol="_raw", probabilityCol="_probability", predictionCol="_prediction",
     ).fit(unit.transform(idf.transform(rows)))
-    return PipelineModel(stages=[words, counts, idf, unit, regression])
+    return PipelineModel(stages=[*counting, idf, unit, regression])
+
+
+def _tokenizer(text: str) -> RegexTokenizer:
+    return RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"[\p{L}\p{N}]+", gaps=False)
+
+
+@dataclass
+class Counted:
+    """Texts whose words are counted once, for a model of all of them and models that leave a part out."""
+
+    rows: DataFrame  # stored: all columns but the text, and _all, the counts of ``names``
+    names: list[str]  # the words of all vocabularies
+    vocabularies: dict[int | None, list[str]]  # by the part left out; None: of all rows
+    text: str
+
+    def counting(self, left_out: int | None = None) -> list[Transformer]:
+        """For ``fit_text_classifier`` over ``rows``: the counts of one vocabulary out of all."""
+        place = {word: i for i, word in enumerate(self.names)}
+        return [VectorSlicer(inputCol="_all", outputCol="_counts", indices=[place[w] for w in self.vocabularies[left_out]])]
+
+    def for_texts(self, model: PipelineModel) -> PipelineModel:
+        """A model of all ``rows`` as one that takes texts."""
+        counts = CountVectorizerModel.from_vocabulary(self.vocabularies[None], inputCol="_words", outputCol="_counts")
+        return PipelineModel(stages=[_tokenizer(self.text), counts, *model.stages[1:]])
+
+
+def count_words(df: DataFrame, part: str, parts: int, text: str = "text", features: int = 512) -> Counted:
+    """Count the words of ``df`` for several models; ``part`` numbers the parts of its rows from 0.
+
+    The texts are read twice, whatever the number of models: for the texts that have a word, in all and
+    without each part, and for the counts of the words of all vocabularies. A vocabulary is the one that
+    ``fit_text_classifier`` finds in the rows of the other parts.
+    """
+    tokens = _tokenizer(text).transform(df)
+    having = {None: F.count(F.lit(1)), **{i: F.count_if(F.col(part) != i) for i in range(parts)}}
+    found = stored(tokens.select(part, F.explode(F.array_distinct("_words")).alias("word")).groupBy("word").agg(
+        *[n.alias(f"n_{i}") for i, n in having.items()]).where(~F.col("word").isin(stop_words())), "words")
+
+    def most(n: str) -> list[str]:
+        return [r["word"] for r in found.where(F.col(n) > 0).orderBy(F.desc(n), "word").limit(features).collect()] or [" "]
+
+    vocabularies = {i: most(f"n_{i}") for i in having}
+    names = sorted(set().union(*vocabularies.values()))
+    counts = CountVectorizerModel.from_vocabulary(names, inputCol="_words", outputCol="_all")
+    rows = counts.transform(tokens).drop(text, "_words")
+    return Counted(stored(rows, "counts"), names, vocabularies, text)
 
 
 def predict_proba(df: DataFrame, model: PipelineModel, name: str = "nlp_score") -> DataFrame:

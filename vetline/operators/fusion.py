@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from vetline.functions import text
 from vetline.operators.boosting import Boosted, fit_boosted, load_boosted, save_boosted, score_boosted
-from vetline.operators.classifier import fit_text_classifier, predict_proba
+from vetline.operators.classifier import Counted, count_words, fit_text_classifier, predict_proba
 from vetline.operators.clean import clean_postings
 from vetline.operators.encode import encode_features
 from vetline.operators.iforest import Forest, score_outliers
 from vetline.operators.sampling import stratified_folds
-from vetline.runtime import current_version, publish, settle, side_by_side, stored, stored_at, version_folder
+from vetline.runtime import current_version, publish, settle, side_by_side, stored_at, version_folder
 
 META_FEATURES = ["nlp_score", "outlier_score", "desc_len", "has_company_logo", "telecommuting", "has_questions"]
 NLP_DIGITS = 3  # of the text score as a meta-feature: it is cut into bins anyway
@@ -40,18 +40,34 @@ def meta_features(
     return scored.select(*keep, *[F.col(c).cast("double").alias(c) for c in META_FEATURES])
 
 
-def out_of_fold_scores(texts: DataFrame, key: str, label: str = "fraudulent", k: int = 2, seed: int = 42) -> DataFrame:
+FOLDS = 2  # of the text scores that the fusion is trained on
+
+
+def count_by_fold(texts: DataFrame, key: str, label: str = "fraudulent", k: int = FOLDS, seed: int = 42) -> Counted:
+    """The words of texts (key, label, weight and text), counted once for a model of all and one without each fold.
+
+    Folds that the texts bring along (``stratified_folds``) need no join.
+    """
+    if "fold" not in texts.columns:
+        narrow = settle(stratified_folds(settle(texts.select(key, label)), key, label, k, seed).select(key, "fold"))
+        texts = texts.join(narrow, key)
+    return count_words(texts.select(key, label, "weight", "fold", "text"), "fold", k)
+
+
+def out_of_fold_scores(
+    texts: DataFrame, key: str, label: str = "fraudulent", k: int = FOLDS, seed: int = 42, counted: Counted | None = None,
+) -> DataFrame:
     """Rows (key, nlp_score): each scored by a text model that was fitted without its fold.
 
-    ``texts`` has key, label, weight and text. Scores of rows a model was fitted on would
+    ``texts`` has key, label, weight and text; where their words were counted before
+    (``count_by_fold``), they are not read. Scores of rows a model was fitted on would
     make it look better to the fusion than it is on new rows.
     """
-    narrow = settle(stratified_folds(settle(texts.select(key, label)), key, label, k, seed).select(key, "fold"))
-    # Each fold's model reads its texts several times.
-    rows = stored(texts.join(narrow, key), "folds")
+    counted = counted or count_by_fold(texts, key, label, k, seed)
+    rows = counted.rows
 
     def one(i: int) -> DataFrame:
-        model = fit_text_classifier(rows.where(F.col("fold") != i), label=label)
+        model = fit_text_classifier(rows.where(F.col("fold") != i), label=label, counting=counted.counting(i))
         return predict_proba(rows.where(F.col("fold") == i), model).select(key, "nlp_score")
 
     return reduce(DataFrame.union, side_by_side(texts.sparkSession, one, list(range(k))))

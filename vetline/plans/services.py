@@ -255,10 +255,12 @@ def _fused(spark, sf_dir):
     keys = _split_keys(spark, sf_dir)
     train = _cleaned(spark, sf_dir).drop(LABEL).join(keys.where("split = 'train'").drop("split"), KEY)
     weighted = settle(classifier.with_class_weights(keys.where("split = 'train'")).drop("split"))
-    texts = _texts(spark, sf_dir, weighted)
-    nlp = classifier.fit_text_classifier(texts)
+    texts = _texts(spark, sf_dir, settle(sampling.stratified_folds(weighted, KEY, LABEL, fusion.FOLDS)))
+    # The words are counted once for the three text models.
+    counted = fusion.count_by_fold(texts, KEY, LABEL)
+    nlp = counted.for_texts(classifier.fit_text_classifier(counted.rows, counting=counted.counting()))
     forest = iforest.fit_forest(settle(encode_features(train, keep=[KEY])), KEY, contamination=0.1)
-    unseen = settle(fusion.out_of_fold_scores(texts, KEY, LABEL))
+    unseen = settle(fusion.out_of_fold_scores(texts, KEY, LABEL, counted=counted))
     fused = fusion.fit_fusion(settle(fusion.meta_features(train, None, forest, [KEY, LABEL], unseen)))
     path = fresh_path(spark, "scorer")
     fusion.save_scorer(spark, nlp, fused, path)
