@@ -41,7 +41,8 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     mark, text = free_names([*docs.columns, "n_pieces", "ids", "round_trip"], "mark", "decoded")
     marked = docs.withColumn(mark, F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
-    encoded = pieces.encode_documents(marked, model)
+    # Written in between: in one go every task would have two Python workers, and the executor would keep them all.
+    encoded = stored(pieces.encode_documents(marked, model), "pieces")
     decoded = pieces.decode_documents(encoded, model, "ids", text, keep=True)
     return decoded.withColumn("round_trip", F.crc32(F.col(text).cast("binary")) == F.col(mark)).drop(mark, text)
 

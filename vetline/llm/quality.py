@@ -18,8 +18,8 @@ from vetline.llm.common import fold, slices, texts_of
 BUCKETS = 1 << 18
 #: Labelled rows of each class that the model is fitted on, at most.
 PER_CLASS = 4000
-#: Words whose codes a worker remembers.
-REMEMBERED = 300_000
+#: Words whose codes a worker remembers within a task.
+REMEMBERED = 60_000
 #: Words of a text handled at once.
 PIECE = 1 << 16
 SHAPE = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
@@ -203,6 +203,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
                 [batch.column("doc_id"), batch.column("quality"), pa.array(found, pa.binary())],
                 ["doc_id", "quality", "found"],
             )
+        _codes.clear()  # the worker may go on with other work, which needs the memory
 
     judged = (
         labels.where("quality in (0, 1) and doc_id is not null")
@@ -238,6 +239,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in slices(batches):
             scores = pa.array([shared.value.score(t) for t in texts_of(batch)], pa.float64())
             yield pa.record_batch([batch.column("doc_id"), scores], ["doc_id", "score"])
+        _codes.clear()
 
     kind = docs.schema["doc_id"].dataType
     return docs.select("doc_id", "text").mapInArrow(
@@ -269,5 +271,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, per_cl
         for batch in slices(batches):
             keep = [shared.value.score(t) >= threshold for t in texts_of(batch)]
             yield batch.filter(pa.array(keep, pa.bool_()))
+        _codes.clear()
 
     return docs.mapInArrow(work, docs.schema)
