@@ -1,14 +1,21 @@
 """Class-weighted text classifier on IDF-weighted words."""
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizerModel, Normalizer, RegexTokenizer, VectorSlicer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from vetline.functions import words as cutting
 from vetline.operators.profile import class_weights, stop_words
 from vetline.runtime import settle, stored
 
@@ -24,11 +31,45 @@ def with_class_weights(df: DataFrame, label: str = "fraudulent") -> DataFrame:
     return df.where(F.col(label).isNotNull()).withColumn("weight", F.try_element_at(by_label, F.col(label)))
 
 
-def vocabulary(tokens: DataFrame, column: str, size: int, drop: list[str] = ()) -> list[str]:
-    """The ``size`` words outside ``drop`` that most texts have, equal ones in alphabetical order."""
-    words = tokens.select(F.explode(F.array_distinct(column)).alias("word"))
-    counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(~F.col("word").isin(list(drop)))
-    return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(size).collect()]
+def texts_having(df: DataFrame, text: str, part: str | None = None, parts: int = 0) -> DataFrame:
+    """Rows (word, n_None, n_0 ..): how many texts have each word, in all and without each part.
+
+    Words are counted batch by batch in Arrow, so a word is shuffled once for many texts.
+    """
+    left_out = [None, *range(parts)]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in cutting.pieces(batches, text):
+            every = np.ones(piece.num_rows, bool)
+            groups = [every if i is None else pc.fill_null(pc.not_equal(piece.column(part), i), False)
+                      .to_numpy(zero_copy_only=False) for i in left_out]
+            found, counts = cutting.texts_having(piece.column(text), groups)
+            yield pa.RecordBatch.from_arrays([found, *map(pa.array, counts)], ["word", *[f"n_{i}" for i in left_out]])
+
+    schema = "word string, " + ", ".join(f"n_{i} bigint" for i in left_out)
+    counted = df.select(text, *([part] if parts else [])).mapInArrow(work, schema)
+    return counted.groupBy("word").agg(*[F.sum(f"n_{i}").alias(f"n_{i}") for i in left_out])
+
+
+def vocabulary(having: DataFrame, n: str, size: int) -> list[str]:
+    """The ``size`` words that most texts have by the counts ``n``, stop words aside, equal ones in alphabetical order.
+
+    A bounded list; without any word one that no text has keeps the vectors from being empty.
+    """
+    counted = having.where((F.col(n) > 0) & ~F.col("word").isin(stop_words()))
+    return [r["word"] for r in counted.orderBy(F.desc(n), "word").limit(size).collect()] or [" "]
+
+
+def with_counts(df: DataFrame, text: str, listed: list[str], name: str, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` and ``name``, the sparse vector of how often a text has each word listed."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = pa.array(listed, pa.string())
+        for piece in cutting.pieces(batches, text):
+            counts = cutting.counts_of(piece.column(text), values)
+            yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in keep], counts], [*keep, name])
+
+    schema = T.StructType([*[df.schema[c] for c in keep], T.StructField(name, VectorUDT())])
+    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(work, schema)
 
 
 def fit_text_classifier(
@@ -45,13 +86,10 @@ def fit_text_classifier(
     Where the words were counted before (``count_words``), ``counting`` are the stages that give
     the counts ``_counts`` from ``df``.
     """
-    words = _tokenizer(text)
     if counting is None:
-        tokens = words.transform(df).select(label, "weight", "_words")
-        # A bounded list; without any word one that no text has keeps the vectors from being empty.
-        counts = CountVectorizerModel.from_vocabulary(
-            vocabulary(tokens, "_words", features, stop_words()) or [" "], inputCol="_words", outputCol="_counts")
-        counting, counted = [words, counts], counts.transform(tokens)
+        listed = vocabulary(texts_having(df, text), "n_None", features)
+        counting = [_tokenizer(text), CountVectorizerModel.from_vocabulary(listed, inputCol="_words", outputCol="_counts")]
+        counted = with_counts(df, text, listed, "_counts", [label, "weight"])
     else:
         counted = PipelineModel(stages=counting).transform(df)
     rows = settle(counted.select(label, "weight", "_counts"))
@@ -65,7 +103,7 @@ def fit_text_classifier(
 
 
 def _tokenizer(text: str) -> RegexTokenizer:
-    return RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"[\p{L}\p{N}]+", gaps=False)
+    return RegexTokenizer(inputCol=text, outputCol="_words", pattern=cutting.PATTERN, gaps=False)
 
 
 @dataclass
@@ -75,7 +113,7 @@ class Counted:
     rows: DataFrame  # stored: all columns but the text, and _all, the counts of ``names``
     names: list[str]  # the words of all vocabularies
     vocabularies: dict[int | None, list[str]]  # by the part left out; None: of all rows
-    text: str
+    words: RegexTokenizer  # what a word is
 
     def counting(self, left_out: int | None = None) -> list[Transformer]:
         """For ``fit_text_classifier`` over ``rows``: the counts of one vocabulary out of all."""
@@ -85,7 +123,7 @@ class Counted:
     def for_texts(self, model: PipelineModel) -> PipelineModel:
         """A model of all ``rows`` as one that takes texts."""
         counts = CountVectorizerModel.from_vocabulary(self.vocabularies[None], inputCol="_words", outputCol="_counts")
-        return PipelineModel(stages=[_tokenizer(self.text), counts, *model.stages[1:]])
+        return PipelineModel(stages=[self.words, counts, *model.stages[1:]])
 
 
 def count_words(df: DataFrame, part: str, parts: int, text: str = "text", features: int = 512) -> Counted:
@@ -95,22 +133,23 @@ def count_words(df: DataFrame, part: str, parts: int, text: str = "text", featur
     without each part, and for the counts of the words of all vocabularies. A vocabulary is the one that
     ``fit_text_classifier`` finds in the rows of the other parts.
     """
-    tokens = _tokenizer(text).transform(df)
-    having = {None: F.count(F.lit(1)), **{i: F.count_if(F.col(part) != i) for i in range(parts)}}
-    found = stored(tokens.select(part, F.explode(F.array_distinct("_words")).alias("word")).groupBy("word").agg(
-        *[n.alias(f"n_{i}") for i, n in having.items()]).where(~F.col("word").isin(stop_words())), "words")
-
-    def most(n: str) -> list[str]:
-        return [r["word"] for r in found.where(F.col(n) > 0).orderBy(F.desc(n), "word").limit(features).collect()] or [" "]
-
-    vocabularies = {i: most(f"n_{i}") for i in having}
+    found = stored(texts_having(df, text, part, parts), "words")
+    vocabularies = {i: vocabulary(found, f"n_{i}", features) for i in (None, *range(parts))}
     names = sorted(set().union(*vocabularies.values()))
-    counts = CountVectorizerModel.from_vocabulary(names, inputCol="_words", outputCol="_all")
-    rows = counts.transform(tokens).drop(text, "_words")
-    return Counted(stored(rows, "counts"), names, vocabularies, text)
+    rows = with_counts(df, text, names, "_all", [c for c in df.columns if c != text])
+    return Counted(stored(rows, "counts"), names, vocabularies, _tokenizer(text))
+
 
+def predict_proba(
+    df: DataFrame, model: PipelineModel, name: str = "nlp_score", keep: list[str] | None = None
+) -> DataFrame:
+    """The columns ``keep`` (all, if not given) and the probability of fraud.
 
-def predict_proba(df: DataFrame, model: PipelineModel, name: str = "nlp_score") -> DataFrame:
-    """Add the probability of fraud."""
-    scored = model.transform(df)
-    return scored.withColumn(name, vector_to_array("_probability")[1]).select(*df.columns, name)
+    Words of texts are counted in Arrow; columns that are not kept, such as the text, do not come back from there.
+    """
+    keep, stages = df.columns if keep is None else keep, model.stages
+    if isinstance(stages[0], RegexTokenizer) and stages[0].getPattern() == cutting.PATTERN:
+        df = with_counts(df, stages[0].getInputCol(), stages[1].vocabulary, stages[1].getOutputCol(), keep)
+        stages = stages[2:]
+    scored = PipelineModel(stages=stages).transform(df)
+    return scored.withColumn(name, vector_to_array("_probability")[1]).select(*keep, name)

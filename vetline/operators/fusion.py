@@ -29,13 +29,16 @@ def meta_features(
     ``keep``, nlp_score) where given.
     """
     own = ["desc_len", "telecommuting", "has_questions"]
-    encoded = encode_features(
-        clean.withColumn("text", text.raw_full_text()), keep=[*keep, *own, "text"])
-    outliers = score_outliers(encoded, forest, "fraud").withColumnRenamed("anomaly_score", "outlier_score")
     if text_scores is None:
-        scored = predict_proba(outliers, classifier)
+        # Scored first, so that the texts do not go through the forest as well.
+        texts = clean.withColumn("text", text.raw_full_text())
+        encoded = encode_features(texts, keep=[*keep, *own, "text"])
+        encoded = predict_proba(encoded, classifier, keep=[c for c in encoded.columns if c != "text"])
     else:
-        scored = outliers.drop("text").join(text_scores, keep[0])
+        encoded = encode_features(clean, keep=[*keep, *own])
+    scored = score_outliers(encoded, forest, "fraud").withColumnRenamed("anomaly_score", "outlier_score")
+    if text_scores is not None:
+        scored = scored.join(text_scores, keep[0])
     scored = scored.withColumn("nlp_score", F.round("nlp_score", NLP_DIGITS))
     return scored.select(*keep, *[F.col(c).cast("double").alias(c) for c in META_FEATURES])
 

@@ -49,6 +49,9 @@ RULES = {
     "in_balanced_dataset": "CASE l.quality WHEN 1 THEN 't' WHEN 0 THEN 'f' END",
 }
 
+#: The same first line; Spark looks no further than its end, where ``split_part`` cuts the whole text into lines.
+FIRST_LINE = "substring_index(d.text, chr(10), 1)"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -62,10 +65,10 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def postings_of(documents: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Raw postings; without labels the two label columns are left out."""
-    rules = RULES
+    rules = RULES | {"title": FIRST_LINE}
     rows = documents.alias("d")
     if labels is None:
-        rules = {c: r for c, r in RULES.items() if not r.startswith("CASE l.")}
+        rules = {c: r for c, r in rules.items() if not r.startswith("CASE l.")}
     else:
         rows = rows.join(labels.alias("l"), F.expr("d.doc_id = l.doc_id"), "left")
     return rows.select(*[F.expr(rule).alias(c) for c, rule in rules.items()])

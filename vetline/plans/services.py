@@ -12,7 +12,7 @@ from vetline.operators.profile import stop_words
 from vetline.plans.models import boosted_ctes, forest_ctes, forest_sql, offset_sql, shapley_columns
 from vetline.plans.postings import postings_of, raw_postings, table, table_stream
 from vetline.plans.views import CLEAN_COLUMNS, KEY, LABEL, clean, sql, strip
-from vetline.runtime import fresh_path, settle, stored
+from vetline.runtime import fresh_path, settle, side_by_side, stored
 from vetline.sources import files, pages
 from vetline.streaming.scoring import landed_postings, score_postings, write_scored
 
@@ -207,7 +207,7 @@ def text_classifier(spark, sf_dir):
     keys = _split_keys(spark, sf_dir)
     texts = _texts(spark, sf_dir, keys)
     model = classifier.fit_text_classifier(classifier.with_class_weights(texts.where("split = 'train'")))
-    scored = classifier.predict_proba(texts.where("split = 'val'"), model)
+    scored = classifier.predict_proba(texts.where("split = 'val'"), model, keep=[KEY, LABEL])
     return scored.select(KEY, LABEL, F.round("nlp_score", 4).alias("nlp_score"),
                          (F.col("nlp_score") >= 0.5).cast("int").alias("predicted"))
 
@@ -222,7 +222,7 @@ def text_scores(spark, sf_dir):
     asked = keys.where("split = 'val'").withColumn("weight", F.lit(None).cast("double"))
     texts = _texts(spark, sf_dir, sample.unionByName(asked))
     model = classifier.fit_text_classifier(texts.where("split = 'train'"))
-    scored = classifier.predict_proba(texts.where("split = 'val'"), model)
+    scored = classifier.predict_proba(texts.where("split = 'val'"), model, keep=[KEY, LABEL])
     return scored.select(KEY, LABEL, F.round("nlp_score", 4).alias("nlp_score"))
 
 
@@ -258,9 +258,18 @@ def _fused(spark, sf_dir):
     texts = _texts(spark, sf_dir, settle(sampling.stratified_folds(weighted, KEY, LABEL, fusion.FOLDS)))
     # The words are counted once for the three text models.
     counted = fusion.count_by_fold(texts, KEY, LABEL)
-    nlp = counted.for_texts(classifier.fit_text_classifier(counted.rows, counting=counted.counting()))
-    forest = iforest.fit_forest(settle(encode_features(train, keep=[KEY])), KEY, contamination=0.1)
-    unseen = settle(fusion.out_of_fold_scores(texts, KEY, LABEL, counted=counted))
+
+    def text_model():
+        return counted.for_texts(classifier.fit_text_classifier(counted.rows, counting=counted.counting()))
+
+    def outlier_model():
+        return iforest.fit_forest(settle(encode_features(train, keep=[KEY])), KEY, contamination=0.1)
+
+    def unseen_scores():
+        return settle(fusion.out_of_fold_scores(texts, KEY, LABEL, counted=counted))
+
+    # Fits are many short jobs, and none needs another's result.
+    nlp, forest, unseen = side_by_side(spark, lambda work: work(), [text_model, outlier_model, unseen_scores])
     fused = fusion.fit_fusion(settle(fusion.meta_features(train, None, forest, [KEY, LABEL], unseen)))
     path = fresh_path(spark, "scorer")
     fusion.save_scorer(spark, nlp, fused, path)
